@@ -1,0 +1,8 @@
+"""Streaming.
+
+The mined workload is batch only: there is no stream source, watermark,
+window or state in the reference, so nothing is built here.  A stream of
+basket files can still be mined per micro-batch with
+``writeStream.foreachBatch(lambda df, _: write_patterns(mine(df, spec).pairs, path))``,
+which reuses the batch operator unchanged.
+"""
