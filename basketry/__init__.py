@@ -3,7 +3,7 @@
 All operators take and return DataFrames and stay on the JVM (no UDFs).
 """
 
-from basketry.operators.compare import any_patterns, common_patterns, compare
+from basketry.operators.compare import aligned, any_patterns, common_patterns, compare, only_left, only_right
 from basketry.operators.metrics import run_metrics
 from basketry.operators.profile import (
     basket_lists,
@@ -11,6 +11,7 @@ from basketry.operators.profile import (
     item_support,
     pair_cooccurrence,
     pattern_counts,
+    profile,
     tu_summary,
 )
 from basketry.operators.patterns import pair_row_count, pair_rows, pairs, singles
@@ -23,6 +24,7 @@ __all__ = [
     "MineResult",
     "MineSpec",
     "RETAIL_DENYLIST",
+    "aligned",
     "any_patterns",
     "basket_lists",
     "common_patterns",
@@ -36,11 +38,14 @@ __all__ = [
     "load_baskets",
     "mine",
     "mine_many",
+    "only_left",
+    "only_right",
     "pair_cooccurrence",
     "pair_row_count",
     "pair_rows",
     "pairs",
     "pattern_counts",
+    "profile",
     "remaining_occupancy",
     "row_utility",
     "run_metrics",

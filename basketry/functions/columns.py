@@ -49,10 +49,10 @@ def itemset_label(item1, item2, sep: str = ",") -> Column:
 
 
 def salt_count(n_items, split_items: int) -> Column:
-    """Number of slices a transaction's pair join is split into.
+    """Number of slices per side of a transaction's pair-join grid.
 
     ``ceil(n / split_items)``, at least 1.  A basket of up to ``split_items``
-    entries is one slice; a hot basket is spread over many tasks.
+    entries is one cell; a hot basket is spread over ``S * S`` cells.
     """
     return F.greatest(
         F.lit(1), F.ceil(as_col(n_items) / F.lit(float(split_items))).cast("int")

@@ -58,3 +58,15 @@ def compare(a: DataFrame, b: DataFrame, keys=PAIR_KEYS) -> DataFrame:
         "jaccard",
         F.when(F.col("n_any") > 0, F.col("n_common") / F.col("n_any")).otherwise(F.lit(0.0)),
     )
+
+
+def only_left(a: DataFrame, b: DataFrame, keys=PAIR_KEYS) -> DataFrame:
+    """Patterns found by the left run only (the except direction of U3)."""
+    j = aligned(a, b, keys)
+    return j.where(F.col("in_left") & ~F.col("in_right")).select(*keys)
+
+
+def only_right(a: DataFrame, b: DataFrame, keys=PAIR_KEYS) -> DataFrame:
+    """Patterns found by the right run only."""
+    j = aligned(a, b, keys)
+    return j.where(F.col("in_right") & ~F.col("in_left")).select(*keys)

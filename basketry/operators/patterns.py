@@ -1,13 +1,16 @@
 """Size-1 and size-2 pattern measures: A4, A5, A7, J3, J4, F7, F8, D9, §4.3.
 
 Pair generation is the expensive step: a transaction with ``n`` entries yields
-``n(n-1)/2`` pair rows.  The self-join is therefore keyed on ``(tid, salt)``:
-a transaction with more than ``split_items`` entries gets
-``S = ceil(n / split_items)`` slices; each entry goes to one slice on the left
-(by a hash of its item) and to every slice on the right.  Every pair is still
-produced exactly once, but a hot transaction's pairs are spread over ``S``
-tasks instead of one.  Ordinary transactions have ``S = 1`` and are not
-replicated.  The pair aggregate then runs with map-side partial aggregation.
+``n(n-1)/2`` pair rows.  The self-join is therefore keyed on a grid cell
+``(tid, a, b)``: a transaction with more than ``split_items`` entries gets
+``S = ceil(n / split_items)`` slices, and each entry has a slice
+``h = hash(item) mod S``.  On the left an entry goes to the cells ``(h, b)``
+for every ``b``; on the right to the cells ``(a, h)`` for every ``a``.  Two
+entries i, j meet in exactly one cell, ``(h(i), h(j))``, so every pair is
+produced once, and no cell holds more than about ``split_items**2``
+candidates however large the transaction.  Ordinary transactions have
+``S = 1``: one cell, no replication.  The pair aggregate then runs with
+map-side partial aggregation.
 """
 
 from __future__ import annotations
@@ -35,28 +38,34 @@ def keep_rule(df: DataFrame, min_util: float, min_uo: float) -> DataFrame:
     )
 
 
-def pair_rows(uo: DataFrame, split_items: int = 4096) -> DataFrame:
+def pair_rows(uo: DataFrame, split_items: int = 4096, keep_cells: bool = False) -> DataFrame:
     """One row per co-occurrence (tid, item1 < item2) with both utilities.
 
     ``uo`` needs tid, item, iu, tu and n_items.  String order on items.
+    ``keep_cells`` keeps the grid cell columns (for inspection).
     """
     s = salt_count(F.col("n_items"), split_items)
+    own = F.pmod(F.xxhash64("item"), s.cast("long")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), s - F.lit(1)))
     left = uo.select(
         "tid",
         F.col("item").alias("item1"),
         F.col("iu").alias("iu1"),
         "tu",
-        F.pmod(F.xxhash64("item"), s.cast("long")).cast("int").alias("salt"),
+        own.alias("cell_a"),
+        every.alias("cell_b"),
     )
     right = uo.select(
         "tid",
         F.col("item").alias("item2"),
         F.col("iu").alias("iu2"),
-        F.explode(F.sequence(F.lit(0), s - F.lit(1))).alias("salt"),
+        every.alias("cell_a"),
+        own.alias("cell_b"),
     )
-    return left.join(right, on=["tid", "salt"], how="inner").where(
+    rows = left.join(right, on=["tid", "cell_a", "cell_b"], how="inner").where(
         F.col("item1") < F.col("item2")
-    ).drop("salt")
+    )
+    return rows if keep_cells else rows.drop("cell_a", "cell_b")
 
 
 def pairs(cand: DataFrame, split_items: int = 4096) -> DataFrame:

@@ -66,3 +66,26 @@ def pair_cooccurrence(uo: DataFrame, split_items: int = 4096) -> DataFrame:
     """
     rows = pair_rows(uo.select("tid", "item", "iu", "tu", "n_items"), split_items)
     return rows.select("item1", "item2", "tid")
+
+
+def profile(uo: DataFrame) -> DataFrame:
+    """One row describing a mined dataset from its UO-list.
+
+    Transactions, entries, distinct items, mean entries per transaction and
+    the TU summary (count, mean, stddev, min, max per transaction).  Two
+    aggregates: one per transaction (partial aggregation first), one global.
+    """
+    per_tid = uo.groupBy("tid").agg(F.max("tu").alias("tu"), F.count(F.lit(1)).alias("n"))
+    tx = per_tid.agg(
+        F.count(F.lit(1)).alias("n_transactions"),
+        F.sum("n").alias("n_entries"),
+        F.avg("n").alias("mean_basket"),
+        F.avg("tu").alias("tu_mean"),
+        F.stddev_samp("tu").alias("tu_stddev"),
+        F.min("tu").alias("tu_min"),
+        F.max("tu").alias("tu_max"),
+    )
+    items = uo.agg(F.count_distinct("item").alias("n_items"))
+    # Both sides are single-row aggregates; a keyed join keeps the plan free
+    # of cartesian products.
+    return tx.withColumn("_k", F.lit(1)).join(items.withColumn("_k", F.lit(1)), "_k").drop("_k")

@@ -27,7 +27,9 @@ from basketry import (
     mine_many,
     pair_cooccurrence,
     pair_row_count,
+    only_left,
     pattern_counts,
+    profile,
     remaining_occupancy,
     row_utility,
     sample_first,
@@ -669,3 +671,26 @@ def q_mine_many(spark, d):
 def q_remaining_occupancy(spark, d):
     r = remaining_occupancy(uo_list(lines_l(spark, d), MineSpec(0, 0)))
     return _r(r.select("tid", "item", "uo", "ruo"), uo=["uo", "ruo"])
+
+
+@query("patterns_only_left", _two_runs_sql("SELECT item1, item2 FROM ra EXCEPT SELECT item1, item2 FROM rb"))
+def q_patterns_only_left(spark, d):
+    a, b = _two_runs(spark, d)
+    return only_left(a, b)
+
+
+@query(
+    "dataset_profile",
+    _mine_sql(
+        O.LINES_L,
+        "SELECT count(*) AS n_transactions, sum(n_items) AS n_entries, round(avg(n_items), 6) AS mean_basket, "
+        "round(avg(tu), 4) AS tu_mean, round(stddev_samp(tu), 4) AS tu_stddev, round(min(tu), 4) AS tu_min, "
+        "round(max(tu), 4) AS tu_max, (SELECT count(DISTINCT item) FROM uo) AS n_items FROM tt",
+        min_util=0,
+        min_uo_single=0,
+    ),
+)
+def q_dataset_profile(spark, d):
+    p = profile(uo_list(lines_l(spark, d), MineSpec(0, 0)))
+    p = _r(p, uo=["mean_basket"])
+    return _r(p, uo=["tu_mean", "tu_stddev", "tu_min", "tu_max"], places_uo=4)

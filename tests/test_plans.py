@@ -29,7 +29,7 @@ def test_scan_pushdown_and_pruning(spark):
     assert "ReadSchema: struct<l_orderkey:bigint,l_partkey:bigint,l_quantity:double,l_extendedprice:double>" in text
 
 
-def test_pair_join_is_keyed_on_tid_and_salt(spark):
+def test_pair_join_is_keyed_on_tid_and_grid_cell(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         uo = uo_list(Q.lines_l(spark, SF001), MineSpec(0, 0))
@@ -37,7 +37,7 @@ def test_pair_join_is_keyed_on_tid_and_salt(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "SortMergeJoin" in text
-    assert "hashpartitioning(tid" in text and "salt" in text
+    assert "hashpartitioning(tid" in text and "cell_a" in text and "cell_b" in text
     for bad in ("CartesianProduct", "BroadcastNestedLoopJoin"):
         assert bad not in text
 

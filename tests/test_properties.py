@@ -131,15 +131,18 @@ def test_hot_transaction_is_split_over_slices(spark):
     rows += [(f"T{t}", str(t % 5), 1.0, 2.0) for t in range(20)]
     df = spark.createDataFrame(rows, SCHEMA)
     uo = uo_list(df, MineSpec(0, 0))
-    rows_per_salt = (
-        P.pair_rows(uo, split_items=8)
-        .where(F.col("tid") == "HOT")
-        .count()
-    )
-    assert rows_per_salt == 60 * 59 // 2
+    hot = P.pair_rows(uo, split_items=8, keep_cells=True).where(F.col("tid") == "HOT")
+    assert hot.count() == 60 * 59 // 2
+    cells = hot.groupBy("cell_a", "cell_b").count().collect()
+    # S = ceil(60 / 8) = 8 slices per side: the pairs spread over many cells,
+    # none holding the whole transaction.
+    assert len(cells) > 20
+    assert max(c["count"] for c in cells) < 60 * 59 // 2 // 10
     got = mine(df, MineSpec(0, 0, 0, split_items=8)).pairs
     ref = mine(df, MineSpec(0, 0, 0, split_items=10**6)).pairs
-    assert got.count() == ref.count() == 60 * 59 // 2 + 0
+    a = sorted((r.item1, r.item2, round(r.total_util, 9), r.support) for r in got.collect())
+    b = sorted((r.item1, r.item2, round(r.total_util, 9), r.support) for r in ref.collect())
+    assert a == b and len(a) == 60 * 59 // 2
 
 
 def test_repartition_invariance(rnd_df):
