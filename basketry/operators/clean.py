@@ -6,6 +6,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from basketry.functions.columns import numeric_token
 from basketry.operators.sizing import bounded_broadcast
@@ -14,7 +15,15 @@ from basketry.operators.sizing import bounded_broadcast
 def drop_incomplete(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
     """drop rows with a null in any key column."""
     cols = list(columns) if columns is not None else ["tid", "item", "quantity", "unit_price"]
-    return df.dropna(subset=[c for c in cols if c in df.columns])
+    cols = [c for c in cols if c in df.columns]
+    if not cols:
+        return df
+    # Explicit IS NOT NULL conjuncts (not dropna's atleastnnonnulls) so each
+    # check can be pushed into the Parquet scan.
+    cond = F.col(cols[0]).isNotNull()
+    for c in cols[1:]:
+        cond = cond & F.col(c).isNotNull()
+    return df.where(cond)
 
 
 def keep_positive(df: DataFrame) -> DataFrame:
@@ -22,8 +31,19 @@ def keep_positive(df: DataFrame) -> DataFrame:
     return df.where((F.col("quantity") > 0) & (F.col("unit_price") > 0))
 
 
+def _is_string(df: DataFrame, column: str) -> bool:
+    return isinstance(df.schema[column].dataType, T.StringType)
+
+
+def _as_text(df: DataFrame, column: str):
+    c = F.col(column)
+    return c if _is_string(df, column) else c.cast("string")
+
+
 def drop_blank_items(df: DataFrame) -> DataFrame:
-    """an empty token is not an item."""
+    """an empty token is not an item (only text items can be blank)."""
+    if not _is_string(df, "item"):
+        return df
     return df.where(F.length(F.col("item")) > 0)
 
 
@@ -36,10 +56,12 @@ def clean_lines(df: DataFrame) -> DataFrame:
 
 def keep_numeric_items(df: DataFrame, column: str = "item") -> DataFrame:
     """keep rows whose item is a run of digits."""
-    return df.where(numeric_token(F.col(column)))
+    return df.where(numeric_token(_as_text(df, column)))
 
 
-def exclude_items(df: DataFrame, items, column: str = "item", max_rows: int = 1_000_000) -> DataFrame:
+def exclude_items(
+    df: DataFrame, items, column: str = "item", max_rows: int = 1_000_000, holds: list | None = None
+) -> DataFrame:
     """Drop denylisted items.
 
     A literal list becomes ``NOT IN`` (a fixed, bounded set); a DataFrame of
@@ -47,20 +69,24 @@ def exclude_items(df: DataFrame, items, column: str = "item", max_rows: int = 1_
     checked.
     """
     if isinstance(items, DataFrame):
-        side, _ = bounded_broadcast(items.select(F.col(items.columns[0]).alias(column)).distinct(), max_rows)
+        side, _ = bounded_broadcast(items.select(F.col(items.columns[0]).alias(column)).distinct(), max_rows, holds)
         return df.join(side, on=column, how="left_anti")
     items = list(items)
     if not items:
         return df
-    return df.where(~F.col(column).isin(items))
+    # Items are compared as text, so a numeric item column never has to
+    # cast a denylist word (which would fail under ANSI mode).
+    return df.where(~_as_text(df, column).isin(items))
 
 
-def keep_items(df: DataFrame, items, column: str = "item", max_rows: int = 1_000_000) -> DataFrame:
+def keep_items(
+    df: DataFrame, items, column: str = "item", max_rows: int = 1_000_000, holds: list | None = None
+) -> DataFrame:
     """Keep rows whose item is in ``items`` (a DataFrame or a list)."""
     if isinstance(items, DataFrame):
-        side, _ = bounded_broadcast(items.select(F.col(items.columns[0]).alias(column)).distinct(), max_rows)
+        side, _ = bounded_broadcast(items.select(F.col(items.columns[0]).alias(column)).distinct(), max_rows, holds)
         return df.join(side, on=column, how="left_semi")
-    return df.where(F.col(column).isin(list(items)))
+    return df.where(_as_text(df, column).isin(list(items)))
 
 
 def merge_duplicates(df: DataFrame) -> DataFrame:

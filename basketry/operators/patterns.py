@@ -88,9 +88,9 @@ def pair_row_count(uo: DataFrame) -> DataFrame:
     )
 
 
-def gate_by_winners(uo: DataFrame, winners: DataFrame, max_rows: int) -> DataFrame:
+def gate_by_winners(uo: DataFrame, winners: DataFrame, max_rows: int, holds: list | None = None) -> DataFrame:
     """Entries of size-1 winners only (semi-join, size-checked broadcast)."""
-    return keep_items(uo, winners.select("item"), max_rows=max_rows)
+    return keep_items(uo, winners.select("item"), max_rows=max_rows, holds=holds)
 
 
 def exact_bounds(uo: DataFrame) -> DataFrame:

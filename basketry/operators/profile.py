@@ -46,7 +46,8 @@ def basket_lists(lines: DataFrame, sep: str = " ") -> DataFrame:
     (duplicates are merged first); it is the output format itself.
     """
     merged = lines.groupBy("tid", "item").agg(F.sum("quantity").alias("quantity"))
-    per_tid = merged.groupBy("tid").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    text = F.col("item").cast("string")
+    per_tid = merged.groupBy("tid").agg(F.array_sort(F.collect_list(text)).alias("items"))
     return per_tid.select("tid", "items", F.array_join("items", sep).alias("basket"))
 
 

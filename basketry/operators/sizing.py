@@ -7,20 +7,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
+def bounded_broadcast(df: DataFrame, max_rows: int, holds: list | None = None) -> tuple[DataFrame, bool]:
     """Return ``(broadcast(df), True)`` when ``df`` has at most ``max_rows`` rows.
 
     The bound is proven by counting at most ``max_rows + 1`` rows of the
     persisted frame, so the broadcast side is never larger than that.  Beyond
-    the bound the frame is returned unpersisted and unhinted, and the join
-    falls back to a shuffle (sort-merge, with AQE skew splitting).
+    the bound the frame is returned unhinted and the join falls back to a
+    shuffle (sort-merge, with AQE skew splitting).  Either way the computed
+    frame stays persisted for the join that reads it; it is appended to
+    ``holds`` so the caller releases it at its scope edge (without ``holds``
+    it is released at once when too large).
     """
     held = df.persist(StorageLevel.MEMORY_AND_DISK)
     n = held.limit(max_rows + 1).count()
+    if holds is not None:
+        holds.append(held)
     if n <= max_rows:
         return F.broadcast(held), True
-    held.unpersist()
-    return df, False
+    if holds is None:
+        held.unpersist()
+        return df, False
+    return held, False
 
 
 def checkpoint_dir(spark: SparkSession) -> str:

@@ -5,13 +5,15 @@ a price catalogue):
 
 1. entries  ``groupBy(tid, item)``  partial aggregation, shuffle on
    (tid, item): a transaction with a third of all rows still spreads over
-   every reducer because the item is part of the key.
-2. per-tid  ``groupBy(tid)`` of the entries: TU and entry count, partial
-   aggregation first, so a hot transaction is one row per map task.
-3. entries joined back to per-tid on tid (sort-merge; AQE splits a hot tid).
-
-A window ``sum(iu) over (partition by tid)`` would save step 3's shuffle but
-puts a whole transaction in one task, which a hot transaction cannot afford.
+   every reducer because the item is part of the key, and afterwards holds
+   at most one entry per distinct item.
+2. TU and entry count per transaction: a window over tid on those entries
+   (one more shuffle, by tid, of deduplicated entries; a hot transaction is
+   bounded by the item catalogue, not by its row count).
+
+A window straight over the raw lines would save step 1's shuffle but would
+put all lines of a hot transaction into one task.  Keys keep their source
+type through both shuffles; the item becomes text once per entry.
 """
 
 from __future__ import annotations
@@ -65,17 +67,17 @@ def item_catalogue(lines: DataFrame, policy: str = "first_seen") -> DataFrame:
     )
 
 
-def with_catalogue_price(lines: DataFrame, catalogue: DataFrame, max_rows: int) -> DataFrame:
+def with_catalogue_price(lines: DataFrame, catalogue: DataFrame, max_rows: int, holds: list | None = None) -> DataFrame:
     """Attach ``unit_profit`` by item.
 
     The catalogue has one row per distinct item; it is broadcast only when a
     count proves it small, else joined by shuffle on item.
     """
-    side, _ = bounded_broadcast(catalogue, max_rows)
+    side, _ = bounded_broadcast(catalogue, max_rows, holds)
     return lines.join(side, on="item", how="inner")
 
 
-def row_utility(lines: DataFrame, spec: MineSpec) -> DataFrame:
+def row_utility(lines: DataFrame, spec: MineSpec, holds: list | None = None) -> DataFrame:
     """Add ``util`` = quantity * price under ``spec.price``."""
     q = F.col("quantity")
     if spec.price == "actual":
@@ -83,12 +85,12 @@ def row_utility(lines: DataFrame, spec: MineSpec) -> DataFrame:
     if spec.price == "constant":
         return lines.withColumn("util", q * F.lit(float(spec.constant_price)))
     if spec.price == "hash":
-        return lines.withColumn("util", q * hash_price(F.col("item")))
+        return lines.withColumn("util", q * hash_price(F.col("item").cast("string")))
     if spec.price == "mean":
         cat = mean_prices(lines)
     else:  # first_seen
         cat = first_seen_prices(lines)
-    priced = with_catalogue_price(lines, cat, spec.broadcast_max_rows)
+    priced = with_catalogue_price(lines, cat, spec.broadcast_max_rows, holds)
     return priced.withColumn("util", q * F.col("unit_profit")).drop("unit_profit")
 
 
@@ -99,9 +101,9 @@ def transaction_utility(util_rows: DataFrame, given: bool = False) -> DataFrame:
     return util_rows.groupBy("tid").agg(tu.alias("tu"), F.count(F.lit(1)).alias("n_items"))
 
 
-def uo_entries(lines: DataFrame, spec: MineSpec) -> DataFrame:
+def uo_entries(lines: DataFrame, spec: MineSpec, holds: list | None = None) -> DataFrame:
     """A3 without TU: one row per (tid, item) entry with ``iu``."""
-    util = row_utility(lines, spec)
+    util = row_utility(lines, spec, holds)
     given = spec.tu == "given"
     if spec.duplicates == "sum":
         aggs = [F.sum("util").alias("iu")]
@@ -112,28 +114,42 @@ def uo_entries(lines: DataFrame, spec: MineSpec) -> DataFrame:
     return util.select(*cols)
 
 
-def uo_list(lines: DataFrame, spec: MineSpec, clean: bool = True) -> DataFrame:
+def uo_list(lines: DataFrame, spec: MineSpec, clean: bool = True, holds: list | None = None) -> DataFrame:
     """The UO-list: (tid, item, iu, tu, uo, n_items), TU > 0 only.
 
-    ``n_items`` is the number of entries of the transaction before any
-    after-TU exclusion; it sizes the salted pair join.
+    ``item`` is text (item order is string order); ``tid`` keeps its source
+    type.  ``n_items`` is the number of entries of the transaction before any
+    after-TU exclusion; it sizes the pair-join grid.
+
+    With summed duplicates each (tid, item) is one entry, so a transaction has
+    at most one row per distinct item: TU and ``n_items`` are a window over
+    tid on the entries, with no extra aggregate and join.  With kept
+    duplicates a transaction's entries are its raw lines (unbounded), so TU
+    is a partially aggregated ``groupBy(tid)`` joined back on tid, which AQE
+    can split when one transaction is hot.
     """
     if clean:
         lines = clean_lines(lines)
-    if spec.tu == "given" and "tu" not in lines.columns:
+    given = spec.tu == "given"
+    if given and "tu" not in lines.columns:
         raise ValueError('tu="given" needs a "tu" column')
     if spec.exclude and spec.exclude_when == "before_tu":
         lines = exclude_items(lines, spec.exclude)
-    entries = uo_entries(lines, spec)
-    per_tid = transaction_utility(entries, given=spec.tu == "given")
+    entries = uo_entries(lines, spec, holds)
+    if spec.duplicates == "sum":
+        w = Window.partitionBy("tid")
+        tu = F.max("tu").over(w) if given else F.sum("iu").over(w)
+        uo = entries.select("tid", "item", "iu", tu.alias("tu"), F.count(F.lit(1)).over(w).alias("n_items"))
+    else:
+        per_tid = transaction_utility(entries, given=given)
+        base = entries.drop("tu") if given else entries
+        uo = base.join(per_tid, on="tid", how="inner")
     keep = F.col("tu") > 0
     if spec.min_tu is not None:
         keep = keep & (F.col("tu") >= F.lit(float(spec.min_tu)))
-    per_tid = per_tid.where(keep)
-    base = entries.drop("tu") if "tu" in entries.columns else entries
-    uo = base.join(per_tid, on="tid", how="inner").select(
+    uo = uo.where(keep).select(
         "tid",
-        "item",
+        F.col("item").cast("string").alias("item"),
         "iu",
         "tu",
         (F.col("iu") / F.col("tu")).alias("uo"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,10 +22,14 @@ class MineResult:
     singles: DataFrame
     pairs: DataFrame
     candidates: DataFrame
+    holds: list = field(default_factory=list)
 
     def release(self) -> None:
-        """Drop the held UO-list (scope edge of P1)."""
+        """Drop the held UO-list and the held small sides (scope edge of P1)."""
         self.uo.unpersist()
+        for df in self.holds:
+            df.unpersist()
+        self.holds.clear()
 
     def combined(self) -> DataFrame:
         """K4: size-1 then size-2 results in one frame."""
@@ -44,15 +48,15 @@ class MineResult:
         return one.unionByName(two)
 
 
-def candidates(uo: DataFrame, all_singles: DataFrame, spec: MineSpec) -> DataFrame:
+def candidates(uo: DataFrame, all_singles: DataFrame, spec: MineSpec, holds: list | None = None) -> DataFrame:
     """Entries allowed into the pair step under ``spec.prune``."""
     if spec.prune == "none":
         return uo
     if spec.prune == "winners":
         winners = P.keep_rule(all_singles, spec.min_util, spec.min_uo_single)
-        return P.gate_by_winners(uo, winners, spec.broadcast_max_rows)
+        return P.gate_by_winners(uo, winners, spec.broadcast_max_rows, holds)
     kept = P.exact_candidates(uo, spec.min_util, spec.pair_uo)
-    return P.gate_by_winners(uo, kept, spec.broadcast_max_rows)
+    return P.gate_by_winners(uo, kept, spec.broadcast_max_rows, holds)
 
 
 def mine(lines: DataFrame, spec: MineSpec, clean: bool = True) -> MineResult:
@@ -62,12 +66,13 @@ def mine(lines: DataFrame, spec: MineSpec, clean: bool = True) -> MineResult:
     unit_price [, tu, seq]).  The UO-list is built once and held (``spec.reuse``)
     because the size-1 step, the gate and the pair step all read it.
     """
-    uo = keep(uo_list(lines, spec, clean=clean), spec.reuse)
+    holds: list = []
+    uo = keep(uo_list(lines, spec, clean=clean, holds=holds), spec.reuse)
     all_singles = P.singles(uo)
     singles = P.keep_rule(all_singles, spec.min_util, spec.min_uo_single)
-    cand = candidates(uo, all_singles, spec)
+    cand = candidates(uo, all_singles, spec, holds)
     pairs = P.keep_rule(P.pairs(cand, spec.split_items), spec.min_util, spec.pair_uo)
-    return MineResult(spec=spec, uo=uo, singles=singles, pairs=pairs, candidates=cand)
+    return MineResult(spec=spec, uo=uo, singles=singles, pairs=pairs, candidates=cand, holds=holds)
 
 
 def mine_many(runs) -> DataFrame:

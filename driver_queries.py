@@ -62,7 +62,7 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def lines_l(spark, d) -> DataFrame:
+def lines_l(spark, d, string_keys: bool = False) -> DataFrame:
     """L: lineitem; tid = order, item = part, price = extendedprice / quantity."""
     li = _t(spark, d, "lineitem")
     return from_table(
@@ -72,10 +72,11 @@ def lines_l(spark, d) -> DataFrame:
         quantity="l_quantity",
         unit_price=F.try_divide("l_extendedprice", "l_quantity"),
         seq=F.struct("l_orderkey", "l_linenumber"),
+        string_keys=string_keys,
     )
 
 
-def _lines_part(spark, d, attr: str) -> DataFrame:
+def _lines_part(spark, d, attr: str, string_keys: bool = False) -> DataFrame:
     li = _t(spark, d, "lineitem")
     part = _t(spark, d, "part").select("p_partkey", attr)
     j = li.join(part, li.l_partkey == part.p_partkey, "inner")
@@ -86,6 +87,7 @@ def _lines_part(spark, d, attr: str) -> DataFrame:
         quantity="l_quantity",
         unit_price=F.try_divide("l_extendedprice", "l_quantity"),
         seq=F.struct("l_orderkey", "l_linenumber"),
+        string_keys=string_keys,
     )
 
 
@@ -94,9 +96,9 @@ def lines_b(spark, d) -> DataFrame:
     return _lines_part(spark, d, "p_brand")
 
 
-def lines_n(spark, d) -> DataFrame:
+def lines_n(spark, d, string_keys: bool = False) -> DataFrame:
     """N: item = part name (64 values)."""
-    return _lines_part(spark, d, "p_name")
+    return _lines_part(spark, d, "p_name", string_keys)
 
 
 def lines_v(spark, d) -> DataFrame:
@@ -151,7 +153,16 @@ def _pairs_out(df):
 
 
 def _uo_out(df):
-    return _r(df.select("tid", "item", "iu", "tu", "uo", "n_items"), ["iu", "tu"], ["uo"])
+    return _r(df.select(_s("tid"), "item", "iu", "tu", "uo", "n_items"), ["iu", "tu"], ["uo"])
+
+
+def _s(c: str):
+    """Keys as text in outputs (the oracle's VARCHAR keys)."""
+    return F.col(c).cast("string").alias(c)
+
+
+def _line_out(df):
+    return df.select(_s("tid"), _s("item"), "quantity", "unit_price")
 
 
 LINE_COLS = ["tid", "item", "quantity", "unit_price"]
@@ -178,7 +189,7 @@ def query(name, sql=None):
 
 @query("table_baskets_clean", "WITH " + O.lines_ctes(O.LINES_L) + SQL_LINE_COLS)
 def q_table_baskets_clean(spark, d):
-    return clean_lines(lines_l(spark, d)).select(*LINE_COLS)
+    return _line_out(clean_lines(lines_l(spark, d)))
 
 
 @query(
@@ -186,7 +197,7 @@ def q_table_baskets_clean(spark, d):
     "WITH " + O.lines_ctes(O.LINES_B) + SQL_LINE_COLS + f" WHERE item NOT IN ({O._in_list(BRAND_DENYLIST)})",
 )
 def q_denylist_filter(spark, d):
-    return exclude_items(clean_lines(lines_b(spark, d)), BRAND_DENYLIST).select(*LINE_COLS)
+    return _line_out(exclude_items(clean_lines(lines_b(spark, d)), BRAND_DENYLIST))
 
 
 @query(
@@ -209,8 +220,8 @@ def q_allowlist_semi(spark, d):
     + SQL_LINE_COLS + " WHERE regexp_matches(item, '^[0-9]+$')",
 )
 def q_numeric_token_filter(spark, d):
-    both = lines_n(spark, d).unionByName(lines_l(spark, d))
-    return keep_numeric_items(clean_lines(both)).select(*LINE_COLS)
+    both = lines_n(spark, d, string_keys=True).unionByName(lines_l(spark, d, string_keys=True))
+    return _line_out(keep_numeric_items(clean_lines(both)))
 
 
 @query(
@@ -219,7 +230,7 @@ def q_numeric_token_filter(spark, d):
     + "SELECT item, round(avg(unit_price), 6) AS unit_profit FROM lines GROUP BY item",
 )
 def q_unit_profit_mean(spark, d):
-    return _r(mean_prices(clean_lines(lines_l(spark, d))), uo=["unit_profit"])
+    return _r(mean_prices(clean_lines(lines_l(spark, d))).select(_s("item"), "unit_profit"), uo=["unit_profit"])
 
 
 @query(
@@ -229,14 +240,15 @@ def q_unit_profit_mean(spark, d):
     "count(*) AS n_lines FROM lines GROUP BY item",
 )
 def q_item_catalogue(spark, d):
-    return _r(item_catalogue(clean_lines(lines_l(spark, d)), "first_seen"), uo=["unit_profit"])
+    cat = item_catalogue(clean_lines(lines_l(spark, d)), "first_seen")
+    return _r(cat.select(_s("item"), "unit_profit", "n_lines"), uo=["unit_profit"])
 
 
 def _row_util_q(price):
     def fn(spark, d):
         spec = MineSpec(0, 0, price=price)
         u = row_utility(clean_lines(lines_l(spark, d)), spec)
-        return _r(u.select("tid", "item", "util"), uo=["util"], places_uo=4)
+        return _r(u.select(_s("tid"), _s("item"), "util"), uo=["util"], places_uo=4)
 
     sql = _mine_sql(O.LINES_L, "SELECT tid, item, round(util, 4) AS util FROM util", min_util=0, min_uo_single=0, price=price)
     return fn, sql
@@ -260,7 +272,7 @@ def q_transaction_utility(spark, d):
     spec = MineSpec(0, 0)
     e = uo_entries(clean_lines(lines_l(spark, d)), spec)
     t = transaction_utility(e).where(F.col("tu") > 0)
-    return _r(t.select("tid", "tu", "n_items"), ["tu"])
+    return _r(t.select(_s("tid"), "tu", "n_items"), ["tu"])
 
 
 @query(
@@ -269,7 +281,7 @@ def q_transaction_utility(spark, d):
 )
 def q_tu_filtered(spark, d):
     uo = uo_list(lines_l(spark, d), MineSpec(0, 0, min_tu=MIN_TU))
-    return _r(uo.select("tid", "tu").distinct(), ["tu"])
+    return _r(uo.select(_s("tid"), "tu").distinct(), ["tu"])
 
 
 @query(
@@ -280,7 +292,7 @@ def q_tu_filtered(spark, d):
 )
 def q_merge_duplicates(spark, d):
     m = merge_duplicates(clean_lines(lines_l(spark, d)))
-    return _r(m, uo=["unit_price"])
+    return _r(m.select(_s("tid"), _s("item"), "quantity", "unit_price", "n_lines"), uo=["unit_price"])
 
 
 @query(
@@ -290,7 +302,7 @@ def q_merge_duplicates(spark, d):
     "SELECT tid, string_agg(item, ' ' ORDER BY item) AS basket FROM d GROUP BY tid",
 )
 def q_basket_lists(spark, d):
-    return basket_lists(clean_lines(lines_l(spark, d))).select("tid", "basket")
+    return basket_lists(clean_lines(lines_l(spark, d))).select(_s("tid"), "basket")
 
 
 @query("uo_list", _mine_sql(O.LINES_L, SQL_UO_OUT, min_util=0, min_uo_single=0))
@@ -303,7 +315,7 @@ def q_uo_list(spark, d):
     _mine_sql(O.LINES_L, SQL_UO_OUT + f" ORDER BY tid, item LIMIT {TOP_K}", min_util=0, min_uo_single=0),
 )
 def q_uo_list_head(spark, d):
-    return _uo_out(uo_head(uo_list(lines_l(spark, d), MineSpec(0, 0)), TOP_K))
+    return _uo_out(uo_head(uo_list(lines_l(spark, d, string_keys=True), MineSpec(0, 0)), TOP_K))
 
 
 @query("tu_given_uo_list", _mine_sql(O.LINES_G, SQL_UO_OUT, min_util=0, min_uo_single=0, tu="given"))
@@ -427,7 +439,7 @@ def q_mine_member_day_keep(spark, d):
     + SQL_LINE_COLS + f" WHERE tid IN (SELECT DISTINCT tid FROM lines ORDER BY tid LIMIT {SAMPLE_N})",
 )
 def q_sample_first_n(spark, d):
-    return sample_first(clean_lines(lines_l(spark, d)), SAMPLE_N).select(*LINE_COLS)
+    return _line_out(sample_first(clean_lines(lines_l(spark, d, string_keys=True)), SAMPLE_N))
 
 
 @query("item_support", _mine_sql(O.LINES_B, "SELECT item, count(*) AS support FROM uo GROUP BY item", min_util=0, min_uo_single=0))
@@ -445,7 +457,7 @@ def q_item_support(spark, d):
     ),
 )
 def q_pair_cooccurrence(spark, d):
-    return pair_cooccurrence(uo_list(lines_b(spark, d), MineSpec(0, 0)))
+    return pair_cooccurrence(uo_list(lines_b(spark, d), MineSpec(0, 0))).select("item1", "item2", _s("tid"))
 
 
 @query("distinct_transactions", _mine_sql(O.LINES_L, "SELECT count(DISTINCT tid) AS n_transactions FROM uo", min_util=0, min_uo_single=0))
@@ -670,7 +682,7 @@ def q_mine_many(spark, d):
 )
 def q_remaining_occupancy(spark, d):
     r = remaining_occupancy(uo_list(lines_l(spark, d), MineSpec(0, 0)))
-    return _r(r.select("tid", "item", "uo", "ruo"), uo=["uo", "ruo"])
+    return _r(r.select(_s("tid"), "item", "uo", "ruo"), uo=["uo", "ruo"])
 
 
 @query("patterns_only_left", _two_runs_sql("SELECT item1, item2 FROM ra EXCEPT SELECT item1, item2 FROM rb"))
