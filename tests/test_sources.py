@@ -137,10 +137,13 @@ def test_from_table_and_sample_first(spark):
         [(10, 1, 2.0, 4.0), (2, 1, 1.0, 5.0), (3, 7, 1.0, 1.0), (10, 2, 1.0, 3.0)],
         "o bigint, p bigint, q double, v double",
     )
-    lines = from_table(src, "o", "p", "q", F.col("v") / F.col("q"))
+    lines = from_table(src, "o", "p", "q", F.col("v") / F.col("q"), string_keys=True)
     assert lines.columns == ["tid", "item", "quantity", "unit_price"]
     first = sample_first(lines, 2)  # string order: "10" < "2" < "3"
     assert sorted({r.tid for r in first.collect()}) == ["10", "2"]
+    # Source key types are kept by default: the order is then numeric.
+    native = from_table(src, "o", "p", "q", F.col("v") / F.col("q"))
+    assert sorted({r.tid for r in sample_first(native, 2).collect()}) == [2, 3]
 
 
 def test_first_lines(spark, tmp_dir):
