@@ -8,9 +8,10 @@ Pair generation is the expensive step: a transaction with ``n`` entries yields
 for every ``b``; on the right to the cells ``(a, h)`` for every ``a``.  Two
 entries i, j meet in exactly one cell, ``(h(i), h(j))``, so every pair is
 produced once, and no cell holds more than about ``split_items**2``
-candidates however large the transaction.  Ordinary transactions have
-``S = 1``: one cell, no replication.  The pair aggregate then runs with
-map-side partial aggregation.
+candidates however large the transaction.  Ordinary transactions (at most
+``split_items`` entries) skip the grid: they join on tid alone, reusing the
+UO-list's tid partitioning with no exchange.  The pair aggregate then runs
+with map-side partial aggregation.
 """
 
 from __future__ import annotations
@@ -42,8 +43,27 @@ def pair_rows(uo: DataFrame, split_items: int = 4096, keep_cells: bool = False)
     """One row per co-occurrence (tid, item1 < item2) with both utilities.
 
     ``uo`` needs tid, item, iu, tu and n_items.  String order on items.
-    ``keep_cells`` keeps the grid cell columns (for inspection).
+
+    Transactions of at most ``split_items`` entries (all of ``n_items``, so a
+    transaction never straddles the two paths) join on tid alone: the
+    UO-list is already hash-partitioned and sorted by tid, so that join needs
+    no exchange at all.  Larger transactions take the grid join on
+    ``(tid, cell_a, cell_b)``.  ``keep_cells`` keeps the cell columns (0, 0 on
+    the local path) for inspection.
     """
+    small = uo.where(F.col("n_items") <= F.lit(split_items))
+    hot = uo.where(F.col("n_items") > F.lit(split_items))
+    local = (
+        small.select("tid", F.col("item").alias("item1"), F.col("iu").alias("iu1"), "tu")
+        .join(small.select("tid", F.col("item").alias("item2"), F.col("iu").alias("iu2")), on="tid", how="inner")
+        .where(F.col("item1") < F.col("item2"))
+    )
+    if keep_cells:
+        local = local.withColumn("cell_a", F.lit(0)).withColumn("cell_b", F.lit(0))
+    return local.unionByName(_grid_pair_rows(hot, split_items, keep_cells))
+
+
+def _grid_pair_rows(uo: DataFrame, split_items: int, keep_cells: bool) -> DataFrame:
     s = salt_count(F.col("n_items"), split_items)
     own = F.pmod(F.xxhash64("item"), s.cast("long")).cast("int")
     every = F.explode(F.sequence(F.lit(0), s - F.lit(1)))

@@ -41,6 +41,22 @@ def test_pair_join_is_keyed_on_tid_and_grid_cell(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "SortMergeJoin" in text
     assert "hashpartitioning(tid" in text and "cell_a" in text and "cell_b" in text
+
+
+def test_ordinary_baskets_pair_without_exchange(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        uo = uo_list(Q.lines_l(spark, SF001), MineSpec(0, 0)).persist()
+        uo.count()
+        text = _formatted(P.pairs(uo))
+        uo.unpersist()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    top = text.split("InMemoryRelation")[0]
+    # Above the cached UO-list: the local tid join has no exchange of its own;
+    # the only exchanges are the grid path's and the pair aggregate's.
+    local_join = [ln for ln in top.splitlines() if "SortMergeJoin" in ln and "cell_a" not in ln]
+    assert local_join
     for bad in ("CartesianProduct", "BroadcastNestedLoopJoin"):
         assert bad not in text
 
