@@ -16,7 +16,7 @@ with map-side partial aggregation.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketry.functions.columns import itemset_label, salt_count
@@ -120,26 +120,25 @@ def exact_bounds(uo: DataFrame) -> DataFrame:
     Any pair (i, j) has total_util <= sum_t (iu + m) and
     avg_uo <= max_t (iu + m) / tu.  Utilities are non-negative after F2.
 
-    ``m`` is the transaction's top utility unless i holds it, then the
-    runner-up.  Both come from aggregates (no window over a possibly hot
-    transaction): the top entry per tid with ``max(struct(iu, item))``, the
-    runner-up from the entries minus the top entry.
+    ``m`` is the transaction's top utility unless i is the only entry holding
+    it, then the largest utility below the top.  Both come from windows over
+    tid on the UO-list, which has one entry per distinct item of a basket and
+    is already partitioned and sorted by tid, so no exchange or sort is added.
     """
-    top = uo.groupBy("tid").agg(F.max(F.struct("iu", "item")).alias("top"))
-    top = top.select("tid", F.col("top.iu").alias("top_iu"), F.col("top.item").alias("top_item"))
-    marked = uo.join(top, on="tid", how="inner")
-    runner = (
-        marked.where(F.col("item") != F.col("top_item"))
-        .groupBy("tid")
-        .agg(F.max("iu").alias("second_iu"))
+    w = Window.partitionBy("tid")
+    iu = F.col("iu")
+    x = uo.select("tid", "item", "iu", "tu", F.max("iu").over(w).alias("top"))
+    x = x.select(
+        "item",
+        "iu",
+        "tu",
+        "top",
+        F.count(F.when(iu == F.col("top"), 1)).over(w).alias("n_top"),
+        F.max(F.when(iu < F.col("top"), iu)).over(w).alias("below"),
     )
-    # Only the top entry of each transaction needs the runner-up.
-    holders = marked.where(F.col("item") == F.col("top_item")).join(runner, on="tid", how="left")
-    others = marked.where(F.col("item") != F.col("top_item")).withColumn("m", F.col("top_iu"))
-    holders = holders.withColumn("m", F.coalesce(F.col("second_iu"), F.lit(None).cast("double")))
-    rows = others.select("item", "iu", "tu", "m").unionByName(holders.select("item", "iu", "tu", "m"))
+    m = F.when((iu < F.col("top")) | (F.col("n_top") >= 2), F.col("top")).otherwise(F.col("below"))
     # A one-entry transaction has no partner (m is null) and bounds nothing.
-    rows = rows.where(F.col("m").isNotNull())
+    rows = x.select("item", "iu", "tu", m.alias("m")).where(F.col("m").isNotNull())
     return rows.groupBy("item").agg(
         F.sum(F.col("iu") + F.col("m")).alias("util_bound"),
         F.max((F.col("iu") + F.col("m")) / F.col("tu")).alias("uo_bound"),

@@ -159,3 +159,31 @@ def test_jaccard_identity_and_empty(rnd_df):
     empty = p.where(F.lit(False))
     row = compare(empty, empty).first()
     assert (row.n_any, row.jaccard) == (0, 0.0)
+
+
+def test_exact_bounds_match_brute_force_with_ties(spark):
+    rnd = random.Random(11)
+    rows = []
+    for t in range(30):
+        items = rnd.sample([str(i) for i in range(8)], rnd.randint(1, 6))
+        for it in items:
+            rows.append((f"T{t}", it, 1.0, float(rnd.choice([2, 2, 3, 5]))))  # many ties
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {r.item: (r.util_bound, r.uo_bound) for r in P.exact_bounds(uo_list(df, MineSpec(0, 0))).collect()}
+    baskets = {}
+    for t, i, q, p in rows:
+        baskets.setdefault(t, {})[i] = q * p
+    want = {}
+    for t, b in baskets.items():
+        tu = sum(b.values())
+        for i, u in b.items():
+            others = [v for j, v in b.items() if j != i]
+            if not others:
+                continue
+            m = max(others)
+            s, o = want.get(i, (0.0, 0.0))
+            want[i] = (s + u + m, max(o, (u + m) / tu))
+    assert got.keys() == want.keys()
+    for k in want:
+        assert got[k][0] == pytest.approx(want[k][0])
+        assert got[k][1] == pytest.approx(want[k][1])
