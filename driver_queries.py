@@ -706,3 +706,60 @@ def q_dataset_profile(spark, d):
     p = profile(uo_list(lines_l(spark, d), MineSpec(0, 0)))
     p = _r(p, uo=["mean_basket"])
     return _r(p, uo=["tu_mean", "tu_stddev", "tu_min", "tu_max"], places_uo=4)
+
+
+# ---------------------------------------------------------------- skewed inputs
+# Both read the whole lineitem table and remap keys so that one key holds a
+# large share of all rows: the plans' skew handling is then checked against
+# the oracle on real data, not on a fixture.
+
+HOT_T = dict(min_util=1500000.005, min_uo_single=0.20013, min_uo_pair=0.00140013)
+HOT_SPLIT = 256
+
+_HOT_BASKET_SQL = """
+SELECT CAST(CASE WHEN l_orderkey % 3 = 0 THEN 0 ELSE l_orderkey END AS VARCHAR) AS tid,
+       CAST(l_partkey AS VARCHAR) AS item, l_quantity AS quantity, l_extendedprice / l_quantity AS unit_price,
+       l_orderkey AS seq1, l_linenumber AS seq2
+FROM lineitem
+"""
+
+_HOT_ITEM_SQL = """
+SELECT CAST(l_orderkey AS VARCHAR) AS tid,
+       CAST(CASE WHEN l_linenumber = 1 THEN 0 ELSE l_partkey END AS VARCHAR) AS item,
+       l_quantity AS quantity, l_extendedprice / l_quantity AS unit_price,
+       l_orderkey AS seq1, l_linenumber AS seq2
+FROM lineitem
+"""
+
+
+def lines_hot_basket(spark, d) -> DataFrame:
+    """L with every third order folded into transaction 0 (a third of all rows)."""
+    li = _t(spark, d, "lineitem")
+    tid = F.when(F.col("l_orderkey") % 3 == 0, F.lit(0).cast("long")).otherwise(F.col("l_orderkey"))
+    return from_table(li, tid=tid, item="l_partkey", quantity="l_quantity",
+                      unit_price=F.try_divide("l_extendedprice", "l_quantity"))
+
+
+def lines_hot_item(spark, d) -> DataFrame:
+    """L with the first line of every order re-labelled as item 0."""
+    li = _t(spark, d, "lineitem")
+    item = F.when(F.col("l_linenumber") == 1, F.lit(0).cast("long")).otherwise(F.col("l_partkey"))
+    return from_table(li, tid="l_orderkey", item=item, quantity="l_quantity",
+                      unit_price=F.try_divide("l_extendedprice", "l_quantity"))
+
+
+@query("hot_basket_pairs", _mine_sql(_HOT_BASKET_SQL, O.PAIRS_OUT_SQL, prune="none", **HOT_T))
+def q_hot_basket_pairs(spark, d):
+    spec = MineSpec(split_items=HOT_SPLIT, **HOT_T)
+    return _pairs_out(mine(lines_hot_basket(spark, d), spec).pairs)
+
+
+@query("hot_basket_singles", _mine_sql(_HOT_BASKET_SQL, O.SINGLES_OUT_SQL, prune="none", **HOT_T))
+def q_hot_basket_singles(spark, d):
+    spec = MineSpec(split_items=HOT_SPLIT, **HOT_T)
+    return _singles_out(mine(lines_hot_basket(spark, d), spec).singles)
+
+
+@query("hot_item_pairs", _mine_sql(_HOT_ITEM_SQL, O.PAIRS_OUT_SQL, prune="none", **L_T))
+def q_hot_item_pairs(spark, d):
+    return _pairs_out(mine(lines_hot_item(spark, d), MineSpec(**L_T)).pairs)
