@@ -763,3 +763,19 @@ def q_hot_basket_singles(spark, d):
 @query("hot_item_pairs", _mine_sql(_HOT_ITEM_SQL, O.PAIRS_OUT_SQL, prune="none", **L_T))
 def q_hot_item_pairs(spark, d):
     return _pairs_out(mine(lines_hot_item(spark, d), MineSpec(**L_T)).pairs)
+
+
+# Python-reader parity on lineitem (M5): mean price, denylist removed before
+# TU, one occupancy threshold for both sizes, pairs gated by size-1 winners.
+PARITY_DENYLIST = ("1", "2", "3", "5", "8", "13")
+PARITY_T = dict(min_util=100000.005, min_uo_single=0.30013, min_uo_pair=0.30013)
+
+
+@query(
+    "pairs_single_threshold_parity",
+    _mine_sql(O.LINES_L, O.PAIRS_OUT_SQL, price="mean", exclude=PARITY_DENYLIST, exclude_when="before_tu",
+              prune="winners", **PARITY_T),
+)
+def q_pairs_single_threshold_parity(spark, d):
+    spec = MineSpec(price="mean", exclude=PARITY_DENYLIST, exclude_when="before_tu", prune="winners", **PARITY_T)
+    return _pairs_out(mine(lines_l(spark, d), spec).pairs)

@@ -187,3 +187,13 @@ def test_exact_bounds_match_brute_force_with_ties(spark):
     for k in want:
         assert got[k][0] == pytest.approx(want[k][0])
         assert got[k][1] == pytest.approx(want[k][1])
+
+
+@pytest.mark.parametrize("reuse", ["persist", "checkpoint", "none"])
+def test_reuse_modes_agree(rnd_df, reuse):
+    base = mine(rnd_df, MineSpec(10.5, 0.2, 0.4, prune="winners"))
+    got = mine(rnd_df, MineSpec(10.5, 0.2, 0.4, prune="winners", reuse=reuse))
+    key = lambda r: (r.item1, r.item2, round(r.total_util, 9), round(r.avg_uo, 12), r.support)
+    assert sorted(map(key, got.pairs.collect())) == sorted(map(key, base.pairs.collect()))
+    got.release()
+    base.release()
