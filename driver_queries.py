@@ -419,7 +419,7 @@ def _member_day_lines(spark, d, **kw):
 
 _G_LINES = (
     "SELECT CAST(o_custkey AS VARCHAR) || '_' || CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS tid, "
-    "trim(o_orderpriority) AS item, 1.0 AS quantity, 1.0 AS unit_price, 0 AS seq1, 0 AS seq2 FROM orders"
+    "trim(o_orderpriority) AS item, CAST(1.0 AS DOUBLE) AS quantity, CAST(1.0 AS DOUBLE) AS unit_price, 0 AS seq1, 0 AS seq2 FROM orders"
 )
 
 
@@ -695,7 +695,7 @@ def q_patterns_only_left(spark, d):
     "dataset_profile",
     _mine_sql(
         O.LINES_L,
-        "SELECT count(*) AS n_transactions, sum(n_items) AS n_entries, round(avg(n_items), 6) AS mean_basket, "
+        "SELECT count(*) AS n_transactions, CAST(sum(n_items) AS BIGINT) AS n_entries, round(avg(n_items), 6) AS mean_basket, "
         "round(avg(tu), 4) AS tu_mean, round(stddev_samp(tu), 4) AS tu_stddev, round(min(tu), 4) AS tu_min, "
         "round(max(tu), 4) AS tu_max, (SELECT count(DISTINCT item) FROM uo) AS n_items FROM tt",
         min_util=0,

@@ -32,7 +32,7 @@ FROM lineitem JOIN part ON l_partkey = p_partkey
 
 LINES_V = """
 SELECT CAST(user_id AS VARCHAR) AS tid, event_type AS item,
-       1.0 AS quantity, value AS unit_price,
+       CAST(1.0 AS DOUBLE) AS quantity, value AS unit_price,
        event_id AS seq1, 0 AS seq2
 FROM events
 """

@@ -10,6 +10,7 @@ import __spark_entry__ as E
 from tests.conftest import SF001
 
 TABLES = ("part", "orders", "lineitem", "events")
+TYPES = {"string": "VARCHAR", "double": "DOUBLE", "bigint": "BIGINT", "int": "INTEGER", "boolean": "BOOLEAN"}
 
 
 @pytest.fixture(scope="module")
@@ -35,6 +36,10 @@ def test_query_matches_oracle(spark, con, name):
     rel = con.sql(sqls[name])
     orows = rel.fetchall()
     assert sorted(df.columns) == sorted(rel.columns)
+    # Column types agree too (Spark simple type -> DuckDB type name).
+    spark_types = {f.name: TYPES.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in df.schema}
+    duck_types = dict(zip(rel.columns, map(str, rel.types)))
+    assert spark_types == duck_types
     assert len(rows) == len(orows)
     so = sorted(range(len(df.columns)), key=lambda i: df.columns[i])
     oo = sorted(range(len(rel.columns)), key=lambda i: rel.columns[i])
