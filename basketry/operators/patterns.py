@@ -1,5 +1,11 @@
 """Size-1 and size-2 pattern measures: A4, A5, A7, J3, J4, F7, F8, D9, §4.3.
 
+Items keep their source type inside the plan: pairs are generated with
+``item1 < item2`` in the items' own order and aggregated on those keys (two
+bigints for integer item ids, not two strings).  The measures are symmetric,
+so only the output labels need string order: ``orient`` turns each key pair
+into ``(least, greatest)`` of the text forms at the end.
+
 Pair generation is the expensive step: a transaction with ``n`` entries yields
 ``n(n-1)/2`` pair rows.  The self-join is therefore keyed on a grid cell
 ``(tid, a, b)``: a transaction with more than ``split_items`` entries gets
@@ -23,8 +29,23 @@ from basketry.functions.columns import itemset_label, salt_count
 from basketry.operators.clean import keep_items
 
 
+def as_text(df: DataFrame, column: str = "item") -> DataFrame:
+    """The item column as text (output form)."""
+    return df.withColumn(column, F.col(column).cast("string"))
+
+
+def orient(df: DataFrame) -> DataFrame:
+    """Pair keys as text in string order: item1 = least, item2 = greatest."""
+    s1 = F.col("item1").cast("string")
+    s2 = F.col("item2").cast("string")
+    return df.withColumn("_s1", s1).withColumn("_s2", s2).withColumn(
+        "item1", F.least("_s1", "_s2")
+    ).withColumn("item2", F.greatest("_s1", "_s2")).drop("_s1", "_s2")
+
+
 def singles(uo: DataFrame) -> DataFrame:
-    """A4: (item, total_util, avg_uo, support) over all entries of each item."""
+    """A4: (item, total_util, avg_uo, support) over all entries of each item
+    (item in its source type; ``as_text`` for output)."""
     return uo.groupBy("item").agg(
         F.sum("iu").alias("total_util"),
         F.avg("uo").alias("avg_uo"),
@@ -42,7 +63,8 @@ def keep_rule(df: DataFrame, min_util: float, min_uo: float) -> DataFrame:
 def pair_rows(uo: DataFrame, split_items: int = 4096, keep_cells: bool = False) -> DataFrame:
     """One row per co-occurrence (tid, item1 < item2) with both utilities.
 
-    ``uo`` needs tid, item, iu, tu and n_items.  String order on items.
+    ``uo`` needs tid, item, iu, tu and n_items.  ``item1 < item2`` in the
+    items' own type order; ``orient`` gives the string-ordered labels.
 
     Transactions of at most ``split_items`` entries (all of ``n_items``, so a
     transaction never straddles the two paths) join on tid alone: the
@@ -97,7 +119,9 @@ def pairs(cand: DataFrame, split_items: int = 4096) -> DataFrame:
         (F.sum(both / F.col("tu")) / F.count(F.lit(1))).alias("avg_uo"),
         F.count(F.lit(1)).alias("support"),
     )
-    return agg.withColumn("itemset", itemset_label("item1", "item2"))
+    return orient(agg).withColumn("itemset", itemset_label("item1", "item2")).select(
+        "item1", "item2", "total_util", "avg_uo", "support", "itemset"
+    )
 
 
 def pair_row_count(uo: DataFrame) -> DataFrame:

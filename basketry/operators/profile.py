@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketry.operators.patterns import pair_rows
+from basketry.operators.patterns import orient, pair_rows
 
 
 def distinct_transactions(uo: DataFrame) -> DataFrame:
@@ -54,7 +54,8 @@ def basket_lists(lines: DataFrame, sep: str = " ") -> DataFrame:
 def item_support(uo: DataFrame) -> DataFrame:
     """Transactions (entries when duplicates are kept) per item,
     in item order."""
-    return uo.groupBy("item").agg(F.count(F.lit(1)).alias("support")).orderBy("item")
+    out = uo.groupBy("item").agg(F.count(F.lit(1)).alias("support"))
+    return out.withColumn("item", F.col("item").cast("string")).orderBy("item")
 
 
 def pair_cooccurrence(uo: DataFrame, split_items: int = 4096) -> DataFrame:
@@ -66,7 +67,7 @@ def pair_cooccurrence(uo: DataFrame, split_items: int = 4096) -> DataFrame:
     pair for counts (``support``) without materialising any list.
     """
     rows = pair_rows(uo.select("tid", "item", "iu", "tu", "n_items"), split_items)
-    return rows.select("item1", "item2", "tid")
+    return orient(rows.select("item1", "item2", "tid"))
 
 
 def profile(uo: DataFrame) -> DataFrame:

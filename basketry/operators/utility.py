@@ -13,7 +13,7 @@ a price catalogue):
 
 A window straight over the raw lines would save step 1's shuffle but would
 put all lines of a hot transaction into one task.  Keys keep their source
-type through both shuffles; the item becomes text once per entry.
+type through every shuffle; items become text only in outputs.
 """
 
 from __future__ import annotations
@@ -117,8 +117,9 @@ def uo_entries(lines: DataFrame, spec: MineSpec, holds: list | None = None) -> D
 def uo_list(lines: DataFrame, spec: MineSpec, clean: bool = True, holds: list | None = None) -> DataFrame:
     """The UO-list: (tid, item, iu, tu, uo, n_items), TU > 0 only.
 
-    ``item`` is text (item order is string order); ``tid`` keeps its source
-    type.  ``n_items`` is the number of entries of the transaction before any
+    ``tid`` and ``item`` keep their source types (a bigint key shuffles and
+    groups as 8 bytes); the text form is produced only in outputs.
+    ``n_items`` is the number of entries of the transaction before any
     after-TU exclusion; it sizes the pair-join grid.
 
     With summed duplicates each (tid, item) is one entry, so a transaction has
@@ -149,7 +150,7 @@ def uo_list(lines: DataFrame, spec: MineSpec, clean: bool = True, holds: list |
         keep = keep & (F.col("tu") >= F.lit(float(spec.min_tu)))
     uo = uo.where(keep).select(
         "tid",
-        F.col("item").cast("string").alias("item"),
+        "item",
         "iu",
         "tu",
         (F.col("iu") / F.col("tu")).alias("uo"),
@@ -168,7 +169,7 @@ def remaining_occupancy(uo: DataFrame) -> DataFrame:
     """
     w = (
         Window.partitionBy("tid")
-        .orderBy("item")
+        .orderBy(F.col("item").cast("string"))
         .rowsBetween(1, Window.unboundedFollowing)
     )
     return uo.withColumn("ruo", F.coalesce(F.sum("uo").over(w), F.lit(0.0)))

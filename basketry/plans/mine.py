@@ -69,7 +69,7 @@ def mine(lines: DataFrame, spec: MineSpec, clean: bool = True) -> MineResult:
     holds: list = []
     uo = keep(uo_list(lines, spec, clean=clean, holds=holds), spec.reuse)
     all_singles = P.singles(uo)
-    singles = P.keep_rule(all_singles, spec.min_util, spec.min_uo_single)
+    singles = P.as_text(P.keep_rule(all_singles, spec.min_util, spec.min_uo_single))
     cand = candidates(uo, all_singles, spec, holds)
     pairs = P.keep_rule(P.pairs(cand, spec.split_items), spec.min_util, spec.pair_uo)
     return MineResult(spec=spec, uo=uo, singles=singles, pairs=pairs, candidates=cand, holds=holds)

@@ -153,7 +153,7 @@ def _pairs_out(df):
 
 
 def _uo_out(df):
-    return _r(df.select(_s("tid"), "item", "iu", "tu", "uo", "n_items"), ["iu", "tu"], ["uo"])
+    return _r(df.select(_s("tid"), _s("item"), "iu", "tu", "uo", "n_items"), ["iu", "tu"], ["uo"])
 
 
 def _s(c: str):
@@ -682,7 +682,7 @@ def q_mine_many(spark, d):
 )
 def q_remaining_occupancy(spark, d):
     r = remaining_occupancy(uo_list(lines_l(spark, d), MineSpec(0, 0)))
-    return _r(r.select(_s("tid"), "item", "uo", "ruo"), uo=["uo", "ruo"])
+    return _r(r.select(_s("tid"), _s("item"), "uo", "ruo"), uo=["uo", "ruo"])
 
 
 @query("patterns_only_left", _two_runs_sql("SELECT item1, item2 FROM ra EXCEPT SELECT item1, item2 FROM rb"))
