@@ -89,3 +89,27 @@ def test_duplicates_keep_counts_each_line(example):
     # pair B,C counts T3 twice (m*n) plus T1.
     assert cells["C"][2] == 3
     assert cells["B,C"][2] == 3
+
+
+def test_denylist_and_allowlist_frames(spark, example):
+    from basketry.operators.clean import exclude_items, keep_items
+
+    deny = spark.createDataFrame([("POST",), ("C",)], "code string")
+    kept = {r.item for r in exclude_items(example, deny).collect()}
+    assert kept == {"A", "B"}
+    allow = {r.item for r in keep_items(example, deny).collect()}
+    assert allow == {"POST", "C"}
+    # literal lists on a numeric item column compare as text (no ANSI cast error)
+    nums = spark.createDataFrame([(1, 7), (1, 8)], "tid bigint, item bigint")
+    assert [r.item for r in exclude_items(nums, ["7", "POST"]).collect()] == [8]
+
+
+def test_named_pipelines(example):
+    from basketry import huomil, huopm
+
+    m = huomil(19.5, 0.2, 0.5)
+    assert (m.price, m.prune, m.pair_uo) == ("mean", "winners", 0.5)
+    g = huopm(19.5, 0.35)
+    u = huopm(19.5, 0.35, gated=False)
+    assert (g.prune, u.prune, g.price) == ("winners", "none", "actual")
+    assert mine(example, u).pairs.count() >= mine(example, g).pairs.count()
