@@ -91,7 +91,9 @@ def parse_utility_lines(
                          ``floor`` lifts utilities below it (first-seen
                          parity: 0.01).
     utilities="as_items" the utility numbers are appended to the items, as the
-                         Spark scripts do (quantity 1, unit_price 1).
+                         Spark scripts do (quantity 1, unit_price 1).  As
+                         there, a line without a third field yields nothing
+                         (the concatenation with a missing field is null).
 
     Lines with fewer than two fields are skipped (F9); a non-numeric TU is
     null and the cleaning step drops it.  Positions are counted before the
@@ -102,12 +104,13 @@ def parse_utility_lines(
     df = df.where(F.size(parts) >= 2).select(
         "tid",
         "line_no",
+        F.size(parts).alias("n_fields"),
         _tokens(parts.getItem(0)).alias("items"),
         F.trim(parts.getItem(1)).try_cast("double").alias("tu"),
         _tokens(F.coalesce(F.get(parts, 2), F.lit(""))).alias("utils"),
     )
     if utilities == "as_items":
-        df = df.select(
+        df = df.where(F.col("n_fields") >= 3).select(
             "tid",
             "line_no",
             "tu",

@@ -73,9 +73,10 @@ def test_utility_lines_zip(spark, tmp_dir):
 
 
 def test_utility_lines_as_items(spark, tmp_dir):
-    p = _write(tmp_dir, "m.txt", "3 5 1:14:6 5 3\n")
+    p = _write(tmp_dir, "m.txt", "3 5 1:14:6 5 3\n4 8:9\n7:2:\n")
     df = load_baskets(spark, "mushroom", p, utilities="as_items")
-    assert sorted(r.item for r in df.collect()) == ["1", "3", "3", "5", "5", "6"]
+    # "4 8:9" has no third field and yields nothing; "7:2:" keeps item 7.
+    assert sorted(r.item for r in df.collect()) == ["1", "3", "3", "5", "5", "6", "7"]
 
 
 def test_utility_lines_first_seen_parity(spark, tmp_dir):
