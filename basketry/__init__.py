@@ -4,7 +4,7 @@ All operators take and return DataFrames and stay on the JVM (no UDFs).
 """
 
 from basketry.operators.compare import aligned, any_patterns, common_patterns, compare, only_left, only_right
-from basketry.operators.metrics import run_metrics
+from basketry.operators.metrics import run_metrics, tagged
 from basketry.operators.profile import (
     basket_lists,
     distinct_transactions,
@@ -51,6 +51,7 @@ __all__ = [
     "run_metrics",
     "sample_first",
     "singles",
+    "tagged",
     "top_pairs",
     "top_singles",
     "tu_summary",

@@ -19,6 +19,8 @@ rolled logs are grouped by their ``eventlog_v2_*`` folder.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,57 +51,98 @@ def read_event_log(spark, path: str) -> DataFrame:
     return raw.withColumn("app_key", key)
 
 
-def run_metrics(spark, path: str) -> DataFrame:
-    """One row per application found under ``path`` (RUN_METRICS schema)."""
+@contextmanager
+def tagged(spark, name: str):
+    """Tag every Spark job started inside the block with job group ``name``,
+    so ``run_metrics(..., by="job_group")`` can report it as one run."""
+    sc = spark.sparkContext
+    sc.setJobGroup(name, name)
+    try:
+        yield
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        sc.setLocalProperty("spark.job.description", None)
+
+
+def run_metrics(spark, path: str, by: str = "app") -> DataFrame:
+    """Run metrics from the event logs under ``path``.
+
+    ``by="app"``: one row per application (RUN_METRICS schema).
+    ``by="job_group"``: one row per (application, job group), with a ``run``
+    column; tasks are attributed to the job group of the first job that ran
+    their stage.
+    """
+    if by not in ("app", "job_group"):
+        raise ValueError('by must be "app" or "job_group"')
     ev = read_event_log(spark, path)
     e = F.col("Event")
+    keys = ["app_key"]
+    tasks_ev = ev.where(e == "SparkListenerTaskEnd")
+    if by == "job_group":
+        jobs = ev.where(e == "SparkListenerJobStart").select(
+            "app_key",
+            _field(ev, "Job ID", dtype="long").alias("job_id"),
+            F.explode(F.col("`Stage IDs`")).alias("stage_id"),
+            F.coalesce(_field(ev, "Properties", "spark.jobGroup.id", dtype="string"), F.lit("")).alias("run"),
+        )
+        stage_run = jobs.groupBy("app_key", "stage_id").agg(F.min_by("run", "job_id").alias("run"))
+        tasks_ev = tasks_ev.withColumn("stage_id", _field(ev, "Stage ID", dtype="long")).join(
+            stage_run, ["app_key", "stage_id"], "inner"
+        )
+        job_run = jobs.select("app_key", "job_id", "run").distinct()
+        keys = ["app_key", "run"]
     apps = ev.where(e == "SparkListenerApplicationStart").select(
         "app_key", _field(ev, "App ID", dtype="string").alias("app_id")
     )
-    tasks = ev.where(e == "SparkListenerTaskEnd").groupBy("app_key").agg(
+    tasks = tasks_ev.groupBy(*keys).agg(
         F.sum(_field(ev, "Task Metrics", "Executor Run Time")).alias("run_ms"),
         F.sum(
             F.coalesce(_field(ev, "Task Metrics", "Shuffle Read Metrics", "Remote Bytes Read"), F.lit(0.0))
             + F.coalesce(_field(ev, "Task Metrics", "Shuffle Read Metrics", "Local Bytes Read"), F.lit(0.0))
         ).alias("read_b"),
         F.sum(_field(ev, "Task Metrics", "Shuffle Write Metrics", "Shuffle Bytes Written")).alias("write_b"),
-    )
-    peak_task = F.coalesce(_field(ev, "Task Executor Metrics", "JVMHeapMemory"), F.lit(0.0)) + F.coalesce(
-        _field(ev, "Task Executor Metrics", "JVMOffHeapMemory"), F.lit(0.0)
+        F.max(
+            F.coalesce(_field(ev, "Task Executor Metrics", "JVMHeapMemory"), F.lit(0.0))
+            + F.coalesce(_field(ev, "Task Executor Metrics", "JVMOffHeapMemory"), F.lit(0.0))
+        ).alias("task_peak_b"),
     )
     peak_stage = F.coalesce(_field(ev, "Executor Metrics", "JVMHeapMemory"), F.lit(0.0)) + F.coalesce(
         _field(ev, "Executor Metrics", "JVMOffHeapMemory"), F.lit(0.0)
     )
-    peaks = ev.where(
-        e.isin("SparkListenerTaskEnd", "SparkListenerStageExecutorMetrics", "SparkListenerExecutorMetricsUpdate")
-    ).groupBy("app_key").agg(
-        F.max(F.when(e == "SparkListenerTaskEnd", peak_task).otherwise(peak_stage)).alias("peak_b"),
-    )
+    stage_peaks = ev.where(
+        e.isin("SparkListenerStageExecutorMetrics", "SparkListenerExecutorMetricsUpdate")
+    ).groupBy("app_key").agg(F.max(peak_stage).alias("stage_peak_b"))
     limits = ev.where(e == "SparkListenerBlockManagerAdded").groupBy("app_key").agg(
         F.max(_field(ev, "Maximum Memory")).alias("limit_b")
     )
-    status = ev.groupBy("app_key").agg(
-        F.max(F.when(e == "SparkListenerApplicationEnd", 1).otherwise(0)).alias("ended"),
-        F.sum(
-            F.when(
-                (e == "SparkListenerJobEnd")
-                & (_field(ev, "Job Result", "Result", dtype="string") != "JobSucceeded"),
-                1,
-            ).otherwise(0)
-        ).alias("failed_jobs"),
+    ended = ev.groupBy("app_key").agg(
+        F.max(F.when(e == "SparkListenerApplicationEnd", 1).otherwise(0)).alias("ended")
     )
+    job_ends = ev.where(e == "SparkListenerJobEnd").select(
+        "app_key",
+        _field(ev, "Job ID", dtype="long").alias("job_id"),
+        (_field(ev, "Job Result", "Result", dtype="string") != "JobSucceeded").alias("failed"),
+    )
+    if by == "job_group":
+        job_ends = job_ends.join(job_run, ["app_key", "job_id"], "inner")
+    failures = job_ends.groupBy(*keys).agg(F.sum(F.col("failed").cast("int")).alias("failed_jobs"))
     out = (
-        apps.join(tasks, "app_key", "left")
-        .join(peaks, "app_key", "left")
+        tasks.join(apps, "app_key", "inner")
+        .join(stage_peaks, "app_key", "left")
         .join(limits, "app_key", "left")
-        .join(status, "app_key", "left")
+        .join(ended, "app_key", "left")
+        .join(failures, keys, "left")
     )
-    peak = F.when(F.col("peak_b") > 0, F.col("peak_b")).otherwise(F.col("limit_b"))
-    return out.select(
-        "app_id",
+    # Per-run peak: the task-level executor peaks of the run; for a whole
+    # application also the stage-level peaks; the memory limit when no peak
+    # was logged.
+    peak = F.greatest(F.col("task_peak_b"), F.coalesce(F.col("stage_peak_b"), F.lit(0.0))) if by == "app" else F.col("task_peak_b")
+    peak = F.when(peak > 0, peak).otherwise(F.col("limit_b"))
+    cols = ["app_id"] + (["run"] if by == "job_group" else []) + [
         (F.coalesce(F.col("run_ms"), F.lit(0.0)) / 1000.0).alias("run_time_sec"),
         (F.coalesce(F.col("read_b"), F.lit(0.0)) / MB).alias("shuffle_read_mb"),
         (F.coalesce(F.col("write_b"), F.lit(0.0)) / MB).alias("shuffle_write_mb"),
         (F.coalesce(peak, F.lit(0.0)) / MB).alias("max_executor_mb"),
-        ((F.col("ended") == 1) & (F.col("failed_jobs") == 0)).alias("succeeded"),
-    )
+        ((F.col("ended") == 1) & (F.coalesce(F.col("failed_jobs"), F.lit(0)) == 0)).alias("succeeded"),
+    ]
+    return out.select(*cols)

@@ -23,8 +23,15 @@ APP = textwrap.dedent(
              .config("spark.eventLog.rolling.enabled", "false")
              .config("spark.sql.shuffle.partitions", "4")
              .getOrCreate())
-    r = mine(Q.lines_l(spark, "/root/testdata/sf0.001"), MineSpec(**Q.L_T))
-    r.pairs.count()
+    from basketry.operators.metrics import tagged
+    with tagged(spark, "huomil"):
+        r = mine(Q.lines_l(spark, "/root/testdata/sf0.001"), MineSpec(price="mean", prune="winners", **Q.L_T))
+        r.singles.count()
+        r.pairs.count()
+    with tagged(spark, "huopm"):
+        r = mine(Q.lines_l(spark, "/root/testdata/sf0.001"), MineSpec(**Q.L_T))
+        r.singles.count()
+        r.pairs.count()
     spark.stop()
     """
 )
@@ -45,3 +52,19 @@ def test_run_metrics_from_event_log(spark, tmp_dir):
     assert r.shuffle_read_mb > 0 and r.shuffle_write_mb > 0
     assert r.max_executor_mb > 0
     assert r.succeeded is True
+
+
+def test_run_metrics_by_job_group(spark, tmp_dir):
+    logdir = os.path.join(tmp_dir, "events")
+    os.makedirs(logdir)
+    script = os.path.join(tmp_dir, "app.py")
+    with open(script, "w") as f:
+        f.write(APP.format(root=ROOT, logdir="file://" + logdir))
+    subprocess.run([sys.executable, script], check=True, timeout=600, capture_output=True)
+    rows = {r.run: r for r in run_metrics(spark, logdir, by="job_group").collect()}
+    assert {"huomil", "huopm"} <= set(rows)
+    for name in ("huomil", "huopm"):
+        r = rows[name]
+        assert r.run_time_sec > 0 and r.shuffle_write_mb > 0 and r.succeeded is True
+    whole = run_metrics(spark, logdir).first()
+    assert whole.run_time_sec >= rows["huomil"].run_time_sec + rows["huopm"].run_time_sec - 1e-6
