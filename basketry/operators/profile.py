@@ -88,6 +88,8 @@ def profile(uo: DataFrame) -> DataFrame:
         F.max("tu").alias("tu_max"),
     )
     items = uo.agg(F.count_distinct("item").alias("n_items"))
-    # Both sides are single-row aggregates; a keyed join keeps the plan free
-    # of cartesian products.
-    return tx.withColumn("_k", F.lit(1)).join(items.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    # Two one-row aggregates merged by a union and a max over each column:
+    # no join of any kind.
+    both = tx.unionByName(items, allowMissingColumns=True)
+    cols = tx.columns + items.columns
+    return both.agg(*[F.max(c).alias(c) for c in cols])
