@@ -91,3 +91,12 @@ def test_small_side_broadcast_only_after_check(spark):
     big, ok = bounded_broadcast(spark.range(1000), 100)
     assert not ok
     assert "ResolvedHint" not in big._jdf.queryExecution().analyzed().toString()
+
+
+@pytest.mark.parametrize("name", sorted(Q.REGISTRY))
+def test_driver_query_plans_stay_on_the_jvm_without_cartesian_joins(spark, name):
+    fn, _ = Q.REGISTRY[name]
+    text = _plan(fn(spark, SF001))
+    for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython",
+                "PythonUDF", "MapInPandas", "FlatMapGroupsInPandas"):
+        assert bad not in text, bad
