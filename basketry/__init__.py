@@ -12,6 +12,7 @@ from basketry.operators.profile import (
     pair_cooccurrence,
     pattern_counts,
     profile,
+    tu_mismatch,
     tu_summary,
 )
 from basketry.operators.patterns import pair_row_count, pair_rows, pairs, singles
@@ -54,6 +55,7 @@ __all__ = [
     "tagged",
     "top_pairs",
     "top_singles",
+    "tu_mismatch",
     "tu_summary",
     "uo_head",
     "uo_list",

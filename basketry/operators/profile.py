@@ -93,3 +93,16 @@ def profile(uo: DataFrame) -> DataFrame:
     both = tx.unionByName(items, allowMissingColumns=True)
     cols = tx.columns + items.columns
     return both.agg(*[F.max(c).alias(c) for c in cols])
+
+
+def tu_mismatch(uo: DataFrame, rel_tol: float = 1e-9) -> DataFrame:
+    """Data check for given TU: transactions whose entry utilities do not
+    add up to their TU (tid, tu, sum_iu, gap).
+
+    With utilities and TU both read from the source, ``sum(iu) = TU`` should
+    hold; rows here are transactions where it does not (beyond ``rel_tol``).
+    One aggregate per transaction, partially aggregated.
+    """
+    per_tid = uo.groupBy("tid").agg(F.max("tu").alias("tu"), F.sum("iu").alias("sum_iu"))
+    gap = F.col("tu") - F.col("sum_iu")
+    return per_tid.where(F.abs(gap) > F.lit(float(rel_tol)) * F.abs(F.col("tu"))).withColumn("gap", gap)

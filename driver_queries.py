@@ -35,6 +35,7 @@ from basketry import (
     sample_first,
     top_pairs,
     top_singles,
+    tu_mismatch,
     tu_summary,
     uo_head,
     uo_list,
@@ -779,3 +780,20 @@ PARITY_T = dict(min_util=100000.005, min_uo_single=0.30013, min_uo_pair=0.30013)
 def q_pairs_single_threshold_parity(spark, d):
     spec = MineSpec(price="mean", exclude=PARITY_DENYLIST, exclude_when="before_tu", prune="winners", **PARITY_T)
     return _pairs_out(mine(lines_l(spark, d), spec).pairs)
+
+
+@query(
+    "tu_given_check",
+    _mine_sql(
+        O.LINES_G,
+        "SELECT tid, round(tu, 2) AS tu, round(sum_iu, 2) AS sum_iu, round(tu - sum_iu, 2) AS gap FROM "
+        "(SELECT tid, max(tu) AS tu, sum(iu) AS sum_iu FROM uo GROUP BY tid) "
+        "WHERE abs(tu - sum_iu) > 1e-9 * abs(tu)",
+        min_util=0,
+        min_uo_single=0,
+        tu="given",
+    ),
+)
+def q_tu_given_check(spark, d):
+    m = tu_mismatch(uo_list(lines_g(spark, d), MineSpec(0, 0, tu="given")))
+    return _r(m.select(_s("tid"), "tu", "sum_iu", "gap"), ["tu", "sum_iu", "gap"])
