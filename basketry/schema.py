@@ -7,6 +7,7 @@ Optional columns keep their meaning throughout the library:
 * ``customer_id`` carried for reporting only
 * ``seq``         any orderable value giving file / table order, needed by the
                   first-seen price policy
+
 ``tid`` and ``item`` may be any atomic type: loaders from text give strings,
 ``from_table`` keeps the source type unless ``string_keys=True``.  Item order
 is always the order of the item's text.  The schemas below show text keys;
