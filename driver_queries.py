@@ -333,7 +333,12 @@ def q_pairs_tu_given(spark, d):
 
 
 def _order_texts(spark, d, token_sep: str, fmt: str) -> DataFrame:
-    """One text line per order (orders without lines give an empty line)."""
+    """One text line per order (orders without lines give an empty line).
+
+    This writes the one-basket-per-line file format from the table: each
+    row holds the lines of one order, bounded by that order's line count,
+    which is the format itself.  Parsing then runs on these whole lines.
+    """
     li = _t(spark, d, "lineitem")
     o = _t(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"))
     per = li.groupBy("l_orderkey").agg(
