@@ -27,8 +27,13 @@ def drop_incomplete(df: DataFrame, columns: Iterable[str] | None = None) -> Data
 
 
 def keep_positive(df: DataFrame) -> DataFrame:
-    """quantity > 0 and unit_price > 0."""
-    return df.where((F.col("quantity") > 0) & (F.col("unit_price") > 0))
+    """quantity > 0 and unit_price > 0, both real numbers.
+
+    NaN sorts above every number in Spark, so ``> 0`` alone would keep it;
+    NaN is removed explicitly (the ``> 0`` parts still reach the scan).
+    """
+    q, p = F.col("quantity"), F.col("unit_price")
+    return df.where((q > 0) & (p > 0) & ~F.isnan(q) & ~F.isnan(p))
 
 
 def _is_string(df: DataFrame, column: str) -> bool:

@@ -113,3 +113,14 @@ def test_named_pipelines(example):
     u = huopm(19.5, 0.35, gated=False)
     assert (g.prune, u.prune, g.price) == ("winners", "none", "actual")
     assert mine(example, u).pairs.count() >= mine(example, g).pairs.count()
+
+
+def test_nan_and_non_positive_lines_are_dropped(spark):
+    from basketry.operators.clean import clean_lines
+
+    df = spark.createDataFrame(
+        [("T1", "A", 1.0, float("nan")), ("T1", "B", float("nan"), 2.0), ("T1", "C", 0.0, 2.0),
+         ("T1", "D", 1.0, -1.0), ("T1", "E", 1.0, 2.0), (None, "F", 1.0, 2.0)],
+        "tid string, item string, quantity double, unit_price double",
+    )
+    assert [r.item for r in clean_lines(df).collect()] == ["E"]
