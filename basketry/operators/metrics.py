@@ -133,16 +133,20 @@ def run_metrics(spark, path: str, by: str = "app") -> DataFrame:
         .join(ended, "app_key", "left")
         .join(failures, keys, "left")
     )
-    # Per-run peak: the task-level executor peaks of the run; for a whole
-    # application also the stage-level peaks; the memory limit when no peak
-    # was logged.
-    peak = F.greatest(F.col("task_peak_b"), F.coalesce(F.col("stage_peak_b"), F.lit(0.0))) if by == "app" else F.col("task_peak_b")
-    peak = F.when(peak > 0, peak).otherwise(F.col("limit_b"))
+    # Peak: for a whole application the task- and stage-level executor peaks,
+    # or the memory limit when no peak was logged (as the history server
+    # reports it); for a run, its own task-level peaks only.
+    if by == "app":
+        peak = F.greatest(F.col("task_peak_b"), F.coalesce(F.col("stage_peak_b"), F.lit(0.0)))
+        peak = F.when(peak > 0, peak).otherwise(F.col("limit_b"))
+    else:
+        # A run reports only peaks logged for its own tasks (null when none).
+        peak = F.when(F.col("task_peak_b") > 0, F.col("task_peak_b"))
     cols = ["app_id"] + (["run"] if by == "job_group" else []) + [
         (F.coalesce(F.col("run_ms"), F.lit(0.0)) / 1000.0).alias("run_time_sec"),
         (F.coalesce(F.col("read_b"), F.lit(0.0)) / MB).alias("shuffle_read_mb"),
         (F.coalesce(F.col("write_b"), F.lit(0.0)) / MB).alias("shuffle_write_mb"),
-        (F.coalesce(peak, F.lit(0.0)) / MB).alias("max_executor_mb"),
+        ((F.coalesce(peak, F.lit(0.0)) if by == "app" else peak) / MB).alias("max_executor_mb"),
         ((F.col("ended") == 1) & (F.coalesce(F.col("failed_jobs"), F.lit(0)) == 0)).alias("succeeded"),
     ]
     return out.select(*cols)

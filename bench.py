@@ -3,7 +3,9 @@
 Each timed query builds its plan and executes every output column
 (``noop`` write; size-1 and size-2 results of a mining run both count, as in
 the reference's runs).  Session start and a warm-up on sf0.001 are not timed.
-Prints one JSON line.
+Each run is a Spark job group; the session's own event log (scratch folder)
+is rolled up per run with ``run_metrics(by="job_group")`` for the shuffle
+figures the baseline reports.  Prints one JSON line.
 """
 
 from __future__ import annotations
@@ -22,7 +24,9 @@ def _session(cpus: int):
     from pyspark.sql import SparkSession
 
     scratch = tempfile.mkdtemp(prefix="basketry-bench-")
-    return (
+    events = os.path.join(scratch, "events")
+    os.makedirs(events)
+    return events, (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("basketry-bench")
         .config("spark.ui.enabled", "false")
@@ -34,6 +38,10 @@ def _session(cpus: int):
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.local.dir", os.path.join(scratch, "local"))
         .config("spark.sql.warehouse.dir", os.path.join(scratch, "warehouse"))
+        .config("spark.eventLog.enabled", "true")
+        .config("spark.eventLog.dir", "file://" + events)
+        .config("spark.eventLog.compress", "false")
+        .config("spark.eventLog.rolling.enabled", "false")
         .getOrCreate()
     )
 
@@ -65,6 +73,38 @@ def _query_run(name):
     return go
 
 
+def _text_run(kind, spec):
+    """Parse text lines built from lineitem (one line per order), then mine."""
+    import driver_queries as Q
+    from basketry import mine
+    from basketry.sources.text import parse_line_baskets, parse_utility_lines
+
+    def go(spark, d):
+        if kind == "lines":
+            lines = parse_line_baskets(Q._order_texts(spark, d, " ", "basket"), key="okey", price="hash")
+        else:
+            lines = parse_utility_lines(Q._order_texts(spark, d, " ", "zip"), key="okey", utilities="zip")
+        r = mine(lines, spec)
+        _run(r.singles)
+        _run(r.pairs)
+        r.release()
+
+    return go
+
+
+def _member_day_run(spec):
+    import driver_queries as Q
+    from basketry import mine
+
+    def go(spark, d):
+        r = mine(Q._member_day_lines(spark, d, price="hash"), spec)
+        _run(r.singles)
+        _run(r.pairs)
+        r.release()
+
+    return go
+
+
 def headline():
     import driver_queries as Q
     from basketry import MineSpec
@@ -86,6 +126,12 @@ def headline():
         ),
         # Event baskets (users x event types).
         "event_baskets": _mine_run(Q.lines_v, MineSpec(**Q.V_T)),
+        # One basket per text line, hash price, gated (the line-file pipeline).
+        "line_baskets_gated": _text_run("lines", MineSpec(5.005, 0.25013, 0.50013, price="hash", prune="winners")),
+        # items:TU:utilities lines, utilities zipped, TU from the file.
+        "utility_lines_given_tu": _text_run("zip", MineSpec(tu="given", **Q.L_T)),
+        # Member-day baskets (customer and date), hash price, gated.
+        "member_day_gated": _member_day_run(MineSpec(5.005, 0.2011, 0.4011, price="hash", prune="winners")),
         # Compare two runs: counts and Jaccard.
         "run_compare": _query_run("run_compare"),
         # Profile: TU summary.
@@ -93,21 +139,37 @@ def headline():
     }
 
 
+def _run_figures(spark, events):
+    """Shuffle read MB per run from the event log."""
+    from basketry.operators.metrics import run_metrics
+
+    try:
+        rows = run_metrics(spark, events, by="job_group").collect()
+    except Exception:  # noqa: BLE001 - figures are optional extras
+        return {}
+    return {r.run: round(r.shuffle_read_mb, 3) for r in rows if r.run}
+
+
 def main():
+    from basketry.operators.metrics import tagged
+
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    spark = _session(cpus)
+    events, spark = _session(cpus)
     spark.sparkContext.setLogLevel("ERROR")
     runs = headline()
     warm = "/root/testdata/sf0.001"
     if os.path.isdir(warm):
-        for go in runs.values():
-            go(spark, warm)
+        for name, go in runs.items():
+            with tagged(spark, "warm-" + name):
+                go(spark, warm)
     times = {}
     for name, go in runs.items():
         t0 = time.perf_counter()
-        go(spark, sf_dir)
+        with tagged(spark, name):
+            go(spark, sf_dir)
         times[name] = round(time.perf_counter() - t0, 3)
+    shuffle = _run_figures(spark, events)
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
     try:
         sf_val = float(sf)
@@ -122,6 +184,7 @@ def main():
                 "queries": times,
                 "sf": sf_val,
                 "cpus": cpus,
+                "shuffle_read_mb": {k: shuffle[k] for k in times if k in shuffle},
             }
         )
     )
