@@ -21,19 +21,20 @@ FIELD_SEP = ":"
 def with_tid(df: DataFrame, key: str | None = None) -> DataFrame:
     """A transaction id for inputs without one.
 
-    With ``key`` the existing column is used (cast to string).  Otherwise
-    ``monotonically_increasing_id`` is taken before any explode: unique, and
-    increasing in file order within a single file, but not stable across file
-    layouts, so tests never compare it.  ``line_no`` keeps the raw id for
-    ordering (first-seen prices).
+    With ``key`` the existing column is the id (its own type).  Otherwise
+    ``monotonically_increasing_id`` is taken before any explode: a bigint,
+    unique, and increasing in file order within a single file, but not
+    stable across file layouts, so tests never compare it.  ``line_no`` keeps
+    the id for ordering (first-seen prices).  Ids stay numeric so they
+    shuffle as 8 bytes; outputs cast them to text where needed.
     """
     if key is not None:
-        out = df.withColumn("tid", F.col(key).cast("string"))
+        out = df.withColumn("tid", F.col(key))
         if "line_no" not in df.columns:
             out = out.withColumn("line_no", F.col(key))
         return out
     mid = F.monotonically_increasing_id()
-    return df.withColumn("line_no", mid).withColumn("tid", F.col("line_no").cast("string"))
+    return df.withColumn("line_no", mid).withColumn("tid", F.col("line_no"))
 
 
 def _tokens(text) -> F.Column:

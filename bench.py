@@ -102,7 +102,8 @@ def _write_text_files(spark, d, scratch):
 
     for kind, fmt in (("lines", "basket"), ("zip", "zip")):
         path = os.path.join(scratch, f"{kind}-{os.path.basename(d.rstrip('/'))}")
-        Q._order_texts(spark, d, " ", fmt).select("value").write.mode("overwrite").text(path)
+        n_files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        Q._order_texts(spark, d, " ", fmt).select("value").repartition(n_files).write.mode("overwrite").text(path)
         TEXT_FILES[(d, kind)] = path
 
 
@@ -141,7 +142,8 @@ def headline():
         # Event baskets (users x event types).
         "event_baskets": _mine_run(Q.lines_v, MineSpec(**Q.V_T)),
         # One basket per text line, hash price, gated (the line-file pipeline).
-        "line_baskets_gated": _text_run("lines", MineSpec(5.005, 0.25013, 0.50013, price="hash", prune="winners")),
+        # (the loader already sets the hash price, so the miner uses it as is)
+        "line_baskets_gated": _text_run("lines", MineSpec(5.005, 0.25013, 0.50013, price="actual", prune="winners")),
         # items:TU:utilities lines, utilities zipped, TU from the file.
         "utility_lines_given_tu": _text_run("zip", MineSpec(tu="given", **Q.L_T)),
         # Member-day baskets (customer and date), hash price, gated.

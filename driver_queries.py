@@ -373,7 +373,7 @@ def _order_texts(spark, d, token_sep: str, fmt: str) -> DataFrame:
 def q_line_baskets_parse(spark, d):
     texts = _order_texts(spark, d, "  ", "basket")
     parsed = parse_line_baskets(texts, key="okey")
-    return parsed.groupBy("tid", "item").agg(F.sum("quantity").alias("quantity"))
+    return parsed.groupBy(_s("tid"), "item").agg(F.sum("quantity").alias("quantity"))
 
 
 @query(
@@ -399,7 +399,7 @@ def q_utility_lines_parse_zip(spark, d):
 def q_utility_lines_parse_as_items(spark, d):
     texts = _order_texts(spark, d, " ", "as_items")
     parsed = parse_utility_lines(texts, key="okey", utilities="as_items")
-    return clean_lines(parsed).groupBy("tid", "item").agg(F.sum("quantity").alias("quantity"))
+    return clean_lines(parsed).groupBy(_s("tid"), "item").agg(F.sum("quantity").alias("quantity"))
 
 
 @query(

@@ -44,7 +44,7 @@ def _py_line_baskets(lines):
     for k, v in enumerate(lines):
         for t in v.split():
             if t.isdigit():
-                out.append((str(k), t))
+                out.append((k, t))
     return sorted(out)
 
 
@@ -79,7 +79,7 @@ def _py_zip(lines):
             else:
                 u = _float(utils[pos])
                 price = 1.0 if u is None else u
-            out.append((str(k), it, price, tu))
+            out.append((k, it, price, tu))
     return out
 
 
@@ -111,7 +111,7 @@ def _py_as_items(lines):
             continue
         for t in parts[0].split() + parts[2].split():
             if t.isdigit():
-                out.append((str(k), t))
+                out.append((k, t))
     return sorted(out)
 
 
