@@ -5,24 +5,49 @@ from __future__ import annotations
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int, holds: list | None = None) -> tuple[DataFrame, bool]:
-    """Return ``(broadcast(df), True)`` when ``df`` has at most ``max_rows`` rows.
+# Fixed value: default byte bound of a broadcast side.
+BROADCAST_MAX_BYTES = 256 * 1024 * 1024
 
-    The bound is proven by counting at most ``max_rows + 1`` rows of the
-    persisted frame, so the broadcast side is never larger than that.  Beyond
-    the bound the frame is returned unhinted and the join falls back to a
-    shuffle (sort-merge, with AQE skew splitting).  Either way the computed
-    frame stays persisted for the join that reads it; it is appended to
-    ``holds`` so the caller releases it at its scope edge (without ``holds``
-    it is released at once when too large).
+
+def _row_bytes(df: DataFrame):
+    """Approximate bytes of a row: UTF-8 length of text / binary columns, 8
+    for every other column."""
+    parts = []
+    for f in df.schema.fields:
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            parts.append(F.coalesce(F.octet_length(F.col(f.name)), F.lit(0)))
+        else:
+            parts.append(F.lit(8))
+    total = parts[0]
+    for p in parts[1:]:
+        total = total + p
+    return total.cast("long")
+
+
+def bounded_broadcast(
+    df: DataFrame, max_rows: int, holds: list | None = None, max_bytes: int = BROADCAST_MAX_BYTES
+) -> tuple[DataFrame, bool]:
+    """Return ``(broadcast(df), True)`` when ``df`` has at most ``max_rows``
+    rows and about ``max_bytes`` bytes.
+
+    The bound is proven by one aggregate over at most ``max_rows + 1`` rows
+    of the persisted frame (row count and summed row bytes), so the
+    broadcast side is never larger than that.  Beyond either bound the frame
+    is returned unhinted and the join falls back to a shuffle (sort-merge,
+    with AQE skew splitting).  Either way the computed frame stays persisted
+    for the join that reads it; it is appended to ``holds`` so the caller
+    releases it at its scope edge (without ``holds`` it is released at once
+    when too large).
     """
     held = df.persist(StorageLevel.MEMORY_AND_DISK)
-    n = held.limit(max_rows + 1).count()
+    probe = held.limit(max_rows + 1)
+    size = probe.agg(F.count(F.lit(1)).alias("n"), F.sum(_row_bytes(probe)).alias("b")).first()
     if holds is not None:
         holds.append(held)
-    if n <= max_rows:
+    if size.n <= max_rows and (size.b or 0) <= max_bytes:
         return F.broadcast(held), True
     if holds is None:
         held.unpersist()

@@ -91,6 +91,11 @@ def test_small_side_broadcast_only_after_check(spark):
     big, ok = bounded_broadcast(spark.range(1000), 100)
     assert not ok
     assert "ResolvedHint" not in big._jdf.queryExecution().analyzed().toString()
+    wide = spark.range(50).selectExpr("repeat('x', 1000) AS item")
+    _, ok = bounded_broadcast(wide, 100, max_bytes=10_000)  # 50 kB of text > 10 kB
+    assert not ok
+    _, ok = bounded_broadcast(wide, 100, max_bytes=100_000)
+    assert ok
 
 
 @pytest.mark.parametrize("name", sorted(Q.REGISTRY))
