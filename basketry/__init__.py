@@ -18,13 +18,14 @@ from basketry.operators.profile import (
 from basketry.operators.patterns import pair_row_count, pair_rows, pairs, singles
 from basketry.operators.topk import top_pairs, top_singles, uo_head
 from basketry.operators.utility import item_catalogue, remaining_occupancy, row_utility, uo_list
-from basketry.plans import RETAIL_DENYLIST, MineResult, MineSpec, huomil, huopm, mine, mine_many
+from basketry.plans import RETAIL_DENYLIST, MineResult, MineSpec, actual_price, mean_price_gated, mine, mine_many
 from basketry.sources import from_table, load_baskets, sample_first, write_patterns
 
 __all__ = [
     "MineResult",
     "MineSpec",
     "RETAIL_DENYLIST",
+    "actual_price",
     "aligned",
     "any_patterns",
     "basket_lists",
@@ -32,11 +33,10 @@ __all__ = [
     "compare",
     "distinct_transactions",
     "from_table",
-    "huomil",
-    "huopm",
     "item_catalogue",
     "item_support",
     "load_baskets",
+    "mean_price_gated",
     "mine",
     "mine_many",
     "only_left",

@@ -4,8 +4,8 @@ The reference scripts differ from each other in the choices below; here each
 is an explicit field instead of a separate code path.
 
 price
-    ``"actual"``      row utility = quantity * unit_price (HUOPM)
-    ``"mean"``        quantity * mean unit_price of the item (HUOMIL)
+    ``"actual"``      row utility = quantity * unit_price
+    ``"mean"``        quantity * mean unit_price of the item
     ``"constant"``    quantity * ``constant_price``
     ``"hash"``        quantity * deterministic price in [1, 10) from md5(item)
     ``"first_seen"``  quantity * unit_price of the item's first line by ``seq``
@@ -26,12 +26,13 @@ prune
 min_tu
     optional TU floor on top of ``TU > 0``
 split_items
-    transactions with more entries than this have their pair join split over
-    ``ceil(n / split_items)`` tasks (salting); results do not change
+    transactions with at most this many entries pair on the UO-list's tid
+    partitioning with no exchange; larger ones take the grid join over
+    ``S * S`` cells, ``S = ceil(n / split_items)``; results do not change
 broadcast_max_rows
     a small side (price catalogue, winners, item lists) is broadcast only when
-    a row count proves it is at most this many rows; otherwise it is joined by
-    shuffle
+    one aggregate proves it is at most this many rows (and 256 MB); otherwise
+    it is joined by shuffle
 reuse
     how the UO-list, read by both the size-1 and size-2 steps, is kept:
     ``"persist"`` (MEMORY_AND_DISK), ``"checkpoint"`` (reliable, in the
@@ -98,12 +99,12 @@ class MineSpec:
         return replace(self, **changes)
 
 
-def huomil(min_util, min_uo_single, min_uo_pair=None, **kw) -> MineSpec:
+def mean_price_gated(min_util, min_uo_single, min_uo_pair=None, **kw) -> MineSpec:
     """Mean price, pairs gated by size-1 winners (M1)."""
     return MineSpec(min_util, min_uo_single, min_uo_pair, price="mean", prune="winners", **kw)
 
 
-def huopm(min_util, min_uo, gated: bool = True, **kw) -> MineSpec:
+def actual_price(min_util, min_uo, gated: bool = True, **kw) -> MineSpec:
     """Actual price; gated (M3) or, as in the retail script, ungated (M2)."""
     return MineSpec(
         min_util, min_uo, min_uo, price="actual", prune="winners" if gated else "none", **kw

@@ -125,12 +125,12 @@ def headline():
     from basketry import MineSpec
 
     return {
-        # HUOMIL: mean price, pairs gated by size-1 winners (M1).
-        "huomil_mean_gated": _mine_run(Q.lines_l, MineSpec(price="mean", prune="winners", **Q.L_T)),
-        # HUOPM as in the retail script: actual price, no gate (M2).
-        "huopm_actual_ungated": _mine_run(Q.lines_l, MineSpec(price="actual", prune="none", **Q.L_T)),
-        # HUOPM as in the other scripts: actual price, gated (M3).
-        "huopm_actual_gated": _mine_run(Q.lines_l, MineSpec(price="actual", prune="winners", **Q.L_T)),
+        # Mean price, pairs gated by size-1 winners (M1).
+        "mean_price_gated": _mine_run(Q.lines_l, MineSpec(price="mean", prune="winners", **Q.L_T)),
+        # Actual price, no gate, as in the retail run (M2).
+        "actual_price_ungated": _mine_run(Q.lines_l, MineSpec(price="actual", prune="none", **Q.L_T)),
+        # Actual price, gated, as in the other runs (M3).
+        "actual_price_gated": _mine_run(Q.lines_l, MineSpec(price="actual", prune="winners", **Q.L_T)),
         # Exact pruning: the ungated result with bounds-based candidates.
         "exact_pruned": _mine_run(Q.lines_l, MineSpec(price="actual", prune="exact", **Q.L_T)),
         # Given TU (M4) on orders joined to lineitem.

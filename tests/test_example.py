@@ -105,12 +105,12 @@ def test_denylist_and_allowlist_frames(spark, example):
 
 
 def test_named_pipelines(example):
-    from basketry import huomil, huopm
+    from basketry import actual_price, mean_price_gated
 
-    m = huomil(19.5, 0.2, 0.5)
+    m = mean_price_gated(19.5, 0.2, 0.5)
     assert (m.price, m.prune, m.pair_uo) == ("mean", "winners", 0.5)
-    g = huopm(19.5, 0.35)
-    u = huopm(19.5, 0.35, gated=False)
+    g = actual_price(19.5, 0.35)
+    u = actual_price(19.5, 0.35, gated=False)
     assert (g.prune, u.prune, g.price) == ("winners", "none", "actual")
     assert mine(example, u).pairs.count() >= mine(example, g).pairs.count()
 

@@ -24,11 +24,11 @@ APP = textwrap.dedent(
              .config("spark.sql.shuffle.partitions", "4")
              .getOrCreate())
     from basketry.operators.metrics import tagged
-    with tagged(spark, "huomil"):
+    with tagged(spark, "mean_gated"):
         r = mine(Q.lines_l(spark, "/root/testdata/sf0.001"), MineSpec(price="mean", prune="winners", **Q.L_T))
         r.singles.count()
         r.pairs.count()
-    with tagged(spark, "huopm"):
+    with tagged(spark, "actual_ungated"):
         r = mine(Q.lines_l(spark, "/root/testdata/sf0.001"), MineSpec(**Q.L_T))
         r.singles.count()
         r.pairs.count()
@@ -62,9 +62,9 @@ def test_run_metrics_by_job_group(spark, tmp_dir):
         f.write(APP.format(root=ROOT, logdir="file://" + logdir))
     subprocess.run([sys.executable, script], check=True, timeout=600, capture_output=True)
     rows = {r.run: r for r in run_metrics(spark, logdir, by="job_group").collect()}
-    assert {"huomil", "huopm"} <= set(rows)
-    for name in ("huomil", "huopm"):
+    assert {"mean_gated", "actual_ungated"} <= set(rows)
+    for name in ("mean_gated", "actual_ungated"):
         r = rows[name]
         assert r.run_time_sec > 0 and r.shuffle_write_mb > 0 and r.succeeded is True
     whole = run_metrics(spark, logdir).first()
-    assert whole.run_time_sec >= rows["huomil"].run_time_sec + rows["huopm"].run_time_sec - 1e-6
+    assert whole.run_time_sec >= rows["mean_gated"].run_time_sec + rows["actual_ungated"].run_time_sec - 1e-6
