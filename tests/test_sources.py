@@ -159,3 +159,20 @@ def test_write_patterns_roundtrip(spark, tmp_dir, example):
     write_patterns(r.pairs, out)
     back = spark.read.parquet(out)
     assert back.count() == r.pairs.count()
+
+
+def test_reference_workflow_example(spark, tmp_dir):
+    import importlib.util
+
+    spec = importlib.util.spec_from_file_location(
+        "reference_workflow", os.path.join(os.path.dirname(os.path.dirname(__file__)), "examples", "reference_workflow.py")
+    )
+    wf = importlib.util.module_from_spec(spec)
+    spec.loader.exec_module(wf)
+    p = _write(tmp_dir, "r.csv", RETAIL, encoding="latin-1")
+    out = os.path.join(tmp_dir, "out")
+    wf.run(spark, "online_retail", p, out, 5.0, 0.05, 0.05, encoding="ISO-8859-1")
+    for table in ("profile", "mean_gated", "actual", "comparison"):
+        assert spark.read.parquet(os.path.join(out, table)).count() >= 1
+    cmp = spark.read.parquet(os.path.join(out, "comparison")).first()
+    assert 0.0 <= cmp.jaccard <= 1.0
