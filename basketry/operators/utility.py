@@ -125,9 +125,9 @@ def uo_list(lines: DataFrame, spec: MineSpec, clean: bool = True, holds: list |
     With summed duplicates each (tid, item) is one entry, so a transaction has
     at most one row per distinct item: TU and ``n_items`` are a window over
     tid on the entries, with no extra aggregate and join.  With kept
-    duplicates a transaction's entries are its raw lines (unbounded), so TU
-    is a partially aggregated ``groupBy(tid)`` joined back on tid, which AQE
-    can split when one transaction is hot.
+    duplicates (raw lines, unbounded) or ``tu_by="aggregate"``, TU is a
+    partially aggregated ``groupBy(tid)`` joined back on tid, which AQE can
+    split when one transaction is hot.
     """
     if clean:
         lines = clean_lines(lines)
@@ -137,7 +137,7 @@ def uo_list(lines: DataFrame, spec: MineSpec, clean: bool = True, holds: list |
     if spec.exclude and spec.exclude_when == "before_tu":
         lines = exclude_items(lines, spec.exclude)
     entries = uo_entries(lines, spec, holds)
-    if spec.duplicates == "sum":
+    if spec.duplicates == "sum" and spec.tu_by == "window":
         w = Window.partitionBy("tid")
         tu = F.max("tu").over(w) if given else F.sum("iu").over(w)
         uo = entries.select("tid", "item", "iu", tu.alias("tu"), F.count(F.lit(1)).over(w).alias("n_items"))

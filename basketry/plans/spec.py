@@ -33,6 +33,15 @@ broadcast_max_rows
     a small side (price catalogue, winners, item lists) is broadcast only when
     one aggregate proves it is at most this many rows (and 256 MB); otherwise
     it is joined by shuffle
+tu_by
+    ``"window"``    TU and basket size from a window over tid on the
+                    deduplicated entries (one basket's distinct items in a
+                    task; no extra join)
+    ``"aggregate"`` a partially aggregated ``groupBy(tid)`` joined back on
+                    tid, which AQE can split when one basket is huge; for
+                    catalogues so large that one basket's distinct items
+                    should not sit in one task.  Always used with
+                    ``duplicates="keep"``.
 reuse
     how the UO-list, read by both the size-1 and size-2 steps, is kept:
     ``"persist"`` (MEMORY_AND_DISK), ``"checkpoint"`` (reliable, in the
@@ -49,6 +58,7 @@ EXCLUDE_WHEN = ("after_tu", "before_tu")
 DUPLICATES = ("sum", "keep")
 PRUNES = ("none", "winners", "exact")
 REUSES = ("persist", "checkpoint", "none")
+TU_BY = ("window", "aggregate")
 
 # The item denylist of the retail runs.
 RETAIL_DENYLIST = ("M", "POST", "BANK CHARGES", "DOT", "ADJUST", "C2", "AMAZONFEE")
@@ -70,6 +80,7 @@ class MineSpec:
     split_items: int = 4096
     broadcast_max_rows: int = 1_000_000
     reuse: str = "persist"
+    tu_by: str = "window"
 
     def __post_init__(self):
         for name, value, allowed in (
@@ -79,6 +90,7 @@ class MineSpec:
             ("duplicates", self.duplicates, DUPLICATES),
             ("prune", self.prune, PRUNES),
             ("reuse", self.reuse, REUSES),
+            ("tu_by", self.tu_by, TU_BY),
         ):
             if value not in allowed:
                 raise ValueError(f"MineSpec.{name}={value!r}; expected one of {allowed}")

@@ -802,3 +802,11 @@ def q_pairs_single_threshold_parity(spark, d):
 def q_tu_given_check(spark, d):
     m = tu_mismatch(uo_list(lines_g(spark, d), MineSpec(0, 0, tu="given")))
     return _r(m.select(_s("tid"), "tu", "sum_iu", "gap"), ["tu", "sum_iu", "gap"])
+
+
+@query("hot_basket_pairs_tu_aggregate", _mine_sql(_HOT_BASKET_SQL, O.PAIRS_OUT_SQL, prune="none", **HOT_T))
+def q_hot_basket_pairs_tu_aggregate(spark, d):
+    """The hot-basket query with TU from an aggregate joined back on tid
+    (AQE can split the hot transaction) instead of the window."""
+    spec = MineSpec(split_items=HOT_SPLIT, tu_by="aggregate", **HOT_T)
+    return _pairs_out(mine(lines_hot_basket(spark, d), spec).pairs)

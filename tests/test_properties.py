@@ -197,3 +197,14 @@ def test_reuse_modes_agree(rnd_df, reuse):
     assert sorted(map(key, got.pairs.collect())) == sorted(map(key, base.pairs.collect()))
     got.release()
     base.release()
+
+
+@pytest.mark.parametrize("prune", ["none", "winners", "exact"])
+def test_tu_by_aggregate_equals_window(rnd_df, prune):
+    key = lambda r: (r.item1, r.item2, round(r.total_util, 9), round(r.avg_uo, 12), r.support)
+    a = mine(rnd_df, MineSpec(10.5, 0.2, 0.4, prune=prune))
+    b = mine(rnd_df, MineSpec(10.5, 0.2, 0.4, prune=prune, tu_by="aggregate", split_items=3))
+    assert sorted(map(key, a.pairs.collect())) == sorted(map(key, b.pairs.collect()))
+    sa = sorted((r.item, round(r.total_util, 9), r.support) for r in a.singles.collect())
+    sb = sorted((r.item, round(r.total_util, 9), r.support) for r in b.singles.collect())
+    assert sa == sb
