@@ -5,7 +5,7 @@ from basketry.functions.columns import (
     hash_price,
     itemset_label,
     numeric_token,
-    salt_count,
+    grid_slices,
     try_double,
 )
 
@@ -14,6 +14,6 @@ __all__ = [
     "hash_price",
     "itemset_label",
     "numeric_token",
-    "salt_count",
+    "grid_slices",
     "try_double",
 ]

@@ -48,7 +48,7 @@ def itemset_label(item1, item2, sep: str = ",") -> Column:
     return F.concat_ws(sep, as_col(item1), as_col(item2))
 
 
-def salt_count(n_items, split_items: int) -> Column:
+def grid_slices(n_items, split_items: int) -> Column:
     """Number of slices per side of a transaction's pair-join grid.
 
     ``ceil(n / split_items)``, at least 1.  A basket of up to ``split_items``

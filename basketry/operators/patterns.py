@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketry.functions.columns import itemset_label, salt_count
+from basketry.functions.columns import itemset_label, grid_slices
 from basketry.operators.clean import keep_items
 
 
@@ -86,7 +86,7 @@ def pair_rows(uo: DataFrame, split_items: int = 4096, keep_cells: bool = False)
 
 
 def _grid_pair_rows(uo: DataFrame, split_items: int, keep_cells: bool) -> DataFrame:
-    s = salt_count(F.col("n_items"), split_items)
+    s = grid_slices(F.col("n_items"), split_items)
     own = F.pmod(F.xxhash64("item"), s.cast("long")).cast("int")
     every = F.explode(F.sequence(F.lit(0), s - F.lit(1)))
     left = uo.select(

@@ -117,7 +117,7 @@ def test_pair_rows_equal_sum_of_n_choose_2(rnd_df):
 
 
 @pytest.mark.parametrize("split_items", [1, 2, 3, 1000])
-def test_salting_does_not_change_pairs(rnd_df, split_items):
+def test_split_items_does_not_change_pairs(rnd_df, split_items):
     ref = mine(rnd_df, MineSpec(0, 0, 0, split_items=10**6)).pairs
     got = mine(rnd_df, MineSpec(0, 0, 0, split_items=split_items)).pairs
     a = sorted((r.item1, r.item2, round(r.total_util, 9), round(r.avg_uo, 12), r.support) for r in ref.collect())
