@@ -40,8 +40,12 @@ def bounded_broadcast(
     with AQE skew splitting).  Either way the computed frame stays persisted
     for the join that reads it; it is appended to ``holds`` so the caller
     releases it at its scope edge (without ``holds`` it is released at once
-    when too large).
+    when too large).  ``max_rows <= 0`` disables the broadcast and the check,
+    so a plan that uses it stays fully lazy.
     """
+    if max_rows <= 0:
+        # Broadcasts disabled: no eager check, an ordinary (shuffle) join.
+        return df, False
     held = df.persist(StorageLevel.MEMORY_AND_DISK)
     probe = held.limit(max_rows + 1)
     size = probe.agg(F.count(F.lit(1)).alias("n"), F.sum(_row_bytes(probe)).alias("b")).first()

@@ -32,7 +32,8 @@ split_items
 broadcast_max_rows
     a small side (price catalogue, winners, item lists) is broadcast only when
     one aggregate proves it is at most this many rows (and 256 MB); otherwise
-    it is joined by shuffle
+    it is joined by shuffle.  0 disables these broadcasts and their eager
+    checks: ``mine`` then runs no job until the caller's action
 tu_by
     ``"window"``    TU and basket size from a window over tid on the
                     deduplicated entries (one basket's distinct items in a

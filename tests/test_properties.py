@@ -208,3 +208,14 @@ def test_tu_by_aggregate_equals_window(rnd_df, prune):
     sa = sorted((r.item, round(r.total_util, 9), r.support) for r in a.singles.collect())
     sb = sorted((r.item, round(r.total_util, 9), r.support) for r in b.singles.collect())
     assert sa == sb
+
+
+def test_lazy_mode_without_library_broadcasts(spark, rnd_df):
+    key = lambda r: (r.item1, r.item2, round(r.total_util, 9), round(r.avg_uo, 12), r.support)
+    a = mine(rnd_df, MineSpec(10.5, 0.2, 0.4, price="mean", prune="winners"))
+    jobs_before = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    assert jobs_before  # the eager run above did start jobs, and the tracker sees them
+    b = mine(rnd_df, MineSpec(10.5, 0.2, 0.4, price="mean", prune="winners", broadcast_max_rows=0, reuse="none"))
+    # building the lazy run started no Spark job
+    assert spark.sparkContext.statusTracker().getJobIdsForGroup(None) == jobs_before
+    assert sorted(map(key, a.pairs.collect())) == sorted(map(key, b.pairs.collect()))
