@@ -45,7 +45,18 @@ def orient(df: DataFrame) -> DataFrame:
 
 def singles(uo: DataFrame) -> DataFrame:
     """A4: (item, total_util, avg_uo, support) over all entries of each item
-    (item in its source type; ``as_text`` for output)."""
+    (item in its source type; ``as_text`` for output).
+
+    With kept duplicates (``mult``) every merged line counts as an entry:
+    support is the sum of ``mult`` and the occupancy average is taken over
+    those lines (their utilities add up to ``iu``).
+    """
+    if "mult" in uo.columns:
+        return uo.groupBy("item").agg(
+            F.sum("iu").alias("total_util"),
+            (F.sum("uo") / F.sum("mult")).alias("avg_uo"),
+            F.sum("mult").alias("support"),
+        )
     return uo.groupBy("item").agg(
         F.sum("iu").alias("total_util"),
         F.avg("uo").alias("avg_uo"),
@@ -73,11 +84,13 @@ def pair_rows(uo: DataFrame, split_items: int = 4096, keep_cells: bool = False)
     ``(tid, cell_a, cell_b)``.  ``keep_cells`` keeps the cell columns (0, 0 on
     the local path) for inspection.
     """
+    m1 = [F.col("mult").alias("mult1")] if "mult" in uo.columns else []
+    m2 = [F.col("mult").alias("mult2")] if "mult" in uo.columns else []
     small = uo.where(F.col("n_items") <= F.lit(split_items))
     hot = uo.where(F.col("n_items") > F.lit(split_items))
     local = (
-        small.select("tid", F.col("item").alias("item1"), F.col("iu").alias("iu1"), "tu")
-        .join(small.select("tid", F.col("item").alias("item2"), F.col("iu").alias("iu2")), on="tid", how="inner")
+        small.select("tid", F.col("item").alias("item1"), F.col("iu").alias("iu1"), *m1, "tu")
+        .join(small.select("tid", F.col("item").alias("item2"), F.col("iu").alias("iu2"), *m2), on="tid", how="inner")
         .where(F.col("item1") < F.col("item2"))
     )
     if keep_cells:
@@ -89,10 +102,13 @@ def _grid_pair_rows(uo: DataFrame, split_items: int, keep_cells: bool) -> DataFr
     s = grid_slices(F.col("n_items"), split_items)
     own = F.pmod(F.xxhash64("item"), s.cast("long")).cast("int")
     every = F.explode(F.sequence(F.lit(0), s - F.lit(1)))
+    m1 = [F.col("mult").alias("mult1")] if "mult" in uo.columns else []
+    m2 = [F.col("mult").alias("mult2")] if "mult" in uo.columns else []
     left = uo.select(
         "tid",
         F.col("item").alias("item1"),
         F.col("iu").alias("iu1"),
+        *m1,
         "tu",
         own.alias("cell_a"),
         every.alias("cell_b"),
@@ -101,6 +117,7 @@ def _grid_pair_rows(uo: DataFrame, split_items: int, keep_cells: bool) -> DataFr
         "tid",
         F.col("item").alias("item2"),
         F.col("iu").alias("iu2"),
+        *m2,
         every.alias("cell_a"),
         own.alias("cell_b"),
     )
@@ -113,22 +130,38 @@ def _grid_pair_rows(uo: DataFrame, split_items: int, keep_cells: bool) -> DataFr
 def pairs(cand: DataFrame, split_items: int = 4096) -> DataFrame:
     """A5 + D9: (item1, item2, total_util, avg_uo, support, itemset)."""
     rows = pair_rows(cand, split_items)
-    both = F.col("iu1") + F.col("iu2")
-    agg = rows.groupBy("item1", "item2").agg(
-        F.sum(both).alias("total_util"),
-        (F.sum(both / F.col("tu")) / F.count(F.lit(1))).alias("avg_uo"),
-        F.count(F.lit(1)).alias("support"),
-    )
+    if "mult1" in rows.columns:
+        # m copies of i (total A) and n of j (total B): m*n pair rows whose
+        # utilities add up to n*A + m*B.
+        both = F.col("mult2") * F.col("iu1") + F.col("mult1") * F.col("iu2")
+        count = F.col("mult1") * F.col("mult2")
+        agg = rows.groupBy("item1", "item2").agg(
+            F.sum(both).alias("total_util"),
+            (F.sum(both / F.col("tu")) / F.sum(count)).alias("avg_uo"),
+            F.sum(count).alias("support"),
+        )
+    else:
+        both = F.col("iu1") + F.col("iu2")
+        agg = rows.groupBy("item1", "item2").agg(
+            F.sum(both).alias("total_util"),
+            (F.sum(both / F.col("tu")) / F.count(F.lit(1))).alias("avg_uo"),
+            F.count(F.lit(1)).alias("support"),
+        )
     return orient(agg).withColumn("itemset", itemset_label("item1", "item2")).select(
         "item1", "item2", "total_util", "avg_uo", "support", "itemset"
     )
 
 
 def pair_row_count(uo: DataFrame) -> DataFrame:
-    """Number of pair rows without building them: sum of n(n-1)/2."""
-    per_tid = uo.groupBy("tid").agg(F.count(F.lit(1)).alias("n"))
+    """Number of pair rows without building them.
+
+    Per transaction ``((sum m)^2 - sum m^2) / 2`` over its entries, which is
+    ``n(n-1)/2`` when every multiplicity ``m`` is 1 (summed duplicates).
+    """
+    m = F.col("mult") if "mult" in uo.columns else F.lit(1)
+    per_tid = uo.groupBy("tid").agg(F.sum(m).alias("s"), F.sum(m * m).alias("q"))
     return per_tid.agg(
-        F.coalesce(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.lit(0)).cast("long").alias("pair_rows")
+        F.coalesce(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2), F.lit(0)).cast("long").alias("pair_rows")
     )
 
 

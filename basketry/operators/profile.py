@@ -54,7 +54,8 @@ def basket_lists(lines: DataFrame, sep: str = " ") -> DataFrame:
 def item_support(uo: DataFrame) -> DataFrame:
     """Transactions (entries when duplicates are kept) per item,
     in item order."""
-    out = uo.groupBy("item").agg(F.count(F.lit(1)).alias("support"))
+    support = F.sum("mult") if "mult" in uo.columns else F.count(F.lit(1))
+    out = uo.groupBy("item").agg(support.alias("support"))
     return out.withColumn("item", F.col("item").cast("string")).orderBy("item")
 
 

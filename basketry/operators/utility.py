@@ -102,16 +102,22 @@ def transaction_utility(util_rows: DataFrame, given: bool = False) -> DataFrame:
 
 
 def uo_entries(lines: DataFrame, spec: MineSpec, holds: list | None = None) -> DataFrame:
-    """A3 without TU: one row per (tid, item) entry with ``iu``."""
+    """A3 without TU: one row per (tid, item) with ``iu``, the summed utility.
+
+    With kept duplicates the row also carries ``mult``, the number of lines
+    merged into it.  The kept-duplicate measures are exact functions of
+    (iu, mult): m copies of i with total A and n copies of j with total B
+    give m*n pair rows whose utilities add up to n*A + m*B.  So both modes
+    shuffle one row per distinct (tid, item), and a large group of copies
+    costs no more than one entry.
+    """
     util = row_utility(lines, spec, holds)
-    given = spec.tu == "given"
-    if spec.duplicates == "sum":
-        aggs = [F.sum("util").alias("iu")]
-        if given:
-            aggs.append(F.max("tu").alias("tu"))
-        return util.groupBy("tid", "item").agg(*aggs)
-    cols = ["tid", "item", F.col("util").alias("iu")] + (["tu"] if given else [])
-    return util.select(*cols)
+    aggs = [F.sum("util").alias("iu")]
+    if spec.duplicates == "keep":
+        aggs.append(F.count(F.lit(1)).alias("mult"))
+    if spec.tu == "given":
+        aggs.append(F.max("tu").alias("tu"))
+    return util.groupBy("tid", "item").agg(*aggs)
 
 
 def uo_list(lines: DataFrame, spec: MineSpec, clean: bool = True, holds: list | None = None) -> DataFrame:
@@ -122,12 +128,12 @@ def uo_list(lines: DataFrame, spec: MineSpec, clean: bool = True, holds: list |
     ``n_items`` is the number of entries of the transaction before any
     after-TU exclusion; it sizes the pair-join grid.
 
-    With summed duplicates each (tid, item) is one entry, so a transaction has
-    at most one row per distinct item: TU and ``n_items`` are a window over
-    tid on the entries, with no extra aggregate and join.  With kept
-    duplicates (raw lines, unbounded) or ``tu_by="aggregate"``, TU is a
-    partially aggregated ``groupBy(tid)`` joined back on tid, which AQE can
-    split when one transaction is hot.
+    Each (tid, item) is one entry (kept duplicates add a ``mult`` column), so
+    a transaction has at most one row per distinct item: TU and ``n_items``
+    are a window over tid on the entries, with no extra aggregate and join.
+    With ``tu_by="aggregate"`` TU is a partially aggregated ``groupBy(tid)``
+    joined back on tid instead, which AQE can split when one transaction is
+    hot.
     """
     if clean:
         lines = clean_lines(lines)
@@ -137,10 +143,13 @@ def uo_list(lines: DataFrame, spec: MineSpec, clean: bool = True, holds: list |
     if spec.exclude and spec.exclude_when == "before_tu":
         lines = exclude_items(lines, spec.exclude)
     entries = uo_entries(lines, spec, holds)
-    if spec.duplicates == "sum" and spec.tu_by == "window":
+    extra = ["mult"] if spec.duplicates == "keep" else []
+    if spec.tu_by == "window":
         w = Window.partitionBy("tid")
         tu = F.max("tu").over(w) if given else F.sum("iu").over(w)
-        uo = entries.select("tid", "item", "iu", tu.alias("tu"), F.count(F.lit(1)).over(w).alias("n_items"))
+        uo = entries.select(
+            "tid", "item", "iu", *extra, tu.alias("tu"), F.count(F.lit(1)).over(w).alias("n_items")
+        )
     else:
         per_tid = transaction_utility(entries, given=given)
         base = entries.drop("tu") if given else entries
@@ -155,6 +164,7 @@ def uo_list(lines: DataFrame, spec: MineSpec, clean: bool = True, holds: list |
         "tu",
         (F.col("iu") / F.col("tu")).alias("uo"),
         "n_items",
+        *extra,
     )
     if spec.exclude and spec.exclude_when == "after_tu":
         uo = exclude_items(uo, spec.exclude)

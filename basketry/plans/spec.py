@@ -41,8 +41,7 @@ tu_by
     ``"aggregate"`` a partially aggregated ``groupBy(tid)`` joined back on
                     tid, which AQE can split when one basket is huge; for
                     catalogues so large that one basket's distinct items
-                    should not sit in one task.  Always used with
-                    ``duplicates="keep"``.
+                    should not sit in one task.
 reuse
     how the UO-list, read by both the size-1 and size-2 steps, is kept:
     ``"persist"`` (MEMORY_AND_DISK), ``"checkpoint"`` (reliable, in the

@@ -50,16 +50,17 @@ rows_strategy = st.lists(
 )
 
 
-@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=16, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(rows=rows_strategy, price=st.sampled_from(["actual", "mean"]), prune=st.sampled_from(["none", "winners"]),
-       placement=st.sampled_from(["after_tu", "before_tu"]))
-def test_matches_brute_force(spark, rows, price, prune, placement):
+       placement=st.sampled_from(["after_tu", "before_tu"]), duplicates=st.sampled_from(["sum", "keep"]))
+def test_matches_brute_force(spark, rows, price, prune, placement, duplicates):
     df = spark.createDataFrame(rows, SCHEMA)
     spec = MineSpec(5.5, 0.21, 0.41, price=price, prune=prune, exclude=("POST",), exclude_when=placement,
-                    split_items=2)
+                    split_items=2, duplicates=duplicates)
     r = mine(df, spec)
     got = _as_dict(r.singles, r.pairs)
-    want = brute_mine(rows, 5.5, 0.21, 0.41, price=price, exclude=("POST",), exclude_when=placement, prune=prune)
+    want = brute_mine(rows, 5.5, 0.21, 0.41, price=price, exclude=("POST",), exclude_when=placement, prune=prune,
+                      duplicates=duplicates)
     _assert_same(got[0], want[0])
     _assert_same(got[1], want[1])
     r.release()
@@ -219,3 +220,18 @@ def test_lazy_mode_without_library_broadcasts(spark, rnd_df):
     # building the lazy run started no Spark job
     assert spark.sparkContext.statusTracker().getJobIdsForGroup(None) == jobs_before
     assert sorted(map(key, a.pairs.collect())) == sorted(map(key, b.pairs.collect()))
+
+
+def test_hot_copy_group_is_one_entry_in_keep_mode(spark):
+    rows = [("T0", "A", 1.0, 2.0)] * 5000 + [("T0", "B", 1.0, 3.0), ("T0", "C", 2.0, 1.0), ("T1", "A", 1.0, 2.0),
+                                               ("T1", "B", 1.0, 1.0)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    uo = uo_list(df, MineSpec(0, 0, duplicates="keep"))
+    a_row = uo.where((F.col("tid") == "T0") & (F.col("item") == "A")).collect()
+    assert len(a_row) == 1 and a_row[0].mult == 5000
+    r = mine(df, MineSpec(0, 0, 0, duplicates="keep"))
+    got = _as_dict(r.singles, r.pairs)
+    want = brute_mine(rows, 0, 0, 0, duplicates="keep")
+    _assert_same(got[0], want[0])
+    _assert_same(got[1], want[1])
+    assert got[1][("A", "B")][2] == 5000 + 1  # m*n pair rows: 5000 in T0, 1 in T1
