@@ -67,7 +67,11 @@ def pair_cooccurrence(uo: DataFrame, split_items: int = 4096) -> DataFrame:
     unbounded, so the distributed form is one row per member.  Group it by
     pair for counts (``support``) without materialising any list.
     """
-    rows = pair_rows(uo.select("tid", "item", "iu", "tu", "n_items"), split_items)
+    keep = [c for c in ("tid", "item", "iu", "tu", "n_items", "mult") if c in uo.columns]
+    rows = pair_rows(uo.select(*keep), split_items)
+    if "mult1" in rows.columns:
+        # kept duplicates: the tid occurs m*n times in the pair's list
+        return orient(rows.select("item1", "item2", "tid", (F.col("mult1") * F.col("mult2")).alias("copies")))
     return orient(rows.select("item1", "item2", "tid"))
 
 

@@ -235,3 +235,14 @@ def test_hot_copy_group_is_one_entry_in_keep_mode(spark):
     _assert_same(got[0], want[0])
     _assert_same(got[1], want[1])
     assert got[1][("A", "B")][2] == 5000 + 1  # m*n pair rows: 5000 in T0, 1 in T1
+
+
+def test_pair_cooccurrence_counts_copies_in_keep_mode(spark):
+    from basketry import pair_cooccurrence
+
+    rows = [("T0", "A", 1.0, 2.0)] * 3 + [("T0", "B", 1.0, 3.0)] * 2 + [("T1", "A", 1.0, 1.0), ("T1", "B", 1.0, 1.0)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {(r.tid, r.copies) for r in pair_cooccurrence(uo_list(df, MineSpec(0, 0, duplicates="keep"))).collect()}
+    assert got == {("T0", 6), ("T1", 1)}
+    plain = pair_cooccurrence(uo_list(df, MineSpec(0, 0))).columns
+    assert plain == ["item1", "item2", "tid"]
