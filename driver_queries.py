@@ -346,7 +346,7 @@ def _order_texts(spark, d, token_sep: str, fmt: str) -> DataFrame:
             F.collect_list(F.struct("l_linenumber", F.col("l_partkey").cast("string").alias("p"), "l_extendedprice"))
         ).alias("ls"),
         F.sum("l_extendedprice").alias("tu"),
-        F.first("l_returnflag").alias("flag"),
+        F.min("l_returnflag").alias("flag"),
     )
     items = F.array_join(F.transform("ls", lambda x: x["p"]), token_sep)
     if fmt == "basket":
