@@ -105,3 +105,43 @@ def test_driver_query_plans_stay_on_the_jvm_without_cartesian_joins(spark, name)
     for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython",
                 "PythonUDF", "MapInPandas", "FlatMapGroupsInPandas"):
         assert bad not in text, bad
+
+
+def test_checkpoint_dir_is_never_invented_on_a_cluster():
+    from basketry.operators.sizing import checkpoint_dir
+
+    class _Opt:
+        def isDefined(self):
+            return False
+
+    class _Jsc:
+        def sc(self):
+            return self
+
+        def getCheckpointDir(self):
+            return _Opt()
+
+    class _Conf:
+        def get(self, key, default=None):
+            return default
+
+    class _Sc:
+        master = "yarn"
+        _jsc = _Jsc()
+
+        def getConf(self):
+            return _Conf()
+
+    class _Spark:
+        sparkContext = _Sc()
+        conf = _Conf()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        checkpoint_dir(_Spark())
+
+
+def test_checkpoint_dir_reads_the_session_setting(spark):
+    from basketry.operators.sizing import checkpoint_dir
+
+    configured = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    assert checkpoint_dir(spark) == configured
