@@ -22,7 +22,7 @@ with map-side partial aggregation.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketry.functions.columns import itemset_label, grid_slices
@@ -170,36 +170,51 @@ def gate_by_winners(uo: DataFrame, winners: DataFrame, max_rows: int, holds: lis
     return keep_items(uo, winners.select("item"), max_rows=max_rows, holds=holds)
 
 
+def _max_of_others(col: str, w) -> Column:
+    """Per entry, the largest ``col`` among the *other* entries of its
+    transaction (null when it has none), from three window aggregates: the
+    top value, how many entries hold it, and the largest value below it."""
+    c = F.col(col)
+    top = F.max(c).over(w)
+    n_top = F.count(F.when(c == top, 1)).over(w)
+    below = F.max(F.when(c < top, c)).over(w)
+    return F.when((c < top) | (n_top >= 2), top).otherwise(below)
+
+
 def exact_bounds(uo: DataFrame) -> DataFrame:
     """Per-item upper bounds of any pair holding the item (§4.3).
 
-    For entry (i, t) let ``m`` be the largest utility of another entry of t.
-    Any pair (i, j) has total_util <= sum_t (iu + m) and
+    Summed duplicates: for entry (i, t) let ``m`` be the largest utility of
+    another entry of t.  Any pair (i, j) has total_util <= sum_t (iu + m) and
     avg_uo <= max_t (iu + m) / tu.  Utilities are non-negative after F2.
 
-    ``m`` is the transaction's top utility unless i is the only entry holding
-    it, then the largest utility below the top.  Both come from windows over
-    tid on the UO-list, which has one entry per distinct item of a basket and
-    is already partitioned and sorted by tid, so no exchange or sort is added.
+    Kept duplicates (``mult``): a pair's rows in t add up to
+    ``mult_j * iu_i + mult_i * iu_j`` and each row's occupancy is
+    ``(iu_i / mult_i + iu_j / mult_j) / tu``; bounding every partner term by
+    the largest among the other entries (multiplicity, total, mean copy
+    utility) gives the same two bounds.
+
+    The "largest among the others" values come from windows over tid on the
+    UO-list, which has one entry per distinct item of a basket and is already
+    partitioned and sorted by tid, so no exchange or sort is added.
     """
     w = Window.partitionBy("tid")
-    iu = F.col("iu")
-    x = uo.select("tid", "item", "iu", "tu", F.max("iu").over(w).alias("top"))
-    x = x.select(
-        "item",
-        "iu",
-        "tu",
-        "top",
-        F.count(F.when(iu == F.col("top"), 1)).over(w).alias("n_top"),
-        F.max(F.when(iu < F.col("top"), iu)).over(w).alias("below"),
-    )
-    m = F.when((iu < F.col("top")) | (F.col("n_top") >= 2), F.col("top")).otherwise(F.col("below"))
-    # A one-entry transaction has no partner (m is null) and bounds nothing.
-    rows = x.select("item", "iu", "tu", m.alias("m")).where(F.col("m").isNotNull())
-    return rows.groupBy("item").agg(
-        F.sum(F.col("iu") + F.col("m")).alias("util_bound"),
-        F.max((F.col("iu") + F.col("m")) / F.col("tu")).alias("uo_bound"),
-    )
+    if "mult" in uo.columns:
+        x = uo.select("tid", "item", "iu", "tu", "mult", (F.col("iu") / F.col("mult")).alias("per_copy"))
+        x = x.select(
+            "item", "iu", "tu", "mult", "per_copy",
+            _max_of_others("iu", w).alias("o_iu"),
+            _max_of_others("mult", w).alias("o_mult"),
+            _max_of_others("per_copy", w).alias("o_per_copy"),
+        ).where(F.col("o_iu").isNotNull())
+        util = F.col("o_mult") * F.col("iu") + F.col("mult") * F.col("o_iu")
+        occ = (F.col("per_copy") + F.col("o_per_copy")) / F.col("tu")
+    else:
+        x = uo.select("item", "iu", "tu", _max_of_others("iu", w).alias("o_iu")).where(F.col("o_iu").isNotNull())
+        util = F.col("iu") + F.col("o_iu")
+        occ = util / F.col("tu")
+    # A one-entry transaction has no partner and bounds nothing (filtered above).
+    return x.groupBy("item").agg(F.sum(util).alias("util_bound"), F.max(occ).alias("uo_bound"))
 
 
 def exact_candidates(uo: DataFrame, min_util: float, min_uo: float) -> DataFrame:

@@ -22,7 +22,7 @@ prune
     ``"none"``    every co-occurring pair is measured
     ``"winners"`` pairs only of size-1 winners (lossy, reference parity)
     ``"exact"``   pairs only of items whose upper bounds reach the thresholds
-                  (no false dismissals; requires ``duplicates="sum"``)
+                  (no false dismissals; both duplicate modes)
 min_tu
     optional TU floor on top of ``TU > 0``
 split_items
@@ -94,11 +94,6 @@ class MineSpec:
         ):
             if value not in allowed:
                 raise ValueError(f"MineSpec.{name}={value!r}; expected one of {allowed}")
-        if self.prune == "exact" and self.duplicates == "keep":
-            raise ValueError(
-                'prune="exact" needs duplicates="sum": with kept duplicates a '
-                "repeated pair counts m*n times and the utility bound no longer holds"
-            )
         if self.split_items < 1:
             raise ValueError("split_items must be >= 1")
         object.__setattr__(self, "exclude", tuple(self.exclude))

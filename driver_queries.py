@@ -810,3 +810,9 @@ def q_hot_basket_pairs_tu_aggregate(spark, d):
     (AQE can split the hot transaction) instead of the window."""
     spec = MineSpec(split_items=HOT_SPLIT, tu_by="aggregate", **HOT_T)
     return _pairs_out(mine(lines_hot_basket(spark, d), spec).pairs)
+
+
+@query("pairs_exact_keep", _mine_sql(O.LINES_L, O.PAIRS_OUT_SQL, duplicates="keep", prune="none", **L_T))
+def q_pairs_exact_keep(spark, d):
+    """Exact pruning with kept duplicates: equal to the ungated result."""
+    return _pairs_out(mine(lines_l(spark, d), MineSpec(duplicates="keep", prune="exact", **L_T)).pairs)

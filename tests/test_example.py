@@ -79,7 +79,7 @@ def test_spec_rejects_bad_policy():
     with pytest.raises(ValueError):
         MineSpec(1, 0.1, price="random")
     with pytest.raises(ValueError):
-        MineSpec(1, 0.1, prune="exact", duplicates="keep")
+        MineSpec(1, 0.1, split_items=0)
 
 
 def test_duplicates_keep_counts_each_line(example):

@@ -51,7 +51,7 @@ rows_strategy = st.lists(
 
 
 @settings(max_examples=16, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(rows=rows_strategy, price=st.sampled_from(["actual", "mean"]), prune=st.sampled_from(["none", "winners"]),
+@given(rows=rows_strategy, price=st.sampled_from(["actual", "mean"]), prune=st.sampled_from(["none", "winners", "exact"]),
        placement=st.sampled_from(["after_tu", "before_tu"]), duplicates=st.sampled_from(["sum", "keep"]))
 def test_matches_brute_force(spark, rows, price, prune, placement, duplicates):
     df = spark.createDataFrame(rows, SCHEMA)
@@ -59,8 +59,9 @@ def test_matches_brute_force(spark, rows, price, prune, placement, duplicates):
                     split_items=2, duplicates=duplicates)
     r = mine(df, spec)
     got = _as_dict(r.singles, r.pairs)
-    want = brute_mine(rows, 5.5, 0.21, 0.41, price=price, exclude=("POST",), exclude_when=placement, prune=prune,
-                      duplicates=duplicates)
+    # exact pruning has no false dismissals: its answer is the ungated one
+    want = brute_mine(rows, 5.5, 0.21, 0.41, price=price, exclude=("POST",), exclude_when=placement,
+                      prune="none" if prune == "exact" else prune, duplicates=duplicates)
     _assert_same(got[0], want[0])
     _assert_same(got[1], want[1])
     r.release()
@@ -246,3 +247,20 @@ def test_pair_cooccurrence_counts_copies_in_keep_mode(spark):
     assert got == {("T0", 6), ("T1", 1)}
     plain = pair_cooccurrence(uo_list(df, MineSpec(0, 0))).columns
     assert plain == ["item1", "item2", "tid"]
+
+
+def test_keep_mode_exact_bounds_prune_and_stay_exact(spark):
+    rnd = random.Random(5)
+    rows = []
+    for t in range(30):
+        for _ in range(rnd.randint(1, 7)):
+            rows.append((f"T{t}", str(rnd.randint(1, 8)), float(rnd.randint(1, 3)), float(rnd.randint(1, 9))))
+    df = spark.createDataFrame(rows, SCHEMA)
+    bounds = sorted(r.util_bound for r in P.exact_bounds(uo_list(df, MineSpec(0, 0, duplicates="keep"))).collect())
+    cut = (bounds[len(bounds) // 2] + bounds[len(bounds) // 2 + 1]) / 2
+    spec = MineSpec(cut, 0.1, 0.2, duplicates="keep")
+    exact = mine(df, spec.with_(prune="exact"))
+    assert exact.candidates.select("item").distinct().count() < df.select("item").distinct().count()
+    want = brute_mine(rows, cut, 0.1, 0.2, duplicates="keep")[1]
+    got = {(r.item1, r.item2): (r.total_util, r.avg_uo, r.support) for r in exact.pairs.collect()}
+    _assert_same(got, want)
