@@ -45,7 +45,8 @@ def _field(df: DataFrame, *path: str, dtype: str = "double") -> Column:
 
 def read_event_log(spark, path: str) -> DataFrame:
     """Event-log JSON lines with an ``app_key`` (one per application)."""
-    raw = spark.read.json(path)
+    # Rolled logs sit in one eventlog_v2_* folder per application.
+    raw = spark.read.option("recursiveFileLookup", "true").json(path)
     file = F.col("_metadata.file_path")
     key = F.regexp_replace(file, r"/events_[0-9]+_[^/]*$", "")
     return raw.withColumn("app_key", key)

@@ -68,3 +68,18 @@ def test_run_metrics_by_job_group(spark, tmp_dir):
         assert r.run_time_sec > 0 and r.shuffle_write_mb > 0 and r.succeeded is True
     whole = run_metrics(spark, logdir).first()
     assert whole.run_time_sec >= rows["mean_gated"].run_time_sec + rows["actual_ungated"].run_time_sec - 1e-6
+
+
+def test_run_metrics_reads_rolled_logs(spark, tmp_dir):
+    logdir = os.path.join(tmp_dir, "events")
+    os.makedirs(logdir)
+    script = os.path.join(tmp_dir, "app.py")
+    app = APP.replace('.config("spark.eventLog.rolling.enabled", "false")',
+                      '.config("spark.eventLog.rolling.enabled", "true")')
+    assert app != APP
+    with open(script, "w") as f:
+        f.write(app.format(root=ROOT, logdir="file://" + logdir))
+    subprocess.run([sys.executable, script], check=True, timeout=600, capture_output=True)
+    assert any(n.startswith("eventlog_v2_") for n in os.listdir(logdir))
+    rows = run_metrics(spark, logdir).collect()
+    assert len(rows) == 1 and rows[0].run_time_sec > 0 and rows[0].succeeded is True
