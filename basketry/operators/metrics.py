@@ -1,8 +1,8 @@
 """Run metrics from Spark event logs.
 
 The reference polls a history server over HTTP.  Event logs hold the same
-numbers, so this reads them as JSON with Spark and rolls them up per
-application with ordinary aggregates:
+numbers, so this reads them with Spark and rolls them up per application (or
+per job group) with ordinary aggregates:
 
 * ``run_time_sec``      sum of task executor run time
 * ``shuffle_read_mb``   sum of remote + local shuffle bytes read
@@ -12,9 +12,13 @@ application with ordinary aggregates:
                         logged (local mode reports the driver as executor)
 * ``succeeded``         an application-end event exists and no job failed
 
-Write logs uncompressed and unrolled for this reader
-(``spark.eventLog.compress=false``, ``spark.eventLog.rolling.enabled=false``);
-rolled logs are grouped by their ``eventlog_v2_*`` folder.
+Logs may be single files or rolled (one ``eventlog_v2_*`` folder per
+application, Spark 4's default), plain or zstd-compressed (Spark 4's
+default codec).  Plain files are read as text on the JVM; ``.zstd`` files
+are decompressed by a small ``mapInPandas`` helper (built-in readers do not
+know Spark's ``.zstd`` naming), which yields lines in bounded batches.  All
+lines are parsed with ``from_json`` against the fields used below, so no
+schema-inference pass is made.
 """
 
 from __future__ import annotations
@@ -28,6 +32,50 @@ from pyspark.sql import types as T
 MB = 1024.0 * 1024.0
 
 
+def _mem() -> T.StructType:
+    return T.StructType([T.StructField("JVMHeapMemory", T.LongType()), T.StructField("JVMOffHeapMemory", T.LongType())])
+
+
+# The event-log fields read here (Spark listener JSON names).
+EVENT_SCHEMA = T.StructType(
+    [
+        T.StructField("Event", T.StringType()),
+        T.StructField("App ID", T.StringType()),
+        T.StructField("Job ID", T.LongType()),
+        T.StructField("Stage IDs", T.ArrayType(T.LongType())),
+        T.StructField("Properties", T.StructType([T.StructField("spark.jobGroup.id", T.StringType())])),
+        T.StructField("Stage ID", T.LongType()),
+        T.StructField(
+            "Task Metrics",
+            T.StructType(
+                [
+                    T.StructField("Executor Run Time", T.LongType()),
+                    T.StructField(
+                        "Shuffle Read Metrics",
+                        T.StructType(
+                            [
+                                T.StructField("Remote Bytes Read", T.LongType()),
+                                T.StructField("Local Bytes Read", T.LongType()),
+                            ]
+                        ),
+                    ),
+                    T.StructField(
+                        "Shuffle Write Metrics",
+                        T.StructType([T.StructField("Shuffle Bytes Written", T.LongType())]),
+                    ),
+                ]
+            ),
+        ),
+        T.StructField("Task Executor Metrics", _mem()),
+        T.StructField("Executor Metrics", _mem()),
+        T.StructField("Maximum Memory", T.LongType()),
+        T.StructField("Job Result", T.StructType([T.StructField("Result", T.StringType())])),
+    ]
+)
+
+LINES_PER_BATCH = 20000
+
+
 def _has(schema: T.StructType, path: list[str]) -> bool:
     cur = schema
     for name in path:
@@ -43,13 +91,48 @@ def _field(df: DataFrame, *path: str, dtype: str = "double") -> Column:
     return F.lit(None).cast(dtype)
 
 
+def _zstd_lines(batches):
+    """mapInPandas helper: (path, content) of .zstd files -> (file, value)
+    lines, in batches of at most ``LINES_PER_BATCH``."""
+    import io
+
+    import pandas as pd
+    import zstandard
+
+    for pdf in batches:
+        for path, content in zip(pdf["path"], pdf["content"]):
+            reader = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(content), read_across_frames=True)
+            buf = []
+            for line in io.TextIOWrapper(reader, encoding="utf-8"):
+                buf.append(line.rstrip("\n"))
+                if len(buf) >= LINES_PER_BATCH:
+                    yield pd.DataFrame({"file": path, "value": buf})
+                    buf = []
+            if buf:
+                yield pd.DataFrame({"file": path, "value": buf})
+
+
 def read_event_log(spark, path: str) -> DataFrame:
-    """Event-log JSON lines with an ``app_key`` (one per application)."""
-    # Rolled logs sit in one eventlog_v2_* folder per application.
-    raw = spark.read.option("recursiveFileLookup", "true").json(path)
-    file = F.col("_metadata.file_path")
-    key = F.regexp_replace(file, r"/events_[0-9]+_[^/]*$", "")
-    return raw.withColumn("app_key", key)
+    """Event-log events (EVENT_SCHEMA columns) with an ``app_key`` per
+    application: the file, or the ``eventlog_v2_*`` folder of rolled logs."""
+    plain = (
+        spark.read.option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", "*[!d]")  # everything but *.zstd
+        .text(path)
+        .select(F.col("_metadata.file_path").alias("file"), "value")
+    )
+    packed = (
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", "*.zstd")
+        .load(path)
+        .select("path", "content")
+        .mapInPandas(_zstd_lines, "file string, value string")
+    )
+    lines = plain.unionByName(packed).where(F.col("value").startswith("{"))
+    ev = lines.select("file", F.from_json("value", EVENT_SCHEMA).alias("e")).select("file", "e.*")
+    key = F.regexp_replace(F.col("file"), r"/events_[0-9]+_[^/]*$", "")
+    return ev.withColumn("app_key", key)
 
 
 @contextmanager

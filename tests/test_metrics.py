@@ -83,3 +83,25 @@ def test_run_metrics_reads_rolled_logs(spark, tmp_dir):
     assert any(n.startswith("eventlog_v2_") for n in os.listdir(logdir))
     rows = run_metrics(spark, logdir).collect()
     assert len(rows) == 1 and rows[0].run_time_sec > 0 and rows[0].succeeded is True
+
+
+def test_run_metrics_reads_default_spark4_logs(spark, tmp_dir):
+    """Spark 4 defaults: rolled logs, zstd-compressed."""
+    logdir = os.path.join(tmp_dir, "events")
+    os.makedirs(logdir)
+    script = os.path.join(tmp_dir, "app.py")
+    app = APP.replace('.config("spark.eventLog.compress", "false")\n', "").replace(
+        '.config("spark.eventLog.rolling.enabled", "false")\n', ""
+    )
+    assert "eventLog.compress" not in app and "rolling" not in app
+    with open(script, "w") as f:
+        f.write(app.format(root=ROOT, logdir="file://" + logdir))
+    subprocess.run([sys.executable, script], check=True, timeout=600, capture_output=True)
+    files = [n for _, _, fs in os.walk(logdir) for n in fs]
+    assert any(n.endswith(".zstd") for n in files)
+    rows = run_metrics(spark, logdir).collect()
+    assert len(rows) == 1
+    r = rows[0]
+    assert r.run_time_sec > 0 and r.shuffle_write_mb > 0 and r.succeeded is True
+    groups = {g.run for g in run_metrics(spark, logdir, by="job_group").collect()}
+    assert {"mean_gated", "actual_ungated"} <= groups
