@@ -124,3 +124,14 @@ def test_nan_and_non_positive_lines_are_dropped(spark):
         "tid string, item string, quantity double, unit_price double",
     )
     assert [r.item for r in clean_lines(df).collect()] == ["E"]
+
+
+@pytest.mark.parametrize("prune", ["none", "winners", "exact"])
+def test_empty_input(spark, prune):
+    from basketry import compare
+
+    empty = spark.createDataFrame([], "tid string, item string, quantity double, unit_price double")
+    r = mine(empty, MineSpec(1.0, 0.1, 0.1, price="mean", prune=prune))
+    assert r.singles.count() == 0 and r.pairs.count() == 0
+    row = compare(r.pairs, r.pairs).first()
+    assert (row.n_any, row.jaccard) == (0, 0.0)
