@@ -135,6 +135,55 @@ def read_event_log(spark, path: str) -> DataFrame:
     return ev.withColumn("app_key", key)
 
 
+def _app_metrics(ev: DataFrame) -> DataFrame:
+    """One pass over the events: every figure is a conditional aggregate of
+    one ``groupBy(app_key)``."""
+    e = F.col("Event")
+    task = e == "SparkListenerTaskEnd"
+    zero = F.lit(0.0)
+
+    def mem(field):
+        return F.coalesce(_field(ev, field, "JVMHeapMemory"), zero) + F.coalesce(
+            _field(ev, field, "JVMOffHeapMemory"), zero
+        )
+
+    agg = ev.groupBy("app_key").agg(
+        F.max(F.when(e == "SparkListenerApplicationStart", _field(ev, "App ID", dtype="string"))).alias("app_id"),
+        F.sum(F.when(task, _field(ev, "Task Metrics", "Executor Run Time"))).alias("run_ms"),
+        F.sum(
+            F.when(
+                task,
+                F.coalesce(_field(ev, "Task Metrics", "Shuffle Read Metrics", "Remote Bytes Read"), zero)
+                + F.coalesce(_field(ev, "Task Metrics", "Shuffle Read Metrics", "Local Bytes Read"), zero),
+            )
+        ).alias("read_b"),
+        F.sum(F.when(task, _field(ev, "Task Metrics", "Shuffle Write Metrics", "Shuffle Bytes Written"))).alias(
+            "write_b"
+        ),
+        F.max(F.when(task, mem("Task Executor Metrics"))).alias("task_peak_b"),
+        F.max(
+            F.when(e.isin("SparkListenerStageExecutorMetrics", "SparkListenerExecutorMetricsUpdate"), mem("Executor Metrics"))
+        ).alias("stage_peak_b"),
+        F.max(F.when(e == "SparkListenerBlockManagerAdded", _field(ev, "Maximum Memory"))).alias("limit_b"),
+        F.max(F.when(e == "SparkListenerApplicationEnd", 1).otherwise(0)).alias("ended"),
+        F.sum(
+            F.when(
+                (e == "SparkListenerJobEnd") & (_field(ev, "Job Result", "Result", dtype="string") != "JobSucceeded"), 1
+            ).otherwise(0)
+        ).alias("failed_jobs"),
+    )
+    peak = F.greatest(F.coalesce(F.col("task_peak_b"), zero), F.coalesce(F.col("stage_peak_b"), zero))
+    peak = F.when(peak > 0, peak).otherwise(F.col("limit_b"))
+    return agg.where(F.col("app_id").isNotNull()).select(
+        "app_id",
+        (F.coalesce(F.col("run_ms"), zero) / 1000.0).alias("run_time_sec"),
+        (F.coalesce(F.col("read_b"), zero) / MB).alias("shuffle_read_mb"),
+        (F.coalesce(F.col("write_b"), zero) / MB).alias("shuffle_write_mb"),
+        (F.coalesce(peak, zero) / MB).alias("max_executor_mb"),
+        ((F.col("ended") == 1) & (F.col("failed_jobs") == 0)).alias("succeeded"),
+    )
+
+
 @contextmanager
 def tagged(spark, name: str):
     """Tag every Spark job started inside the block with job group ``name``,
@@ -159,78 +208,66 @@ def run_metrics(spark, path: str, by: str = "app") -> DataFrame:
     if by not in ("app", "job_group"):
         raise ValueError('by must be "app" or "job_group"')
     ev = read_event_log(spark, path)
+    if by == "app":
+        return _app_metrics(ev)
+    return _run_metrics_by_group(ev)
+
+
+def _run_metrics_by_group(ev: DataFrame) -> DataFrame:
+    """One row per (application, job group); tasks are attributed to the job
+    group of the first job that ran their stage."""
     e = F.col("Event")
-    keys = ["app_key"]
-    tasks_ev = ev.where(e == "SparkListenerTaskEnd")
-    if by == "job_group":
-        jobs = ev.where(e == "SparkListenerJobStart").select(
-            "app_key",
-            _field(ev, "Job ID", dtype="long").alias("job_id"),
-            F.explode(F.col("`Stage IDs`")).alias("stage_id"),
-            F.coalesce(_field(ev, "Properties", "spark.jobGroup.id", dtype="string"), F.lit("")).alias("run"),
-        )
-        stage_run = jobs.groupBy("app_key", "stage_id").agg(F.min_by("run", "job_id").alias("run"))
-        tasks_ev = tasks_ev.withColumn("stage_id", _field(ev, "Stage ID", dtype="long")).join(
-            stage_run, ["app_key", "stage_id"], "inner"
-        )
-        job_run = jobs.select("app_key", "job_id", "run").distinct()
-        keys = ["app_key", "run"]
-    apps = ev.where(e == "SparkListenerApplicationStart").select(
-        "app_key", _field(ev, "App ID", dtype="string").alias("app_id")
-    )
-    tasks = tasks_ev.groupBy(*keys).agg(
-        F.sum(_field(ev, "Task Metrics", "Executor Run Time")).alias("run_ms"),
-        F.sum(
-            F.coalesce(_field(ev, "Task Metrics", "Shuffle Read Metrics", "Remote Bytes Read"), F.lit(0.0))
-            + F.coalesce(_field(ev, "Task Metrics", "Shuffle Read Metrics", "Local Bytes Read"), F.lit(0.0))
-        ).alias("read_b"),
-        F.sum(_field(ev, "Task Metrics", "Shuffle Write Metrics", "Shuffle Bytes Written")).alias("write_b"),
-        F.max(
-            F.coalesce(_field(ev, "Task Executor Metrics", "JVMHeapMemory"), F.lit(0.0))
-            + F.coalesce(_field(ev, "Task Executor Metrics", "JVMOffHeapMemory"), F.lit(0.0))
-        ).alias("task_peak_b"),
-    )
-    peak_stage = F.coalesce(_field(ev, "Executor Metrics", "JVMHeapMemory"), F.lit(0.0)) + F.coalesce(
-        _field(ev, "Executor Metrics", "JVMOffHeapMemory"), F.lit(0.0)
-    )
-    stage_peaks = ev.where(
-        e.isin("SparkListenerStageExecutorMetrics", "SparkListenerExecutorMetricsUpdate")
-    ).groupBy("app_key").agg(F.max(peak_stage).alias("stage_peak_b"))
-    limits = ev.where(e == "SparkListenerBlockManagerAdded").groupBy("app_key").agg(
-        F.max(_field(ev, "Maximum Memory")).alias("limit_b")
-    )
-    ended = ev.groupBy("app_key").agg(
-        F.max(F.when(e == "SparkListenerApplicationEnd", 1).otherwise(0)).alias("ended")
-    )
-    job_ends = ev.where(e == "SparkListenerJobEnd").select(
+    zero = F.lit(0.0)
+    jobs = ev.where(e == "SparkListenerJobStart").select(
         "app_key",
         _field(ev, "Job ID", dtype="long").alias("job_id"),
-        (_field(ev, "Job Result", "Result", dtype="string") != "JobSucceeded").alias("failed"),
+        F.explode(F.col("`Stage IDs`")).alias("stage_id"),
+        F.coalesce(_field(ev, "Properties", "spark.jobGroup.id", dtype="string"), F.lit("")).alias("run"),
     )
-    if by == "job_group":
-        job_ends = job_ends.join(job_run, ["app_key", "job_id"], "inner")
-    failures = job_ends.groupBy(*keys).agg(F.sum(F.col("failed").cast("int")).alias("failed_jobs"))
-    out = (
-        tasks.join(apps, "app_key", "inner")
-        .join(stage_peaks, "app_key", "left")
-        .join(limits, "app_key", "left")
-        .join(ended, "app_key", "left")
-        .join(failures, keys, "left")
+    stage_run = jobs.groupBy("app_key", "stage_id").agg(F.min_by("run", "job_id").alias("run"))
+    job_run = jobs.select("app_key", "job_id", "run").distinct()
+    tasks = (
+        ev.where(e == "SparkListenerTaskEnd")
+        .withColumn("stage_id", _field(ev, "Stage ID", dtype="long"))
+        .join(stage_run, ["app_key", "stage_id"], "inner")
+        .groupBy("app_key", "run")
+        .agg(
+            F.sum(_field(ev, "Task Metrics", "Executor Run Time")).alias("run_ms"),
+            F.sum(
+                F.coalesce(_field(ev, "Task Metrics", "Shuffle Read Metrics", "Remote Bytes Read"), zero)
+                + F.coalesce(_field(ev, "Task Metrics", "Shuffle Read Metrics", "Local Bytes Read"), zero)
+            ).alias("read_b"),
+            F.sum(_field(ev, "Task Metrics", "Shuffle Write Metrics", "Shuffle Bytes Written")).alias("write_b"),
+            F.max(
+                F.coalesce(_field(ev, "Task Executor Metrics", "JVMHeapMemory"), zero)
+                + F.coalesce(_field(ev, "Task Executor Metrics", "JVMOffHeapMemory"), zero)
+            ).alias("task_peak_b"),
+        )
     )
-    # Peak: for a whole application the task- and stage-level executor peaks,
-    # or the memory limit when no peak was logged (as the history server
-    # reports it); for a run, its own task-level peaks only.
-    if by == "app":
-        peak = F.greatest(F.col("task_peak_b"), F.coalesce(F.col("stage_peak_b"), F.lit(0.0)))
-        peak = F.when(peak > 0, peak).otherwise(F.col("limit_b"))
-    else:
-        # A run reports only peaks logged for its own tasks (null when none).
-        peak = F.when(F.col("task_peak_b") > 0, F.col("task_peak_b"))
-    cols = ["app_id"] + (["run"] if by == "job_group" else []) + [
-        (F.coalesce(F.col("run_ms"), F.lit(0.0)) / 1000.0).alias("run_time_sec"),
-        (F.coalesce(F.col("read_b"), F.lit(0.0)) / MB).alias("shuffle_read_mb"),
-        (F.coalesce(F.col("write_b"), F.lit(0.0)) / MB).alias("shuffle_write_mb"),
-        ((F.coalesce(peak, F.lit(0.0)) if by == "app" else peak) / MB).alias("max_executor_mb"),
+    per_app = ev.groupBy("app_key").agg(
+        F.max(F.when(e == "SparkListenerApplicationStart", _field(ev, "App ID", dtype="string"))).alias("app_id"),
+        F.max(F.when(e == "SparkListenerApplicationEnd", 1).otherwise(0)).alias("ended"),
+    )
+    failures = (
+        ev.where(e == "SparkListenerJobEnd")
+        .select(
+            "app_key",
+            _field(ev, "Job ID", dtype="long").alias("job_id"),
+            (_field(ev, "Job Result", "Result", dtype="string") != "JobSucceeded").alias("failed"),
+        )
+        .join(job_run, ["app_key", "job_id"], "inner")
+        .groupBy("app_key", "run")
+        .agg(F.sum(F.col("failed").cast("int")).alias("failed_jobs"))
+    )
+    out = tasks.join(per_app, "app_key", "inner").join(failures, ["app_key", "run"], "left")
+    # A run reports only peaks logged for its own tasks (null when none).
+    peak = F.when(F.col("task_peak_b") > 0, F.col("task_peak_b"))
+    return out.select(
+        "app_id",
+        "run",
+        (F.coalesce(F.col("run_ms"), zero) / 1000.0).alias("run_time_sec"),
+        (F.coalesce(F.col("read_b"), zero) / MB).alias("shuffle_read_mb"),
+        (F.coalesce(F.col("write_b"), zero) / MB).alias("shuffle_write_mb"),
+        (peak / MB).alias("max_executor_mb"),
         ((F.col("ended") == 1) & (F.coalesce(F.col("failed_jobs"), F.lit(0)) == 0)).alias("succeeded"),
-    ]
-    return out.select(*cols)
+    )
