@@ -121,7 +121,11 @@ def _grid_pair_rows(uo: DataFrame, split_items: int, keep_cells: bool) -> DataFr
         every.alias("cell_a"),
         own.alias("cell_b"),
     )
-    rows = left.join(right, on=["tid", "cell_a", "cell_b"], how="inner").where(
+    # The grid only spreads work if both sides are shuffled on the cell keys.
+    # A broadcast join would keep the streamed side where it is, and the
+    # UO-list holds a whole transaction in one tid partition, so the grid
+    # join is pinned to a shuffled sort-merge join.
+    rows = left.hint("merge").join(right, on=["tid", "cell_a", "cell_b"], how="inner").where(
         F.col("item1") < F.col("item2")
     )
     return rows if keep_cells else rows.drop("cell_a", "cell_b")

@@ -145,3 +145,15 @@ def test_checkpoint_dir_reads_the_session_setting(spark):
 
     configured = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     assert checkpoint_dir(spark) == configured
+
+
+def test_grid_join_is_shuffled_even_when_broadcast_is_allowed(spark):
+    # A broadcast would leave a hot transaction in its one tid partition.
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(1 << 30))
+    try:
+        uo = uo_list(Q.lines_hot_basket(spark, SF001), MineSpec(0, 0))
+        text = _formatted(P._grid_pair_rows(uo.where("n_items > 8"), 8, False))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in text and "BroadcastHashJoin" not in text
+    assert "hashpartitioning(tid" in text and "cell_a" in text
