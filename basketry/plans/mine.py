@@ -71,7 +71,11 @@ def mine(lines: DataFrame, spec: MineSpec, clean: bool = True) -> MineResult:
     all_singles = P.singles(uo)
     singles = P.as_text(P.keep_rule(all_singles, spec.min_util, spec.min_uo_single))
     cand = candidates(uo, all_singles, spec, holds)
-    pairs = P.keep_rule(P.pairs(cand, spec.split_items), spec.min_util, spec.pair_uo)
+    # With eager checks allowed, probe for large baskets so that the grid
+    # branch (two shuffles) is planned only when some basket needs it.
+    pairs = P.keep_rule(
+        P.pairs(cand, spec.split_items, check_hot=spec.broadcast_max_rows > 0), spec.min_util, spec.pair_uo
+    )
     return MineResult(spec=spec, uo=uo, singles=singles, pairs=pairs, candidates=cand, holds=holds)
 
 
