@@ -72,3 +72,17 @@ def components(edges: DataFrame) -> DataFrame:
             break
         seen = now
     return nodes.join(e, F.col("node") == F.col("u"), "left").select("node", F.coalesce("v", "node").alias("component"))
+
+
+def row_key(id_col: str, text_col: str):
+    """Key of a row by id and text; a struct, so that null ids match too."""
+    return F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"))
+
+
+def rows_of(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``keys(key, ...)`` joined with ``row``, one of the rows of ``docs`` with that key.
+
+    Rows that repeat id and text count once.  One shuffle of the documents.
+    """
+    rows = docs.select(row_key(id_col, text_col).alias("key"), F.struct("*").alias("row"))
+    return rows.groupBy("key").agg(F.first("row").alias("row")).join(keys, "key")

@@ -16,7 +16,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketry.llm.common import SPACE, written
+from basketry.llm.common import SPACE, row_key, rows_of, written
 
 BLOCK_BYTES = 8192
 
@@ -48,7 +48,8 @@ def block_names(texts: DataFrame, max_bytes: int, block_bytes: int = BLOCK_BYTES
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, keep_id, group_size, kept, text_sha256``.
+    """One row per row of ``docs``: ``doc_id, keep_id, group_size, kept, text_sha256``,
+    and ``key`` to join by.
 
     Texts are equal when identical without white space; a null text is empty.
     Of equal texts the row with the most code points stays, then the smallest id
@@ -58,34 +59,27 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     body = F.regexp_replace(text, SPACE + "+", "").cast("binary")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.char_length(text).alias("n_chars"), body.alias("body"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("key"), F.char_length(text).alias("n_chars"), body.alias("body"))
     rows = rows.withColumns({"n_bytes": F.octet_length("body"), "sig": F.xxhash64("body")})
     slim = written(rows.withColumn("text_sha256", F.sha2("body", 256)).drop("body"), "slim")
     shared = written(slim.groupBy("sig", "n_bytes").count().where("count > 1").drop("count"), "shared")
-    alone = slim.join(shared, ["sig", "n_bytes"], "left_anti").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
+    alone = slim.join(shared, ["sig", "n_bytes"], "left_anti").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256", "key")
     cand = rows.join(shared, ["sig", "n_bytes"], "left_semi").drop("sig").withColumn("rid", F.monotonically_increasing_id())
     cand = written(cand, "candidates")
     max_bytes = cand.agg(F.max("n_bytes")).first()[0] or 0
     named = block_names(cand.select("rid", "body"), max_bytes, block_bytes)
-    meta = cand.select("rid", "doc_id", "n_chars", F.sha2("body", 256).alias("text_sha256"))
+    meta = cand.select("rid", "doc_id", "key", "n_chars", F.sha2("body", 256).alias("text_sha256"))
     named = written(named.join(meta, "rid"), "named")
     first = F.min(F.struct((-F.col("n_chars")).alias("c"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid"))
     groups = written(named.groupBy("n_blocks", "name").agg(F.count("*").alias("group_size"), first.alias("first")), "groups")
-    told = named.join(groups, ["n_blocks", "name"]).select("doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("first.rid")).alias("kept"), "text_sha256")
+    told = named.join(groups, ["n_blocks", "name"]).select("doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("first.rid")).alias("kept"), "text_sha256", "key")
     return alone.unionByName(told)
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that :func:`exact_dedup` drops, all columns kept.
-
-    Rows that repeat both id and normalised text leave one row, the longest.
-    """
-    kept = exact_dedup(docs, id_col, text_col).where("kept").select("doc_id", "text_sha256").distinct()
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    sha = F.sha2(F.regexp_replace(text, SPACE + "+", "").cast("binary"), 256)
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), sha.alias("sha"), F.char_length(text).alias("n"))
-    rows = rows.join(kept, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("sha") == F.col("text_sha256")), "left_semi")
-    return rows.groupBy("id", "sha").agg(F.max_by("row", "n").alias("row")).select("row.*")
+    """``docs`` without the rows that :func:`exact_dedup` drops, all columns kept."""
+    kept = exact_dedup(docs, id_col, text_col).where("kept").select("key").distinct()
+    return rows_of(docs, kept, id_col, text_col).select("row.*")
 
 
 ORACLE = r"""

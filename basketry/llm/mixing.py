@@ -13,7 +13,7 @@ import math
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from basketry.llm.common import SPACE, WORD, written
+from basketry.llm.common import SPACE, WORD, row_key, rows_of, written
 
 KEY_BITS = 60
 WEIGHTS = (5, 2, 1)
@@ -47,7 +47,7 @@ def source_targets(totals: DataFrame, weights=WEIGHTS, share: float = SHARE, max
 
 def mix_sources(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", weights=WEIGHTS, share=SHARE, max_epochs=MAX_EPOCHS, seed: str = "mix") -> DataFrame:
     """One row per row of ``docs``: ``doc_id, size, source_size, target, taken``, and
-    ``source`` and ``text_key`` (hash of the text) to join by.
+    ``source`` and ``row_key`` to join by.
 
     ``size`` counts words; a null text has none.  ``taken`` sums to the floor of the
     target in each source: the document at the cut gives only the words that are
@@ -62,7 +62,7 @@ def mix_sources(docs: DataFrame, id_col="doc_id", text_col="text", source_col="s
         F.col(id_col).alias("doc_id"),
         F.col(source_col).alias("source"),
         F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.xxhash64(text).alias("text_key"),
+        row_key(id_col, text_col).alias("row_key"),
         key.alias("key"),
     )
     slim = written(slim, "sizes")
@@ -84,7 +84,7 @@ def mix_sources(docs: DataFrame, id_col="doc_id", text_col="text", source_col="s
     place = F.sum("size").over(W.partitionBy("source", "part").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)) - F.col("size")
     rows = slim.withColumn("place", place).join(parts, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p")))
     last = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("start") - F.col("place")))
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + last).alias("taken"), "source", "text_key")
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + last).alias("taken"), "source", "row_key")
 
 
 def mixed_documents(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", **policy) -> DataFrame:
@@ -96,10 +96,8 @@ def mixed_documents(docs: DataFrame, id_col="doc_id", text_col="text", source_co
     common ``taken``.
     """
     mix = mix_sources(docs, id_col, text_col, source_col, **policy)
-    mix = mix.groupBy("doc_id", "text_key").agg(F.max("size").alias("size"), F.sum("taken").alias("taken")).where("taken > 0")
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"))
-    rows = rows.groupBy("id", "h").agg(F.first("row").alias("row"))
-    rows = rows.join(mix, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("text_key")))
+    mix = mix.groupBy(F.col("row_key").alias("key")).agg(F.max("size").alias("size"), F.sum("taken").alias("taken")).where("taken > 0")
+    rows = rows_of(docs, mix, id_col, text_col)
     rows = rows.withColumn("words", F.explode(F.concat(F.array_repeat(F.col("size"), F.expr("cast(taken div size as int)")), F.filter(F.array(F.col("taken") % F.col("size")), lambda w: w > 0))))
     whole = F.col("row")[text_col]
     start = F.array_join(F.slice(F.regexp_extract_all(whole, F.lit(f"{SPACE}*{WORD}"), F.lit(0)), 1, F.col("words").cast("int")), "")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from basketry.llm import exact_dedup as op6
 from basketry.llm import mixing as op10
+from basketry.llm import simhash as op7
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,7 +14,11 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op6.exact_dedup(_documents(spark, sf_dir))
+    return op6.exact_dedup(_documents(spark, sf_dir)).drop("key")
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7.simhash_groups(_documents(spark, sf_dir)).drop("key")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,5 +28,6 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REGISTRY = {
     "op6_exact_dedup": (op6_exact_dedup, op6.ORACLE),
+    "op7_simhash": (op7_simhash, None),
     "op10_mixing": (op10_mixing, op10.ORACLE),
 }
