@@ -22,8 +22,9 @@ BLOCK_BYTES = 8192
 
 
 def _named(keys: DataFrame, cols: list[str], name: str) -> DataFrame:
-    """Distinct ``keys`` in sorted order with an integer ``name`` each."""
-    ranked = keys.select(*cols).distinct().orderBy(*cols)
+    """Distinct ``keys`` with an integer ``name`` each: their place in sorted order
+    within the hash partition that ``distinct`` put them in, so no range sort."""
+    ranked = keys.select(*cols).distinct().sortWithinPartitions(*cols)
     return written(ranked.withColumn("name", F.monotonically_increasing_id()), name)
 
 
