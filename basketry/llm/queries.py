@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from basketry.llm import exact_dedup as op6
 from basketry.llm import mixing as op10
+from basketry.llm import packing as op1
 from basketry.llm import simhash as op7
 
 
@@ -13,6 +14,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1.with_crc(op1.pack_documents(_documents(spark, sf_dir)))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6.exact_dedup(_documents(spark, sf_dir)).drop("key")
 
@@ -27,6 +32,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REGISTRY = {
+    "op1_packing": (op1_packing, None),
     "op6_exact_dedup": (op6_exact_dedup, op6.ORACLE),
     "op7_simhash": (op7_simhash, None),
     "op10_mixing": (op10_mixing, op10.ORACLE),
