@@ -50,7 +50,7 @@ class Packer:
     def _take(self, room: int) -> list[tuple]:
         """Pieces that fill ``room``: whole rests, longest first, then a cut one."""
         got = []
-        while room:
+        while room > 0:
             i = bisect_right(self.rests, (room, self.serial + 1)) - 1
             if i >= 0:
                 piece = self.rests.pop(i)[2]
@@ -73,6 +73,8 @@ class Packer:
                 piece = self.rests.pop()[2]
                 out.append((tier, [piece, *self._take(tier - len(piece[3]))]))
                 self.tokens -= tier
+            if self.rests and self.rests[-1][0] > shorter:
+                break  # too few tokens for a window of this tier
         if last:
             for tier in self.tiers:
                 while self.tokens >= tier:
