@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from basketry.llm import exact_dedup as op6
+from basketry.llm import langid as op2
 from basketry.llm import mixing as op10
 from basketry.llm import packing as op1
 from basketry.llm import simhash as op7
+from basketry.llm import toxicity as op8
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +20,12 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1.with_crc(op1.pack_documents(_documents(spark, sf_dir)))
 
 
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = _documents(spark, sf_dir), op2.held_out("doc_id", 3, 1)
+    model = op2.train(docs, allowed=~held)
+    return op2.identify(docs.select("doc_id", "text"), model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6.exact_dedup(_documents(spark, sf_dir)).drop("key")
 
@@ -26,6 +34,14 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7.simhash_groups(_documents(spark, sf_dir)).drop("key")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = _documents(spark, sf_dir), op2.held_out("doc_id", 4, 2)
+    langs = op2.train(docs, allowed=~held)
+    model = op8.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~held, langs=langs)
+    told = op8.score_toxicity(docs.select("doc_id", "text"), model, langs)
+    return told.select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = op10.mix_sources(_documents(spark, sf_dir))
     return mix.select("doc_id", "size", "source_size", "target", "taken")
@@ -33,7 +49,9 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REGISTRY = {
     "op1_packing": (op1_packing, None),
+    "op2_langid": (op2_langid, None),
     "op6_exact_dedup": (op6_exact_dedup, op6.ORACLE),
     "op7_simhash": (op7_simhash, None),
+    "op8_toxicity": (op8_toxicity, None),
     "op10_mixing": (op10_mixing, op10.ORACLE),
 }

@@ -1,0 +1,84 @@
+"""Language ID and toxicity: held-out accuracy, edge rows, same rows again."""
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from basketry.llm import langid, toxicity
+from basketry.llm.queries import op2_langid, op8_toxicity
+from tests.conftest import SF01
+
+ROWS = [(1, None, "x"), (2, "", "x"), (3, "12 $$ --", None), (None, "the and of that thing", "x"), (5, "der und die einlich", None), (5, "der und die einlich", None), (7, "the " * 60_000, "x")]
+
+
+def test_grams_by_sets():
+    for text in ["", "a", "ab", "Ab cd", "é" * 40, "a b" * 50]:
+        low = text.lower()
+        want = {low[i : i + n] for n in (1, 2, 3) for i in range(len(low) - n + 1)}
+        assert len(langid.grams(text)) == len(want)
+    long = "".join(map(chr, np.random.default_rng(0).integers(97, 123, 3000)))
+    whole, chunk = langid.grams(long), langid.CHUNK
+    try:
+        langid.CHUNK = 100
+        assert (langid.grams(long) == whole).all()
+    finally:
+        langid.CHUNK = chunk
+
+
+def test_languages_held_out(spark):
+    rows = op2_langid(spark, SF01)
+    assert rows.columns == ["doc_id", "held_out", "lang_pred", "score"]
+    truth = spark.read.parquet(f"{SF01}/documents.parquet").select("doc_id", "lang")
+    got = rows.join(truth, "doc_id").where("held_out and lang is not null")
+    assert got.where("lang_pred = lang").count() >= 0.97 * got.count() > 0
+    assert rows.where("score < 0 or score > 1 or score is null").count() == 0
+    assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, op2_langid(spark, SF01).collect()))
+
+
+def test_language_edge_rows(spark):
+    docs = spark.read.parquet(f"{SF01}/documents.parquet")
+    model = langid.train(docs, train_rows=60)
+    df = spark.createDataFrame(ROWS, "doc_id bigint, text string, lang string").withColumns({"score": F.lit("s"), "grams": F.lit(1)})
+    got = {(r.doc_id, r.text): r for r in langid.identify(df, model).collect()}
+    assert langid.identify(df, model).count() == len(ROWS)
+    assert [got[i, t].lang_pred for i, t, _ in ROWS] == ["und", "und", "und", "en", "de", "de", "en"]
+    assert got[1, None].score == 0
+    assert langid.identify(df.limit(0), model).count() == 0
+    assert langid.train(df.limit(0)) is None
+    assert {r.lang_pred for r in langid.identify(df, None).collect()} == {"und"}
+    kept = langid.keep_identified(df.withColumn("lang", F.when(F.col("doc_id") == 5, "de").otherwise("en")))
+    assert kept.columns == df.columns and kept.count() == 4
+    assert langid.keep_identified(df.limit(0)).count() == 0
+
+
+def test_toxicity_held_out(spark):
+    rows = op8_toxicity(spark, SF01)
+    assert rows.columns == ["doc_id", "held_out", "score", "predicted"]
+    assert rows.where("score is null or score < 0 or score > 1 or (predicted = 1) <> (score >= 0.3)").count() == 0
+    got = rows.join(spark.read.parquet(f"{SF01}/labels.parquet"), "doc_id").where("held_out and toxic is not null").join(spark.read.parquet(f"{SF01}/documents.parquet").where("lang = 'en'"), "doc_id").collect()
+    hit = sum(r.predicted == r.toxic for r in got)
+    assert hit >= 0.95 * len(got)  # few labels of other languages at this size
+    caught = [r.predicted for r in got if r.toxic == 1]
+    assert sum(caught) >= 0.8 * len(caught)
+
+
+def test_toxicity_edge_rows(spark):
+    df = spark.createDataFrame(ROWS, "doc_id bigint, text string, lang string").withColumns({"predicted": F.lit("s"), "ids": F.lit(1)})
+    labels = spark.createDataFrame([(1, 0), (2, 1), (2, 1), (3, None), (None, 1), (5, 1), (7, 0)], "doc_id bigint, toxic int")
+    model = toxicity.train(df, labels)
+    got = toxicity.score_toxicity(df, model, None).collect()
+    assert len(got) == len(ROWS) and all(0 <= r.score <= 1 for r in got)
+    assert toxicity.train(df, labels.where("toxic = 1")) is None
+    assert {r.score for r in toxicity.score_toxicity(df, None, None).collect()} == {0.0}
+    assert toxicity.score_toxicity(df.limit(0), model, None).count() == 0
+
+
+def test_long_texts_in_stretches():
+    words, rng = toxicity._Words(), np.random.default_rng(0)
+    texts = [toxicity.word_ids(" ".join(f"w{i}" for i in rng.integers(0, 50, n)), words) for n in (0, 1, 5, 400)]
+    model = toxicity.train_filters(texts, np.array([0, 1, 0, 1]), epochs=1)
+    whole, chunk = model.raw(texts), toxicity.CHUNK
+    try:
+        toxicity.CHUNK = 50
+        assert np.allclose(model.raw(texts), whole, atol=1e-4)
+    finally:
+        toxicity.CHUNK = chunk
