@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from basketry.llm import attribution as op3
 from basketry.llm import exact_dedup as op6
+from basketry.llm import hnsw as op5
 from basketry.llm import langid as op2
 from basketry.llm import mixing as op10
 from basketry.llm import packing as op1
+from basketry.llm import pii as op9
 from basketry.llm import simhash as op7
 from basketry.llm import toxicity as op8
 
@@ -26,6 +29,14 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2.identify(docs.select("doc_id", "text"), model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3.section_tokens(_documents(spark, sf_dir))
+
+
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5.vector_links(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6.exact_dedup(_documents(spark, sf_dir)).drop("key")
 
@@ -42,6 +53,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9.digest(op9.pseudonymise(_documents(spark, sf_dir).select("doc_id", "text"), "production key"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = op10.mix_sources(_documents(spark, sf_dir))
     return mix.select("doc_id", "size", "source_size", "target", "taken")
@@ -50,8 +65,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 REGISTRY = {
     "op1_packing": (op1_packing, None),
     "op2_langid": (op2_langid, None),
+    "op3_token_counts": (op3_token_counts, None),
+    "op5_embedding_dedup": (op5_embedding_dedup, None),
     "op6_exact_dedup": (op6_exact_dedup, op6.ORACLE),
     "op7_simhash": (op7_simhash, None),
     "op8_toxicity": (op8_toxicity, None),
+    "op9_pii": (op9_pii, None),
     "op10_mixing": (op10_mixing, op10.ORACLE),
 }
