@@ -12,6 +12,7 @@ from basketry.llm import mixing as op10
 from basketry.llm import packing as op1
 from basketry.llm import pii as op9
 from basketry.llm import simhash as op7
+from basketry.llm import suffix_dedup as op4
 from basketry.llm import toxicity as op8
 
 
@@ -33,6 +34,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3.section_tokens(_documents(spark, sf_dir))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4.digest(op4.remove_repeats(_documents(spark, sf_dir)))
+
+
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5.vector_links(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -66,6 +71,7 @@ REGISTRY = {
     "op1_packing": (op1_packing, None),
     "op2_langid": (op2_langid, None),
     "op3_token_counts": (op3_token_counts, None),
+    "op4_suffix_dedup": (op4_suffix_dedup, None),
     "op5_embedding_dedup": (op5_embedding_dedup, None),
     "op6_exact_dedup": (op6_exact_dedup, op6.ORACLE),
     "op7_simhash": (op7_simhash, None),
