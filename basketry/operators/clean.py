@@ -27,13 +27,17 @@ def drop_incomplete(df: DataFrame, columns: Iterable[str] | None = None) -> Data
 
 
 def keep_positive(df: DataFrame) -> DataFrame:
-    """quantity > 0 and unit_price > 0, both real numbers.
+    """quantity > 0 and unit_price > 0, both finite numbers.
 
     NaN sorts above every number in Spark, so ``> 0`` alone would keep it;
-    NaN is removed explicitly (the ``> 0`` parts still reach the scan).
+    one upper bound removes NaN and infinity (and reaches the scan too).
     """
-    q, p = F.col("quantity"), F.col("unit_price")
-    return df.where((q > 0) & (p > 0) & ~F.isnan(q) & ~F.isnan(p))
+    return df.where(finite_positive("quantity") & finite_positive("unit_price"))
+
+
+def finite_positive(column: str):
+    """Condition: a number above zero that is neither NaN nor infinite."""
+    return (F.col(column) > 0) & (F.col(column) < F.lit(float("inf")))
 
 
 def _is_string(df: DataFrame, column: str) -> bool:
@@ -52,10 +56,14 @@ def drop_blank_items(df: DataFrame) -> DataFrame:
     return df.where(F.length(F.col("item")) > 0)
 
 
-def clean_lines(df: DataFrame) -> DataFrame:
+def clean_lines(df: DataFrame, given_tu: bool = False) -> DataFrame:
     """F1 + F2 + F9 in one step; Catalyst pushes the null and range checks
-    into the Parquet scan when the lines come straight from a table."""
-    required = ["tid", "item", "quantity", "unit_price"] + (["tu"] if "tu" in df.columns else [])
+    into the Parquet scan when the lines come straight from a table.
+
+    ``given_tu``: the ``tu`` column will be used, so lines without it go too;
+    a computed TU does not need the column, whatever it holds.
+    """
+    required = ["tid", "item", "quantity", "unit_price"] + (["tu"] if given_tu else [])
     return drop_blank_items(keep_positive(drop_incomplete(df, required)))
 
 

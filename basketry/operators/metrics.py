@@ -13,12 +13,10 @@ per job group) with ordinary aggregates:
 * ``succeeded``         an application-end event exists and no job failed
 
 Logs may be single files or rolled (one ``eventlog_v2_*`` folder per
-application, Spark 4's default), plain or zstd-compressed (Spark 4's
-default codec).  Plain files are read as text on the JVM; ``.zstd`` files
-are decompressed by a small ``mapInPandas`` helper (built-in readers do not
-know Spark's ``.zstd`` naming), which yields lines in bounded batches.  All
-lines are parsed with ``from_json`` against the fields used below, so no
-schema-inference pass is made.
+application), written with ``spark.eventLog.compress=false``.  They are read
+as text and parsed with ``from_json`` against the fields used below, so no
+schema-inference pass is made.  The driver is no executor: its memory counts only
+where it runs the tasks itself, in local mode.
 """
 
 from __future__ import annotations
@@ -66,6 +64,9 @@ EVENT_SCHEMA = T.StructType(
                 ]
             ),
         ),
+        T.StructField("Executor ID", T.StringType()),
+        T.StructField("Task Info", T.StructType([T.StructField("Executor ID", T.StringType())])),
+        T.StructField("Block Manager ID", T.StructType([T.StructField("Executor ID", T.StringType())])),
         T.StructField("Task Executor Metrics", _mem()),
         T.StructField("Executor Metrics", _mem()),
         T.StructField("Maximum Memory", T.LongType()),
@@ -73,9 +74,6 @@ EVENT_SCHEMA = T.StructType(
     ]
 )
 
-LINES_PER_BATCH = 20000
-
-
 def _has(schema: T.StructType, path: list[str]) -> bool:
     cur = schema
     for name in path:
@@ -91,46 +89,23 @@ def _field(df: DataFrame, *path: str, dtype: str = "double") -> Column:
     return F.lit(None).cast(dtype)
 
 
-def _zstd_lines(batches):
-    """mapInPandas helper: (path, content) of .zstd files -> (file, value)
-    lines, in batches of at most ``LINES_PER_BATCH``."""
-    import io
-
-    import pandas as pd
-    import zstandard
-
-    for pdf in batches:
-        for path, content in zip(pdf["path"], pdf["content"]):
-            reader = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(content), read_across_frames=True)
-            buf = []
-            for line in io.TextIOWrapper(reader, encoding="utf-8"):
-                buf.append(line.rstrip("\n"))
-                if len(buf) >= LINES_PER_BATCH:
-                    yield pd.DataFrame({"file": path, "value": buf})
-                    buf = []
-            if buf:
-                yield pd.DataFrame({"file": path, "value": buf})
-
-
 def read_event_log(spark, path: str) -> DataFrame:
     """Event-log events (EVENT_SCHEMA columns) with an ``app_key`` per
-    application: the file, or the ``eventlog_v2_*`` folder of rolled logs."""
-    plain = (
-        spark.read.option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*[!d]")  # everything but *.zstd
-        .text(path)
-        .select(F.col("_metadata.file_path").alias("file"), "value")
-    )
-    packed = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.zstd")
-        .load(path)
-        .select("path", "content")
-        .mapInPandas(_zstd_lines, "file string, value string")
-    )
-    lines = plain.unionByName(packed).where(F.col("value").startswith("{"))
-    ev = lines.select("file", F.from_json("value", EVENT_SCHEMA).alias("e")).select("file", "e.*")
+    application: the file, or the ``eventlog_v2_*`` folder of rolled logs.
+
+    Every file under ``path`` is read, whatever its name.  A line that is no
+    JSON object, such as any of a compressed log, is an error naming the file.
+    """
+    raw = spark.read.option("recursiveFileLookup", "true").text(path)
+    raw = raw.select(F.col("_metadata.file_path").alias("file"), "value")
+    # Spark's own codecs: readers may see such a file as empty, so its name decides.
+    packed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    packed = packed.select(F.col("path").alias("file"), F.lit("packed").alias("value"))
+    raw = raw.unionByName(packed.where(F.col("file").rlike(r"\.(zstd|lz4|lzf|snappy)(\.inprogress)?$")))
+    raw = raw.where(F.trim("value") != "")
+    bad = F.concat(F.lit("not a plain event log (write it with spark.eventLog.compress=false): "), F.col("file"))
+    line = F.when(F.col("value").startswith("{"), F.col("value")).otherwise(F.raise_error(bad))
+    ev = raw.select("file", F.from_json(line, EVENT_SCHEMA).alias("e")).select("file", "e.*")
     key = F.regexp_replace(F.col("file"), r"/events_[0-9]+_[^/]*$", "")
     return ev.withColumn("app_key", key)
 
@@ -147,6 +122,19 @@ def _app_metrics(ev: DataFrame) -> DataFrame:
             _field(ev, field, "JVMOffHeapMemory"), zero
         )
 
+    task_peak = F.when(task, mem("Task Executor Metrics"))
+    stage_peak = F.when(
+        e.isin("SparkListenerStageExecutorMetrics", "SparkListenerExecutorMetricsUpdate"), mem("Executor Metrics")
+    )
+    limit = F.when(e == "SparkListenerBlockManagerAdded", _field(ev, "Maximum Memory"))
+    peak = F.greatest(F.coalesce(task_peak, zero), F.coalesce(stage_peak, zero))
+    runner = F.coalesce(
+        _field(ev, "Task Info", "Executor ID", dtype="string"),
+        _field(ev, "Executor ID", dtype="string"),
+        _field(ev, "Block Manager ID", "Executor ID", dtype="string"),
+    )
+    executor = runner.isNotNull() & (runner != "driver")
+
     agg = ev.groupBy("app_key").agg(
         F.max(F.when(e == "SparkListenerApplicationStart", _field(ev, "App ID", dtype="string"))).alias("app_id"),
         F.sum(F.when(task, _field(ev, "Task Metrics", "Executor Run Time"))).alias("run_ms"),
@@ -160,11 +148,11 @@ def _app_metrics(ev: DataFrame) -> DataFrame:
         F.sum(F.when(task, _field(ev, "Task Metrics", "Shuffle Write Metrics", "Shuffle Bytes Written"))).alias(
             "write_b"
         ),
-        F.max(F.when(task, mem("Task Executor Metrics"))).alias("task_peak_b"),
-        F.max(
-            F.when(e.isin("SparkListenerStageExecutorMetrics", "SparkListenerExecutorMetricsUpdate"), mem("Executor Metrics"))
-        ).alias("stage_peak_b"),
-        F.max(F.when(e == "SparkListenerBlockManagerAdded", _field(ev, "Maximum Memory"))).alias("limit_b"),
+        F.max(F.when(executor, 1).otherwise(0)).alias("executors"),
+        F.max(F.when(executor, peak)).alias("executor_peak_b"),
+        F.max(peak).alias("any_peak_b"),
+        F.max(F.when(executor, limit)).alias("executor_limit_b"),
+        F.max(limit).alias("any_limit_b"),
         F.max(F.when(e == "SparkListenerApplicationEnd", 1).otherwise(0)).alias("ended"),
         F.sum(
             F.when(
@@ -172,8 +160,10 @@ def _app_metrics(ev: DataFrame) -> DataFrame:
             ).otherwise(0)
         ).alias("failed_jobs"),
     )
-    peak = F.greatest(F.coalesce(F.col("task_peak_b"), zero), F.coalesce(F.col("stage_peak_b"), zero))
-    peak = F.when(peak > 0, peak).otherwise(F.col("limit_b"))
+    own = F.col("executors") == 1
+    peak = F.when(own, F.col("executor_peak_b")).otherwise(F.col("any_peak_b"))
+    limit = F.when(own, F.col("executor_limit_b")).otherwise(F.col("any_limit_b"))
+    peak = F.when(peak > 0, peak).otherwise(limit)
     return agg.where(F.col("app_id").isNotNull()).select(
         "app_id",
         (F.coalesce(F.col("run_ms"), zero) / 1000.0).alias("run_time_sec"),

@@ -71,7 +71,7 @@ def keep_rule(df: DataFrame, min_util: float, min_uo: float) -> DataFrame:
     )
 
 
-def pair_rows(uo: DataFrame, split_items: int = 4096, keep_cells: bool = False, check_hot: bool = False) -> DataFrame:
+def pair_rows(uo: DataFrame, split_items: int = 4096, keep_cells: bool = False) -> DataFrame:
     """One row per co-occurrence (tid, item1 < item2) with both utilities.
 
     ``uo`` needs tid, item, iu, tu and n_items.  ``item1 < item2`` in the
@@ -82,9 +82,8 @@ def pair_rows(uo: DataFrame, split_items: int = 4096, keep_cells: bool = False,
     UO-list is already hash-partitioned and sorted by tid, so that join needs
     no exchange at all.  Larger transactions take the grid join on
     ``(tid, cell_a, cell_b)``.  ``keep_cells`` keeps the cell columns (0, 0 on
-    the local path) for inspection.  ``check_hot`` first probes (one
-    ``limit(1)`` job) whether any transaction is that large and leaves the
-    grid branch out when none is; without it the branch is always planned.
+    the local path) for inspection.  Both paths are always planned, without
+    a job to look which one has rows; AQE drops the empty one's shuffles.
     """
     m1 = [F.col("mult").alias("mult1")] if "mult" in uo.columns else []
     m2 = [F.col("mult").alias("mult2")] if "mult" in uo.columns else []
@@ -97,12 +96,13 @@ def pair_rows(uo: DataFrame, split_items: int = 4096, keep_cells: bool = False,
     )
     if keep_cells:
         local = local.withColumn("cell_a", F.lit(0)).withColumn("cell_b", F.lit(0))
-    if check_hot and hot.limit(1).count() == 0:
-        return local
     return local.unionByName(_grid_pair_rows(hot, split_items, keep_cells))
 
 
 def _grid_pair_rows(uo: DataFrame, split_items: int, keep_cells: bool) -> DataFrame:
+    # The UO-list holds a transaction in one partition: spread its entries over
+    # the tasks before each of them is copied to a row of cells.
+    uo = uo.repartition("tid", "item")
     s = grid_slices(F.col("n_items"), split_items)
     own = F.pmod(F.xxhash64("item"), s.cast("long")).cast("int")
     every = F.explode(F.sequence(F.lit(0), s - F.lit(1)))
@@ -135,9 +135,9 @@ def _grid_pair_rows(uo: DataFrame, split_items: int, keep_cells: bool) -> DataFr
     return rows if keep_cells else rows.drop("cell_a", "cell_b")
 
 
-def pairs(cand: DataFrame, split_items: int = 4096, check_hot: bool = False) -> DataFrame:
+def pairs(cand: DataFrame, split_items: int = 4096) -> DataFrame:
     """A5 + D9: (item1, item2, total_util, avg_uo, support, itemset)."""
-    rows = pair_rows(cand, split_items, check_hot=check_hot)
+    rows = pair_rows(cand, split_items)
     if "mult1" in rows.columns:
         # m copies of i (total A) and n of j (total B): m*n pair rows whose
         # utilities add up to n*A + m*B.

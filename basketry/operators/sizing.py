@@ -33,29 +33,26 @@ def bounded_broadcast(
     """Return ``(broadcast(df), True)`` when ``df`` has at most ``max_rows``
     rows and about ``max_bytes`` bytes.
 
-    The bound is proven by one aggregate over at most ``max_rows + 1`` rows
-    of the persisted frame (row count and summed row bytes), so the
-    broadcast side is never larger than that.  Beyond either bound the frame
+    The bound is proven by one partially aggregated count and sum of row
+    bytes (a row from each task), so the broadcast side is never larger than
+    that.  Beyond either bound the frame
     is returned unhinted and the join falls back to a shuffle (sort-merge,
-    with AQE skew splitting).  Either way the computed frame stays persisted
-    for the join that reads it; it is appended to ``holds`` so the caller
-    releases it at its scope edge (without ``holds`` it is released at once
-    when too large).  ``max_rows <= 0`` disables the broadcast and the check,
+    with AQE skew splitting).  With ``holds`` the computed frame stays
+    persisted for the join that reads it and is appended to ``holds``, so the
+    caller releases it at its scope edge; without ``holds`` nothing is
+    persisted.  ``max_rows <= 0`` disables the broadcast and the check,
     so a plan that uses it stays fully lazy.
     """
     if max_rows <= 0:
         # Broadcasts disabled: no eager check, an ordinary (shuffle) join.
         return df, False
-    held = df.persist(StorageLevel.MEMORY_AND_DISK)
-    probe = held.limit(max_rows + 1)
-    size = probe.agg(F.count(F.lit(1)).alias("n"), F.sum(_row_bytes(probe)).alias("b")).first()
+    held = df
     if holds is not None:
+        held = df.persist(StorageLevel.MEMORY_AND_DISK)
         holds.append(held)
+    size = held.agg(F.count(F.lit(1)).alias("n"), F.sum(_row_bytes(held)).alias("b")).first()
     if size.n <= max_rows and (size.b or 0) <= max_bytes:
         return F.broadcast(held), True
-    if holds is None:
-        held.unpersist()
-        return df, False
     return held, False
 
 

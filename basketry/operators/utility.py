@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketry.functions.columns import hash_price
-from basketry.operators.clean import clean_lines, exclude_items
+from basketry.operators.clean import clean_lines, exclude_items, finite_positive
 from basketry.operators.sizing import bounded_broadcast
 
 if TYPE_CHECKING:
@@ -135,9 +135,9 @@ def uo_list(lines: DataFrame, spec: MineSpec, clean: bool = True, holds: list |
     joined back on tid instead, which AQE can split when one transaction is
     hot.
     """
-    if clean:
-        lines = clean_lines(lines)
     given = spec.tu == "given"
+    if clean:
+        lines = clean_lines(lines, given_tu=given and "tu" in lines.columns)
     if given and "tu" not in lines.columns:
         raise ValueError('tu="given" needs a "tu" column')
     if spec.exclude and spec.exclude_when == "before_tu":
@@ -154,7 +154,7 @@ def uo_list(lines: DataFrame, spec: MineSpec, clean: bool = True, holds: list |
         per_tid = transaction_utility(entries, given=given)
         base = entries.drop("tu") if given else entries
         uo = base.join(per_tid, on="tid", how="inner")
-    keep = F.col("tu") > 0
+    keep = finite_positive("tu")
     if spec.min_tu is not None:
         keep = keep & (F.col("tu") >= F.lit(float(spec.min_tu)))
     uo = uo.where(keep).select(
@@ -175,11 +175,13 @@ def remaining_occupancy(uo: DataFrame) -> DataFrame:
     """Share of the transaction held by the items after ``item``.
 
     ``ruo(i, t) = sum of uo(j, t) over items j > i`` (string order), 0 for the
-    last item.  Runs as a window over tid ordered by item.
+    last item.  Runs as a window over tid in descending item order, where the
+    items after it are a growing frame, summed once; the same frame written
+    as "following" rows would be summed anew for every row.
     """
     w = (
         Window.partitionBy("tid")
-        .orderBy(F.col("item").cast("string"))
-        .rowsBetween(1, Window.unboundedFollowing)
+        .orderBy(F.col("item").cast("string").desc())
+        .rowsBetween(Window.unboundedPreceding, -1)
     )
     return uo.withColumn("ruo", F.coalesce(F.sum("uo").over(w), F.lit(0.0)))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,15 +16,30 @@ from basketry.plans.spec import MineSpec
 
 @dataclass
 class MineResult:
-    """Lazy frames of one mining run (M6)."""
+    """Lazy frames of one mining run (M6).
+
+    ``candidates`` and ``pairs`` are built when first asked for, so the size
+    check of the gate runs only for callers that want pairs.
+    """
 
     spec: MineSpec
     uo: DataFrame
-    singles: DataFrame
-    pairs: DataFrame
-    candidates: DataFrame
+    all_singles: DataFrame
     holds: list = field(default_factory=list)
 
+    @cached_property
+    def singles(self) -> DataFrame:
+        return P.as_text(P.keep_rule(self.all_singles, self.spec.min_util, self.spec.min_uo_single))
+
+    @cached_property
+    def candidates(self) -> DataFrame:
+        return candidates(self.uo, self.all_singles, self.spec, self.holds)
+
+    @cached_property
+    def pairs(self) -> DataFrame:
+        rows = P.pairs(self.candidates, self.spec.split_items)
+        return P.keep_rule(rows, self.spec.min_util, self.spec.pair_uo)
+
     def release(self) -> None:
         """Drop the held UO-list and the held small sides (scope edge of P1)."""
         self.uo.unpersist()
@@ -68,26 +84,23 @@ def mine(lines: DataFrame, spec: MineSpec, clean: bool = True) -> MineResult:
     """
     holds: list = []
     uo = keep(uo_list(lines, spec, clean=clean, holds=holds), spec.reuse)
-    all_singles = P.singles(uo)
-    singles = P.as_text(P.keep_rule(all_singles, spec.min_util, spec.min_uo_single))
-    cand = candidates(uo, all_singles, spec, holds)
-    # With eager checks allowed, probe for large baskets so that the grid
-    # branch (two shuffles) is planned only when some basket needs it.
-    pairs = P.keep_rule(
-        P.pairs(cand, spec.split_items, check_hot=spec.broadcast_max_rows > 0), spec.min_util, spec.pair_uo
-    )
-    return MineResult(spec=spec, uo=uo, singles=singles, pairs=pairs, candidates=cand, holds=holds)
-
-
-def mine_many(runs) -> DataFrame:
+    return MineResult(spec=spec, uo=uo, all_singles=P.singles(uo), holds=holds)
+
+
+def mine_many(runs, results: list | None = None) -> DataFrame:
     """Several (name, lines, spec) runs as one frame with a ``dataset`` column.
 
     Each run keeps its own thresholds; the result is the union of the
-    combined (size 1 and 2) results.
+    combined (size 1 and 2) results.  The runs' ``MineResult`` objects are
+    appended to ``results``, for the caller to release after reading; without
+    it nothing is held, and every run reads its input as often as it needs.
     """
     frames = []
     for name, lines, spec in runs:
-        frames.append(mine(lines, spec).combined().withColumn("dataset", F.lit(name)))
+        result = mine(lines, spec if results is not None else replace(spec, reuse="none", broadcast_max_rows=0))
+        if results is not None:
+            results.append(result)
+        frames.append(result.combined().withColumn("dataset", F.lit(name)))
     if not frames:
         raise ValueError("mine_many needs at least one run")
     out = frames[0]

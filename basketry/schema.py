@@ -29,60 +29,6 @@ BASKET_LINES = T.StructType(
     ]
 )
 
-OPTIONAL_LINE_COLUMNS = ("tu", "customer_id", "seq")
-
-UO_LIST = T.StructType(
-    [
-        T.StructField("tid", T.StringType(), True),
-        T.StructField("item", T.StringType(), True),
-        T.StructField("iu", T.DoubleType(), True),
-        T.StructField("tu", T.DoubleType(), True),
-        T.StructField("uo", T.DoubleType(), True),
-        T.StructField("n_items", T.LongType(), True),
-    ]
-)
-
-SINGLES = T.StructType(
-    [
-        T.StructField("item", T.StringType(), True),
-        T.StructField("total_util", T.DoubleType(), True),
-        T.StructField("avg_uo", T.DoubleType(), True),
-        T.StructField("support", T.LongType(), True),
-    ]
-)
-
-PAIRS = T.StructType(
-    [
-        T.StructField("item1", T.StringType(), True),
-        T.StructField("item2", T.StringType(), True),
-        T.StructField("total_util", T.DoubleType(), True),
-        T.StructField("avg_uo", T.DoubleType(), True),
-        T.StructField("support", T.LongType(), True),
-        T.StructField("itemset", T.StringType(), True),
-    ]
-)
-
-COMPARISON = T.StructType(
-    [
-        T.StructField("n_left", T.LongType(), True),
-        T.StructField("n_right", T.LongType(), True),
-        T.StructField("n_common", T.LongType(), True),
-        T.StructField("n_any", T.LongType(), True),
-        T.StructField("jaccard", T.DoubleType(), True),
-    ]
-)
-
-RUN_METRICS = T.StructType(
-    [
-        T.StructField("app_id", T.StringType(), True),
-        T.StructField("run_time_sec", T.DoubleType(), True),
-        T.StructField("shuffle_read_mb", T.DoubleType(), True),
-        T.StructField("shuffle_write_mb", T.DoubleType(), True),
-        T.StructField("max_executor_mb", T.DoubleType(), True),
-        T.StructField("succeeded", T.BooleanType(), True),
-    ]
-)
-
 
 def require_columns(df: DataFrame, columns, what: str = "input") -> DataFrame:
     """Raise ``ValueError`` naming every missing column (F11); return ``df``."""

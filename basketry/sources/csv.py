@@ -26,31 +26,41 @@ def _read_csv(spark, path: str, encoding: str) -> DataFrame:
     )
 
 
-def parse_retail(df: DataFrame, required=RETAIL_COLUMNS) -> DataFrame:
+def parse_retail(df: DataFrame, required=RETAIL_COLUMNS, mapping: dict | None = None) -> DataFrame:
     """S1 mapping: InvoiceNo, StockCode, Quantity, UnitPrice, CustomerID.
 
+    ``mapping`` names the source column of any of the five that the file
+    calls otherwise, as ``{"InvoiceNo": "order_id", ...}``.
+
     ``required`` are the columns whose null drops the row (the Spark scripts
     require all five, the Python version only CustomerID).
     """
-    require_columns(df, RETAIL_COLUMNS, "retail CSV")
+    mapping = mapping or {}
+    strange = [c for c in mapping if c not in RETAIL_COLUMNS]
+    if strange:
+        raise ValueError(f"mapping keys must be among {RETAIL_COLUMNS}: {strange}")
+    source = {c: mapping.get(c, c) for c in RETAIL_COLUMNS}
+    require_columns(df, source.values(), "retail CSV")
     unknown = [c for c in required if c not in RETAIL_COLUMNS]
     if unknown:
         raise ValueError(f"required columns must be among {RETAIL_COLUMNS}: {unknown}")
     out = df.select(
-        F.col("InvoiceNo").cast("string").alias("tid"),
-        F.col("StockCode").cast("string").alias("item"),
-        F.col("Quantity").try_cast("double").alias("quantity"),
-        F.col("UnitPrice").try_cast("double").alias("unit_price"),
-        F.col("CustomerID").cast("string").alias("customer_id"),
+        F.col(source["InvoiceNo"]).cast("string").alias("tid"),
+        F.col(source["StockCode"]).cast("string").alias("item"),
+        F.col(source["Quantity"]).try_cast("double").alias("quantity"),
+        F.col(source["UnitPrice"]).try_cast("double").alias("unit_price"),
+        F.col(source["CustomerID"]).cast("string").alias("customer_id"),
     )
     rename = {"InvoiceNo": "tid", "StockCode": "item", "Quantity": "quantity", "UnitPrice": "unit_price", "CustomerID": "customer_id"}
     return out.dropna(subset=[rename[c] for c in required])
 
 
-def read_csv_baskets(spark, path: str, encoding: str = "UTF-8", required=RETAIL_COLUMNS) -> DataFrame:
+def read_csv_baskets(
+    spark, path: str, encoding: str = "UTF-8", required=RETAIL_COLUMNS, mapping: dict | None = None
+) -> DataFrame:
     """Retail invoice lines.  Use ``encoding="ISO-8859-1"`` for the
     latin-1 export the Python reader expects."""
-    return parse_retail(_read_csv(spark, path, encoding), required)
+    return parse_retail(_read_csv(spark, path, encoding), required, mapping)
 
 
 def parse_member_day(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
-def write_patterns(df: DataFrame, path: str, mode: str = "overwrite", fmt: str = "parquet", partition_by=None) -> None:
+def write_patterns(df: DataFrame, path: str, mode: str = "errorifexists", fmt: str = "parquet", partition_by=None) -> None:
     """Write a result frame (singles, pairs, combined, comparison) to ``path``.
 
     The reference only prints results; here they are a table any engine can

@@ -42,7 +42,7 @@ from basketry import (
 )
 from basketry.operators.clean import clean_lines, exclude_items, keep_numeric_items, merge_duplicates
 from basketry.operators.utility import mean_prices, transaction_utility, uo_entries
-from basketry.sources.csv import parse_member_day
+from basketry.sources.csv import parse_member_day, parse_retail
 from basketry.sources.text import parse_line_baskets, parse_utility_lines
 
 # Thresholds per dataset, chosen off the data values at sf0.01.
@@ -816,3 +816,53 @@ def q_hot_basket_pairs_tu_aggregate(spark, d):
 def q_pairs_exact_keep(spark, d):
     """Exact pruning with kept duplicates: equal to the ungated result."""
     return _pairs_out(mine(lines_l(spark, d), MineSpec(duplicates="keep", prune="exact", **L_T)).pairs)
+
+
+# ------------------------------------------------- unclean and renamed input
+
+@query(
+    "retail_lines_mapped",
+    "SELECT CAST(l_orderkey AS VARCHAR) AS tid, CAST(l_partkey AS VARCHAR) AS item, l_quantity AS quantity, "
+    "l_extendedprice AS unit_price, CAST(o_custkey AS VARCHAR) AS customer_id "
+    "FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_orderkey IS NOT NULL AND l_partkey IS NOT NULL "
+    "AND l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL AND o_custkey IS NOT NULL",
+)
+def q_retail_lines_mapped(spark, d):
+    """The five retail fields from a table that names them otherwise."""
+    rows = _t(spark, d, "lineitem").join(_t(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    names = {"InvoiceNo": "l_orderkey", "StockCode": "l_partkey", "Quantity": "l_quantity",
+             "UnitPrice": "l_extendedprice", "CustomerID": "o_custkey"}
+    return parse_retail(rows, mapping=names)
+
+
+def _unclean(spark, d) -> DataFrame:
+    """lineitem with every seventh quantity NaN, every eleventh price infinite, and a TU
+    that is NaN, infinite or null in three of five orders."""
+    q = F.when(F.col("l_partkey") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("l_quantity"))
+    p = F.when(F.col("l_partkey") % 11 == 0, F.lit(float("inf"))).otherwise(F.col("l_extendedprice"))
+    kind = F.col("l_orderkey") % 5
+    tu = F.when(kind == 0, F.lit(float("nan"))).when(kind == 1, F.lit(float("inf"))).when(kind == 2, F.lit(None))
+    rows = _t(spark, d, "lineitem").withColumns({"q": q, "p": p, "given": tu.otherwise(F.lit(1e6))})
+    return from_table(rows, tid="l_orderkey", item="l_partkey", quantity="q", unit_price="p", tu="given")
+
+
+_UNCLEAN_SQL = (
+    "WITH e AS (SELECT l_orderkey AS tid, l_partkey AS item, sum(l_quantity * l_extendedprice) AS iu, "
+    "count(*) AS n FROM lineitem WHERE l_partkey % 7 <> 0 AND l_partkey % 11 <> 0 AND l_quantity > 0 "
+    "AND l_extendedprice > 0 GROUP BY 1, 2), "
+    "t AS (SELECT tid, {tu} AS tu, count(*) AS n_items FROM e {where} GROUP BY tid) "
+    "SELECT CAST(e.tid AS VARCHAR) AS tid, CAST(e.item AS VARCHAR) AS item, round(e.iu, 2) AS iu, "
+    "round(t.tu, 2) AS tu, round(e.iu / t.tu, 6) AS uo, t.n_items FROM e JOIN t USING (tid)"
+)
+
+
+@query("unclean_lines_computed_tu", _UNCLEAN_SQL.format(tu="sum(iu)", where=""))
+def q_unclean_lines_computed_tu(spark, d):
+    """a bad TU column does not matter where TU is computed."""
+    return _uo_out(uo_list(_unclean(spark, d), MineSpec(0, 0)))
+
+
+@query("unclean_lines_given_tu", _UNCLEAN_SQL.format(tu="CAST(1e6 AS DOUBLE)", where="WHERE tid % 5 > 2"))
+def q_unclean_lines_given_tu(spark, d):
+    """lines without a finite given TU go."""
+    return _uo_out(uo_list(_unclean(spark, d), MineSpec(0, 0, tu="given")))

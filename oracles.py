@@ -48,7 +48,7 @@ CLEAN = """
 SELECT * FROM raw
 WHERE tid IS NOT NULL AND item IS NOT NULL AND quantity IS NOT NULL
   AND unit_price IS NOT NULL AND quantity > 0 AND unit_price > 0
-  AND NOT isnan(quantity) AND NOT isnan(unit_price)
+  AND isfinite(quantity) AND isfinite(unit_price)
   AND length(item) > 0 {extra}
 """
 

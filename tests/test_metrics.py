@@ -1,10 +1,13 @@
 """E1 on an event log written by a separate, finished Spark application."""
 
+import json
 import os
 import subprocess
 import sys
 import textwrap
 
+import pytest
+
 from basketry import run_metrics
 from tests.conftest import ROOT
 
@@ -85,23 +88,36 @@ def test_run_metrics_reads_rolled_logs(spark, tmp_dir):
     assert len(rows) == 1 and rows[0].run_time_sec > 0 and rows[0].succeeded is True
 
 
-def test_run_metrics_reads_default_spark4_logs(spark, tmp_dir):
-    """Spark 4 defaults: rolled logs, zstd-compressed."""
-    logdir = os.path.join(tmp_dir, "events")
-    os.makedirs(logdir)
-    script = os.path.join(tmp_dir, "app.py")
-    app = APP.replace('.config("spark.eventLog.compress", "false")\n', "").replace(
-        '.config("spark.eventLog.rolling.enabled", "false")\n', ""
-    )
-    assert "eventLog.compress" not in app and "rolling" not in app
-    with open(script, "w") as f:
-        f.write(app.format(root=ROOT, logdir="file://" + logdir))
-    subprocess.run([sys.executable, script], check=True, timeout=600, capture_output=True)
-    files = [n for _, _, fs in os.walk(logdir) for n in fs]
-    assert any(n.endswith(".zstd") for n in files)
-    rows = run_metrics(spark, logdir).collect()
-    assert len(rows) == 1
-    r = rows[0]
-    assert r.run_time_sec > 0 and r.shuffle_write_mb > 0 and r.succeeded is True
-    groups = {g.run for g in run_metrics(spark, logdir, by="job_group").collect()}
-    assert {"mean_gated", "actual_ungated"} <= groups
+def _log(path, app, *events):
+    with open(path, "w") as f:
+        for e in ({"Event": "SparkListenerApplicationStart", "App ID": app}, *events, {"Event": "SparkListenerApplicationEnd"}):
+            f.write(json.dumps(e) + "\n")
+
+
+def _peak(executor, mb):
+    return {"Event": "SparkListenerStageExecutorMetrics", "Executor ID": executor,
+            "Executor Metrics": {"JVMHeapMemory": mb << 20, "JVMOffHeapMemory": 0}}
+
+
+def test_driver_memory_is_not_an_executors(spark, tmp_dir):
+    added = {"Event": "SparkListenerBlockManagerAdded", "Maximum Memory": 9000 << 20, "Block Manager ID": {"Executor ID": "driver"}}
+    _log(os.path.join(tmp_dir, "app-1"), "app-1", _peak("driver", 4000), _peak("0", 700), added)
+    _log(os.path.join(tmp_dir, "app-2"), "app-2", {**added, "Maximum Memory": 500 << 20, "Block Manager ID": {"Executor ID": "1"}}, added)
+    _log(os.path.join(tmp_dir, "local-3"), "local-3", _peak("driver", 4000))
+    got = {r.app_id: r.max_executor_mb for r in run_metrics(spark, tmp_dir).collect()}
+    assert got == {"app-1": 700, "app-2": 500, "local-3": 4000}
+
+
+def test_every_file_name_is_read(spark, tmp_dir):
+    for name in ("spark-00ac", "spark-00ad", "x.zstd.d"):
+        _log(os.path.join(tmp_dir, name), name)
+    assert {r.app_id for r in run_metrics(spark, tmp_dir).collect()} == {"spark-00ac", "spark-00ad", "x.zstd.d"}
+
+
+@pytest.mark.parametrize("codec", ["lz4", "zstd", "snappy"])
+def test_unreadable_log_is_an_error(spark, tmp_dir, codec):
+    _log(os.path.join(tmp_dir, "plain"), "plain")
+    with open(os.path.join(tmp_dir, f"app.{codec}"), "wb") as f:
+        f.write(b"LZ4Block\x16\x00\x01 binary \xff\xfe")
+    with pytest.raises(Exception, match="not a plain event log|FAILED_READ_FILE"):
+        run_metrics(spark, tmp_dir).collect()

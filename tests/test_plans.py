@@ -52,11 +52,22 @@ def test_ordinary_baskets_pair_without_exchange(spark):
         uo.unpersist()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    top = text.split("InMemoryRelation")[0]
-    # Above the cached UO-list: the local tid join has no exchange of its own;
-    # the only exchanges are the grid path's and the pair aggregate's.
-    local_join = [ln for ln in top.splitlines() if "SortMergeJoin" in ln and "cell_a" not in ln]
-    assert local_join
+    depth = lambda ln: len(ln) - len(ln.lstrip(" :+-|*"))
+    free, inside = [], None  # of each join above the cached UO-list: no exchange below it
+    tree = text[: text.index("\n(1) ")].splitlines()
+    for i, ln in enumerate(tree):
+        if inside is not None and depth(ln) > inside:
+            continue
+        inside = depth(ln) if "InMemoryRelation" in ln else None
+        if "SortMergeJoin" in ln:
+            below = []
+            for under in tree[i + 1 :]:
+                if depth(under) <= depth(ln):
+                    break
+                below.append(under)
+            cut = [k for k, u in enumerate(below) if "InMemoryRelation" in u]
+            free.append(not any("Exchange" in u for u in below[: cut[0]]))
+    assert sorted(free) == [False, True]  # the grid join and the local join
     for bad in ("CartesianProduct", "BroadcastNestedLoopJoin"):
         assert bad not in text
 
