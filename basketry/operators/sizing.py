@@ -56,6 +56,22 @@ def bounded_broadcast(
     return held, False
 
 
+#: Copies of a side that is too large to broadcast, each met by its share of a hot key's rows.
+SALTS = 32
+
+
+def salted_join(df: DataFrame, side: DataFrame, key: str, by: str, salts: int = SALTS) -> DataFrame:
+    """``df`` joined with ``side`` (one row per ``key``), a hot key's rows spread over
+    ``salts`` tasks by their ``by`` column; ``side`` is copied to each.
+
+    Adaptive execution does not split these joins: their sides come from
+    aggregates on the same key, whose partitioning they reuse.
+    """
+    salt = F.pmod(F.xxhash64(by), F.lit(salts)).cast("int")
+    copies = side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return df.withColumn("_salt", salt).join(copies, on=[key, "_salt"], how="inner").drop("_salt")
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The session's reliable checkpoint folder.
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from basketry.functions.columns import hash_price
 from basketry.operators.clean import clean_lines, exclude_items, finite_positive
-from basketry.operators.sizing import bounded_broadcast
+from basketry.operators.sizing import bounded_broadcast, salted_join
 
 if TYPE_CHECKING:
     from basketry.plans.spec import MineSpec
@@ -71,10 +71,13 @@ def with_catalogue_price(lines: DataFrame, catalogue: DataFrame, max_rows: int,
     """Attach ``unit_profit`` by item.
 
     The catalogue has one row per distinct item; it is broadcast only when a
-    count proves it small, else joined by shuffle on item.
+    count proves it small, else joined by shuffle on the salted item, so that a
+    hot item's rows are spread by their transaction.
     """
-    side, _ = bounded_broadcast(catalogue, max_rows, holds)
-    return lines.join(side, on="item", how="inner")
+    side, small = bounded_broadcast(catalogue, max_rows, holds)
+    if small:
+        return lines.join(side, on="item", how="inner")
+    return salted_join(lines, side, "item", by="tid")
 
 
 def row_utility(lines: DataFrame, spec: MineSpec, holds: list | None = None) -> DataFrame:
@@ -101,6 +104,25 @@ def transaction_utility(util_rows: DataFrame, given: bool = False) -> DataFrame:
     return util_rows.groupBy("tid").agg(tu.alias("tu"), F.count(F.lit(1)).alias("n_items"))
 
 
+def transaction_totals(lines: DataFrame, spec: MineSpec, clean: bool = True, holds: list | None = None) -> DataFrame:
+    """A2 alone: (tid, tu) under ``spec``, without the UO-list.
+
+    One partially aggregated ``groupBy(tid)`` of row utilities, for counts and
+    summaries of transactions.
+    """
+    given = spec.tu == "given"
+    if clean:
+        lines = clean_lines(lines, given_tu=given and "tu" in lines.columns)
+    if spec.exclude and spec.exclude_when == "before_tu":
+        lines = exclude_items(lines, spec.exclude)
+    rows = lines if given else row_utility(lines, spec, holds)
+    totals = rows.groupBy("tid").agg((F.max("tu") if given else F.sum("util")).alias("tu"))
+    keep = finite_positive("tu")
+    if spec.min_tu is not None:
+        keep = keep & (F.col("tu") >= F.lit(float(spec.min_tu)))
+    return totals.where(keep)
+
+
 def uo_entries(lines: DataFrame, spec: MineSpec, holds: list | None = None) -> DataFrame:
     """A3 without TU: one row per (tid, item) with ``iu``, the summed utility.
 
@@ -111,13 +133,29 @@ def uo_entries(lines: DataFrame, spec: MineSpec, holds: list | None = None) -> D
     shuffle one row per distinct (tid, item), and a large group of copies
     costs no more than one entry.
     """
-    util = row_utility(lines, spec, holds)
-    aggs = [F.sum("util").alias("iu")]
+    by_item = spec.price in ("mean", "first_seen")
+    aggs = [] if by_item else [F.sum("util").alias("iu")]
     if spec.duplicates == "keep":
         aggs.append(F.count(F.lit(1)).alias("mult"))
     if spec.tu == "given":
         aggs.append(F.max("tu").alias("tu"))
-    return util.groupBy("tid", "item").agg(*aggs)
+    if not by_item:
+        return row_utility(lines, spec, holds).groupBy("tid", "item").agg(*aggs)
+    # A price per item: aggregate first, take the catalogue from the entries and
+    # price those.  One scan, one shuffle of entries, and no join of raw lines.
+    if spec.price == "mean":
+        parts = [F.sum("unit_price").alias("_p"), F.count(F.lit(1)).alias("_n")]
+        price = F.sum("_p") / F.sum("_n")
+    else:
+        if "seq" not in lines.columns:
+            raise ValueError('price="first_seen" needs a "seq" column giving line order')
+        parts = [F.min(F.struct("seq", "unit_price")).alias("_first")]
+        price = F.greatest(F.min("_first")["unit_price"], F.lit(FIRST_SEEN_FLOOR))
+    entries = lines.groupBy("tid", "item").agg(F.sum("quantity").alias("_q"), *parts, *aggs)
+    catalogue = entries.groupBy("item").agg(price.alias("unit_profit"))
+    kept = [c for c in ("mult", "tu") if c in entries.columns]
+    priced = with_catalogue_price(entries.select("tid", "item", "_q", *kept), catalogue, spec.broadcast_max_rows, holds)
+    return priced.select("tid", "item", (F.col("_q") * F.col("unit_profit")).alias("iu"), *kept)
 
 
 def uo_list(lines: DataFrame, spec: MineSpec, clean: bool = True, holds: list | None = None) -> DataFrame:
@@ -132,8 +170,7 @@ def uo_list(lines: DataFrame, spec: MineSpec, clean: bool = True, holds: list |
     a transaction has at most one row per distinct item: TU and ``n_items``
     are a window over tid on the entries, with no extra aggregate and join.
     With ``tu_by="aggregate"`` TU is a partially aggregated ``groupBy(tid)``
-    joined back on tid instead, which AQE can split when one transaction is
-    hot.
+    joined back on the salted tid instead, which spreads a hot transaction.
     """
     given = spec.tu == "given"
     if clean:
@@ -153,7 +190,7 @@ def uo_list(lines: DataFrame, spec: MineSpec, clean: bool = True, holds: list |
     else:
         per_tid = transaction_utility(entries, given=given)
         base = entries.drop("tu") if given else entries
-        uo = base.join(per_tid, on="tid", how="inner")
+        uo = salted_join(base, per_tid, "tid", by="item")
     keep = finite_positive("tu")
     if spec.min_tu is not None:
         keep = keep & (F.col("tu") >= F.lit(float(spec.min_tu)))

@@ -39,7 +39,7 @@ tu_by
                     deduplicated entries (one basket's distinct items in a
                     task; no extra join)
     ``"aggregate"`` a partially aggregated ``groupBy(tid)`` joined back on
-                    tid, which AQE can split when one basket is huge; for
+                    salted tid, which spreads a huge basket; for
                     catalogues so large that one basket's distinct items
                     should not sit in one task.
 reuse

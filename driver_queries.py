@@ -41,7 +41,7 @@ from basketry import (
     uo_list,
 )
 from basketry.operators.clean import clean_lines, exclude_items, keep_numeric_items, merge_duplicates
-from basketry.operators.utility import mean_prices, transaction_utility, uo_entries
+from basketry.operators.utility import mean_prices, transaction_totals, transaction_utility, uo_entries
 from basketry.sources.csv import parse_member_day, parse_retail
 from basketry.sources.text import parse_line_baskets, parse_utility_lines
 
@@ -468,7 +468,7 @@ def q_pair_cooccurrence(spark, d):
 
 @query("distinct_transactions", _mine_sql(O.LINES_L, "SELECT count(DISTINCT tid) AS n_transactions FROM uo", min_util=0, min_uo_single=0))
 def q_distinct_transactions(spark, d):
-    return distinct_transactions(uo_list(lines_l(spark, d), MineSpec(0, 0)))
+    return distinct_transactions(transaction_totals(lines_l(spark, d), MineSpec(0, 0)))
 
 
 @query(
@@ -490,7 +490,7 @@ def q_pair_row_count(spark, d):
     ),
 )
 def q_tu_summary(spark, d):
-    s = tu_summary(uo_list(lines_l(spark, d), MineSpec(0, 0)))
+    s = tu_summary(transaction_totals(lines_l(spark, d), MineSpec(0, 0)))
     return _r(s, uo=["mean", "stddev", "min", "max"], places_uo=4)
 
 
@@ -771,6 +771,12 @@ def q_hot_item_pairs(spark, d):
     return _pairs_out(mine(lines_hot_item(spark, d), MineSpec(**L_T)).pairs)
 
 
+@query("hot_item_pairs_mean", _mine_sql(_HOT_ITEM_SQL, O.PAIRS_OUT_SQL, prune="none", price="mean", **L_T))
+def q_hot_item_pairs_mean(spark, d):
+    """J1 without a broadcast: the hot item's entries meet their price in salted tasks."""
+    return _pairs_out(mine(lines_hot_item(spark, d), MineSpec(price="mean", broadcast_max_rows=0, **L_T)).pairs)
+
+
 # Python-reader parity on lineitem (M5): mean price, denylist removed before
 # TU, one occupancy threshold for both sizes, pairs gated by size-1 winners.
 PARITY_DENYLIST = ("1", "2", "3", "5", "8", "13")
