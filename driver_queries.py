@@ -771,6 +771,27 @@ def q_hot_item_pairs(spark, d):
     return _pairs_out(mine(lines_hot_item(spark, d), MineSpec(**L_T)).pairs)
 
 
+LONG_T = dict(min_util=90000.005, min_uo_single=0.03013, min_uo_pair=0.09013)
+
+_LONG_SQL = """
+SELECT CAST(l_orderkey // 9 AS VARCHAR) AS tid, CAST(l_partkey AS VARCHAR) AS item,
+       l_quantity AS quantity, l_extendedprice / l_quantity AS unit_price,
+       l_orderkey AS seq1, l_linenumber AS seq2
+FROM lineitem
+"""
+
+
+def lines_long(spark, d) -> DataFrame:
+    """L with nine orders to a transaction: long baskets, so mostly pair work."""
+    return from_table(_t(spark, d, "lineitem"), tid=F.expr("l_orderkey div 9"), item="l_partkey", quantity="l_quantity",
+                      unit_price=F.try_divide("l_extendedprice", "l_quantity"))
+
+
+@query("long_baskets_pairs", _mine_sql(_LONG_SQL, O.PAIRS_OUT_SQL, prune="none", **LONG_T))
+def q_long_baskets_pairs(spark, d):
+    return _pairs_out(mine(lines_long(spark, d), MineSpec(**LONG_T)).pairs)
+
+
 @query("hot_item_pairs_mean", _mine_sql(_HOT_ITEM_SQL, O.PAIRS_OUT_SQL, prune="none", price="mean", **L_T))
 def q_hot_item_pairs_mean(spark, d):
     """J1 without a broadcast: the hot item's entries meet their price in salted tasks."""
