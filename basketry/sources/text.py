@@ -34,9 +34,22 @@ def with_tid(df: DataFrame, key: str | None = None) -> DataFrame:
             out = out.withColumn("line_no", F.col(key))
         return out
     mid = F.monotonically_increasing_id()
+    if "line_no" in df.columns:
+        return df.withColumn("tid", mid)
     return df.withColumn("line_no", mid).withColumn("tid", F.col("line_no"))
 
 
+def read_lines(spark, path: str) -> DataFrame:
+    """Lines of one or several text files as ``value``, with a ``line_no`` that orders them by
+    file name, then place in the file (scans order splits by size, not name)."""
+    at = F.struct(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("line"),
+    )
+    return spark.read.text(path).select("value", at.alias("line_no"))
+
+
 def _tokens(text) -> F.Column:
     """Split on runs of whitespace, dropping empty tokens (doubled spaces,
     leading or trailing blanks)."""
@@ -72,7 +85,7 @@ def parse_line_baskets(
 
 def read_line_baskets(spark, path: str, **kw) -> DataFrame:
     """S3 from files: one transaction per line."""
-    return parse_line_baskets(spark.read.text(path), **kw)
+    return parse_line_baskets(read_lines(spark, path), **kw)
 
 
 def parse_utility_lines(
@@ -157,4 +170,4 @@ def parse_utility_lines(
 
 def read_utility_lines(spark, path: str, **kw) -> DataFrame:
     """S4 from files."""
-    return parse_utility_lines(spark.read.text(path), **kw)
+    return parse_utility_lines(read_lines(spark, path), **kw)

@@ -176,3 +176,14 @@ def test_reference_workflow_example(spark, tmp_dir):
         assert spark.read.parquet(os.path.join(out, table)).count() >= 1
     cmp = spark.read.parquet(os.path.join(out, "comparison")).first()
     assert 0.0 <= cmp.jaccard <= 1.0
+
+
+def test_first_seen_price_over_several_files(spark, tmp_dir):
+    """The file named first has the first line, though the other one is larger."""
+    for name, text in (("a.txt", "1:4:4\n"), ("b.txt", "1:7:7\n" + "2:3:3\n" * 500)):
+        with open(os.path.join(tmp_dir, name), "w") as f:
+            f.write(text)
+    lines = load_baskets(spark, "utility_lines", tmp_dir, utilities="zip")
+    from basketry.operators.utility import first_seen_prices
+
+    assert {r.item: r.unit_profit for r in first_seen_prices(lines).collect()} == {"1": 4.0, "2": 3.0}
