@@ -59,20 +59,25 @@ def item_support(uo: DataFrame) -> DataFrame:
     return out.withColumn("item", F.col("item").cast("string")).orderBy("item")
 
 
-def pair_cooccurrence(uo: DataFrame, split_items: int = 4096) -> DataFrame:
+def pair_cooccurrence(uo: DataFrame, split_items: int = 4096, pairs: DataFrame | None = None) -> DataFrame:
     """The co-occurrence tid lists in long form, one row per
     (item1, item2, tid).
 
     The reference keeps a Python list of tids per pair; a list per pair is
     unbounded, so the distributed form is one row per member.  Group it by
-    pair for counts (``support``) without materialising any list.
+    pair for counts (``support``) without materialising any list.  With
+    ``pairs`` (item1, item2; such as a run's kept pairs) only their members
+    come out, as the reference lists them for its winners.
     """
+    def only(rows: DataFrame) -> DataFrame:
+        return rows if pairs is None else rows.join(pairs.select("item1", "item2"), ["item1", "item2"], "left_semi")
+
     keep = [c for c in ("tid", "item", "iu", "tu", "n_items", "mult") if c in uo.columns]
     rows = pair_rows(uo.select(*keep), split_items)
     if "mult1" in rows.columns:
         # kept duplicates: the tid occurs m*n times in the pair's list
-        return orient(rows.select("item1", "item2", "tid", (F.col("mult1") * F.col("mult2")).alias("copies")))
-    return orient(rows.select("item1", "item2", "tid"))
+        return only(orient(rows.select("item1", "item2", "tid", (F.col("mult1") * F.col("mult2")).alias("copies"))))
+    return only(orient(rows.select("item1", "item2", "tid")))
 
 
 def profile(uo: DataFrame) -> DataFrame:

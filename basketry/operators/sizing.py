@@ -75,8 +75,8 @@ def salted_join(df: DataFrame, side: DataFrame, key: str, by: str, salts: int =
 def checkpoint_dir(spark: SparkSession) -> str:
     """The session's reliable checkpoint folder.
 
-    Read from ``spark.checkpoint.dir`` (the cluster's shared folder).  Only
-    when nothing is configured (local tests) is a folder chosen here.
+    Read from ``spark.checkpoint.dir`` (the cluster's shared folder); no
+    folder is invented where none is set.
     """
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
@@ -86,14 +86,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         "spark.checkpoint.dir", None
     )
     if not configured:
-        if not sc.master.startswith("local"):
-            raise ValueError(
-                "set spark.checkpoint.dir to a shared folder before using "
-                'reuse="checkpoint" on a cluster'
-            )
-        import tempfile
-
-        configured = tempfile.mkdtemp(prefix="basketry-ckpt-")
+        raise ValueError('set spark.checkpoint.dir to a shared folder before using reuse="checkpoint"')
     sc.setCheckpointDir(configured)
     return configured
 

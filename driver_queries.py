@@ -771,6 +771,17 @@ def q_hot_item_pairs(spark, d):
     return _pairs_out(mine(lines_hot_item(spark, d), MineSpec(**L_T)).pairs)
 
 
+@query(
+    "pair_cooccurrence_kept",
+    _mine_sql(O.LINES_L, "SELECT p.item1, p.item2, a.tid FROM pairs p JOIN uo a ON a.item = p.item1 "
+              "JOIN uo b ON b.item = p.item2 AND b.tid = a.tid", prune="winners", **L_T),
+)
+def q_pair_cooccurrence_kept(spark, d):
+    """A13 for the pairs of a gated run only."""
+    r = mine(lines_l(spark, d), MineSpec(prune="winners", **L_T))
+    return pair_cooccurrence(r.uo, pairs=r.pairs).select("item1", "item2", _s("tid"))
+
+
 LONG_T = dict(min_util=90000.005, min_uo_single=0.03013, min_uo_pair=0.09013)
 
 _LONG_SQL = """

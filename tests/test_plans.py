@@ -118,7 +118,7 @@ def test_driver_query_plans_stay_on_the_jvm_without_cartesian_joins(spark, name)
         assert bad not in text, bad
 
 
-def test_checkpoint_dir_is_never_invented_on_a_cluster():
+def test_checkpoint_dir_is_never_invented():
     from basketry.operators.sizing import checkpoint_dir
 
     class _Opt:
@@ -137,7 +137,6 @@ def test_checkpoint_dir_is_never_invented_on_a_cluster():
             return default
 
     class _Sc:
-        master = "yarn"
         _jsc = _Jsc()
 
         def getConf(self):
