@@ -54,7 +54,7 @@ class Graph:
             self.layers.append(np.full((size, width), -1, np.int32))
         done = 0
         while done < n:
-            step = max(1, min(n - done, int(GROWTH * done), QUERY_ROWS))
+            step = max(1, min(n - done, int(GROWTH * done), QUERY_ROWS, (1 << 26) // max(1, done)))  # the last bounds memory
             self._insert(done, done + step)
             done += step
 
@@ -209,9 +209,13 @@ def units(vectors: list) -> tuple[np.ndarray, np.ndarray]:
     usable = np.array([r is not None and len(r) > 0 and bool(np.isfinite(r).all()) and bool(r.any()) for r in rows], bool)
     if not usable.any():
         return usable, np.zeros((0, 0))
-    x = np.stack([r for r, ok in zip(rows, usable) if ok])
+    return usable, to_length_one(np.stack([r for r, ok in zip(rows, usable) if ok]))
+
+
+def to_length_one(x: np.ndarray) -> np.ndarray:
+    """Rows of ``x``, usable vectors, at length one; scaled first, so no square overflows."""
     x = x / np.abs(x).max(axis=1, keepdims=True)
-    return usable, x / np.linalg.norm(x, axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def vector_links(vectors: DataFrame, id_col="vec_id", vec_col="embedding", cosine: float = COSINE, shard_rows: int = SHARD_ROWS) -> DataFrame:
@@ -234,7 +238,7 @@ def vector_links(vectors: DataFrame, id_col="vec_id", vec_col="embedding", cosin
 
     def build(key, table):
         table = table.sort_by("node")
-        _, x = units(table["v"].to_pylist())
+        x = to_length_one(table["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1))
         graph = Graph(x)
         graph.audit(cosine)
         label = np.arange(len(x))
