@@ -47,7 +47,7 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op7.simhash_groups(_documents(spark, sf_dir)).drop("key")
+    return op7.simhash_groups(_documents(spark, sf_dir)).drop("root", "key")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

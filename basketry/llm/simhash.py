@@ -168,13 +168,15 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, cell_rows: int = CELL_ROWS)
 
 
 def simhash_groups(docs: DataFrame, id_col="doc_id", text_col="text", shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, fingerprint, component_id``, and ``key`` to join by.
+    """One row per row of ``docs``: ``doc_id, fingerprint, component_id``, ``root``, the least
+    fingerprint of the component as a bigint, and ``key`` to join by.
 
     A-Z are lower-cased, words are runs without white space; a text of fewer words
     than a shingle is one shingle, one without words (null too) has fingerprint
     zero.  Fingerprints at most ``max_bits`` apart are linked; ``component_id`` is
     the least id reachable by links (null only where no document in reach has an
-    id).  Equal fingerprints are one node, so copies cost one row.  Other columns
+    id), a label that components may share; ``root`` is the component's own.  Equal
+    fingerprints are one node, so copies cost one row.  Other columns
     are ignored; an empty table gives an empty result.
     """
     told = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
@@ -183,17 +185,18 @@ def simhash_groups(docs: DataFrame, id_col="doc_id", text_col="text", shingle: i
     nodes = nodes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
     nodes = written(nodes, "roots")
     least = written(nodes.groupBy("root").agg(F.min("first").alias("component_id")), "least")
-    nodes = written(nodes.join(least, "root").select("fp", "component_id"), "classes")
+    nodes = written(nodes.join(least, "root").select("fp", "component_id", "root"), "classes")
     hexed = F.lower(F.lpad(F.hex("fp"), BITS // 4, "0")).alias("fingerprint")
-    return told.join(nodes, "fp").select("doc_id", hexed, "component_id", "key")
+    return told.join(nodes, "fp").select("doc_id", hexed, "component_id", "root", "key")
 
 
 def drop_near_copies(docs: DataFrame, id_col="doc_id", text_col="text", shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """``docs`` with one row of each component, that of the least id; all columns kept.
 
-    Of rows without id or with the same id, the least fingerprint stays.
+    In a component, of rows without id or with the same id the least fingerprint stays.
+    Components that share their least id, or have none, each keep their row.
     """
     groups = simhash_groups(docs, id_col, text_col, shingle, max_bits)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fingerprint", "key"))
-    kept = groups.groupBy("component_id").agg(first.alias("first")).select("first.key")
+    kept = groups.groupBy("root").agg(first.alias("first")).select("first.key")
     return rows_of(docs, kept, id_col, text_col).select("row.*")

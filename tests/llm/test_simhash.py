@@ -92,6 +92,15 @@ def test_edge_rows(spark):
     assert simhash_groups(df.limit(0)).count() == 0 == drop_near_copies(df.limit(0)).count()
 
 
+def test_components_without_own_id_stay(spark):
+    far = ["one two three four five", "red green blue black white", "north east south west up", "spring summer autumn winter year"]
+    assert all((plain(a) ^ plain(b)).bit_count() > 3 for i, a in enumerate(far) for b in far[:i])
+    rows = [(None, far[0]), (None, far[1]), (None, far[1].upper()), (5, far[2]), (5, far[3]), (6, far[3])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = sorted((r.doc_id or 0, r.text.lower()) for r in drop_near_copies(df).collect())
+    assert kept == sorted([(0, far[0]), (0, far[1]), (5, far[2]), (5, far[3])])
+
+
 def test_query_by_brute_force(spark):
     from basketry.llm.queries import op7_simhash
     from tests.conftest import SF001
