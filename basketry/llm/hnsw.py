@@ -150,6 +150,10 @@ class Graph:
             open_[live] = np.take_along_axis(np.concatenate([open_[live], fresh], axis=1), top, 1)
         return node, near
 
+    def _upper_rows(self) -> int:
+        """Queries that walk the upper layers at once."""
+        return max(1, min(QUERY_ROWS, (1 << 26) // self.sizes[min(1, len(self.sizes) - 1)]))
+
     def near(self, q: np.ndarray, least: float):
         """Yields blocks of ``(query, node)`` index pairs with cosine of about ``least`` or
         more, nodes as numbered by the caller.  A query whose whole beam is that near
@@ -157,8 +161,9 @@ class Graph:
         """
         q = q.astype(np.float32)
         entry = np.zeros((len(q), 1), np.int32)
-        for k in reversed(range(1, len(self.layers))):
-            entry = self._walk(k, q, entry, 1, self.sizes[k])[0][:, :1]
+        for a in range(0, len(q), rows := self._upper_rows()):  # bounds memory
+            for k in reversed(range(1, len(self.layers))):
+                entry[a : a + rows] = self._walk(k, q[a : a + rows], entry[a : a + rows], 1, self.sizes[k])[0][:, :1]
         todo, n = np.arange(len(q)), len(self.x)
         for beam in (self.beam, 4 * self.beam):
             if beam >= n:

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from basketry.llm.hnsw import Graph, units, vector_links
+from basketry.llm.hnsw import QUERY_ROWS, Graph, units, vector_links
 from tests.conftest import SF001
 
 
@@ -36,6 +36,17 @@ def test_graph_finds_neighbours():
     assert len(got & want) >= 0.97 * len(want) and len(got - want) < 5
 
 
+def test_upper_layers_are_walked_in_blocks(monkeypatch):
+    x = np.random.default_rng(2).normal(size=(3 * QUERY_ROWS, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    g, walked, walk = Graph(x), [], Graph._walk
+    monkeypatch.setattr(Graph, "_walk", lambda self, k, q, *a: (walked.append((k, len(q))), walk(self, k, q, *a))[1])
+    own = {int(i) for a, b in g.near(x, 0.9999) for i in a[a == b]}
+    assert len(own) >= 0.99 * len(x) and max(n for k, n in walked if k) <= QUERY_ROWS
+    g.sizes[1] = 1 << 17  # as in a shard of 1.5 million
+    assert g._upper_rows() == 512
+
+
 def test_dense_group_is_whole():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(1, 16)) + 0.02 * rng.normal(size=(700, 16))
