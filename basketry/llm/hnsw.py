@@ -5,7 +5,7 @@ task builds the graph of one shard and audits it with probes at the threshold,
 widening the search beam until it finds enough of them.  Then every node queries
 every shard.  A query whose beam holds nothing but links is widened again, so no
 cap bounds the links of a vector.  Links are verified by cosine in double
-precision and united to components.
+precision and united to components.  A link that either end finds counts at both.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ RECALL = 0.995
 SHARD_ROWS = 200_000
 LEAST_SHARDS = 8
 QUERY_ROWS = 2048
+#: Nodes with so many links in their own shard are compared with all nodes of every shard.
+DENSE = 4 * BEAM
 #: Nodes inserted at once, at most this share of those already there.
 GROWTH = 0.25
 
@@ -154,17 +156,19 @@ class Graph:
         """Queries that walk the upper layers at once."""
         return max(1, min(QUERY_ROWS, (1 << 26) // self.sizes[min(1, len(self.sizes) - 1)]))
 
-    def near(self, q: np.ndarray, least: float):
+    def near(self, q: np.ndarray, least: float, whole: np.ndarray | None = None):
         """Yields blocks of ``(query, node)`` index pairs with cosine of about ``least`` or
         more, nodes as numbered by the caller.  A query whose whole beam is that near
-        is asked again with a beam four times as wide, and if that is full too, of all nodes.
+        is asked again with a beam four times as wide, and if that is full too, of all nodes;
+        those in the mask ``whole`` are asked of all nodes at once.
         """
         q = q.astype(np.float32)
+        at_once = np.zeros(len(q), bool) if whole is None else whole
         entry = np.zeros((len(q), 1), np.int32)
         for a in range(0, len(q), rows := self._upper_rows()):  # bounds memory
             for k in reversed(range(1, len(self.layers))):
                 entry[a : a + rows] = self._walk(k, q[a : a + rows], entry[a : a + rows], 1, self.sizes[k])[0][:, :1]
-        todo, n = np.arange(len(q)), len(self.x)
+        todo, n = np.flatnonzero(~at_once), len(self.x)
         for beam in (self.beam, 4 * self.beam):
             if beam >= n:
                 break
@@ -177,7 +181,7 @@ class Graph:
                 i, j = np.nonzero((near >= least) & ~full[:, None])
                 yield some[i], self.order[node[i, j]]
             todo = np.concatenate(wide)
-        rows = max(1, (1 << 20) // n)
+        todo, rows = np.concatenate([todo, np.flatnonzero(at_once)]), max(1, (1 << 20) // n)
         for a in range(0, len(todo), rows):
             i, j = np.nonzero(q[todo[a : a + rows]] @ self.x.T >= least)
             yield todo[a + i], self.order[j]
@@ -198,9 +202,9 @@ class Graph:
             self.beam *= 2
 
 
-def linked(graph: Graph, x: np.ndarray, q: np.ndarray, cosine: float):
+def linked(graph: Graph, x: np.ndarray, q: np.ndarray, cosine: float, whole: np.ndarray | None = None):
     """Yields ``(i, j)`` with ``q[i] . x[j] >= cosine`` in double precision, of what the graph finds."""
-    for i, j in graph.near(q, cosine - 1e-3):
+    for i, j in graph.near(q, cosine - 1e-3, whole):
         for a in range(0, len(i), 1 << 17):
             u, v = i[a : a + (1 << 17)], j[a : a + (1 << 17)]
             ok = np.einsum("id,id->i", q[u], x[v]) >= cosine
@@ -246,63 +250,82 @@ def vector_links(vectors: DataFrame, id_col="vec_id", vec_col="embedding", cosin
         x = to_length_one(table["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1))
         graph = Graph(x)
         graph.audit(cosine)
-        label = np.arange(len(x))
+        label, near = np.arange(len(x)), np.zeros(len(x), np.int64)
         for i, j in linked(graph, x, x, cosine):
             label = join_labels(label, i, j)
-        ids = table["node"].to_numpy()
-        index = (graph, x, ids, ids[label], table["n"].to_numpy())
-        return pa.table({"dim": pa.array([key[0].as_py()], pa.int32()), "shard": pa.array([key[1].as_py()], pa.int32()), "index": pa.array([pickle.dumps(index, 5)], pa.binary())})
+            near += np.bincount(i, minlength=len(x))
+        ids, dense = table["node"].to_numpy(), near >= DENSE
+        index = (graph, x, ids, ids[label], table["n"].to_numpy(), dense)
+        many = pa.array([ids[dense].tolist()], pa.list_(pa.int64()))
+        return pa.table({"dim": pa.array([key[0].as_py()], pa.int32()), "shard": pa.array([key[1].as_py()], pa.int32()), "index": pa.array([pickle.dumps(index, 5)], pa.binary()), "many": many})
 
-    index = nodes.groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, index binary")
+    index = nodes.groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, index binary, many array<bigint>")
     index = written(index, "index")
+    dense = index.select(F.explode("many").alias("node"), F.lit(True).alias("dense"))
     # Tasks: each index against each block of queries; a block's rows follow the index.
     blocks = max(1, min(16, -(-nodes.count() // (8 * QUERY_ROWS))))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     null = lambda t, c: F.lit(None).cast(t).alias(c)
-    as_index = index.withColumn("block", every(blocks)).select("dim", "shard", "block", F.lit(0).alias("turn"), "index", null("bigint", "node"), null("array<double>", "v"), null("bigint", "n"))
-    as_query = nodes.withColumns({"block": F.pmod(F.xxhash64("node", F.lit(1)), F.lit(blocks)).cast("int"), "shard": every(shards)})
-    as_query = as_query.select("dim", "shard", "block", F.lit(1).alias("turn"), null("binary", "index"), "node", "v", "n")
+    as_index = index.withColumn("block", every(blocks)).select("dim", "shard", "block", F.lit(0).alias("turn"), "index", null("bigint", "node"), null("array<double>", "v"), null("bigint", "n"), null("boolean", "dense"))
+    as_query = nodes.join(dense, "node", "left").withColumns({"block": F.pmod(F.xxhash64("node", F.lit(1)), F.lit(blocks)).cast("int"), "shard": every(shards)})
+    as_query = as_query.select("dim", "shard", "block", F.lit(1).alias("turn"), null("binary", "index"), "node", "v", "n", F.coalesce("dense", F.lit(False)).alias("dense"))
     work = as_index.unionByName(as_query).repartition(shards * blocks, "dim", "shard", "block").sortWithinPartitions("dim", "shard", "block", "turn", "node")
 
     def ask(batches):
         current = None
 
-        def answered(nodes, vectors):
-            graph, x, ids, label, n = current
+        def told(u, v, at_u, at_v):
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (u, v, at_u, at_v)], ["u", "v", "at_u", "at_v"])
+
+        def answered(queries):
+            graph, x, ids, label, n, dense = current
+            mine, vectors, own_n, own_dense = zip(*queries)
+            mine, own_n, own_dense = np.array(mine), np.array(own_n), np.array(own_dense, bool)
             _, q = units(vectors)
-            mine = np.array(nodes)
-            found, pairs = np.zeros(len(mine), np.int64), np.zeros((0, 2), np.int64)
-            for i, j in linked(graph, x, q, cosine):
+            found, roots = np.zeros(len(mine), np.int64), np.zeros((0, 2), np.int64)
+            for i, j in linked(graph, x, q, cosine, own_dense):
                 other = mine[i] != ids[j]
                 i, j = i[other], j[other]
-                found += np.bincount(i, n[j], len(mine)).astype(np.int64)
+                # A dense node has found all its links itself; at other ends the pair counts, once.
+                found += np.bincount(i, n[j] * own_dense[i], len(mine)).astype(np.int64)
                 # One link to each local component.
-                pairs = np.unique(np.concatenate([pairs, np.stack([mine[i], label[j]], axis=1)]), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(mine), pa.array(found), pa.nulls(len(mine), pa.int64())], ["node", "links", "other"])
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(np.zeros(len(pairs), np.int64)), pa.array(pairs[:, 1])], ["node", "links", "other"])
-
-        nodes, vectors, last = [], [], None
+                roots = np.unique(np.concatenate([roots, np.stack([mine[i], label[j]], axis=1)]), axis=0)
+                pair = ~(own_dense[i] & dense[j])
+                i, j = i[pair], j[pair]
+                u, v, at_u, at_v = mine[i], ids[j], np.where(own_dense[i], 0, n[j]), np.where(dense[j], 0, own_n[i])
+                swap = u > v
+                yield told(np.where(swap, v, u), np.where(swap, u, v), np.where(swap, at_v, at_u), np.where(swap, at_u, at_v))
+            yield told(mine, [None] * len(mine), found, [0] * len(mine))
+            # A count of null: no link to count, only one of components.
+            yield told(roots[:, 0], roots[:, 1], [None] * len(roots), [None] * len(roots))
+
+        queries, last = [], None
         for b in batches:
-            cells = zip(*(b[c].to_pylist() for c in ("dim", "shard", "block", "turn", "node")))
-            for k, (*cell, turn, node) in enumerate(cells):
-                if nodes and (cell != last or len(nodes) >= QUERY_ROWS):
-                    yield from answered(nodes, vectors)
-                    nodes, vectors = [], []
+            cells = zip(*(b[c].to_pylist() for c in ("dim", "shard", "block", "turn", "node", "n", "dense")))
+            for k, (*cell, turn, node, n, dense) in enumerate(cells):
+                if queries and (cell != last or len(queries) >= QUERY_ROWS):
+                    yield from answered(queries)
+                    queries = []
                 if cell != last:
                     current, last = None, cell  # a shard may hold no vectors of this length
                 if turn == 0:
                     current = pickle.loads(b["index"][k].as_py())
+                    ids, label = current[2:4]
+                    # What the shard's own search united, whichever end found it.
+                    moved = np.flatnonzero(ids != label) if cell[2] == 0 else []
+                    if len(moved):
+                        yield told(ids[moved], label[moved], [None] * len(moved), [None] * len(moved))
                 elif current is not None:
-                    nodes.append(node)
-                    vectors.append(b["v"][k].as_py())
-        if nodes:
-            yield from answered(nodes, vectors)
-
-    found = written(work.mapInArrow(ask, "node bigint, links bigint, other bigint"), "found")
-    counts = found.groupBy("node").agg(F.sum("links").alias("links"))
-    # Within a shard a local component is one label, so its nodes need a link to it too: they
-    # have one, as every node queries its own shard.
-    joined = components(found.where("other is not null").select(F.col("node").alias("u"), F.col("other").alias("v")))
+                    queries.append((node, b["v"][k].as_py(), n, dense))
+        if queries:
+            yield from answered(queries)
+
+    found = written(work.mapInArrow(ask, "u bigint, v bigint, at_u bigint, at_v bigint"), "found")
+    # A pair comes from either end or both; both give it the same counts.
+    pairs = found.where("v is not null and at_u is not null").groupBy("u", "v").agg(F.first("at_u").alias("at_u"), F.first("at_v").alias("at_v"))
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.col("at_u").alias("links")), F.struct(F.col("v").alias("node"), F.col("at_v").alias("links")))).alias("x")).select("x.*")
+    counts = ends.unionByName(found.where("v is null").select(F.col("u").alias("node"), F.col("at_u").alias("links"))).groupBy("node").agg(F.sum("links").alias("links"))
+    joined = components(found.where("at_u is null").select("u", "v"))
     nodes = nodes.drop("shard", "dim").join(counts, "node", "left").join(joined, "node", "left")
     nodes = written(nodes.withColumn("component", F.coalesce("component", "node")), "classes")
     least = written(nodes.groupBy("component").agg(F.min("first").alias("component_id")), "least")

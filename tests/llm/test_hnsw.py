@@ -65,6 +65,25 @@ def test_table_by_brute_force(spark):
     assert sum(a == b for a, b in zip(got, want)) >= 0.98 * len(want)
 
 
+def test_links_count_at_both_ends(spark):
+    rng = np.random.default_rng(3)
+    n, dim = 4000, 48
+    x = rng.normal(size=(n, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = rng.normal(size=(n, dim))
+    side -= (side * x).sum(axis=1, keepdims=True) * x
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    y = 0.905 * x + np.sqrt(1 - 0.905**2) * side  # pairs that lie far from all others
+    group = x[:1] + 0.02 * rng.normal(size=(2500, dim))  # about 300 in each shard: dense
+    rows = [(2 * i + k, v.tolist()) for i, xy in enumerate(zip(x[1:], y[1:])) for k, v in enumerate(xy)]
+    rows += [(10_000 + i, v.tolist()) for i, v in enumerate(group)]
+    got = {r.vec_id: r for r in vector_links(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()}
+    ends = [(got[2 * i], got[2 * i + 1]) for i in range(n - 1)]
+    assert [a.vec_id for a, b in ends if a.n_links != b.n_links or (a.component_id == b.component_id) != (a.n_links > 0)] == []
+    assert sum(a.n_links == 1 for a, _ in ends) >= 0.99 * n
+    assert all(got[10_000 + i].n_links == 2499 for i in range(2500))
+
+
 def test_edge_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 1.0]), (4, None), (5, [0.0, -0.0]), (6, [nan, 1.0]), (7, [inf, 1.0]), (8, [None, 1.0]), (9, []), (10, [1.0, 0.0, 0.0]), (None, [5.0, 0.01])]
