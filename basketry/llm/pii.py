@@ -25,16 +25,31 @@ KINDS = ("card", "iban", "ip", "phone", "date")
 _FIRST_DAY = datetime.date(1900, 1, 1).toordinal()
 _DAYS = datetime.date(2100, 1, 1).toordinal() - _FIRST_DAY
 
-#: One pass over the text; a candidate counts only if its check passes.
-PATTERN = regex.compile(
-    r"(?<![\w.+-])(?:"
-    r"(?P<iban>[A-Z]{2}\d{2}(?:[ ]?\d{4}){2,7}(?:[ ]?\d{1,3})?)"
-    r"|(?P<phone>\+\d{1,3}[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}|\(\d{3}\)[ ]?\d{3}[.-]\d{4}|\d{3}-\d{3}-\d{4})"
-    r"|(?P<date>\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})"
-    r"|(?P<ip>\d{1,3}(?:\.\d{1,3}){3})"
-    r"|(?P<card>\d(?:[ -]?\d){12,18})"
-    r")(?![\w-]|\.\d)"
-)
+#: Of each kind; a candidate counts only if its check passes.
+_SHAPES = {
+    "iban": r"[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]){8,31}",
+    "phone": r"\+\d{1,3}[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}|\(\d{3}\)[ ]?\d{3}[.-]\d{4}|\d{3}-\d{3}-\d{4}",
+    "world": r"\+[1-9]\d{0,2}(?:[ .-]?\(\d{1,5}\))?(?:(?:[ -]?\d){5,14}|(?:\.?\d){5,14})",
+    "date": r"\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4}",
+    "ip": r"\d{1,3}(?:\.\d{1,3}){3}",
+    "card": r"\d(?:[ -]?\d){12,18}",
+}
+_END = r"(?![\w-]|\.\d)"
+#: One pass over the text finds where a candidate of any kind starts.
+PATTERN = regex.compile(r"(?<![\w.+-])(?:" + "|".join(_SHAPES.values()) + ")" + _END)
+_ONE = {kind: regex.compile(f"(?:{shape}){_END}") for kind, shape in _SHAPES.items()}
+_BEHIND = regex.compile(_END)
+#: Text behind some values that decides how they are read: no candidate is longer.
+_REACH = 80
+_NANP = regex.compile(_SHAPES["phone"])
+#: Lengths of IBANs by country.
+IBAN_LENGTH = {
+    c: n
+    for n, codes in {15: "NO", 16: "BE", 18: "DK FI FO GL NL SD FK", 19: "MK SI", 20: "AT BA EE KZ LT LU XK MN", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}.items()
+    for c in codes.split()
+}
+#: Calling codes of two digits; 1 and 7 have one, all others three.
+_CODES = {*"20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()}
 
 
 def _feistel(value: int, size: int, key: bytes, back: bool) -> int:
@@ -84,9 +99,29 @@ def _permute(digits: str, key: bytes, back: bool) -> str:
     return f"{_feistel(int(digits), 10 ** len(digits), key, back):0{len(digits)}d}"
 
 
+def _permute_mixed(text: str, key: bytes, back: bool) -> str:
+    """``text`` of digits and capitals permuted, each in a place of its own sort."""
+    value, size = 0, 1
+    for c in text:
+        base = 10 if c.isdigit() else 26
+        value, size = value * base + (int(c) if base == 10 else ord(c) - 65), size * base
+    value, out = _feistel(value, size, key, back), []
+    for c in reversed(text):
+        value, d = divmod(value, 10 if c.isdigit() else 26)
+        out.append(str(d) if c.isdigit() else chr(65 + d))
+    return "".join(reversed(out))
+
+
 def _date_parts(text: str):
-    """``(ordinal, format)`` of a valid date from 1900 to 2099; None otherwise."""
-    form = "%Y-%m-%d" if text[4] == "-" else f"%d{text[2]}%m{text[2]}%Y"
+    """``(ordinal, format)`` of a valid date from 1900 to 2099; None otherwise.  With slashes
+    the month may come first, where the day cannot."""
+    if text[4] == "-":
+        return _date_in(text, "%Y-%m-%d")
+    found = _date_in(text, f"%d{text[2]}%m{text[2]}%Y")
+    return _date_in(text, "%m/%d/%Y") if found is None and text[2] == "/" else found
+
+
+def _date_in(text: str, form: str):
     try:
         day = datetime.datetime.strptime(text, form).date().toordinal() - _FIRST_DAY
     except ValueError:
@@ -108,44 +143,122 @@ def pseudonym(kind: str, text: str, key: bytes, back: bool = False) -> str | Non
         return _refill(text, new) if len({*new}) > 1 else text
     if kind == "iban":
         plain = text.replace(" ", "")
+        # Letters only where the country's length tells the value from words in capitals.
+        if not plain[4:].isdigit() and len(plain) != IBAN_LENGTH.get(plain[:2]):
+            return None
         if iban_check(plain[:2], plain[4:]) != plain[2:4]:
             return None
-        account = _permute(plain[4:], own + plain[:2].encode(), back)
-        return _refill(text, iban_check(plain[:2], account) + account)
+        if plain[4:].isdigit():
+            account = _permute(plain[4:], own + plain[:2].encode(), back)
+        else:  # letters and digits stay in their places
+            shape = "".join("9" if c.isdigit() else "A" for c in plain[4:])
+            account = _permute_mixed(plain[4:], own + plain[:2].encode() + shape.encode(), back)
+        new = iter(plain[:2] + iban_check(plain[:2], account) + account)
+        return "".join(c if c == " " else next(new) for c in text)
     if kind == "ip":
         parts = [int(p) for p in text.split(".")]
         if max(parts) > 255 or any(p != str(int(p)) for p in text.split(".")):
             return None
         n = _feistel(int.from_bytes(bytes(parts), "big"), 1 << 32, own, back)
         return ".".join(map(str, n.to_bytes(4, "big")))
+    if kind == "phone" and not _NANP.fullmatch(text):  # the calling code stays
+        if not 8 <= len(digits) <= 15:
+            return None
+        n = 1 if digits[0] in "17" else 2 if digits[:2] in _CODES else 3
+        return _refill(text, digits[:n] + _permute(digits[n:], own + digits[:n].encode(), back))
     if kind == "phone":  # country and area stay
         return _refill(text, digits[:-7] + _permute(digits[-7:], own + digits[:-7].encode(), back))
     found = _date_parts(text)
     if found is None:
         return None
-    day = datetime.date.fromordinal(_FIRST_DAY + _feistel(found[0], _DAYS, own, back))
-    return f"{day:{found[1]}}"
+    at = found[0]
+    while True:  # walks on while the day would be read as another's
+        at = _feistel(at, _DAYS, own, back)
+        new = f"{datetime.date.fromordinal(_FIRST_DAY + at):{found[1]}}"
+        if _date_parts(new) == (at, found[1]):
+            return new
+
+
+def _candidates(text: str, start: int):
+    """``(kind, end)`` of the candidates that start there, as the form alone tells: an IBAN of
+    its country's length first, of one kind the longest first."""
+    for shape, one in _ONE.items():
+        m = one.match(text, start)
+        kind = "phone" if shape == "world" else shape
+        ends, first = [], None
+        while m:
+            ends.append(m.end())
+            m = one.match(text, start, m.end() - 1) if shape in ("iban", "world", "card") else None
+            while m and not _BEHIND.match(text, m.end()):  # the cut hid what stands behind
+                m = one.match(text, start, m.end() - 1)
+        if shape == "iban" and ends:
+            n = IBAN_LENGTH.get(text[start : start + 2])
+            first = next((e for e in ends if e - start - text.count(" ", start, e) == n), None)
+        if first is not None:
+            yield kind, first
+        yield from ((kind, e) for e in ends if e != first)
+
+
+def _found(text: str, key: bytes, back: bool):
+    """``(values, failed)``: ``(kind, start, end, pseudonym)`` of the valid values, and
+    ``(start, end)`` of the candidates tried in vain."""
+    values, failed, at = [], [], 0
+    while m := PATTERN.search(text, at):
+        start, at = m.start(), m.start() + 1
+        for kind, end in _candidates(text, start):
+            new = _cached(kind, text[start:end], key, back)
+            if new is not None:
+                values.append((kind, start, end, new))
+                at = end
+                break
+            failed.append((start, end))
+    return values, failed
 
 
 def replace(text: str, key: bytes, back: bool = False) -> tuple[str, list[tuple[str, int, int]]]:
     """``text`` with all valid values replaced, and ``(kind, start, end)`` of each in ``text``.
 
-    A candidate that fails its check stays, and the search goes on behind its first
-    character, so a valid value inside it is still found.
+    Where a candidate fails its check, shorter ones and other kinds from the same start
+    are tried, then the search goes on behind its first character.  A value that a failed
+    candidate overlaps is permuted on until the new text is read as the old one was, so that
+    it can be undone: the new digits may not make the failed candidate valid.
     """
-    out, spans, at, done = [], [], 0, 0
-    while m := PATTERN.search(text, at):
-        kind = m.lastgroup
-        new = _cached(kind, m[0], key, back)
-        if new is None:
-            at = m.start() + 1
-            continue
-        out += [text[done : m.start()], new]
-        spans.append((kind, m.start(), m.end()))
-        at = done = m.end()
+    values, failed = _found(text, key, back)
+    out, spans, done, k = [], [(kind, a, b) for kind, a, b, _ in values], 0, 0
+    marks = sorted(failed)
+    while k < len(values):
+        low, high, some = values[k][1], values[k][2], 1
+        grown = True
+        while grown:  # values and failed candidates that overlap
+            over = [(a, b) for a, b in marks if a < high and b > low]
+            new_low, new_high = min([low, *(a for a, _ in over)]), max([high, *(b for _, b in over)])
+            while k + some < len(values) and values[k + some][1] < new_high:
+                new_high = max(new_high, values[k + some][2])
+                some += 1
+            grown, low, high = (new_low, new_high) != (low, high), new_low, new_high
+        group = values[k : k + some]
+        new, layout = _filled(text, group, low, high)
+        if any(a < high and b > low for a, b in marks):
+            tail = text[high : high + _REACH]
+            while [x[:3] for x in _found(new + tail, key, back)[0] if x[1] < len(new)] != layout:
+                group = [(kind, a, b, _cached(kind, old, key, back)) for kind, a, b, old in group]
+                new, layout = _filled(text, group, low, high)
+        out += [text[done:low], new]
+        done, k = high, k + some
     return "".join([*out, text[done:]]), spans
 
 
+def _filled(text: str, group: list, low: int, high: int):
+    """``text[low:high]`` with the values of ``group`` replaced, and ``(kind, start, end)`` of them there."""
+    new, layout = "", []
+    for kind, a, b, value in group:
+        new += text[low:a]
+        layout.append((kind, len(new), len(new) + len(value)))
+        new += value
+        low = b
+    return new + text[low:high], layout
+
+
 _cached = lru_cache(maxsize=1 << 16)(pseudonym)
 
 

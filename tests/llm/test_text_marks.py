@@ -1,6 +1,7 @@
 """Pseudonyms (round trip, formats, links) and token attribution (against offsets)."""
 
 import hashlib
+import random
 import re
 
 import pytest
@@ -35,6 +36,49 @@ def test_others_stay():
         assert pii.replace(f"a {text} b", KEY) == (f"a {text} b", [])
 
 
+MORE = [
+    ("4111111111111111 123", "card", 0, 16),
+    ("4111 1111 1111 1111 12 items", "card", 0, 19),
+    ("AT61 1904 3002 3457 3201 12", "iban", 0, 24),
+    ("GB82 WEST 1234 5698 7654 32 OK", "iban", 0, 27),
+    ("FR1420041010050500013M02606", "iban", 0, 27),
+    ("NL91ABNA0417164300", "iban", 0, 18),
+    ("IT60 X054 2811 1010 0000 0123 456", "iban", 0, 33),
+    ("+33 6 12 34 56 78", "phone", 0, 17),
+    ("+44 20 7946 0958", "phone", 0, 16),
+    ("+49 (30) 901820", "phone", 0, 15),
+    ("12/31/1999", "date", 0, 10),
+]
+
+
+@pytest.mark.parametrize("text,kind,start,end", MORE)
+def test_values_in_longer_or_other_shapes(text, kind, start, end):
+    for n in range(40):  # some keys make the longer candidate valid by chance
+        line, key = f"see {text}, and 12 {text}.", b"%d" % n
+        got, spans = pii.replace(line, key)
+        again = 4 + len(text) + len(", and 12 ")
+        assert spans == [(kind, 4 + start, 4 + end), (kind, again + start, again + end)]
+        assert text[start:end] not in got and re.sub(r"\d", "0", re.sub("[A-Z]", "A", got)) == re.sub(r"\d", "0", re.sub("[A-Z]", "A", line))
+        assert pii.replace(got, key, back=True) == (line, spans)
+
+
+def test_ambiguous_neighbours_round_trip():
+    rng = random.Random(4)
+    for n in range(400):
+        parts = []
+        for _ in range(6):
+            d = "".join(rng.choice("0123456789") for _ in range(rng.choice([12, 14, 15])))
+            parts += [d + pii.luhn_digit(d), rng.choice(["12/31/1999", "10.0.0.1", "7", "123", "and", "+49 30 901820", "DE89 3704 0044 0532 0130 00"])]
+        line, key = " ".join(parts), b"%d" % n
+        got, spans = pii.replace(line, key)
+        assert len(spans) >= 6 and pii.replace(got, key, back=True)[0] == line
+
+
+def test_words_in_capitals_stay():
+    for text in ["GB82 WEST 1234 5698 7654 33", "AB12 CDEF GHIJ KLMN", "+1 234 567", "13/13/2020"]:
+        assert pii.replace(f"a {text} b", KEY) == (f"a {text} b", [])
+
+
 def test_permutation():
     for size in (1, 2, 7, 100, 366):
         image = [pii._feistel(i, size, KEY, False) for i in range(size)]
