@@ -166,7 +166,10 @@ def identify(docs: DataFrame, model: Model | None, text_col="text", lang_name="l
 
 def keep_identified(docs: DataFrame, text_col="text", lang_col="lang", id_col="doc_id") -> DataFrame:
     """``docs`` without the rows it rejects: texts of which no language can be told, being
-    null or without a letter.  Columns and other rows are kept as they are."""
+    null or without a letter.  Columns and other rows are kept as they are.
+
+    The kept rows are those with a letter, whatever language the model tells: its label and
+    score reject nothing."""
     model = train(docs, id_col=id_col, text_col=text_col, lang_col=lang_col)
     if model is None:  # nothing is labelled, so nothing can be told apart
         return docs.where(F.col(text_col).rlike(r"\p{L}"))
