@@ -89,25 +89,47 @@ def _field(df: DataFrame, *path: str, dtype: str = "double") -> Column:
     return F.lit(None).cast(dtype)
 
 
+# File name endings of Spark's event-log codecs.
+PACKED_NAMES = r"\.(zstd|lz4|lzf|snappy)(\.inprogress)?$"
+NOT_PLAIN = "not a plain event log (write it with spark.eventLog.compress=false): "
+
+
+def packed_logs(spark, path: str) -> DataFrame:
+    """``file`` of every log under ``path`` that one of Spark's codecs wrote.
+
+    Readers may see such a file as empty, so its name decides; only names are listed.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.select(F.col("path").alias("file")).where(F.col("file").rlike(PACKED_NAMES))
+
+
 def read_event_log(spark, path: str) -> DataFrame:
     """Event-log events (EVENT_SCHEMA columns) with an ``app_key`` per
     application: the file, or the ``eventlog_v2_*`` folder of rolled logs.
 
-    Every file under ``path`` is read, whatever its name.  A line that is no
-    JSON object, such as any of a compressed log, is an error naming the file.
+    Every file under ``path`` is read, whatever its name; a packed one is a
+    ``ValueError`` at once.  ``unreadable`` names the file of a line that is no
+    JSON object, whose events are null; ``run_metrics`` makes it an error.
     """
+    packed = packed_logs(spark, path).first()
+    if packed is not None:
+        raise ValueError(NOT_PLAIN + packed.file)
     raw = spark.read.option("recursiveFileLookup", "true").text(path)
-    raw = raw.select(F.col("_metadata.file_path").alias("file"), "value")
-    # Spark's own codecs: readers may see such a file as empty, so its name decides.
-    packed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    packed = packed.select(F.col("path").alias("file"), F.lit("packed").alias("value"))
-    raw = raw.unionByName(packed.where(F.col("file").rlike(r"\.(zstd|lz4|lzf|snappy)(\.inprogress)?$")))
-    raw = raw.where(F.trim("value") != "")
-    bad = F.concat(F.lit("not a plain event log (write it with spark.eventLog.compress=false): "), F.col("file"))
-    line = F.when(F.col("value").startswith("{"), F.col("value")).otherwise(F.raise_error(bad))
-    ev = raw.select("file", F.from_json(line, EVENT_SCHEMA).alias("e")).select("file", "e.*")
+    raw = raw.select(F.col("_metadata.file_path").alias("file"), "value").where(F.trim("value") != "")
+    bad = F.when(~F.col("value").startswith("{"), F.col("file"))
+    ev = raw.select("file", bad.alias("unreadable"), F.from_json("value", EVENT_SCHEMA).alias("e"))
     key = F.regexp_replace(F.col("file"), r"/events_[0-9]+_[^/]*$", "")
-    return ev.withColumn("app_key", key)
+    return ev.select("file", "unreadable", "e.*").withColumn("app_key", key)
+
+
+def _readable(app_id: str = "app_id") -> Column:
+    """``app_id``, or an error where the application's log has an unreadable line.
+
+    Stands in the last projection, above every filter: Spark may evaluate an
+    error below a filter for rows that the filter would have dropped.
+    """
+    bad = F.raise_error(F.concat(F.lit(NOT_PLAIN), F.col("unreadable")))
+    return F.when(F.col("unreadable").isNotNull(), bad).otherwise(F.col(app_id)).alias("app_id")
 
 
 def _app_metrics(ev: DataFrame) -> DataFrame:
@@ -136,6 +158,7 @@ def _app_metrics(ev: DataFrame) -> DataFrame:
     executor = runner.isNotNull() & (runner != "driver")
 
     agg = ev.groupBy("app_key").agg(
+        F.max("unreadable").alias("unreadable"),
         F.max(F.when(e == "SparkListenerApplicationStart", _field(ev, "App ID", dtype="string"))).alias("app_id"),
         F.sum(F.when(task, _field(ev, "Task Metrics", "Executor Run Time"))).alias("run_ms"),
         F.sum(
@@ -164,8 +187,8 @@ def _app_metrics(ev: DataFrame) -> DataFrame:
     peak = F.when(own, F.col("executor_peak_b")).otherwise(F.col("any_peak_b"))
     limit = F.when(own, F.col("executor_limit_b")).otherwise(F.col("any_limit_b"))
     peak = F.when(peak > 0, peak).otherwise(limit)
-    return agg.where(F.col("app_id").isNotNull()).select(
-        "app_id",
+    return agg.where(F.col("app_id").isNotNull() | F.col("unreadable").isNotNull()).select(
+        _readable(),
         (F.coalesce(F.col("run_ms"), zero) / 1000.0).alias("run_time_sec"),
         (F.coalesce(F.col("read_b"), zero) / MB).alias("shuffle_read_mb"),
         (F.coalesce(F.col("write_b"), zero) / MB).alias("shuffle_write_mb"),
@@ -235,6 +258,7 @@ def _run_metrics_by_group(ev: DataFrame) -> DataFrame:
         )
     )
     per_app = ev.groupBy("app_key").agg(
+        F.max("unreadable").alias("unreadable"),
         F.max(F.when(e == "SparkListenerApplicationStart", _field(ev, "App ID", dtype="string"))).alias("app_id"),
         F.max(F.when(e == "SparkListenerApplicationEnd", 1).otherwise(0)).alias("ended"),
     )
@@ -249,11 +273,12 @@ def _run_metrics_by_group(ev: DataFrame) -> DataFrame:
         .groupBy("app_key", "run")
         .agg(F.sum(F.col("failed").cast("int")).alias("failed_jobs"))
     )
-    out = tasks.join(per_app, "app_key", "inner").join(failures, ["app_key", "run"], "left")
+    out = per_app.join(tasks, "app_key", "left").join(failures, ["app_key", "run"], "left")
+    out = out.where(F.col("run").isNotNull() | F.col("unreadable").isNotNull())
     # A run reports only peaks logged for its own tasks (null when none).
     peak = F.when(F.col("task_peak_b") > 0, F.col("task_peak_b"))
     return out.select(
-        "app_id",
+        _readable(),
         "run",
         (F.coalesce(F.col("run_ms"), zero) / 1000.0).alias("run_time_sec"),
         (F.coalesce(F.col("read_b"), zero) / MB).alias("shuffle_read_mb"),

@@ -119,5 +119,41 @@ def test_unreadable_log_is_an_error(spark, tmp_dir, codec):
     _log(os.path.join(tmp_dir, "plain"), "plain")
     with open(os.path.join(tmp_dir, f"app.{codec}"), "wb") as f:
         f.write(b"LZ4Block\x16\x00\x01 binary \xff\xfe")
-    with pytest.raises(Exception, match="not a plain event log|FAILED_READ_FILE"):
-        run_metrics(spark, tmp_dir).collect()
+    for by in ("app", "job_group"):
+        with pytest.raises(Exception, match="not a plain event log|FAILED_READ_FILE"):
+            run_metrics(spark, tmp_dir, by=by).collect()
+
+
+def _task(stage, ms, written):
+    return {"Event": "SparkListenerTaskEnd", "Stage ID": stage, "Task Info": {"Executor ID": "1"},
+            "Task Metrics": {"Executor Run Time": ms, "Shuffle Write Metrics": {"Shuffle Bytes Written": written}}}
+
+
+def _job(job, stages, group):
+    return {"Event": "SparkListenerJobStart", "Job ID": job, "Stage IDs": stages, "Properties": {"spark.jobGroup.id": group}}
+
+
+def _end(job, result="JobSucceeded"):
+    return {"Event": "SparkListenerJobEnd", "Job ID": job, "Job Result": {"Result": result}}
+
+
+def test_hand_made_log_in_both_forms(spark, tmp_dir):
+    _log(os.path.join(tmp_dir, "app-1"), "app-1",
+         _job(0, [0, 1], "mine"), _task(0, 1500, 2 << 20), _task(1, 500, 0), _end(0),
+         _job(1, [1, 2], "other"), _task(2, 250, 1 << 20), _end(1, "JobFailed"))
+    with open(os.path.join(tmp_dir, "app-1"), "a") as f:
+        f.write("\n  \n")  # blank lines are no events and no error
+    (app,) = run_metrics(spark, tmp_dir).collect()
+    assert (app.app_id, app.run_time_sec, app.shuffle_write_mb, app.succeeded) == ("app-1", 2.25, 3.0, False)
+    runs = {r.run: r for r in run_metrics(spark, tmp_dir, by="job_group").collect()}
+    assert {n: (r.run_time_sec, r.shuffle_write_mb, r.succeeded) for n, r in runs.items()} == {
+        "mine": (2.0, 2.0, True), "other": (0.25, 1.0, False)}
+
+
+@pytest.mark.parametrize("by", ["app", "job_group"])
+def test_line_that_is_no_event_is_an_error(spark, tmp_dir, by):
+    _log(os.path.join(tmp_dir, "app-1"), "app-1", _job(0, [0], "mine"), _task(0, 1, 1))
+    with open(os.path.join(tmp_dir, "other"), "w") as f:
+        f.write("no event\n")
+    with pytest.raises(Exception, match="not a plain event log.*other"):
+        run_metrics(spark, tmp_dir, by=by).collect()
