@@ -11,6 +11,7 @@ from basketry.llm import langid as op2
 from basketry.llm import mixing as op10
 from basketry.llm import packing as op1
 from basketry.llm import pii as op9
+from basketry.llm import runs as op13
 from basketry.llm import simhash as op7
 from basketry.llm import suffix_dedup as op4
 from basketry.llm import toxicity as op8
@@ -67,6 +68,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13.digest(op13.periodic_runs(_documents(spark, sf_dir), rewrite=op13.planted_period))
+
+
 REGISTRY = {
     "op1_packing": (op1_packing, None),
     "op2_langid": (op2_langid, None),
@@ -78,4 +83,5 @@ REGISTRY = {
     "op8_toxicity": (op8_toxicity, None),
     "op9_pii": (op9_pii, None),
     "op10_mixing": (op10_mixing, op10.ORACLE),
+    "op13_periodic_runs": (op13_periodic_runs, None),
 }
