@@ -11,6 +11,7 @@ from basketry.llm import langid as op2
 from basketry.llm import mixing as op10
 from basketry.llm import packing as op1
 from basketry.llm import pii as op9
+from basketry.llm import prefix_trie as op12
 from basketry.llm import runs as op13
 from basketry.llm import simhash as op7
 from basketry.llm import suffix_dedup as op4
@@ -68,6 +69,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op13.digest(op13.periodic_runs(_documents(spark, sf_dir), rewrite=op13.planted_period))
 
@@ -83,5 +88,6 @@ REGISTRY = {
     "op8_toxicity": (op8_toxicity, None),
     "op9_pii": (op9_pii, None),
     "op10_mixing": (op10_mixing, op10.ORACLE),
+    "op12_prefix_trie": (op12_prefix_trie, op12.ORACLE),
     "op13_periodic_runs": (op13_periodic_runs, None),
 }
