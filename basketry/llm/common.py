@@ -86,3 +86,27 @@ def rows_of(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str) -> Dat
     """
     rows = docs.select(row_key(id_col, text_col).alias("key"), F.struct("*").alias("row"))
     return rows.groupBy("key").agg(F.first("row").alias("row")).join(keys, "key")
+
+
+def labelled_texts(docs: DataFrame, labels: DataFrame, label_col: str, bounds: dict[int, int], seed: str, allowed=None, id_col="doc_id", text_col="text") -> tuple[DataFrame, dict[int, int]]:
+    """``(place, y, text)``: for each label in ``bounds`` the texts of lowest hash, at most that
+    many, and how many different texts carry each label.
+
+    A text counts once, however many rows and ids repeat it; ids that are labelled twice and
+    texts of several ids take the greatest label.  Null texts are empty; null ids have no
+    label.  The texts are chosen by their hashes in Spark, so what a caller collects is
+    bounded in rows whatever share of the rows one id or one text holds.
+    """
+    own = labels if allowed is None else labels.where(allowed)
+    own = own.where(F.col(id_col).isNotNull() & F.col(label_col).isin(list(bounds))).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text, F.lit(seed)).alias("place"))
+    texts = rows.select("id", "place").distinct().join(own, "id").groupBy("place").agg(F.max("y").alias("y"))
+    texts = written(texts, "labelled")
+    counts = {r["y"]: r["count"] for r in texts.groupBy("y").count().collect()}
+    chosen = [texts.where(F.col("y") == y).orderBy("place").limit(n) for y, n in bounds.items()]
+    picks = chosen[0]
+    for more in chosen[1:]:
+        picks = picks.unionByName(more)
+    # The limits bound what is broadcast.
+    return rows.drop("id").join(F.broadcast(picks), "place").dropDuplicates(["place"]), counts

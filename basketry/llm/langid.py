@@ -15,17 +15,26 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from basketry.llm.common import written
+
 MAX_GRAM = 3
 #: N-grams are hashed to this many bits, a bit set per text.
 HASH_BITS = 16
-#: Bounds of the fit: training rows and landmarks of each language, and languages.
+#: Bounds of the fit: texts and landmarks of each language, and of all languages; with more
+#: languages than that each still has one text.
 TRAIN_ROWS = 600
 LANDMARKS = 32
-MAX_LANGS = 256
+ALL_ROWS = 38_400
+ALL_LANDMARKS = 2_048
+#: N-grams of a training text, those of least hash.
+TRAIN_GRAMS = 8_192
 RIDGE = 1e-3
+#: A text is of none of the languages if its share of known n-grams is below this share of the
+#: least among the training texts.
+REJECT = 0.5
 BATCH = 64
 #: Characters hashed at once; bounds memory on long texts.
 CHUNK = 1 << 20
@@ -57,6 +66,11 @@ class Model:
     column: np.ndarray
     landmarks: np.ndarray
     weights: np.ndarray
+    reject: float = 0.0  # a text with a smaller share of known n-grams is of no learned language
+
+    def known(self, text: np.ndarray) -> float:
+        """Share of a gram set that the landmarks hold."""
+        return float((self.column[text] >= 0).mean()) if len(text) else 0.0
 
     def scores(self, texts: list[np.ndarray]) -> np.ndarray:
         """One row per gram set, one regression value per language; about 1 and -1."""
@@ -98,7 +112,9 @@ def fit(examples: list[tuple[str, np.ndarray]], landmarks: int = LANDMARKS, ridg
     share = np.array([1 / sum(of == lang for of, _ in examples) for lang, _ in examples])
     share *= len(examples) / share.sum()
     w = np.linalg.solve(x.T @ (x * share[:, None]) + ridge * len(examples) * np.eye(x.shape[1]), x.T @ (y * share[:, None]))
-    return Model(langs, column, marks, (root @ w).astype(np.float32))
+    model = Model(langs, column, marks, (root @ w).astype(np.float32))
+    model.reject = REJECT * min(model.known(g) for _, g in examples)
+    return model
 
 
 def held_out(id_col, modulus: int, remainder: int):
@@ -107,48 +123,58 @@ def held_out(id_col, modulus: int, remainder: int):
 
 
 def train(docs: DataFrame, train_rows: int = TRAIN_ROWS, id_col="doc_id", text_col="text", lang_col="lang", allowed=None) -> Model | None:
-    """Fit on about ``train_rows`` rows of each language among ``allowed`` rows, those of the
-    lowest hash of the id; at most ``MAX_LANGS`` languages, the most frequent.
+    """Fit on ``train_rows`` texts of each language among ``allowed`` rows, those of least hash,
+    every language with its share; None if no row has a language and a text.
 
-    The driver gets the hashed n-grams of these rows only, a bounded set each.
+    A text counts once for a language, however many rows repeat it, and ids play no part:
+    null, repeated and hot ids change nothing.  The driver gets at most
+    ``TRAIN_GRAMS`` hashed n-grams of at most ``ALL_ROWS`` texts (or one for each language).
     """
     rows = docs if allowed is None else docs.where(allowed)
     rows = rows.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = rows.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
-    if not counts:
+    rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(text_col, F.lit("train")).alias("place"))
+    texts = written(rows.select("lang", "place").distinct(), "labelled")
+    langs = texts.agg(F.count_distinct("lang")).first()[0]
+    if not langs:
         return None
-    place = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("train")), F.lit(1 << 30)) / float(1 << 30)
-    bound = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(1.25 * train_rows / r["count"]))])
-    rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), place.alias("place")).where(F.col("place") < F.try_element_at(bound, F.col("lang")))
+    # A limit by group: each task hands on its least rows of a language only.
+    place = F.row_number().over(W.partitionBy("lang").orderBy("place"))
+    picks = texts.withColumn("n", place).where(F.col("n") <= max(1, min(train_rows, ALL_ROWS // langs))).drop("n")
+    rows = rows.join(F.broadcast(picks), ["lang", "place"]).dropDuplicates(["lang", "place"])
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b["lang"], b["place"], pa.array([grams(t).tobytes() for t in b["text"].to_pylist()], pa.binary())], ["lang", "place", "grams"])
+            found = [grams(t)[:TRAIN_GRAMS].tobytes() for t in b["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([b["lang"], b["place"], pa.array(found, pa.binary())], ["lang", "place", "grams"])
 
-    found = rows.mapInArrow(run, "lang string, place double, grams binary").collect()
-    by: dict[str, list] = {}
-    for r in sorted(found, key=lambda r: (r["lang"], r["place"], bytes(r["grams"]))):
-        by.setdefault(r["lang"], []).append((r["lang"], np.frombuffer(r["grams"], np.int32)))
-    return fit([x for some in by.values() for x in some[:train_rows]])
+    found = rows.mapInArrow(run, "lang string, place long, grams binary").collect()
+    found.sort(key=lambda r: (r["lang"], r["place"]))
+    return fit([(r["lang"], np.frombuffer(r["grams"], np.int32)) for r in found], landmarks=max(1, min(LANDMARKS, ALL_LANDMARKS // langs)))
 
 
-def told(model: Model | None, texts: list[str | None]) -> tuple[list[str], list[float]]:
+def told(model: Model | None, texts: list[str | None], rejecting: bool = False) -> tuple[list[str], list[float]]:
     """Language and score of each whole text; ``und`` and 0 for null or letterless texts,
-    and for all if there is no model."""
+    and for all if there is no model.  ``rejecting`` gives ``und`` to texts of none
+    of the languages too."""
     lang, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
     own = [i for i, t in enumerate(texts) if model and t and _LETTER.search(t)]
     for a in range(0, len(own), BATCH):
         some = own[a : a + BATCH]
-        for i, row in zip(some, model.scores([grams(texts[i]) for i in some])):
+        found = [grams(texts[i]) for i in some]
+        for i, g, row in zip(some, found, model.scores(found)):
             k = int(row.argmax())
-            lang[i], score[i] = model.langs[k], float(min(1.0, max(0.0, (row[k] + 1) / 2)))
+            if not rejecting or model.known(g) >= model.reject:
+                lang[i] = model.langs[k]
+            score[i] = float(min(1.0, max(0.0, (row[k] + 1) / 2)))
     return lang, score
 
 
-def identify(docs: DataFrame, model: Model | None, text_col="text", lang_name="lang_pred", score_name="score") -> DataFrame:
+def identify(docs: DataFrame, model: Model | None, text_col="text", lang_name="lang_pred", score_name="score", rejecting: bool = False) -> DataFrame:
     """``docs`` with the predicted language and its score from 0 to 1 (0.5: on the border of
-    its one-versus-rest machine).  Only the text is read.  Columns of these names
-    are replaced; rows are otherwise kept as they are, nulls and repeats included.
+    its one-versus-rest machine).  Only the text is read, whole: long texts are hashed a stretch
+    at a time.  ``rejecting`` also gives ``und`` to texts of none of the languages.  Equal scores go to the first language by name.  Columns of these names
+    are replaced; rows are otherwise kept as they are, nulls and repeats included; an
+    empty table stays empty.
     """
     rows = docs.drop(lang_name, score_name)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: n-grams of the landmarks
@@ -156,7 +182,7 @@ def identify(docs: DataFrame, model: Model | None, text_col="text", lang_name="l
 
     def run(batches):
         for b in batches:
-            lang, score = told(shared.value, b.column(at).to_pylist())
+            lang, score = told(shared.value, b.column(at).to_pylist(), rejecting)
             names = [*b.schema.names, lang_name, score_name]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names)
 
@@ -165,13 +191,15 @@ def identify(docs: DataFrame, model: Model | None, text_col="text", lang_name="l
 
 
 def keep_identified(docs: DataFrame, text_col="text", lang_col="lang", id_col="doc_id") -> DataFrame:
-    """``docs`` without the rows it rejects: texts of which no language can be told, being
-    null or without a letter.  Columns and other rows are kept as they are.
+    """``docs`` without the rows of which no language can be told: texts that are null or without
+    a letter, and texts of none of the learned languages, the landmarks holding less of their
+    n-grams than half of the least share among the training texts.
 
-    The kept rows are those with a letter, whatever language the model tells: its label and
-    score reject nothing."""
+    A missing language becomes the one told; columns and other values are kept as they are.
+    If nothing is labelled nothing can be told apart: then rows with a letter stay."""
     model = train(docs, id_col=id_col, text_col=text_col, lang_col=lang_col)
-    if model is None:  # nothing is labelled, so nothing can be told apart
+    if model is None:
         return docs.where(F.col(text_col).rlike(r"\p{L}"))
     told_lang, told_score = "__lang_told", "__score_told"
-    return identify(docs, model, text_col, told_lang, told_score).where(F.col(told_lang) != UNKNOWN).drop(told_lang, told_score)
+    rows = identify(docs, model, text_col, told_lang, told_score, rejecting=True).where(F.col(told_lang) != UNKNOWN)
+    return rows.withColumn(lang_col, F.coalesce(lang_col, told_lang)).drop(told_lang, told_score)

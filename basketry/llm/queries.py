@@ -12,6 +12,7 @@ from basketry.llm import mixing as op10
 from basketry.llm import packing as op1
 from basketry.llm import pii as op9
 from basketry.llm import prefix_trie as op12
+from basketry.llm import quality as op11
 from basketry.llm import runs as op13
 from basketry.llm import simhash as op7
 from basketry.llm import suffix_dedup as op4
@@ -69,6 +70,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = _documents(spark, sf_dir), op2.held_out("doc_id", 5, 0)
+    model = op11.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~held)
+    return op11.score_quality(docs.select("doc_id", "text"), model).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op12.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
@@ -88,6 +95,7 @@ REGISTRY = {
     "op8_toxicity": (op8_toxicity, None),
     "op9_pii": (op9_pii, None),
     "op10_mixing": (op10_mixing, op10.ORACLE),
+    "op11_quality": (op11_quality, None),
     "op12_prefix_trie": (op12_prefix_trie, op12.ORACLE),
     "op13_periodic_runs": (op13_periodic_runs, None),
 }

@@ -1,10 +1,11 @@
-"""Language ID and toxicity: held-out accuracy, edge rows, same rows again."""
+"""Language ID, toxicity, quality: held-out accuracy, brute force, edge rows, same rows again."""
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from basketry.llm import langid, toxicity
-from basketry.llm.queries import op2_langid, op8_toxicity
+from basketry.llm import langid, quality, toxicity
+from basketry.llm.common import labelled_texts
+from basketry.llm.queries import op2_langid, op8_toxicity, op11_quality
 from tests.conftest import SF01
 
 ROWS = [(1, None, "x"), (2, "", "x"), (3, "12 $$ --", None), (None, "the and of that thing", "x"), (5, "der und die einlich", None), (5, "der und die einlich", None), (7, "the " * 60_000, "x")]
@@ -82,3 +83,126 @@ def test_long_texts_in_stretches():
         assert np.allclose(model.raw(texts), whole, atol=1e-4)
     finally:
         toxicity.CHUNK = chunk
+
+
+def test_scores_by_brute_force_kernel_ridge():
+    """Every example a landmark: the same values as kernel ridge on Python sets."""
+    said = {"en": ["the and of that", "this is the one", "and that thing"], "de": ["der und die einlich", "das ist ein haus", "und die stadt", "der tag"], "fr": ["le chat et la", "que la vie est"]}
+    texts = [(lang, t) for lang, ts in sorted(said.items()) for t in ts]
+    sets = [{t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)} for _, t in texts]
+    new = ["the tag", "la vie", "einlich das", "zzz"]
+    news = [{t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)} for t in new]
+    k = np.array([[len(a & b) / (len(a) * len(b)) ** 0.5 for b in sets] for a in sets])
+    y = np.array([[1.0 if of == lang else -1.0 for lang in sorted(said)] for of, _ in texts])
+    share = np.array([1 / len(said[lang]) for lang, _ in texts])
+    share *= len(texts) / share.sum()
+    alpha = np.linalg.solve(share[:, None] * k + langid.RIDGE * len(texts) * np.eye(len(texts)), share[:, None] * y)
+    want = np.array([[len(a & b) / (len(a) * len(b)) ** 0.5 for b in sets] for a in news]) @ alpha
+    model = langid.fit([(lang, langid.grams(t)) for lang, t in texts])
+    assert model.langs == sorted(said) and np.abs(model.scores([langid.grams(t) for t in new]) - want).max() < 5e-3
+
+
+def many(spark):
+    """Labelled rows with null ids, one id on a third of them, repeated and very long texts."""
+    docs = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 3 == 1, F.col("id")).alias("doc_id"),
+        F.when(F.col("id") % 5 == 0, "der und die einlich").when(F.col("id") % 250 == 1, F.repeat(F.lit("the thing "), 30_000)).otherwise(F.concat(F.lit("the and of that "), F.col("id"))).alias("text"),
+        F.when(F.col("id") % 5 == 0, "de").otherwise("en").alias("lang"),
+    )
+    return docs
+
+
+def test_training_rows_are_bounded_whatever_the_ids(spark):
+    docs = many(spark)
+    labels = spark.createDataFrame([(7, 1), (7, 0), (None, 1)] + [(i, i % 2) for i in range(1, 3000, 3)], "doc_id bigint, toxic int")
+    rows, counts = labelled_texts(docs, labels, "toxic", {1: 50, 0: 40}, "x")
+    got = rows.collect()
+    assert sorted((r.y for r in got)) == [0] * 40 + [1] * 50 and len({r.text for r in got}) == 90
+    texts = {}
+    known = {7: 1} | {i: i % 2 for i in range(1, 3000, 3)}
+    for r in docs.collect():
+        if r.doc_id in known:
+            texts[r.text] = max(texts.get(r.text, 0), known[r.doc_id])
+    assert counts == {y: sum(v == y for v in texts.values()) for y in (0, 1)}
+    assert all(texts[r.text] == r.y for r in got)
+    assert len(toxicity.train_words(toxicity.word_ids("a b " * 30_000, toxicity._Words()))) == toxicity.TRAIN_WORDS + max(toxicity.WIDTHS)
+    for ids in (docs, docs.withColumn("doc_id", F.lit(None).cast("long")), docs.withColumn("doc_id", F.lit(1).cast("long"))):
+        model = langid.train(ids, train_rows=30)
+        assert model.langs == ["de", "en"] and model.landmarks.shape[1] == 31  # one German text, 30 English ones
+        assert langid.told(model, ["und die", "of that"])[0] == ["de", "en"]
+    assert toxicity.train(docs, labels) is not None and quality.train(docs, labels, label_col="toxic") is not None
+
+
+def test_every_language_is_learned(spark):
+    """No language is dropped: each of many has one text at least."""
+    rows = spark.range(900).select(F.col("id").alias("doc_id"), F.concat(F.lit("l"), F.col("id") % 300).alias("lang"), F.concat(F.lit("word"), F.col("id") % 300, F.lit(" x"), F.col("id")).alias("text"))
+    assert len(langid.train(rows).langs) == 300
+
+
+def test_rejected_languages_go(spark):
+    docs = spark.read.parquet(f"{SF01}/documents.parquet")
+    own = spark.createDataFrame([(-1, "日本語の文章です。これは別の言葉である。", None), (-2, "1234 !!", "en"), (-3, "the and of that thing is in the house", None)], "doc_id bigint, text string, lang string")
+    every = docs.select("doc_id", "text", "lang").unionByName(own)
+    kept = {r.doc_id: r for r in langid.keep_identified(every).collect()}
+    assert {-1, -2} & kept.keys() == set() and kept[-3].lang == "en"  # a missing language is filled in
+    clean = {r.doc_id for r in docs.where(r"text rlike '\\p{L}'").collect()}
+    assert clean <= kept.keys()
+    model = langid.train(docs)
+    model.column[:] = -1  # a broken model knows nothing
+    assert set(langid.told(model, ["the and of that"], rejecting=True)[0]) == {"und"} != set(langid.told(model, ["the and of that"])[0])
+
+
+def test_quality_held_out(spark):
+    rows = op11_quality(spark, SF01)
+    assert rows.columns == ["doc_id", "held_out", "score", "predicted"]
+    assert rows.where("score is null or score < 0 or score > 1 or (predicted = 1) <> (score >= 0.3)").count() == 0
+    got = rows.join(spark.read.parquet(f"{SF01}/labels.parquet"), "doc_id").where("held_out and quality is not null").collect()
+    good, bad = [r.predicted for r in got if r.quality == 1], [r.predicted for r in got if r.quality == 0]
+    assert sum(good) >= 0.97 * len(good) > 0 and sum(bad) <= 0.35 * len(bad)  # some fifty bad texts to learn from
+    assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, op11_quality(spark, SF01).collect()))
+
+
+def test_quality_edge_rows(spark):
+    df = spark.createDataFrame(ROWS, "doc_id bigint, text string, lang string").withColumns({"predicted": F.lit("s"), "data": F.lit(1), "y": F.lit(1)})
+    labels = spark.createDataFrame([(1, 0), (2, 1), (2, 1), (3, None), (None, 1), (5, 1), (7, 0)], "doc_id bigint, quality int")
+    model = quality.train(df, labels)
+    got = quality.score_quality(df, model).collect()
+    assert len(got) == len(ROWS) and all(0 <= r.score <= 1 for r in got)
+    assert quality.train(df, labels.where("quality = 1")) is None
+    assert {r.predicted for r in quality.score_quality(df, None).collect()} == {1}
+    assert quality.score_quality(df.limit(0), model).count() == 0
+
+
+def test_chunks_cover_the_text():
+    for n in (0, 1, 255, 256, 257, 480, 481, 10_000):
+        text = "".join(chr(97 + i % 26) for i in range(n))
+        starts, data = quality.chunk_starts(n), quality.chunks(text)
+        assert data.shape == (len(starts), quality.CHUNK)
+        assert all(b - a <= quality.CHUNK - quality.OVERLAP for a, b in zip(starts, starts[1:]))
+        seen = {a + i for a in starts for i in range(quality.CHUNK)}
+        assert set(range(n)) <= seen and (n < quality.CHUNK or max(seen) == n - 1)
+
+
+def test_quality_values_by_loops():
+    """The table sums equal plain convolution, pooling and units."""
+    rng = np.random.default_rng(1)
+    texts = [quality.chunks("".join(map(chr, rng.integers(97, 110, n)))) for n in (5, 300, 900)]
+    m = quality.train_filters(texts, np.array([0, 1, 0]), epochs=2)
+    for data, value in zip(texts, m.raw(texts)):
+        units = []
+        for row in data:
+            x = m.embed[row].astype(np.float64)
+            z = [sum(x[i + j] @ m.filters[j] for j in range(quality.WIDTH)) for i in range(len(row) - quality.WIDTH + 1)]
+            units.append(np.tanh(np.maximum(np.max(z, axis=0) + m.bias, 0) @ m.hidden + m.hidden_bias))
+        assert abs(np.mean(units, axis=0) @ m.out + m.base[0] - value) < 1e-3
+
+
+def test_toxicity_by_language(spark):
+    """Thresholds of languages with labels enough; others share one."""
+    docs = spark.range(800).select(F.col("id").alias("doc_id"), F.concat(F.when(F.col("id") % 2 == 0, "the and of that thing ").otherwise("der und die einlich das "), F.when(F.col("id") % 4 < 2, F.when(F.col("id") % 2 == 0, "vile").otherwise("fies")).otherwise("ok"), F.lit(" w"), F.col("id") % 97).alias("text"), F.when(F.col("id") % 2 == 0, "en").otherwise("de").alias("lang"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 4 < 2).cast("int").alias("toxic"))
+    langs = langid.train(docs)
+    model = toxicity.train(docs, labels, langs=langs)
+    assert {"en", "de", ""} <= model.thresholds.keys()
+    for r in toxicity.score_toxicity(docs, model, langs).join(labels, "doc_id").groupBy("lang").agg(F.avg((F.col("predicted") == F.col("toxic")).cast("int")).alias("right")).collect():
+        assert r.right > 0.97, r
