@@ -56,20 +56,43 @@ def bounded_broadcast(
     return held, False
 
 
-#: Copies of a side that is too large to broadcast, each met by its share of a hot key's rows.
-SALTS = 32
+#: Rows above which a join key is heavy: fewer of one key are no burden to a task.
+HEAVY_ROWS = 1_000_000
+#: The list of heavy keys is broadcast, so it is bounded: the heaviest this many.  A key
+#: beyond it holds less than one ten-thousandth of all rows.
+HEAVY_KEYS = 10_000
 
 
-def salted_join(df: DataFrame, side: DataFrame, key: str, by: str, salts: int = SALTS) -> DataFrame:
-    """``df`` joined with ``side`` (one row per ``key``), a hot key's rows spread over
-    ``salts`` tasks by their ``by`` column; ``side`` is copied to each.
+def heavy_keys(counted: DataFrame, key: str, n: str, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+    """Keys with more than ``heavy_rows`` rows and the tasks their rows are to be spread over.
 
-    Adaptive execution does not split these joins: their sides come from
-    aggregates on the same key, whose partitioning they reuse.
+    ``counted`` has one row per key with its count ``n``, from an aggregate that sums
+    partial counts, so a heavy key costs a row of each task.  Gives ``(_heavy, _salts)``, the
+    salts following the key's share.
     """
-    salt = F.pmod(F.xxhash64(by), F.lit(salts)).cast("int")
-    copies = side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return df.withColumn("_salt", salt).join(copies, on=[key, "_salt"], how="inner").drop("_salt")
+    top = counted.where(F.col(n) > heavy_rows).orderBy(F.desc(n), F.col(key)).limit(HEAVY_KEYS)
+    return top.select(F.col(key).alias("_heavy"), F.ceil(F.col(n) / F.lit(float(heavy_rows))).cast("int").alias("_salts"))
+
+
+def spread_join(df: DataFrame, side: DataFrame, key: str, by: str, n: str, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+    """``df`` joined with ``side``, which has one row per ``key`` and its count ``n`` of rows of ``df``.
+
+    Rows of ordinary keys meet on the key, their side's row once.  A heavy key's rows are
+    spread over as many tasks as its share asks for, by their ``by`` column, and only its row of
+    ``side`` is copied to these.  Adaptive execution does not split such joins: their sides
+    come from aggregates on the same key, whose partitioning they reuse.
+    """
+    heavy = F.broadcast(heavy_keys(side, key, n, heavy_rows))
+    salts = F.coalesce(F.col("_salts"), F.lit(1))
+
+    def marked(rows: DataFrame, salt) -> DataFrame:
+        met = rows.join(heavy, F.col(key) == F.col("_heavy"), "left")
+        return met.withColumn("_salt", salt).drop("_heavy", "_salts")
+
+    spread = marked(df, F.pmod(F.xxhash64(by), salts).cast("int"))
+    copies = marked(side, F.explode(F.sequence(F.lit(0), salts - 1)))
+    # Pinned to a shuffle: a broadcast would leave a heavy key's rows in the one task they come in.
+    return spread.hint("merge").join(copies, on=[key, "_salt"], how="inner").drop("_salt")
 
 
 def checkpoint_dir(spark: SparkSession) -> str:

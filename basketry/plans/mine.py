@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketry.operators import patterns as P
+from basketry.operators.clean import clean_lines
 from basketry.operators.sizing import keep
-from basketry.operators.utility import uo_list
+from basketry.operators.utility import base_entries, uo_list
 from basketry.plans.spec import MineSpec
 
 
@@ -35,9 +36,17 @@ class MineResult:
     def candidates(self) -> DataFrame:
         return candidates(self.uo, self.all_singles, self.spec, self.holds)
 
+    @cached_property
+    def pair_buckets(self) -> DataFrame | None:
+        """Buckets of the pairs to measure, under ``prune="bounds"``."""
+        spec = self.spec
+        if spec.prune != "bounds":
+            return None
+        return P.pair_buckets(self.candidates, spec.min_util, spec.pair_uo, spec.split_items)
+
     @cached_property
     def pairs(self) -> DataFrame:
-        rows = P.pairs(self.candidates, self.spec.split_items)
+        rows = P.pairs(self.candidates, self.spec.split_items, self.pair_buckets)
         return P.keep_rule(rows, self.spec.min_util, self.spec.pair_uo)
 
     def release(self) -> None:
@@ -75,6 +84,11 @@ def candidates(uo: DataFrame, all_singles: DataFrame, spec: MineSpec, holds: lis
     return P.gate_by_winners(uo, kept, spec.broadcast_max_rows, holds)
 
 
+def _mined(uo: DataFrame, spec: MineSpec, holds: list) -> MineResult:
+    uo = keep(uo, spec.reuse)
+    return MineResult(spec=spec, uo=uo, all_singles=P.singles(uo), holds=holds)
+
+
 def mine(lines: DataFrame, spec: MineSpec, clean: bool = True) -> MineResult:
     """Mine size-1 and size-2 high-utility-occupancy patterns.
 
@@ -83,8 +97,31 @@ def mine(lines: DataFrame, spec: MineSpec, clean: bool = True) -> MineResult:
     because the size-1 step, the gate and the pair step all read it.
     """
     holds: list = []
-    uo = keep(uo_list(lines, spec, clean=clean, holds=holds), spec.reuse)
-    return MineResult(spec=spec, uo=uo, all_singles=P.singles(uo), holds=holds)
+    return _mined(uo_list(lines, spec, clean=clean, holds=holds), spec, holds)
+
+
+def mine_together(lines: DataFrame, specs, clean: bool = True) -> list[MineResult]:
+    """Several runs on the same lines: the lines are scanned and shuffled once, to entries with
+    the sums of every price policy, which all runs read.
+
+    The runs must agree on ``tu``, since lines without a TU count only where none is read.
+    The shared entries are held as the first spec's ``reuse`` says; releasing any run frees
+    them (another one then computes them again).
+    """
+    specs = list(specs)
+    if len({s.tu for s in specs}) > 1:
+        raise ValueError('runs that share their entries need the same "tu"')
+    given = bool(specs) and specs[0].tu == "given"
+    if given and "tu" not in lines.columns:
+        raise ValueError('tu="given" needs a "tu" column')
+    if clean:
+        lines = clean_lines(lines, given_tu=given)
+    results: list = []
+    base = keep(base_entries(lines, *specs), specs[0].reuse) if specs else None
+    for spec in specs:
+        holds = [base] if spec.reuse != "none" else []
+        results.append(_mined(uo_list(lines, spec, holds=holds, base=base), spec, holds))
+    return results
 
 
 def mine_many(runs, results: list | None = None) -> DataFrame:

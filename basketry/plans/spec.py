@@ -23,6 +23,10 @@ prune
     ``"winners"`` pairs only of size-1 winners (lossy, reference parity)
     ``"exact"``   pairs only of items whose upper bounds reach the thresholds
                   (no false dismissals; both duplicate modes)
+    ``"bounds"``  as ``"exact"``, and of their pairs only those whose own upper
+                  bounds, from a fixed number of buckets of pairs, reach them
+                  (no false dismissals; pairs are generated twice, but only
+                  few are shuffled)
 min_tu
     optional TU floor on top of ``TU > 0``
 split_items
@@ -38,10 +42,13 @@ tu_by
     ``"window"``    TU and basket size from a window over tid on the
                     deduplicated entries (one basket's distinct items in a
                     task; no extra join)
-    ``"aggregate"`` a partially aggregated ``groupBy(tid)`` joined back on
-                    salted tid, which spreads a huge basket; for
+    ``"aggregate"`` a partially aggregated ``groupBy(tid)`` joined back, which
+                    spreads a heavy basket; for
                     catalogues so large that one basket's distinct items
                     should not sit in one task.
+heavy_rows
+    entries of one item or transaction above which a join spreads them over
+    several tasks; results do not change
 reuse
     how the UO-list, read by both the size-1 and size-2 steps, is kept:
     ``"persist"`` (MEMORY_AND_DISK), ``"checkpoint"`` (reliable, in the
@@ -52,11 +59,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
+from basketry.operators.sizing import HEAVY_ROWS
+
 PRICES = ("actual", "mean", "constant", "hash", "first_seen")
 TUS = ("computed", "given")
 EXCLUDE_WHEN = ("after_tu", "before_tu")
 DUPLICATES = ("sum", "keep")
-PRUNES = ("none", "winners", "exact")
+PRUNES = ("none", "winners", "exact", "bounds")
 REUSES = ("persist", "checkpoint", "none")
 TU_BY = ("window", "aggregate")
 
@@ -81,6 +90,7 @@ class MineSpec:
     broadcast_max_rows: int = 1_000_000
     reuse: str = "persist"
     tu_by: str = "window"
+    heavy_rows: int = HEAVY_ROWS
 
     def __post_init__(self):
         for name, value, allowed in (
@@ -96,6 +106,8 @@ class MineSpec:
                 raise ValueError(f"MineSpec.{name}={value!r}; expected one of {allowed}")
         if self.split_items < 1:
             raise ValueError("split_items must be >= 1")
+        if self.heavy_rows < 1:
+            raise ValueError("heavy_rows must be >= 1")
         object.__setattr__(self, "exclude", tuple(self.exclude))
 
     @property

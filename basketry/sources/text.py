@@ -8,10 +8,11 @@ position (``posexplode``); nothing is collected per line.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketry.functions.columns import hash_price, numeric_token
+from basketry.operators.sizing import bounded_broadcast
 
 # Token separators of the two formats.
 WHITESPACE = r"\s+"
@@ -39,9 +40,36 @@ def with_tid(df: DataFrame, key: str | None = None) -> DataFrame:
     return df.withColumn("line_no", mid).withColumn("tid", F.col("line_no"))
 
 
-def read_lines(spark, path: str) -> DataFrame:
+def with_stable_ids(df: DataFrame, name: str = "tid", max_rows: int = 1_000_000) -> DataFrame:
+    """Rows of files numbered 0, 1, ... by file name, then place in the file.
+
+    ``df`` is an unfiltered read of files (text, CSV, Parquet).  Two passes: rows per split
+    of a file with their prefix sums, first inside a file, then over the files (one row
+    each), and the place of a row in its split.  Ids are the same under any split size,
+    core count and partitioning.  The splits' table is broadcast only when a
+    count proves it small (``max_rows``; 0 never).
+    """
+    own = F.monotonically_increasing_id()  # consecutive inside a split
+    rows = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), own.alias("_at"))
+    splits = rows.groupBy("_file", "_start").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    before = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    files = splits.groupBy("_file").agg(F.sum("_n").alias("_n"))
+    files = files.select("_file", before(Window.orderBy("_file")).alias("_of_file"))
+    splits = splits.withColumn("_of_split", before(Window.partitionBy("_file").orderBy("_start"))).join(files, "_file")
+    offsets = splits.select("_file", "_start", (F.col("_of_file") + F.col("_of_split") - F.col("_first")).alias("_offset"))
+    side, _ = bounded_broadcast(offsets, max_rows)
+    return rows.join(side, ["_file", "_start"]).withColumn(name, F.col("_at") + F.col("_offset")).drop("_file", "_start", "_at", "_offset")
+
+
+def read_lines(spark, path: str, stable_ids: bool = False) -> DataFrame:
     """Lines of one or several text files as ``value``, with a ``line_no`` that orders them by
-    file name, then place in the file (scans order splits by size, not name)."""
+    file name, then place in the file (scans order splits by size, not name).
+
+    With ``stable_ids`` ``line_no`` is the line's number over all files, the same under any
+    file splitting (``with_stable_ids``; pass ``key="line_no"`` to the parsers).
+    """
+    if stable_ids:
+        return with_stable_ids(spark.read.text(path), "line_no")
     at = F.struct(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("start"),
@@ -83,9 +111,9 @@ def parse_line_baskets(
     )
 
 
-def read_line_baskets(spark, path: str, **kw) -> DataFrame:
-    """S3 from files: one transaction per line."""
-    return parse_line_baskets(read_lines(spark, path), **kw)
+def read_line_baskets(spark, path: str, stable_ids: bool = False, **kw) -> DataFrame:
+    """S3 from files: one transaction per line, its id the line's number with ``stable_ids``."""
+    return parse_line_baskets(read_lines(spark, path, stable_ids), key="line_no" if stable_ids else None, **kw)
 
 
 def parse_utility_lines(
@@ -168,6 +196,6 @@ def parse_utility_lines(
     )
 
 
-def read_utility_lines(spark, path: str, **kw) -> DataFrame:
-    """S4 from files."""
-    return parse_utility_lines(read_lines(spark, path), **kw)
+def read_utility_lines(spark, path: str, stable_ids: bool = False, **kw) -> DataFrame:
+    """S4 from files; the line's number is its transaction's id with ``stable_ids``."""
+    return parse_utility_lines(read_lines(spark, path, stable_ids), key="line_no" if stable_ids else None, **kw)

@@ -9,6 +9,8 @@ occupancies to 6 on both sides, as the last step.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ import oracles as O
 from basketry import (
     MineSpec,
     any_patterns,
+    basket_items,
     basket_lists,
     common_patterns,
     compare,
@@ -23,24 +26,31 @@ from basketry import (
     from_table,
     item_catalogue,
     item_support,
-    mine,
+    merged_transactions,
     mine_many,
+    mine_together,
     pair_cooccurrence,
     pair_row_count,
+    pair_tid_bitmaps,
     only_left,
     pattern_counts,
     profile,
+    rejected_lines,
     remaining_occupancy,
     row_utility,
     sample_first,
     top_pairs,
     top_singles,
+    transaction_sketch,
     tu_mismatch,
     tu_summary,
     uo_head,
     uo_list,
+    with_stable_ids,
 )
+from basketry import mine as _mine
 from basketry.operators.clean import clean_lines, exclude_items, keep_numeric_items, merge_duplicates
+from basketry.operators.patterns import in_buckets, orient, pair_rows
 from basketry.operators.utility import mean_prices, transaction_totals, transaction_utility, uo_entries
 from basketry.sources.csv import parse_member_day, parse_retail
 from basketry.sources.text import parse_line_baskets, parse_utility_lines
@@ -179,11 +189,30 @@ def _mine_sql(raw, tail, **kw):
 
 REGISTRY: dict = {}
 
+# What the latest query holds (P1): its frames are lazy, so the next query releases it.
+_HELD: list = []
+
+
+def release_held() -> None:
+    """Free the UO-lists and small sides that the latest query held."""
+    while _HELD:
+        _HELD.pop().release()
+
+
+def mine(lines, spec):
+    _HELD.append(_mine(lines, spec))
+    return _HELD[-1]
+
 
 def query(name, sql=None):
     def deco(fn):
-        REGISTRY[name] = (fn, sql)
-        return fn
+        @wraps(fn)
+        def run(spark, d):
+            release_held()
+            return fn(spark, d)
+
+        REGISTRY[name] = (run, sql)
+        return run
 
     return deco
 
@@ -600,10 +629,10 @@ def q_patterns_combined(spark, d):
 
 
 def _two_runs(spark, d):
-    lines = lines_l(spark, d)
-    a = mine(lines, MineSpec(price="mean", prune="winners", **L_T)).pairs
-    b = mine(lines, MineSpec(prune="none", **L_T)).pairs
-    return a, b
+    """Both runs on one set of entries: one scan and one shuffle of the lines."""
+    a, b = mine_together(lines_l(spark, d), [MineSpec(price="mean", prune="winners", **L_T), MineSpec(prune="none", **L_T)])
+    _HELD.extend([a, b])
+    return a.pairs, b.pairs
 
 
 def _two_runs_sql(tail: str) -> str:
@@ -721,6 +750,8 @@ def q_dataset_profile(spark, d):
 
 HOT_T = dict(min_util=1500000.005, min_uo_single=0.20013, min_uo_pair=0.00140013)
 HOT_SPLIT = 256
+# Entries of a key that count as heavy in the skewed queries, low enough for the test tables.
+HEAVY = 500
 
 _HOT_BASKET_SQL = """
 SELECT CAST(CASE WHEN l_orderkey % 3 = 0 THEN 0 ELSE l_orderkey END AS VARCHAR) AS tid,
@@ -805,8 +836,9 @@ def q_long_baskets_pairs(spark, d):
 
 @query("hot_item_pairs_mean", _mine_sql(_HOT_ITEM_SQL, O.PAIRS_OUT_SQL, prune="none", price="mean", **L_T))
 def q_hot_item_pairs_mean(spark, d):
-    """J1 without a broadcast: the hot item's entries meet their price in salted tasks."""
-    return _pairs_out(mine(lines_hot_item(spark, d), MineSpec(price="mean", broadcast_max_rows=0, **L_T)).pairs)
+    """J1 without a broadcast: the hot item's entries meet their price in tasks of their own."""
+    spec = MineSpec(price="mean", broadcast_max_rows=0, heavy_rows=HEAVY, **L_T)
+    return _pairs_out(mine(lines_hot_item(spark, d), spec).pairs)
 
 
 # Python-reader parity on lineitem (M5): mean price, denylist removed before
@@ -844,9 +876,9 @@ def q_tu_given_check(spark, d):
 
 @query("hot_basket_pairs_tu_aggregate", _mine_sql(_HOT_BASKET_SQL, O.PAIRS_OUT_SQL, prune="none", **HOT_T))
 def q_hot_basket_pairs_tu_aggregate(spark, d):
-    """The hot-basket query with TU from an aggregate joined back on tid
-    (AQE can split the hot transaction) instead of the window."""
-    spec = MineSpec(split_items=HOT_SPLIT, tu_by="aggregate", **HOT_T)
+    """The hot-basket query with TU from the tasks' partial totals, which the hot
+    transaction's entries meet in tasks of their own, instead of the window."""
+    spec = MineSpec(split_items=HOT_SPLIT, tu_by="aggregate", heavy_rows=HEAVY, **HOT_T)
     return _pairs_out(mine(lines_hot_basket(spark, d), spec).pairs)
 
 
@@ -904,3 +936,139 @@ def q_unclean_lines_computed_tu(spark, d):
 def q_unclean_lines_given_tu(spark, d):
     """lines without a finite given TU go."""
     return _uo_out(uo_list(_unclean(spark, d), MineSpec(0, 0, tu="given")))
+
+
+# ------------------------------------------------- heavy baskets, bounds, bitmaps, numbering
+
+@query(
+    "hot_basket_remaining_occupancy",
+    _mine_sql(
+        _HOT_BASKET_SQL,
+        "SELECT tid, item, round(uo, 9) AS uo, round(coalesce(sum(uo) OVER (PARTITION BY tid ORDER BY item "
+        "ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0.0), 6) AS ruo FROM uo",
+        min_util=0,
+        min_uo_single=0,
+    ),
+)
+def q_hot_basket_remaining_occupancy(spark, d):
+    """W1 with a third of all rows in one basket, cut into ranges of items."""
+    uo = uo_list(lines_hot_basket(spark, d), MineSpec(0, 0, tu_by="aggregate", heavy_rows=HEAVY))
+    r = remaining_occupancy(uo, heavy_rows=HEAVY)
+    return _r(_r(r.select(_s("tid"), _s("item"), "uo", "ruo"), uo=["uo"], places_uo=9), uo=["ruo"])
+
+
+@query("pairs_bounds", _mine_sql(O.LINES_L, O.PAIRS_OUT_SQL, prune="none", **L_T))
+def q_pairs_bounds(spark, d):
+    """Pairs tested by their buckets' bounds before they are measured: the ungated result."""
+    return _pairs_out(mine(lines_l(spark, d), MineSpec(prune="bounds", **L_T)).pairs)
+
+
+@query("pairs_bounds_keep", _mine_sql(O.LINES_L, O.PAIRS_OUT_SQL, duplicates="keep", prune="none", **L_T))
+def q_pairs_bounds_keep(spark, d):
+    return _pairs_out(mine(lines_l(spark, d), MineSpec(duplicates="keep", prune="bounds", **L_T)).pairs)
+
+
+@query(
+    "pair_bounds_saving",
+    _mine_sql(
+        O.LINES_L,
+        "SELECT (SELECT count(*) FROM pairs_all) AS n_occurring, (SELECT count(*) FROM pairs) AS n_kept, "
+        "true AS fewer_measured, true AS all_kept_measured",
+        prune="none",
+        **L_T,
+    ),
+)
+def q_pair_bounds_saving(spark, d):
+    """How many pairs co-occur, are kept, and whether the bounds spared some of the others."""
+    r = mine(lines_l(spark, d), MineSpec(prune="bounds", **L_T))
+    rows = pair_rows(r.uo)
+    occurring = rows.groupBy("item1", "item2").agg(F.lit(1).alias("o"))
+    measured = in_buckets(rows, r.pair_buckets).groupBy("item1", "item2").agg(F.lit(1).alias("m"))
+    both = orient(occurring.join(measured, ["item1", "item2"], "left"))
+    both = both.join(r.pairs.select("item1", "item2", F.lit(1).alias("k")), ["item1", "item2"], "full_outer")
+    return both.agg(
+        F.count("o").alias("n_occurring"),
+        F.count("k").alias("n_kept"),
+        (F.count("m") < F.count("o")).alias("fewer_measured"),
+        (F.count(F.when(F.col("k").isNotNull() & F.col("m").isNull(), 1)) == 0).alias("all_kept_measured"),
+    )
+
+
+@query(
+    "pair_tid_bitmaps",
+    _mine_sql(O.LINES_L, "SELECT item1, item2, support FROM pairs", prune="winners", **L_T),
+)
+def q_pair_tid_bitmaps(spark, d):
+    """A13 as bitmaps: the kept pairs' supports counted from their bits."""
+    r = mine(lines_l(spark, d), MineSpec(prune="winners", **L_T))
+    bits = pair_tid_bitmaps(r.uo, r.pairs)
+    return bits.groupBy("item1", "item2").agg(F.sum(F.bitmap_count("tids")).alias("support"))
+
+
+@query(
+    "stable_line_ids",
+    "SELECT l_orderkey, l_linenumber, row_number() OVER () - 1 AS tid FROM lineitem",
+)
+def q_stable_line_ids(spark, d):
+    """Rows numbered by file and place, whatever the splits."""
+    rows = with_stable_ids(_t(spark, d, "lineitem"))
+    return rows.select("l_orderkey", "l_linenumber", F.col("tid").cast("long").alias("tid"))
+
+
+@query(
+    "sample_member_day",
+    "WITH l AS (SELECT o_custkey, CAST(o_orderdate AS DATE) AS day, trim(o_orderpriority) AS item FROM orders), "
+    f"f AS (SELECT DISTINCT o_custkey, day FROM l ORDER BY o_custkey, day LIMIT {SAMPLE_N}) "
+    "SELECT CAST(o_custkey AS VARCHAR) || '_' || CAST(day AS VARCHAR) AS tid, item, CAST(count(*) AS DOUBLE) AS quantity "
+    "FROM l JOIN f USING (o_custkey, day) GROUP BY 1, 2",
+)
+def q_sample_member_day(spark, d):
+    """S6 on member-day baskets: the first transactions by member number, then date."""
+    lines = _member_day_lines(spark, d, order_key=True, date_format="yyyy-MM-dd")
+    first = sample_first(lines, SAMPLE_N, by="order_key")
+    return first.groupBy("tid", "item").agg(F.sum("quantity").alias("quantity"))
+
+
+@query(
+    "basket_items",
+    "WITH " + O.lines_ctes(O.LINES_L)
+    + ", d AS (SELECT DISTINCT tid, item FROM lines) "
+    "SELECT tid, CAST(row_number() OVER (PARTITION BY tid ORDER BY item) - 1 AS INTEGER) AS position, item FROM d",
+)
+def q_basket_items(spark, d):
+    """A11 in long form."""
+    return basket_items(clean_lines(lines_l(spark, d))).select(_s("tid"), "position", "item")
+
+
+@query(
+    "rejected_lines",
+    "WITH r AS (SELECT CASE WHEN l_partkey % 13 = 0 THEN 'missing StockCode' WHEN l_partkey % 7 = 0 THEN 'bad Quantity' "
+    "WHEN l_partkey % 11 = 0 THEN 'not positive UnitPrice' WHEN l_orderkey % 5 = 0 THEN 'missing CustomerID' END AS reason "
+    "FROM lineitem) SELECT reason, count(*) AS n FROM r WHERE reason IS NOT NULL GROUP BY reason",
+)
+def q_rejected_lines(spark, d):
+    """lines that loading drops, counted by reason."""
+    part, text = F.col("l_partkey"), lambda c: F.col(c).cast("string")
+    rows = _t(spark, d, "lineitem").select(
+        text("l_orderkey").alias("InvoiceNo"),
+        F.when(part % 13 != 0, text("l_partkey")).otherwise(F.lit(" ")).alias("StockCode"),
+        F.when(part % 7 != 0, text("l_quantity")).otherwise(F.lit("many")).alias("Quantity"),
+        F.when(part % 11 != 0, text("l_extendedprice")).otherwise(F.lit("-1")).alias("UnitPrice"),
+        F.when(F.col("l_orderkey") % 5 != 0, F.lit("c")).alias("CustomerID"),
+    )
+    return rejected_lines(rows).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "transaction_sketches",
+    "SELECT l_returnflag AS part, true AS close FROM lineitem GROUP BY l_returnflag UNION ALL SELECT 'all', true",
+)
+def q_transaction_sketches(spark, d):
+    """A6 by sketches: distinct transactions by part and merged, within 5 % of the exact counts."""
+    li = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("tid"), F.col("l_returnflag").alias("part"))
+    parts = transaction_sketch(li, ["part"])
+    near = merged_transactions(parts, ["part"]).unionByName(merged_transactions(parts).withColumn("part", F.lit("all")))
+    exact = li.groupBy("part").agg(F.count_distinct("tid").alias("n"))
+    exact = exact.unionByName(li.agg(F.count_distinct("tid").alias("n")).withColumn("part", F.lit("all")))
+    off = F.abs(F.col("n_transactions") - F.col("n")) <= 0.05 * F.col("n")
+    return near.join(exact, "part").select("part", off.alias("close"))
