@@ -1,6 +1,7 @@
 """Heavy keys, ranges, bounds, bitmaps, numbering: rows where they should lie, results unchanged."""
 
 import os
+import re
 from collections import Counter
 
 import pytest
@@ -111,11 +112,11 @@ def test_mean_price_scans_the_lines_once(shuffled):
     spec = MineSpec(price="mean", prune="winners", **Q.L_T)
     r = mine(Q.lines_l(shuffled, SF001), spec)
     # Both reads are of the held entries, none of the table.
-    tree = r.uo._jdf.queryExecution().withCachedData().toString()
-    assert "Relation [" not in tree.replace("InMemoryRelation [", "") and tree.count("InMemoryRelation [") >= 1
+    tree = uo_list(None, spec, base=r.holds[0])._jdf.queryExecution().optimizedPlan().toString()
+    assert "InMemoryRelation [" in tree and not re.search(r"(?<!InMemory)Relation \[", tree)
+    r.release()
     alone = base_entries(clean_lines(Q.lines_l(shuffled, SF001)), spec)._jdf.queryExecution().executedPlan().toString()
     assert alone.count("FileScan") == 1 and alone.count("Exchange hashpartitioning(tid") == 1
-    r.release()
 
 
 def test_runs_together_share_their_entries(spark):
