@@ -35,7 +35,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
     Cuts the lineage: a lost executor costs no recomputation, and row ids
     and ranks made by ``df`` stay fixed for every later reader.  The folder is
-    removed when the session's file system closes.
+    removed by ``discard``, or when the session's file system closes.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/llm-{uuid.uuid4().hex}/{name}"
@@ -43,7 +43,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p.getParent())
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._written = p.getParent()
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of ``written`` that nothing reads any more; other frames are left alone."""
+    for df in tables:
+        path = getattr(df, "_written", None)
+        if path is not None:
+            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -62,11 +72,13 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "low")
-        e = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = written(e.where("u <> v").distinct(), "large")
-        low = written(e.groupBy("u").agg(F.min("v").alias("m")), "low")
-        e = e.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = written(large.where("u <> v").distinct(), "large")
+        discard(e, low)
+        low = written(large.groupBy("u").agg(F.min("v").alias("m")), "low")
+        e = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
         e = written(e.select("x.*").where("u <> v").distinct(), "small")
+        discard(large, low)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             break
@@ -82,10 +94,13 @@ def row_key(id_col: str, text_col: str):
 def rows_of(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``keys(key, ...)`` joined with ``row``, one of the rows of ``docs`` with that key.
 
-    Rows that repeat id and text count once.  One shuffle of the documents.
+    Rows that repeat id and text count once; of those that differ in other columns the one of
+    least hash stays, so reruns agree.  One shuffle of the documents.
     """
-    rows = docs.select(row_key(id_col, text_col).alias("key"), F.struct("*").alias("row"))
-    return rows.groupBy("key").agg(F.first("row").alias("row")).join(keys, "key")
+    known = [f.name for f in docs.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    place = F.xxhash64(*[F.col(f"`{c}`") for c in known])
+    rows = docs.select(row_key(id_col, text_col).alias("key"), place.alias("place"), F.struct("*").alias("row"))
+    return rows.groupBy("key").agg(F.min_by("row", "place").alias("row")).join(keys, "key")
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, label_col: str, bounds: dict[int, int], seed: str, allowed=None, id_col="doc_id", text_col="text") -> tuple[DataFrame, dict[int, int]]:

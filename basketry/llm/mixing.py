@@ -19,7 +19,7 @@ KEY_BITS = 60
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MAX_EPOCHS = 2
-#: Documents per key range, on average.
+#: Documents per key range, on average, and repeats of a row that one task numbers.
 RANGE_ROWS = 4096
 
 
@@ -52,12 +52,15 @@ def mix_sources(docs: DataFrame, id_col="doc_id", text_col="text", source_col="s
     ``size`` counts words; a null text has none.  ``taken`` sums to the floor of the
     target in each source: the document at the cut gives only the words that are
     left.  It never exceeds ``max_epochs`` sizes.  The order is that of md5 over
-    seed and id, then id, then size, so reruns agree; repeated rows share a place and
-    are taken one after the other.  Sources without words get target 0.  Null ids
-    and sources are values like others; an empty table gives an empty result.
+    seed, id and text, then id, then size, so reruns agree and one id on any share of
+    the rows spreads over all ranges.  Rows that repeat id, text and source are one row
+    with a count until the end, and are taken one after the other.  Sources without
+    words get target 0.  Null ids and sources are values like others; texts of any length
+    are read once, whole; an empty table gives an empty result.
     """
     text = F.col(text_col)
-    key = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, KEY_BITS // 4), 16, 10).cast("long")
+    told = F.concat(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+    key = F.conv(F.substring(F.md5(told.cast("binary")), 1, KEY_BITS // 4), 16, 10).cast("long")
     slim = docs.select(
         F.col(id_col).alias("doc_id"),
         F.col(source_col).alias("source"),
@@ -65,24 +68,31 @@ def mix_sources(docs: DataFrame, id_col="doc_id", text_col="text", source_col="s
         row_key(id_col, text_col).alias("row_key"),
         key.alias("key"),
     )
-    slim = written(slim, "sizes")
+    slim = written(slim.groupBy("doc_id", "source", "size", "row_key", "key").agg(F.count("*").alias("copies")), "sizes")
     bits = max(0, math.ceil(math.log2(max(1, slim.count() / RANGE_ROWS))))
     slim = slim.withColumn("part", F.shiftright("key", KEY_BITS - bits)).withColumn("zone", F.shiftright("part", bits // 2))
-    targets = source_targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, max_epochs)
+    targets = source_targets(slim.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size")), weights, share, max_epochs)
     targets = targets.select(F.col("source").alias("s"), "source_size", "target", F.floor("target").alias("budget"))
     targets = targets.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("budget") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
     targets = targets.withColumn("rest", F.col("budget") - F.col("epochs") * F.col("source_size"))
     # Prefix sums of the ranges in two steps, zones and the ranges inside a zone.
     before = lambda c, *by: F.coalesce(F.sum(c).over(W.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    parts = written(slim.groupBy("source", "zone", "part").agg(F.sum("size").alias("words")), "ranges")
+    parts = written(slim.groupBy("source", "zone", "part").agg(F.sum(F.col("size") * F.col("copies")).alias("words")), "ranges")
     zones = parts.groupBy("source", "zone").agg(F.sum("words").alias("words"))
     zones = zones.select(F.col("source").alias("zs"), F.col("zone").alias("z"), before("words", "source", "zone").alias("zone_start"))
     parts = parts.withColumn("in_zone", before("words", "source", "zone", "part"))
     parts = parts.join(zones, F.col("source").eqNullSafe(F.col("zs")) & (F.col("zone") == F.col("z")))
     parts = parts.join(targets, F.col("source").eqNullSafe(F.col("s")))
     parts = written(parts.select(F.col("source").alias("s"), F.col("part").alias("p"), (F.col("zone_start") + F.col("in_zone")).alias("start"), "source_size", "target", "epochs", "rest"), "starts")
-    place = F.sum("size").over(W.partitionBy("source", "part").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)) - F.col("size")
+    place = before(F.col("size") * F.col("copies"), "source", "part", F.struct("key", "doc_id", "size", "row_key"))
     rows = slim.withColumn("place", place).join(parts, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p")))
+    # Each copy in its place; of a row with very many, every task numbers a stretch.
+    rows = rows.withColumn("stretch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(RANGE_ROWS).cast("long"))))
+    if (slim.agg(F.max("copies")).first()[0] or 0) > RANGE_ROWS:
+        rows = rows.repartition("row_key", "stretch")
+    end = F.least(F.col("stretch") + RANGE_ROWS, F.col("copies")) - 1
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.col("stretch"), end)))
+    rows = rows.withColumn("place", F.col("place") + F.col("copy") * F.col("size"))
     last = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("start") - F.col("place")))
     return rows.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + last).alias("taken"), "source", "row_key")
 
@@ -109,7 +119,7 @@ def mixed_documents(docs: DataFrame, id_col="doc_id", text_col="text", source_co
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         ('0x' || substr(md5('mix' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS k
+         ('0x' || substr(md5('mix' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 15))::BIGINT AS k
   FROM documents),
 s AS (
   SELECT source, sum(size)::BIGINT AS source_size,

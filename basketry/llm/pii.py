@@ -13,11 +13,12 @@ from __future__ import annotations
 import datetime
 import hashlib
 import hmac
+from bisect import bisect_left, bisect_right
 from functools import lru_cache
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROUNDS = 10
@@ -27,10 +28,10 @@ _DAYS = datetime.date(2100, 1, 1).toordinal() - _FIRST_DAY
 
 #: Of each kind; a candidate counts only if its check passes.
 _SHAPES = {
-    "iban": r"[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]){8,31}",
-    "phone": r"\+\d{1,3}[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}|\(\d{3}\)[ ]?\d{3}[.-]\d{4}|\d{3}-\d{3}-\d{4}",
+    "iban": r"[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]){8,31}|[a-z]{2}\d{2}[a-z0-9]{8,31}",
+    "phone": r"\+\d{1,3}[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}|\(\d{3}\)[ ]?\d{3}[.-]\d{4}|(?:1-)?\d{3}-\d{3}-\d{4}|(?:1\.)?\d{3}\.\d{3}\.\d{4}",
     "world": r"\+[1-9]\d{0,2}(?:[ .-]?\(\d{1,5}\))?(?:(?:[ -]?\d){5,14}|(?:\.?\d){5,14})",
-    "date": r"\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4}",
+    "date": r"\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4}",
     "ip": r"\d{1,3}(?:\.\d{1,3}){3}",
     "card": r"\d(?:[ -]?\d){12,18}",
 }
@@ -41,7 +42,6 @@ _ONE = {kind: regex.compile(f"(?:{shape}){_END}") for kind, shape in _SHAPES.ite
 _BEHIND = regex.compile(_END)
 #: Text behind some values that decides how they are read: no candidate is longer.
 _REACH = 80
-_NANP = regex.compile(_SHAPES["phone"])
 #: Lengths of IBANs by country.
 IBAN_LENGTH = {
     c: n
@@ -115,8 +115,8 @@ def _permute_mixed(text: str, key: bytes, back: bool) -> str:
 def _date_parts(text: str):
     """``(ordinal, format)`` of a valid date from 1900 to 2099; None otherwise.  With slashes
     the month may come first, where the day cannot."""
-    if text[4] == "-":
-        return _date_in(text, "%Y-%m-%d")
+    if text[4] in "-/":
+        return _date_in(text, f"%Y{text[4]}%m{text[4]}%d")
     found = _date_in(text, f"%d{text[2]}%m{text[2]}%Y")
     return _date_in(text, "%m/%d/%Y") if found is None and text[2] == "/" else found
 
@@ -142,7 +142,7 @@ def pseudonym(kind: str, text: str, key: bytes, back: bool = False) -> str | Non
         new += luhn_digit(new)
         return _refill(text, new) if len({*new}) > 1 else text
     if kind == "iban":
-        plain = text.replace(" ", "")
+        plain = text.replace(" ", "").upper()
         # Letters only where the country's length tells the value from words in capitals.
         if not plain[4:].isdigit() and len(plain) != IBAN_LENGTH.get(plain[:2]):
             return None
@@ -154,29 +154,37 @@ def pseudonym(kind: str, text: str, key: bytes, back: bool = False) -> str | Non
             shape = "".join("9" if c.isdigit() else "A" for c in plain[4:])
             account = _permute_mixed(plain[4:], own + plain[:2].encode() + shape.encode(), back)
         new = iter(plain[:2] + iban_check(plain[:2], account) + account)
-        return "".join(c if c == " " else next(new) for c in text)
+        new = "".join(c if c == " " else next(new) for c in text)
+        return new.lower() if text[:1].islower() else new
     if kind == "ip":
         parts = [int(p) for p in text.split(".")]
         if max(parts) > 255 or any(p != str(int(p)) for p in text.split(".")):
             return None
         n = _feistel(int.from_bytes(bytes(parts), "big"), 1 << 32, own, back)
         return ".".join(map(str, n.to_bytes(4, "big")))
-    if kind == "phone" and not _NANP.fullmatch(text):  # the calling code stays
-        if not 8 <= len(digits) <= 15:
+    if kind == "phone":
+        # One number in any form: calling code 1 where none is given.  Code 1 keeps its
+        # area too, all others the code only.
+        whole = digits if text[0] == "+" or len(digits) == 11 else "1" + digits
+        if not 8 <= len(whole) <= 15:
             return None
-        n = 1 if digits[0] in "17" else 2 if digits[:2] in _CODES else 3
-        return _refill(text, digits[:n] + _permute(digits[n:], own + digits[:n].encode(), back))
-    if kind == "phone":  # country and area stay
-        return _refill(text, digits[:-7] + _permute(digits[-7:], own + digits[:-7].encode(), back))
+        n = 4 if whole[0] == "1" and len(whole) == 11 else 1 if whole[0] in "17" else 2 if whole[:2] in _CODES else 3
+        new = whole[:n] + _permute(whole[n:], own + whole[:n].encode(), back)
+        return _refill(text, new[len(whole) - len(digits) :])
     found = _date_parts(text)
     if found is None:
         return None
-    at = found[0]
-    while True:  # walks on while the day would be read as another's
+    # One day in any form.  Days up to 12 and later ones are permuted apart, so that a day
+    # whose place only its size tells is read in the same place again.
+    at, late = found[0], _late(found[0])
+    while True:
         at = _feistel(at, _DAYS, own, back)
-        new = f"{datetime.date.fromordinal(_FIRST_DAY + at):{found[1]}}"
-        if _date_parts(new) == (at, found[1]):
-            return new
+        if _late(at) == late:
+            return datetime.date.fromordinal(_FIRST_DAY + at).strftime(found[1])
+
+
+def _late(day: int) -> bool:
+    return datetime.date.fromordinal(_FIRST_DAY + day).day > 12
 
 
 def _candidates(text: str, start: int):
@@ -192,7 +200,7 @@ def _candidates(text: str, start: int):
             while m and not _BEHIND.match(text, m.end()):  # the cut hid what stands behind
                 m = one.match(text, start, m.end() - 1)
         if shape == "iban" and ends:
-            n = IBAN_LENGTH.get(text[start : start + 2])
+            n = IBAN_LENGTH.get(text[start : start + 2].upper())
             first = next((e for e in ends if e - start - text.count(" ", start, e) == n), None)
         if first is not None:
             yield kind, first
@@ -226,11 +234,19 @@ def replace(text: str, key: bytes, back: bool = False) -> tuple[str, list[tuple[
     values, failed = _found(text, key, back)
     out, spans, done, k = [], [(kind, a, b) for kind, a, b, _ in values], 0, 0
     marks = sorted(failed)
+    starts = [a for a, _ in marks]
+    longest = max((b - a for a, b in marks), default=0)
+
+    def near(low: int, high: int) -> list:
+        """Failed candidates that overlap; they start within the longest one's reach."""
+        some = marks[bisect_right(starts, low - longest) : bisect_left(starts, high)]
+        return [(a, b) for a, b in some if b > low]
+
     while k < len(values):
         low, high, some = values[k][1], values[k][2], 1
         grown = True
         while grown:  # values and failed candidates that overlap
-            over = [(a, b) for a, b in marks if a < high and b > low]
+            over = near(low, high)
             new_low, new_high = min([low, *(a for a, _ in over)]), max([high, *(b for _, b in over)])
             while k + some < len(values) and values[k + some][1] < new_high:
                 new_high = max(new_high, values[k + some][2])
@@ -238,7 +254,7 @@ def replace(text: str, key: bytes, back: bool = False) -> tuple[str, list[tuple[
             grown, low, high = (new_low, new_high) != (low, high), new_low, new_high
         group = values[k : k + some]
         new, layout = _filled(text, group, low, high)
-        if any(a < high and b > low for a, b in marks):
+        if near(low, high):
             tail = text[high : high + _REACH]
             while [x[:3] for x in _found(new + tail, key, back)[0] if x[1] < len(new)] != layout:
                 group = [(kind, a, b, _cached(kind, old, key, back)) for kind, a, b, old in group]
@@ -262,12 +278,20 @@ def _filled(text: str, group: list, low: int, high: int):
 _cached = lru_cache(maxsize=1 << 16)(pseudonym)
 
 
+def production_key(spark: SparkSession) -> str:
+    """The key of the session, ``spark.basketry.pii.key``; without one a fixed public key, good
+    for tests and for linking equal values, not for secrecy."""
+    return spark.conf.get("spark.basketry.pii.key", "public test key")
+
+
 def pseudonymise(docs: DataFrame, key: str, text_col="text", spans_col="pii_spans", back: bool = False) -> DataFrame:
     """``docs`` with pseudonyms in the text and ``pii_spans``: kind, start and end (code points
     of the text given) of each value replaced.  ``back`` undoes it.
 
     A null text stays null, without spans; rows and other columns stay as they are, but
-    for a column of the spans' name, which is replaced.  The key goes to the tasks only.
+    for a column of the spans' name, which is replaced.  Equal values get equal pseudonyms in
+    every form they are written in.  Time grows with a text's length, however long it is;
+    an empty table stays empty.  The key goes to the tasks only.
     """
     rows = docs.drop(spans_col)
     at = rows.columns.index(text_col)

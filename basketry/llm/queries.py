@@ -62,7 +62,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op9.digest(op9.pseudonymise(_documents(spark, sf_dir).select("doc_id", "text"), "production key"))
+    return op9.digest(op9.pseudonymise(_documents(spark, sf_dir).select("doc_id", "text"), op9.production_key(spark)))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Mixing, exact dedup and the pipeline: SQL, brute force, edge rows."""
 
 import hashlib
+import os
 import re
 from collections import Counter
 
@@ -12,7 +13,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from basketry.llm import exact_dedup, mixing
-from basketry.llm.common import components
+from basketry.llm.common import components, discard, row_key, rows_of, written
 from basketry.llm.queries import REGISTRY
 from basketry.llm.simhash import fingerprint
 from basketry.llm.tokens import vocabulary_path
@@ -74,6 +75,74 @@ def test_mixing_edge_rows(spark):
     assert mixing.mixed_documents(df.limit(0)).count() == 0 == mixing.mix_sources(df.limit(0)).count()
 
 
+def test_hot_ids_and_repeated_rows_spread(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 64)
+    n = 6000
+    df = spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, F.col("id")).alias("doc_id"),  # no id on two thirds
+        F.when(F.col("id") % 3 == 1, F.lit("one two three")).otherwise(F.concat(F.lit("text "), F.col("id"))).alias("text"),  # a third repeated
+        (F.col("id") % 2).cast("string").alias("source"),
+    )
+    got = mixing.mix_sources(df)
+    rows = got.collect()
+    assert len(rows) == n and all(0 <= r.taken <= 2 * r.size for r in rows)
+    for source in "01":
+        own = [r for r in rows if r.source == source]
+        assert sum(r.taken for r in own) == int(own[0].target) and sum(r.size for r in own) == own[0].source_size
+    assert Counter(map(tuple, rows)) == Counter(map(tuple, mixing.mix_sources(df.repartition(5)).collect()))
+    keys = got.select("row_key").distinct().count()
+    assert keys == 2 * n // 3 + 1
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    tasks = [r["count"] for r in got.where("size = 3").groupBy(F.spark_partition_id()).count().collect()]
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(tasks) == n // 3 and len(tasks) > 1 and max(tasks) < n // 6 + 1
+
+
+def test_rows_of_repeats_agree(spark):
+    df = spark.createDataFrame([(1, "t", s) for s in "abcdefgh"], "doc_id bigint, text string, source string")
+    keys = df.select(row_key("doc_id", "text").alias("key")).distinct()
+    assert len({rows_of(df.orderBy(F.rand()).repartition(k), keys, "doc_id", "text").first().row.source for k in (1, 2, 3, 5)}) == 1
+
+
+def test_written_tables_are_discarded(spark, tmp_dir):
+    old = spark.conf.get("spark.checkpoint.dir", None)
+    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_dir}")
+    try:
+        a, b = written(spark.range(5), "a"), written(spark.range(7), "b")
+        assert len(os.listdir(tmp_dir)) == 2
+        discard(a, spark.range(3))
+        assert len(os.listdir(tmp_dir)) == 1 and b.count() == 7
+        found = components(spark.createDataFrame([(i, i + 1) for i in range(40)], "u bigint, v bigint"))
+        assert found.select("component").distinct().count() == 1 and len(os.listdir(tmp_dir)) == 2
+    finally:
+        spark.conf.set("spark.checkpoint.dir", old) if old else spark.conf.unset("spark.checkpoint.dir")
+
+
+PIPELINE_ROWS = [
+    (None, "the and of that thing is one of them in the house", "en", "a"), (None, "der und die einlich das ist ein haus am see", "de", None),
+    (None, None, None, None), (4, "", "en", "a"), (4, " 12 !! ", "en", "a"), (5, "the and of  that thing is one of them in the house", None, "a"),
+    (6, "le chat et la vie que nous avons dans le monde", "fr", "b"), (6, "le chat et la vie que nous avons dans le monde", "fr", "b"),
+    (7, "the wide road of the city is in the north of the land", "en", "c"), (8, "wort " * 30_000, "de", "c"),
+]
+
+
+def test_pipeline_of_edge_rows(spark, tmp_dir):
+    kind = "doc_id bigint, text string, lang string, source string"
+    df = spark.createDataFrame(PIPELINE_ROWS, kind).withColumn("n_chars", F.char_length("text").cast("long"))
+    extra = {"key": F.lit("s"), "place": F.lit(1), "row": F.lit(0), "size": F.lit(2), "score": F.lit("x")}
+    for name, rows in (("plain", df), ("clashing", df.withColumns(extra)), ("empty", df.limit(0))):
+        rows.write.parquet(f"{tmp_dir}/{name}/documents.parquet")
+        out = corpus_pipeline.run(spark, f"{tmp_dir}/{name}").collect()
+        ids = {r.doc_id for r in out}
+        if name == "empty":
+            assert not out
+            continue
+        assert ids <= {None, 5, 6, 7, 8} and 4 not in ids and {6, 8} & ids
+        if name == "plain":
+            plain = Counter((r.doc_id, r.doc_tokens) for r in out)
+        assert Counter((r.doc_id, r.doc_tokens) for r in out) == plain
+
+
 def test_components(spark):
     rng = np.random.default_rng(0)
     pairs = [(i, i + 1) for i in range(100, 160)] + [(7, 7)] + [(int(a), int(b)) for a, b in rng.integers(1000, 1400, (250, 2))]
@@ -119,7 +188,7 @@ def test_pipeline_by_brute_force(spark):
     want = Counter()
     for s in sources:
         left = int(target[s] + 1e-6)
-        order = sorted((d for d in docs if d["source"] == s), key=lambda d: (int(hashlib.md5(f"mix{d['doc_id']}".encode()).hexdigest()[:15], 16), d["doc_id"]))
+        order = sorted((d for d in docs if d["source"] == s), key=lambda d: (int(hashlib.md5(f"mix{d['doc_id']}:{hashlib.md5(d['text'].encode()).hexdigest()}".encode()).hexdigest()[:15], 16), d["doc_id"]))
         while left and order:
             for d in order:
                 n = min(left, size[d["doc_id"]])
