@@ -22,6 +22,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from basketry.llm.common import written
+
 LENGTH = 200
 GRAM = 32
 SPAN = LENGTH - GRAM + 1  # gram positions of a window
@@ -31,6 +33,8 @@ RESIDUES = (0, 1, 2, 4)
 #: Bytes of documents in a block, on average, and bytes hashed or sorted at once.
 BLOCK_BYTES = 8 << 20
 STRETCH = 1 << 20
+#: Copies of one row (id and text) that may lie in one block.
+REPEATS = 256
 _FACTOR = 0x9E3779B97F4A7C15
 _CODEC = "zstd"
 
@@ -229,16 +233,23 @@ def remove_repeats(docs: DataFrame, id_col="doc_id", text_col="text", block_byte
     ``spans`` are the maximal removed byte ranges ``(start, end)`` of the UTF-8 text (null:
     empty): the union of all ``LENGTH``-byte strings that also start at another
     place, in any document, judged on the input.  ``kept`` are the bytes left,
-    which may part a character.  Rows that repeat are documents of their own, so
+    which may part a character.  Texts are read whole, however long.  Rows that repeat are documents of their own, so
     they remove each other where long enough.  Other columns are ignored; an empty
     table gives an empty result.  A task holds one block of documents, or the runs of
-    the buckets dealt to it, equal runs once.
+    the buckets dealt to it, equal runs once.  A block sends a row to each bucket it has
+    something for, so an exchange has no more rows than blocks times buckets, nor than
+    the windows' hashes: beyond some hundred thousand blocks it grows with the text.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("body"))
-    total = rows.agg(F.sum(F.octet_length("body"))).first()[0] or 0
+    sizes = rows.groupBy("doc_id", F.xxhash64("body").alias("h")).agg(F.count("*").alias("n"), F.sum(F.octet_length("body")).alias("b"))
+    total, copies = sizes.agg(F.sum("b"), F.max("n")).first()
     least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n = max(least, -(-total // block_bytes))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "body"), F.lit(n)))
+    n = max(least, -(-(total or 0) // block_bytes))
+    own = ["doc_id", "body"]
+    if (copies or 0) > REPEATS:  # one row many times: numbered, so that its copies part
+        rows = written(rows.withColumn("copy", F.monotonically_increasing_id()), "numbered")
+        own.append("copy")
+    rows = rows.select("doc_id", "body", F.pmod(F.xxhash64(*own), F.lit(n)).alias("block"))
 
     def meet(table):
         block, found = table["block"][0].as_py(), met(table["body"].to_pylist())

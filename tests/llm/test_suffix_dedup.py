@@ -72,3 +72,12 @@ def test_documents_by_brute_force(spark):
     df = spark.read.parquet(f"{SF001}/documents.parquet")
     want = check(df, block_bytes=20_000)
     assert Counter(map(tuple, op4_suffix_dedup(spark, SF001).collect())) == want
+
+
+def test_many_copies_of_a_row_lie_in_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(S, "REPEATS", 20)
+    rng = np.random.default_rng(6)
+    prose = lambda n: " ".join("".join(map(chr, rng.integers(97, 123, 6))) for _ in range(n))
+    p = prose(50)
+    rows = [(1, p)] * 300 + [(None, "short")] * 300 + [(k, prose(60) + (p[:210] if k % 7 == 0 else "")) for k in range(2, 60)]
+    check(spark.createDataFrame(rows, "doc_id bigint, text string"), block_bytes=3000)
