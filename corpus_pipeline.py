@@ -2,8 +2,9 @@
 
 Each stage is ``(spark, docs, sf_dir) -> DataFrame`` and works on all rows the
 one before kept.  ``run`` writes every stage's rows as Parquet to the shared
-folder and reads them back for the next; all but the last have the columns of
-``documents``.  Null texts and texts without a letter go in the first stage;
+folder and reads them back for the next, and removes them when that one is written; all
+but the last have the columns of ``documents``.  Null texts, texts without a letter and
+texts of no learned language go in the first stage, which also fills in missing languages;
 a document of equal or near-equal text leaves one row, the longest copy or the
 least id; the mix repeats and cuts documents to meet its sources' budgets; the
 last stage returns the packed pieces with their token ids.
@@ -13,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basketry.llm.common import written
+from basketry.llm.common import discard, written
 from basketry.llm.exact_dedup import drop_exact_copies
 from basketry.llm.langid import keep_identified
 from basketry.llm.mixing import mixed_documents
@@ -56,5 +57,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+        kept = written(stage(spark, docs, sf_dir), name)
+        discard(docs)
+        docs = kept
     return docs
