@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from basketry.llm import exact_dedup, mixing
+from basketry.llm import common, exact_dedup, mixing
 from basketry.llm.common import components, discard, row_key, rows_of, written
 from basketry.llm.queries import REGISTRY
 from basketry.llm.simhash import fingerprint
@@ -104,18 +104,14 @@ def test_rows_of_repeats_agree(spark):
     assert len({rows_of(df.orderBy(F.rand()).repartition(k), keys, "doc_id", "text").first().row.source for k in (1, 2, 3, 5)}) == 1
 
 
-def test_written_tables_are_discarded(spark, tmp_dir):
-    old = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_dir}")
-    try:
-        a, b = written(spark.range(5), "a"), written(spark.range(7), "b")
-        assert len(os.listdir(tmp_dir)) == 2
-        discard(a, spark.range(3))
-        assert len(os.listdir(tmp_dir)) == 1 and b.count() == 7
-        found = components(spark.createDataFrame([(i, i + 1) for i in range(40)], "u bigint, v bigint"))
-        assert found.select("component").distinct().count() == 1 and len(os.listdir(tmp_dir)) == 2
-    finally:
-        spark.conf.set("spark.checkpoint.dir", old) if old else spark.conf.unset("spark.checkpoint.dir")
+def test_written_tables_are_discarded(spark, tmp_dir, monkeypatch):
+    monkeypatch.setattr(common, "shared_dir", lambda spark: f"file://{tmp_dir}")
+    a, b = written(spark.range(5), "a"), written(spark.range(7), "b")
+    assert len(os.listdir(tmp_dir)) == 2
+    discard(a, spark.range(3))
+    assert len(os.listdir(tmp_dir)) == 1 and b.count() == 7
+    found = components(spark.createDataFrame([(i, i + 1) for i in range(40)], "u bigint, v bigint"))
+    assert found.select("component").distinct().count() == 1 and len(os.listdir(tmp_dir)) == 2
 
 
 PIPELINE_ROWS = [
