@@ -64,11 +64,13 @@ def singles(uo: DataFrame) -> DataFrame:
     )
 
 
-def keep_rule(df: DataFrame, min_util: float, min_uo: float) -> DataFrame:
+def _threshold(value: float | Column) -> Column:
+    return value if isinstance(value, Column) else F.lit(float(value))
+
+
+def keep_rule(df: DataFrame, min_util: float | Column, min_uo: float | Column) -> DataFrame:
     """both thresholds, both inclusive."""
-    return df.where(
-        (F.col("total_util") >= F.lit(float(min_util))) & (F.col("avg_uo") >= F.lit(float(min_uo)))
-    )
+    return df.where((F.col("total_util") >= _threshold(min_util)) & (F.col("avg_uo") >= _threshold(min_uo)))
 
 
 def pair_rows(uo: DataFrame, split_items: int = 4096, keep_cells: bool = False) -> DataFrame:
@@ -269,9 +271,11 @@ def exact_bounds(uo: DataFrame) -> DataFrame:
     return x.groupBy("item").agg(F.sum(util).alias("util_bound"), F.max(occ).alias("uo_bound"))
 
 
+def within_bounds(bounds: DataFrame, min_util: float | Column, min_uo: float | Column) -> DataFrame:
+    """Items of ``exact_bounds`` whose bounds reach both pair thresholds."""
+    return bounds.where((F.col("util_bound") >= _threshold(min_util)) & (F.col("uo_bound") >= _threshold(min_uo)))
+
+
 def exact_candidates(uo: DataFrame, min_util: float, min_uo: float) -> DataFrame:
     """Items whose bounds reach both pair thresholds."""
-    b = exact_bounds(uo)
-    return b.where(
-        (F.col("util_bound") >= F.lit(float(min_util))) & (F.col("uo_bound") >= F.lit(float(min_uo)))
-    ).select("item")
+    return within_bounds(exact_bounds(uo), min_util, min_uo).select("item")

@@ -82,7 +82,7 @@ def with_catalogue_price(
     return spread_join(lines, side, "item", by="tid", n="n_rows", heavy_rows=heavy_rows).drop("n_rows")
 
 
-def _own_price(spec: MineSpec):
+def own_price(spec: MineSpec):
     """Price of a row that needs no other row, or None."""
     if spec.price == "actual":
         return F.col("unit_price")
@@ -95,7 +95,7 @@ def _own_price(spec: MineSpec):
 
 def row_utility(lines: DataFrame, spec: MineSpec, holds: list | None = None) -> DataFrame:
     """Add ``util`` = quantity * price under ``spec.price``."""
-    q, own = F.col("quantity"), _own_price(spec)
+    q, own = F.col("quantity"), own_price(spec)
     if own is not None:
         return lines.withColumn("util", q * own)
     cat = mean_prices(lines) if spec.price == "mean" else first_seen_prices(lines)
@@ -139,7 +139,7 @@ def base_entries(lines: DataFrame, *specs: MineSpec) -> DataFrame:
     """
     aggs = {}
     for spec in specs:
-        own = _own_price(spec)
+        own = own_price(spec)
         if own is not None:
             aggs[_own_sum(spec)] = F.sum(F.col("quantity") * own)
             continue
@@ -167,7 +167,7 @@ def price_entries(base: DataFrame, spec: MineSpec, holds: list | None = None) ->
     A price per item is taken from the entries and joined to them, never to raw lines.
     """
     kept = [c for c, on in (("mult", spec.duplicates == "keep"), ("tu", spec.tu == "given")) if on]
-    if _own_price(spec) is not None:
+    if own_price(spec) is not None:
         return base.select("tid", "item", F.col(_own_sum(spec)).alias("iu"), *kept)
     if spec.price == "mean":
         price = F.sum("_p") / F.sum("_n")
@@ -194,7 +194,7 @@ def uo_entries(lines: DataFrame, spec: MineSpec, holds: list | None = None) -> D
     one scan and one shuffle of the lines.
     """
     base = base_entries(lines, spec)
-    if _own_price(spec) is None:
+    if own_price(spec) is None:
         base = _held(base, spec, holds)
     return price_entries(base, spec, holds)
 

@@ -8,10 +8,11 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from basketry.functions.columns import itemset_label
 from basketry.operators import patterns as P
 from basketry.operators.clean import clean_lines
 from basketry.operators.sizing import keep
-from basketry.operators.utility import base_entries, uo_list
+from basketry.operators.utility import base_entries, own_price, uo_list
 from basketry.plans.spec import MineSpec
 
 
@@ -58,6 +59,9 @@ class MineResult:
 
     def combined(self) -> DataFrame:
         """K4: size-1 then size-2 results in one frame."""
+        return self._combined()
+
+    def _combined(self, *more: str) -> DataFrame:
         one = self.singles.select(
             F.lit(1).alias("size"),
             F.col("item").alias("item1"),
@@ -66,9 +70,10 @@ class MineResult:
             "total_util",
             "avg_uo",
             "support",
+            *more,
         )
         two = self.pairs.select(
-            F.lit(2).alias("size"), "item1", "item2", "itemset", "total_util", "avg_uo", "support"
+            F.lit(2).alias("size"), "item1", "item2", "itemset", "total_util", "avg_uo", "support", *more
         )
         return one.unionByName(two)
 
@@ -124,23 +129,149 @@ def mine_together(lines: DataFrame, specs, clean: bool = True) -> list[MineResul
     return results
 
 
+#: Width of a run's number, set before the keys of its lines in a shared plan.
+RUN_DIGITS = 6
+
+
+def _tag(number: int) -> str:
+    return f"{number:0{RUN_DIGITS}d}"
+
+
+def _policy(lines: DataFrame, spec: MineSpec, number: int) -> tuple:
+    """What runs must have in common to share a plan: all but thresholds, pruning and denylists.
+
+    A decimal number stays in its own type; a run pruned by pair bounds is alone, since its
+    buckets are chosen by its thresholds.
+    """
+    price = spec.price if own_price(spec) is None else "actual"
+    shared = spec.with_(min_util=0, min_uo_single=0, min_uo_pair=None, price=price, constant_price=1.0, exclude=(), prune="none")
+    types = {f.name: f.dataType.simpleString() for f in lines.schema.fields}
+    numbers = tuple(t if t.startswith("decimal") else "" for t in (types[c] for c in ("quantity", "unit_price")))
+    order = types.get("seq") if price == "first_seen" else None
+    tu = types.get("tu") if spec.tu == "given" else None
+    return (shared, numbers, order, tu, number if spec.prune == "bounds" else None)
+
+
+def _tagged_lines(lines: DataFrame, spec: MineSpec, number: int) -> DataFrame:
+    """Clean lines of a run with its number before both keys; prices that need no
+    other row are set here, from the run's own items."""
+    given = spec.tu == "given"
+    if given and "tu" not in lines.columns:
+        raise ValueError('tu="given" needs a "tu" column')
+    lines, own = clean_lines(lines, given_tu=given), own_price(spec)
+    key = {c: F.concat(F.lit(_tag(number)), F.col(c).cast("string")).alias(c) for c in ("tid", "item")}
+    extra = [c for c, on in (("tu", given), ("seq", spec.price == "first_seen")) if on and c in lines.columns]
+    return lines.select(key["tid"], key["item"], "quantity", (F.col("unit_price") if own is None else own).alias("unit_price"), *extra)
+
+
+def _limits(lines: DataFrame, runs) -> DataFrame:
+    """The thresholds of the runs, one row each."""
+    rows = [
+        F.struct(
+            F.lit(_tag(k)).alias("run"), F.lit(name).alias("dataset"), F.lit(spec.prune).alias("prune"),
+            F.lit(float(spec.min_util)).alias("min_util"), F.lit(float(spec.min_uo_single)).alias("min_uo_single"),
+            F.lit(float(spec.pair_uo)).alias("min_uo_pair"),
+        )
+        for k, name, spec in runs
+    ]
+    return lines.sparkSession.range(1).select(F.inline(F.array(*rows)))
+
+
+@dataclass
+class SharedResult(MineResult):
+    """Runs mined in one plan: keys carry the run's number, thresholds come from ``limits``
+    (one row a run) after the aggregates.  Frames have the run's name as ``dataset``."""
+
+    limits: DataFrame | None = None
+    prunes: frozenset = frozenset()
+
+    def _met(self, df: DataFrame, item: str) -> DataFrame:
+        return df.withColumn("run", F.substring(item, 1, RUN_DIGITS)).join(F.broadcast(self.limits), "run")
+
+    def _out(self, df: DataFrame, *items: str) -> DataFrame:
+        for c in items:
+            df = df.withColumn(c, F.expr(f"substring({c}, {RUN_DIGITS + 1})"))
+        return df.drop(*(c for c in self.limits.columns if c != "dataset"))
+
+    @cached_property
+    def winners(self) -> DataFrame:
+        return P.keep_rule(self._met(self.all_singles, "item"), F.col("min_util"), F.col("min_uo_single"))
+
+    @cached_property
+    def singles(self) -> DataFrame:
+        return self._out(self.winners, "item")
+
+    @cached_property
+    def candidates(self) -> DataFrame:
+        if self.prunes == {"none"}:
+            return self.uo
+        parts = []
+        if "none" in self.prunes:
+            parts.append(self._met(self.all_singles, "item").where(F.col("prune") == "none"))
+        if "winners" in self.prunes:
+            parts.append(self.winners.where(F.col("prune") == "winners"))
+        if "exact" in self.prunes:
+            bounds = self._met(P.exact_bounds(self.uo), "item").where(F.col("prune") == "exact")
+            parts.append(P.within_bounds(bounds, F.col("min_util"), F.col("min_uo_pair")))
+        kept = parts[0].select("item")
+        for part in parts[1:]:
+            kept = kept.unionByName(part.select("item"))
+        return P.gate_by_winners(self.uo, kept, self.spec.broadcast_max_rows, self.holds)
+
+    @cached_property
+    def pairs(self) -> DataFrame:
+        rows = self._met(P.pairs(self.candidates, self.spec.split_items), "item1")
+        kept = self._out(P.keep_rule(rows, F.col("min_util"), F.col("min_uo_pair")), "item1", "item2")
+        return kept.withColumn("itemset", itemset_label("item1", "item2"))
+
+    def combined(self) -> DataFrame:
+        return self._combined("dataset")
+
+
+def _shared(runs, spec: MineSpec) -> SharedResult:
+    """One plan for ``runs`` of ``(number, name, lines, spec)`` whose policies agree with ``spec``."""
+    lines = None
+    for k, _, own, s in runs:
+        tagged = _tagged_lines(own, s, k)
+        lines = tagged if lines is None else lines.unionByName(tagged)
+    exclude = tuple(_tag(k) + str(x) for k, _, _, s in runs for x in s.exclude)
+    holds: list = []
+    spec = spec.with_(exclude=exclude)
+    uo = keep(uo_list(lines, spec, clean=False, holds=holds), spec.reuse)
+    limits = _limits(lines, [(k, name, s) for k, name, _, s in runs])
+    return SharedResult(spec, uo, P.singles(uo), holds, limits, frozenset(s.prune for *_, s in runs))
+
+
 def mine_many(runs, results: list | None = None) -> DataFrame:
     """Several (name, lines, spec) runs as one frame with a ``dataset`` column.
 
-    Each run keeps its own thresholds; the result is the union of the
-    combined (size 1 and 2) results.  The runs' ``MineResult`` objects are
-    appended to ``results``, for the caller to release after reading; without
-    it nothing is held, and every run reads its input as often as it needs.
+    Runs whose policies agree are mined together: their lines are united with the run's number
+    in both keys, so there is one set of shuffles however many runs, and each run's
+    thresholds, from a table with one row a run, are applied after the aggregates.
+    Thresholds, denylists, pruning (``"none"``, ``"winners"``, ``"exact"``) and prices that need no
+    other row may differ; a run with ``prune="bounds"`` or other policies has a plan of its own.
+
+    The results (``MineResult``, one a plan) are appended to ``results``, for the caller to
+    release after reading; every source is then scanned once.  Without it nothing is held, and
+    every plan reads its input as often as it needs.
     """
-    frames = []
-    for name, lines, spec in runs:
-        result = mine(lines, spec if results is not None else replace(spec, reuse="none", broadcast_max_rows=0))
+    shared: dict = {}
+    for k, (name, lines, spec) in enumerate(runs):
+        if results is None:
+            spec = replace(spec, reuse="none", broadcast_max_rows=0)
+        shared.setdefault(_policy(lines, spec, k), []).append((k, name, lines, spec))
+    if not shared:
+        raise ValueError("mine_many needs at least one run")
+    out = None
+    for policy, members in shared.items():
+        if len(members) == 1:
+            _, name, lines, spec = members[0]
+            result = mine(lines, spec)
+            frame = result.combined().withColumn("dataset", F.lit(name))
+        else:
+            result = _shared(members, policy[0])
+            frame = result.combined()
         if results is not None:
             results.append(result)
-        frames.append(result.combined().withColumn("dataset", F.lit(name)))
-    if not frames:
-        raise ValueError("mine_many needs at least one run")
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
+        out = frame if out is None else out.unionByName(frame)
     return out

@@ -702,7 +702,30 @@ def q_mine_many(spark, d):
         ("lineitem", lines_l(spark, d), MineSpec(prune="winners", **L_T)),
         ("events", lines_v(spark, d), MineSpec(**V_T)),
     ]
-    return _combined_out(mine_many(runs))
+    return _combined_out(mine_many(runs, _HELD))
+
+
+def _many_sql(runs):
+    raw = {"lineitem": O.LINES_L, "events": O.LINES_V}
+    # Exact pruning gives the ungated result.
+    parts = [(k, raw[table], {**kw, "prune": "winners" if kw.get("prune") == "winners" else "none"}) for k, (_, table, kw) in enumerate(runs)]
+    ctes = ", ".join(f"r{k} AS ({O.mine_ctes(lines, **kw)}{_COMBINED_SQL})" for k, lines, kw in parts)
+    return f"WITH {ctes} " + " UNION ALL ".join(f"SELECT *, '{name}' AS dataset FROM r{k}" for k, (name, _, _) in enumerate(runs))
+
+
+# Thresholds, pruning, denylists and row prices differ; the runs still share one plan.
+_MANY = (
+    ("gated", "lineitem", dict(prune="winners", **L_T)),
+    ("exact", "lineitem", dict(prune="exact", **L_T)),
+    ("constant", "lineitem", dict(price="constant", constant_price=2.0, min_util=150.5, min_uo_single=0.25013, min_uo_pair=0.50013)),
+    ("denied", "events", dict(exclude=("click",), **V_T)),
+)
+
+
+@query("mine_many_policies", _many_sql(_MANY))
+def q_mine_many_policies(spark, d):
+    lines = {"lineitem": lines_l, "events": lines_v}
+    return _combined_out(mine_many([(name, lines[table](spark, d), MineSpec(**kw)) for name, table, kw in _MANY], _HELD))
 
 
 @query(

@@ -5,8 +5,10 @@ import io
 
 import pytest
 
+from pyspark.sql import functions as F
+
 import driver_queries as Q
-from basketry import MineSpec, mine, uo_list
+from basketry import MineSpec, mine, mine_many, uo_list
 from basketry.operators import patterns as P
 from tests.conftest import SF001
 
@@ -167,3 +169,57 @@ def test_grid_join_is_shuffled_even_when_broadcast_is_allowed(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "SortMergeJoin" in text and "BroadcastHashJoin" not in text
     assert "hashpartitioning(tid" in text and "cell_a" in text
+
+
+def _many_runs(spark):
+    lines, events = Q.lines_l(spark, SF001), Q.lines_v(spark, SF001)
+    t = dict(min_util=30_000, min_uo_single=0.2, min_uo_pair=0.4)
+    return [
+        ("winners", lines, MineSpec(prune="winners", **t)),
+        ("exact", lines, MineSpec(prune="exact", min_util=50_000, min_uo_single=0.3)),
+        ("hash", lines, MineSpec(150, 0.2, 0.4, price="hash")),
+        ("denied", events, MineSpec(100, 0.1, exclude=("click",), prune="winners")),
+        ("bounds", lines, MineSpec(prune="bounds", **t)),
+        ("mean", lines, MineSpec(price="mean", prune="winners", **t)),
+        ("mean_again", lines, MineSpec(50_000, 0.2, 0.3, price="mean", exclude=("1", "7"))),
+        ("keep", events, MineSpec(100, 0.1, duplicates="keep")),
+    ]
+
+
+def _shown(df):
+    return sorted((r.dataset, r.size, r.item1, r.item2 or "", r.itemset, r.support, round(r.total_util, 3), round(r.avg_uo, 9)) for r in df.collect())
+
+
+@pytest.mark.parametrize("held", [True, False])
+def test_runs_in_one_plan_equal_runs_by_themselves(spark, held):
+    results, alone, runs = [], [], _many_runs(spark)
+    got = _shown(mine_many(runs, results if held else None))
+    for name, lines, spec in runs:
+        run = mine(lines, spec)
+        alone += _shown(run.combined().withColumn("dataset", F.lit(name)))
+        run.release()
+    assert got == sorted(alone) and {r[0] for r in got} >= {n for n, *_ in runs[:7]} and any(r[1] == 2 for r in got)
+    assert not held or len(results) == 4  # actual prices, bounds, mean prices, kept duplicates
+    for r in results:
+        r.release()
+
+
+def test_runs_of_one_policy_have_one_set_of_shuffles(spark):
+    runs = [(name, lines, spec.with_(reuse="none")) for name, lines, spec in _many_runs(spark)]
+    few, many = [], []
+    mine_many([runs[0], runs[3]], few)
+    mine_many([runs[0], runs[3], runs[2], (*runs[0][:2], MineSpec(9, 0.5, reuse="none"))], many)
+    assert len(few) == len(many) == 1
+    shuffles = [r.uo._jdf.queryExecution().executedPlan().toString().count("hashpartitioning") for r in (few[0], many[0], mine(*runs[0][1:]))]
+    scans = [r.uo._jdf.queryExecution().executedPlan().toString().count("FileScan") for r in (few[0], many[0])]
+    assert shuffles == [2, 2, 2] and scans == [2, 4]
+    for r in (*few, *many):
+        r.release()
+
+
+def test_runs_with_no_lines_or_null_keys(spark):
+    schema = "tid string, item string, quantity double, unit_price double, dataset string, run string"
+    empty = spark.createDataFrame([], schema)
+    some = spark.createDataFrame([("t", "a", 1.0, 2.0, "x", "y"), ("t", "b", 1.0, 3.0, "x", "y"), (None, "a", 1.0, 1.0, None, None), ("t", None, 1.0, 1.0, "x", "y")], schema)
+    out = mine_many([("none", empty, MineSpec(0, 0)), ("some", some, MineSpec(0, 0))])
+    assert [(r[0], r[2], r[3]) for r in _shown(out)] == [("some", "a", ""), ("some", "b", ""), ("some", "a", "b")]
