@@ -10,6 +10,10 @@ positions.  The sample holds the residues of a difference cover modulo
 comparison of ranks computed before settles a tie.  Windows equal to another
 are removed.  No hash decides equality.
 
+A bucket met more than ``HOT`` times, such as one of a passage that a share of all documents
+holds, is split: its windows are named by a hash of all their bytes, and those whose
+name is met twice are dealt out by that name, each once a block.
+
 Documents are dealt to blocks of bounded size; buckets and blocks exchange
 arrays, a row for each pair of them.
 """
@@ -33,6 +37,8 @@ RESIDUES = (0, 1, 2, 4)
 #: Bytes of documents in a block, on average, and bytes hashed or sorted at once.
 BLOCK_BYTES = 8 << 20
 STRETCH = 1 << 20
+#: Places of one bucket above which it is split by whole windows.
+HOT = 1 << 14
 #: Copies of one row (id and text) that may lie in one block.
 REPEATS = 256
 _FACTOR = 0x9E3779B97F4A7C15
@@ -63,13 +69,13 @@ def _sliding(a: np.ndarray, width: int, best) -> np.ndarray:
     return best(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """64-bit hash of the ``GRAM`` bytes at each position of ``data``."""
+def gram_hashes(data: np.ndarray, width: int = GRAM) -> np.ndarray:
+    """64-bit hash of the ``width`` bytes at each position of ``data``."""
     n = len(data)
     up, down = _powers(n + 1)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
-    h = (total[GRAM:] - total[:-GRAM]) * down[: n - GRAM + 1]
+    h = (total[width:] - total[:-width]) * down[: n - width + 1]
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(29)
@@ -113,8 +119,13 @@ def window_runs(data: np.ndarray, begin: np.ndarray):
     return least, first, last, segment[first], h
 
 
-def met(texts: list[bytes]) -> np.ndarray:
-    """Bucket hashes of all windows, each once, or twice if two places of the text have it."""
+def _counted(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    value, times = np.unique(np.concatenate(found or [np.zeros(0, np.uint64)]), return_counts=True)
+    return value, times.astype(np.uint32)
+
+
+def met(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket hashes of all windows, and at how many places of the texts each is met."""
     found = []
     for data, begin, _, _ in stretches(texts):
         least, first, _, _, h = window_runs(data, begin)
@@ -123,10 +134,50 @@ def met(texts: list[bytes]) -> np.ndarray:
         at = np.flatnonzero(_sliding(wide, SPAN, np.maximum) == h)
         found.append(h[at])
         found.append(np.setdiff1d(least[first], h[at]))
-    if not found:
-        return np.zeros(0, np.uint64)
-    value, count = np.unique(np.concatenate(found), return_counts=True)
-    return np.repeat(value, np.minimum(count, 2))
+    return _counted(found)
+
+
+def _among(value: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """Whether each value is one of the sorted ``names``."""
+    if not len(names):
+        return np.zeros(len(value), bool)
+    return names[np.minimum(np.searchsorted(names, value), len(names) - 1)] == value
+
+
+def windows_of(data: np.ndarray, first: np.ndarray, last: np.ndarray):
+    """``(window, run, name)``: each window of the runs, its run, and the hash of all its bytes."""
+    size = last - first + 1
+    run = np.repeat(np.arange(len(first)), size)
+    window = np.arange(len(run)) + (first - np.cumsum(size) + size)[run]
+    return window, run, gram_hashes(data, LENGTH)[window]
+
+
+def window_names(texts: list[bytes], hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Names of the windows of the ``hot`` buckets, and how often each is met."""
+    value, times = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+    for data, begin, _, _ in stretches(texts):
+        least, first, last, _, _ = window_runs(data, begin)
+        busy = _among(least[first], hot)
+        if busy.any():
+            own, n = _counted([windows_of(data, first[busy], last[busy])[2]])
+            value, back = np.unique(np.concatenate([value, own]), return_inverse=True)
+            times = np.bincount(back, np.concatenate([times, n])).astype(np.uint32)
+    return value, times
+
+
+def _alike(data: np.ndarray, window: np.ndarray, name: np.ndarray):
+    """``(group, sample)``: windows of one group have equal bytes, those of ``sample``'s window."""
+    order = np.argsort(name, kind="stable")
+    at = window[order]
+    new = np.ones(len(at), bool)
+    same = name[order][1:] == name[order][:-1]
+    word = _words(data)
+    for k in range(0, LENGTH, 8):
+        same &= word[at[1:] + k] == word[at[:-1] + k]
+    new[1:] = ~same
+    group = np.empty(len(at), np.int64)
+    group[order] = np.cumsum(new) - 1
+    return group, at[new]
 
 
 _OFFSET = np.array([[next(d for d in range(COVER) if (a + d) % COVER in RESIDUES and (b + d) % COVER in RESIDUES) for b in range(COVER)] for a in range(COVER)])
@@ -227,7 +278,7 @@ def _in_order(table):
     return table.take(pc.sort_indices(table, [("doc_id", "ascending"), ("body", "ascending")]))
 
 
-def remove_repeats(docs: DataFrame, id_col="doc_id", text_col="text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col="doc_id", text_col="text", block_bytes: int = BLOCK_BYTES, hot: int = HOT) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_bytes, spans, kept``.
 
     ``spans`` are the maximal removed byte ranges ``(start, end)`` of the UTF-8 text (null:
@@ -236,7 +287,10 @@ def remove_repeats(docs: DataFrame, id_col="doc_id", text_col="text", block_byte
     which may part a character.  Texts are read whole, however long.  Rows that repeat are documents of their own, so
     they remove each other where long enough.  Other columns are ignored; an empty
     table gives an empty result.  A task holds one block of documents, or the runs of
-    the buckets dealt to it, equal runs once.  A block sends a row to each bucket it has
+    the buckets dealt to it, equal runs once.  Of a bucket met at more than ``hot`` places
+    a block sends each different window once, dealt out by all its bytes, and only windows
+    whose hash another place has; places of windows that repeat within the block are not sent.
+    A block sends a row to each bucket it has
     something for, so an exchange has no more rows than blocks times buckets, nor than
     the windows' hashes: beyond some hundred thousand blocks it grows with the text.
     """
@@ -251,32 +305,68 @@ def remove_repeats(docs: DataFrame, id_col="doc_id", text_col="text", block_byte
         own.append("copy")
     rows = rows.select("doc_id", "body", F.pmod(F.xxhash64(*own), F.lit(n)).alias("block"))
 
+    def rows_of_arrays(parts, types):
+        names = list(types)
+        return pa.table([pa.array(c, types[k]) for k, c in zip(names, zip(*parts) if parts else [[]] * len(names))], names)
+
+    tally = {"bucket": pa.int64(), "block": pa.int64(), "hashes": pa.binary(), "times": pa.binary()}
+
+    def tallied(block, value, times):
+        dealt = _dealt((value % np.uint64(n)).astype(np.int64))
+        return rows_of_arrays([(b, block, value[i].tobytes(), times[i].tobytes()) for b, i in dealt], tally)
+
+    def joined(column):
+        return np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x, np.uint64) for x in column.to_pylist())]))
+
     def meet(table):
-        block, found = table["block"][0].as_py(), met(table["body"].to_pylist())
-        parts = [(b, block, found[i].tobytes()) for b, i in _dealt((found % np.uint64(n)).astype(np.int64))]
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*parts) if parts else ([], [], []), (pa.int64(), pa.int64(), pa.binary()))], ["bucket", "block", "hashes"])
+        return tallied(table["block"][0].as_py(), *met(table["body"].to_pylist()))
+
+    def meet_windows(table, replies):
+        busy = joined(replies["hot"])
+        if not table.num_rows or not len(busy):
+            return rows_of_arrays([], tally)
+        return tallied(table["block"][0].as_py(), *window_names(table["body"].to_pylist(), busy))
 
     def common(table):
         own = [np.frombuffer(x, np.uint64) for x in table["hashes"].to_pylist()]
-        value, count = np.unique(np.concatenate(own), return_counts=True)
-        twice = value[count > 1]
-        shared = [np.unique(x[np.isin(x, twice)]) for x in own]
-        some = [k for k, x in enumerate(shared) if len(x)]
-        return pa.table([table["block"].take(pa.array(some, pa.int64())), pa.array([shared[k].tobytes() for k in some], pa.binary())], ["block", "hashes"])
+        value, back = np.unique(np.concatenate(own), return_inverse=True)
+        total = np.bincount(back, np.concatenate([np.frombuffer(x, np.uint32) for x in table["times"].to_pylist()]))
+        often, busy = value[total > 1], value[total > hot]
+        parts = []
+        for block, x in zip(table["block"].to_pylist(), own):
+            shared = x[_among(x, often)]
+            if len(shared):
+                parts.append((block, shared.tobytes(), x[_among(x, busy)].tobytes()))
+        return rows_of_arrays(parts, {"block": pa.int64(), "hashes": pa.binary(), "hot": pa.binary()})
+
+    dealt_out = {"bucket": pa.int64(), "block": pa.int64(), "runs": pa.binary(), "own": pa.binary()}
 
     def runs(table, replies):
-        none = pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.binary())], ["bucket", "block", "runs"])
         if not table.num_rows or not replies.num_rows:
-            return none
+            return rows_of_arrays([], dealt_out)
         table = _in_order(table)
-        wanted = np.sort(np.concatenate([np.frombuffer(x, np.uint64) for x in replies["hashes"].to_pylist()]))
+        whole = replies["whole"].combine_chunks()
+        busy, wanted_windows = joined(replies["hot"].filter(pc.invert(whole))), joined(replies["hashes"].filter(whole))
+        wanted = np.setdiff1d(joined(replies["hashes"].filter(pc.invert(whole))), busy)
+        index_of, samples, titles, told = {}, [], [], []  # windows of split buckets
         name, document, place, index, texts = [], [], [], {}, []
         which = []
         for data, begin, docs_of, offset in stretches(table["body"].to_pylist()):
             least, first, last, segment, _ = window_runs(data, begin)
             value = least[first]
-            hit = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, value), len(wanted) - 1)] == value)
+            hit, split = np.flatnonzero(_among(value, wanted)), np.flatnonzero(_among(value, busy))
             raw = data.tobytes()
+            if len(split):
+                window, run, title = windows_of(data, first[split], last[split])
+                some = _among(title, wanted_windows)
+                window, run, title = window[some], segment[split][run[some]], title[some]
+                group, sample = _alike(data, window, title)
+                ks = np.array([index_of.setdefault(raw[a : a + LENGTH], len(index_of)) for a in sample.tolist()], np.int64)
+                fresh = ks >= len(samples)  # in order of their first sight
+                order = np.unique(ks[fresh], return_index=True)[1]
+                samples += [raw[a : a + LENGTH] for a in sample[fresh][order].tolist()]
+                titles.append(gram_hashes(data, LENGTH)[sample[fresh][order]])
+                told.append(np.stack([ks[group], docs_of[run], window - begin[run] + offset[run]]))
             for a, b, v in zip(first[hit].tolist(), last[hit].tolist(), value[hit].tolist()):
                 text = raw[a : b + LENGTH]
                 k = index.setdefault(text, len(texts))
@@ -286,25 +376,45 @@ def remove_repeats(docs: DataFrame, id_col="doc_id", text_col="text", block_byte
                 which.append(k)
             document.append(docs_of[segment[hit]])
             place.append(first[hit] - begin[segment[hit]] + offset[segment[hit]])
+        out, block, sure = [], table["block"][0].as_py(), np.zeros(len(texts), bool)
+        if samples:
+            k, doc, at = np.concatenate(told, axis=1)
+            again = np.bincount(k) > 1  # known to repeat: only the bytes go out
+            single = ~again[k]
+            which, sure = which + (k[single] + len(texts)).tolist(), np.concatenate([sure, again])
+            document.append(doc[single])
+            place.append(at[single])
+            name, texts = name + np.concatenate(titles).tolist(), texts + samples
+            doc, at = doc[~single], at[~single]
+            if len(doc):
+                order = np.lexsort((at, doc))
+                doc, at = doc[order], at[order]
+                new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1)]))
+                spans = np.stack([doc[new], at[new], at[np.append(new[1:], len(at)) - 1] + LENGTH], axis=1)
+                out.append((block % n, block, None, _packed(spans.astype(np.int64).ravel())))
         if not texts:
-            return none
-        name, which = np.array(name, np.uint64), np.array(which)
+            return rows_of_arrays(out, dealt_out)
+        name, which = np.array(name, np.uint64), np.array(which, np.int64)
         document, place = np.concatenate(document).astype(np.int64), np.concatenate(place).astype(np.int64)
         by_run = np.argsort(which, kind="stable")
         times = np.bincount(which, minlength=len(texts))
         stop = np.cumsum(times)
-        block, out = table["block"][0].as_py(), []
         for b, i in _dealt((name % np.uint64(n)).astype(np.int64)):
             at = np.concatenate([by_run[stop[k] - times[k] : stop[k]] for k in i])
             bytes_ = np.frombuffer(b"".join([texts[k] for k in i]), np.uint8)
-            out.append((b, block, _packed(name[i], np.array([len(texts[k]) for k in i]), times[i], document[at], place[at], bytes_)))
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary()))], ["bucket", "block", "runs"])
+            out.append((b, block, _packed(name[i], np.array([len(texts[k]) for k in i]), times[i], sure[i], document[at], place[at], bytes_), None))
+        return rows_of_arrays(out, dealt_out)
 
     def sort_bucket(table):
         index, texts, names = {}, [], []
-        which, of_block, document, place = [], [], [], []
+        which, of_block, document, place, known = [], [], [], [], []
+        replies = {"block": pa.int64(), "spans": pa.binary()}
+        done = [(block, own) for block, own in zip(table["block"].to_pylist(), table["own"].to_pylist()) if own is not None]
+        table = table.filter(table["runs"].is_valid())
+        if not table.num_rows:
+            return rows_of_arrays(done, replies)
         for block, blob in zip(table["block"].to_pylist(), table["runs"].to_pylist()):
-            name, size, times, docs_of, at, data = _unpacked(blob, np.uint64, np.int64, np.int64, np.int64, np.int64, np.uint8)
+            name, size, times, sure, docs_of, at, data = _unpacked(blob, np.uint64, np.int64, np.int64, np.bool_, np.int64, np.int64, np.uint8)
             raw, stop, ks = data.tobytes(), np.cumsum(size), []
             for v, a, b in zip(name.tolist(), (stop - size).tolist(), stop.tolist()):
                 text = raw[a:b]
@@ -313,12 +423,15 @@ def remove_repeats(docs: DataFrame, id_col="doc_id", text_col="text", block_byte
                     texts.append(text)
                     names.append(v)
                 ks.append(k)
-            which.append(np.repeat(np.array(ks), times))
+            ks = np.array(ks)
+            which.append(np.repeat(ks, times))
+            known.append(ks[sure])
             of_block.append(np.full(len(docs_of), block))
             document.append(docs_of)
             place.append(at)
         which, of_block, document, place = map(np.concatenate, (which, of_block, document, place))
         often = np.bincount(which, minlength=len(texts)) > 1
+        often[np.concatenate(known)] = True
         size = np.array([len(t) for t in texts])
         order = np.argsort(np.array(names, np.uint64), kind="stable")
         # Sort as many buckets at a time as stay within a stretch.
@@ -356,8 +469,8 @@ def remove_repeats(docs: DataFrame, id_col="doc_id", text_col="text", block_byte
         at = np.repeat(np.arange(len(which)), times)
         pick = np.repeat(base[which] - (np.cumsum(times) - times), times) + np.arange(len(at))
         found = np.stack([document[at], flat[pick, 0] + place[at], flat[pick, 1] + place[at]], axis=1)
-        out = [(b, _packed(found[i].ravel())) for b, i in _dealt(of_block[at])]
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*out) if out else ([], []), (pa.int64(), pa.binary()))], ["block", "spans"])
+        done += [(b, _packed(found[i].ravel())) for b, i in _dealt(of_block[at])]
+        return rows_of_arrays(done, replies)
 
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
@@ -380,8 +493,11 @@ def remove_repeats(docs: DataFrame, id_col="doc_id", text_col="text", block_byte
         return pa.table([table["doc_id"], pa.array([len(b) for b in bodies], pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
 
     by_block = rows.groupBy("block")
-    shared = by_block.applyInArrow(meet, "bucket bigint, block bigint, hashes binary").groupBy("bucket").applyInArrow(common, "block bigint, hashes binary")
-    dealt = by_block.cogroup(shared.groupBy("block")).applyInArrow(runs, "bucket bigint, block bigint, runs binary")
+    tallies, replied = "bucket bigint, block bigint, hashes binary, times binary", "block bigint, hashes binary, hot binary"
+    shared = by_block.applyInArrow(meet, tallies).groupBy("bucket").applyInArrow(common, replied)
+    windows = by_block.cogroup(shared.groupBy("block")).applyInArrow(meet_windows, tallies).groupBy("bucket").applyInArrow(common, replied)
+    replies = shared.withColumn("whole", F.lit(False)).unionByName(windows.withColumn("whole", F.lit(True)))
+    dealt = by_block.cogroup(replies.groupBy("block")).applyInArrow(runs, "bucket bigint, block bigint, runs binary, own binary")
     found = dealt.groupBy("bucket").applyInArrow(sort_bucket, "block bigint, spans binary")
     out = rows.select("doc_id", F.lit(0).cast("bigint").alias("n_bytes"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"), F.lit(b"").alias("kept")).schema
     return by_block.cogroup(found.groupBy("block")).applyInArrow(cut, out)

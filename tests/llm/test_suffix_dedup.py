@@ -4,6 +4,7 @@ import hashlib
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from basketry.llm import suffix_dedup as S
@@ -63,7 +64,7 @@ def test_edge_rows(spark):
     whole = buckets()
     try:  # long documents in stretches
         S.STRETCH = 1000
-        assert buckets() == whole <= set(S.met(texts).tolist())
+        assert buckets() == whole <= set(S.met(texts)[0].tolist())
     finally:
         S.STRETCH = stretch
 
@@ -81,3 +82,46 @@ def test_many_copies_of_a_row_lie_in_many_blocks(spark, monkeypatch):
     p = prose(50)
     rows = [(1, p)] * 300 + [(None, "short")] * 300 + [(k, prose(60) + (p[:210] if k % 7 == 0 else "")) for k in range(2, 60)]
     check(spark.createDataFrame(rows, "doc_id bigint, text string"), block_bytes=3000)
+
+
+def _with_passages(n, rng):
+    """Documents around two passages that a third of them each hold, with few and many different edges."""
+    prose = lambda k: " ".join("".join(map(chr, rng.integers(97, 100, 5))) for _ in range(k))
+    p, q = prose(70), prose(50)
+    edge = [prose(1) for _ in range(6)]
+    rows = []
+    for k in range(n):
+        text = prose(40)
+        if k % 3 == 0:
+            text += edge[k % 6] + p + edge[k % 5] + prose(30)
+        elif k % 3 == 1:
+            text = prose(3) + q[: 220 + k % 40] + prose(20) + (q if k % 9 == 1 else "")
+        rows.append((k if k % 7 else None, text))
+    return rows + [(n, p)] * 5 + [(n + 1, "same " * 90), (n + 2, None)]
+
+
+@pytest.mark.parametrize("hot", [1, 20, 100])
+def test_split_buckets(spark, hot):
+    df = spark.createDataFrame(_with_passages(180, np.random.default_rng(7)), "doc_id bigint, text string")
+    want = check(df, block_bytes=4000, hot=hot)
+    assert sum(w[2] > 0 for w in want) >= 100
+
+
+def test_split_buckets_of_documents(spark):
+    check(spark.read.parquet(f"{SF001}/documents.parquet"), block_bytes=20_000, hot=2)
+
+
+def test_a_passage_in_a_third_of_documents_is_sorted_in_several_tasks():
+    """No name of a split bucket stands for more than the copies of one window."""
+    rng = np.random.default_rng(8)
+    texts = [t.encode() for _, t in _with_passages(600, rng) if t]
+    value, times = S.met(texts)
+    hot = value[times > 100]
+    names, met = S.window_names(texts, hot)
+    data, begin, _, _ = next(S.stretches(texts))
+    least, first, last, _, _ = S.window_runs(data, begin)
+    busy = S._among(least[first], hot)
+    window, _, title = S.windows_of(data, first[busy], last[busy])
+    group, sample = S._alike(data, window, title)
+    assert len(hot) and len(sample) == len({data[a : a + S.LENGTH].tobytes() for a in window.tolist()}) == len(names)
+    assert met.sum() == len(window) and np.bincount((names[met > 1] % np.uint64(16)).astype(int), minlength=16).min() > 0
