@@ -29,6 +29,10 @@ RECALL = 0.995
 #: Vectors of a shard, at most on average; fewer than eight shards only for tiny tables.
 SHARD_ROWS = 200_000
 LEAST_SHARDS = 8
+#: Bytes of a shard's vectors, at most on average; they travel with its graph as one value.
+SHARD_BYTES = 256 << 20
+#: A beam as wide as this part of the shard costs more than products with all its vectors.
+SHARE = 16
 QUERY_ROWS = 2048
 #: Nodes with so many links in their own shard are compared with all nodes of every shard.
 DENSE = 4 * BEAM
@@ -159,8 +163,9 @@ class Graph:
     def near(self, q: np.ndarray, least: float, whole: np.ndarray | None = None):
         """Yields blocks of ``(query, node)`` index pairs with cosine of about ``least`` or
         more, nodes as numbered by the caller.  A query whose whole beam is that near
-        is asked again with a beam four times as wide, and if that is full too, of all nodes;
-        those in the mask ``whole`` are asked of all nodes at once.
+        is asked again with a beam four times as wide, and if that is full too, of all nodes in
+        blocked products; so are those in the mask ``whole``, and all queries whose beam would
+        be a ``SHARE``-th of the shard.
         """
         q = q.astype(np.float32)
         at_once = np.zeros(len(q), bool) if whole is None else whole
@@ -170,7 +175,7 @@ class Graph:
                 entry[a : a + rows] = self._walk(k, q[a : a + rows], entry[a : a + rows], 1, self.sizes[k])[0][:, :1]
         todo, n = np.flatnonzero(~at_once), len(self.x)
         for beam in (self.beam, 4 * self.beam):
-            if beam >= n:
+            if beam * SHARE >= n:
                 break
             wide, rows = [np.zeros(0, np.int64)], max(1, (1 << 26) // max(n, 64 * beam))
             for a in range(0, len(todo), rows):  # bounds memory
@@ -187,7 +192,8 @@ class Graph:
             yield todo[a + i], self.order[j]
 
     def audit(self, least: float, probes: int = PROBES, recall: float = RECALL, seed: int = 1) -> None:
-        """Widen the beam until probes that lie at cosine ``least`` to a node find it."""
+        """Widen the beam until probes that lie at cosine ``least`` to a node find it, or products
+        take over."""
         rng = np.random.default_rng(seed)
         own = rng.choice(len(self.x), min(probes, len(self.x)), replace=False)
         side = rng.normal(size=(len(own), self.x.shape[1]))
@@ -195,7 +201,7 @@ class Graph:
         length = np.linalg.norm(side, axis=1, keepdims=True)
         side = np.divide(side, length, out=np.zeros_like(side), where=length > 1e-9)
         q = least * self.x[own] + np.sqrt(1 - least**2) * side
-        while self.beam < len(self.x):
+        while self.beam * SHARE < len(self.x):
             hit = [i[j == self.order[own[i]]] for i, j in self.near(q, least - 1e-3)]
             if len(np.unique(np.concatenate(hit))) >= recall * len(own):
                 break
@@ -227,6 +233,11 @@ def to_length_one(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def shard_count(vectors: int, numbers: int, shard_rows: int = SHARD_ROWS, shard_bytes: int = SHARD_BYTES) -> int:
+    """Shards for so many vectors of ``numbers`` components in all, 12 bytes each (both precisions)."""
+    return max(LEAST_SHARDS, -(-vectors // shard_rows), -(-12 * numbers // shard_bytes))
+
+
 def vector_links(vectors: DataFrame, id_col="vec_id", vec_col="embedding", cosine: float = COSINE, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """One row per row of ``vectors``: ``vec_id, n_links, component_id, kept``.
 
@@ -242,7 +253,8 @@ def vector_links(vectors: DataFrame, id_col="vec_id", vec_col="embedding", cosin
     nodes = rows.where("ok").groupBy("v").agg(F.count("*").alias("n"), F.min("vec_id").alias("first"))
     nodes = nodes.withColumns({"node": F.monotonically_increasing_id(), "dim": F.size("v")})
     nodes = written(nodes, "nodes")
-    shards = max(LEAST_SHARDS, -(-nodes.count() // shard_rows))
+    total, numbers = nodes.agg(F.count("*"), F.coalesce(F.sum("dim"), F.lit(0))).first()
+    shards = shard_count(total, numbers, shard_rows)
     nodes = nodes.withColumn("shard", F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int"))
 
     def build(key, table):
@@ -263,7 +275,7 @@ def vector_links(vectors: DataFrame, id_col="vec_id", vec_col="embedding", cosin
     index = written(index, "index")
     dense = index.select(F.explode("many").alias("node"), F.lit(True).alias("dense"))
     # Tasks: each index against each block of queries; a block's rows follow the index.
-    blocks = max(1, min(16, -(-nodes.count() // (8 * QUERY_ROWS))))
+    blocks = max(1, min(16, -(-total // (8 * QUERY_ROWS))))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     null = lambda t, c: F.lit(None).cast(t).alias(c)
     as_index = index.withColumn("block", every(blocks)).select("dim", "shard", "block", F.lit(0).alias("turn"), "index", null("bigint", "node"), null("array<double>", "v"), null("bigint", "n"), null("boolean", "dense"))

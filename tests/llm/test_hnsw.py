@@ -3,6 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from basketry.llm import hnsw as H
 from basketry.llm.hnsw import QUERY_ROWS, Graph, units, vector_links
 from tests.conftest import SF001
 
@@ -92,3 +93,24 @@ def test_edge_rows(spark):
     near = [(1, 3, 1, True), (2, 3, 1, False), (2, 3, 1, False), (0, 3, 1, False)]
     assert got == sorted(near + [(i, 0, i, True) for i in (3, 4, 5, 6, 7, 8, 9, 10)])
     assert vector_links(df.limit(0)).count() == 0
+
+
+def test_chained_vectors_take_products_not_wide_beams(monkeypatch):
+    rng = np.random.default_rng(11)
+    x = H.to_length_one(np.cumsum(rng.normal(size=(5000, 32)) * 0.15, axis=0) + rng.normal(size=32))
+    beams, walk = [], H.Graph._walk
+    monkeypatch.setattr(H.Graph, "_walk", lambda self, k, q, entry, beam, limit: (beams.append(beam), walk(self, k, q, entry, beam, limit))[1])
+    graph = H.Graph(x)
+    graph.audit(0.9)
+    links = np.zeros(len(x), np.int64)
+    for i, _ in H.linked(graph, x, x, 0.9):
+        links += np.bincount(i, minlength=len(x))
+    want = (x @ x.T >= 0.9).sum(axis=1)
+    assert max(beams) * H.SHARE < len(x) and links.sum() >= 0.99 * want.sum() and (links <= want + 1).all()
+
+
+def test_shards_hold_a_bound_of_bytes():
+    for n, dim in ((200_000, 1024), (3_000_000, 64), (50, 8)):
+        shards = H.shard_count(n, n * dim)
+        assert shards >= H.LEAST_SHARDS and -(-n // shards) * dim * 12 <= H.SHARD_BYTES + 12 * dim and -(-n // shards) <= H.SHARD_ROWS
+    assert H.shard_count(0, 0) == H.LEAST_SHARDS
