@@ -14,8 +14,8 @@ A bucket met more than ``HOT`` times, such as one of a passage that a share of a
 holds, is split: its windows are named by a hash of all their bytes, and those whose
 name is met twice are dealt out by that name, each once a block.
 
-Documents are dealt to blocks of bounded size; buckets and blocks exchange
-arrays, a row for each pair of them.
+Documents are dealt to blocks of bounded size.  Blocks and buckets exchange arrays, by way
+of relays where they are many, so a block sends at most ``FAN`` rows, whatever their number.
 """
 
 from __future__ import annotations
@@ -41,6 +41,8 @@ STRETCH = 1 << 20
 HOT = 1 << 14
 #: Copies of one row (id and text) that may lie in one block.
 REPEATS = 256
+#: Rows that a block, a relay or a bucket sends at most.
+FAN = 1024
 _FACTOR = 0x9E3779B97F4A7C15
 _CODEC = "zstd"
 
@@ -273,12 +275,56 @@ def _dealt(bucket: np.ndarray):
     return zip(value.tolist(), np.split(order, first[1:]))
 
 
+def hops(n: int, fan: int = FAN) -> tuple[int, list[int]]:
+    """``(base, widths)``: an exchange among ``n`` places in hops, the k-th to a range of
+    ``widths[k]`` targets, the last to one.  A sender or relay reaches ``base`` ranges, at most ``fan``.
+    """
+    count = 1
+    while max(2, fan) ** count < n:
+        count += 1
+    base = max(1, round(n ** (1 / count)) - 1)
+    while base**count < n:
+        base += 1
+    return base, [base**k for k in reversed(range(count))]
+
+
+def _columns(blobs: list[bytes], width: int) -> np.ndarray:
+    """The packets of :func:`_deal_columns` as one array, a row for each field."""
+    return np.concatenate([np.zeros((width, 0), np.int64), *(_unpacked(x, np.int64)[0].reshape(width, -1) for x in blobs)], axis=1)
+
+
+def _deal_columns(items: np.ndarray, target: np.ndarray):
+    """``(target, packet)``: the columns of ``items`` by target."""
+    for t, i in _dealt(target):
+        yield t, _packed(items[:, i].ravel())
+
+
+#: Of a run: bucket's name, bytes, places, whether it is known to repeat; of a place: block, document, offset; all bytes.
+_RUNS = (np.uint64, np.int64, np.int64, np.bool_, np.int64, np.int64, np.int64, np.uint8)
+
+
+def _runs(blobs: list[bytes]) -> list[np.ndarray]:
+    """The packets of :func:`_deal_runs` as one set of arrays."""
+    return [np.concatenate(x) for x in zip(*(_unpacked(b, *_RUNS) for b in blobs))]
+
+
+def _deal_runs(items, target: np.ndarray):
+    """``(target, packet)``: runs with their places and bytes by target."""
+    name, size, times, sure, block, document, place, data = items
+    raw, stop, last = data.tobytes(), np.cumsum(size), np.cumsum(times)
+    for t, i in _dealt(target):
+        n = times[i]
+        at = np.repeat(last[i] - np.cumsum(n), n) + np.arange(int(n.sum()))
+        part = b"".join([raw[a:b] for a, b in zip((stop[i] - size[i]).tolist(), stop[i].tolist())])
+        yield t, _packed(name[i], size[i], n, sure[i], block[at], document[at], place[at], np.frombuffer(part, np.uint8))
+
+
 def _in_order(table):
     """Rows of a block in an order that each reading of it agrees on."""
     return table.take(pc.sort_indices(table, [("doc_id", "ascending"), ("body", "ascending")]))
 
 
-def remove_repeats(docs: DataFrame, id_col="doc_id", text_col="text", block_bytes: int = BLOCK_BYTES, hot: int = HOT) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col="doc_id", text_col="text", block_bytes: int = BLOCK_BYTES, hot: int = HOT, fan: int = FAN) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_bytes, spans, kept``.
 
     ``spans`` are the maximal removed byte ranges ``(start, end)`` of the UTF-8 text (null:
@@ -290,9 +336,10 @@ def remove_repeats(docs: DataFrame, id_col="doc_id", text_col="text", block_byte
     the buckets dealt to it, equal runs once.  Of a bucket met at more than ``hot`` places
     a block sends each different window once, dealt out by all its bytes, and only windows
     whose hash another place has; places of windows that repeat within the block are not sent.
-    A block sends a row to each bucket it has
-    something for, so an exchange has no more rows than blocks times buckets, nor than
-    the windows' hashes: beyond some hundred thousand blocks it grows with the text.
+    Blocks and buckets are as many; up to ``fan`` of them exchange rows
+    directly, more of them in hops (see :func:`hops`).  A relay holds what one range of senders has for
+    one range of targets, about a block's share, so each exchange has at most ``fan``
+    rows a block and its rows grow with the text.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("body"))
     sizes = rows.groupBy("doc_id", F.xxhash64("body").alias("h")).agg(F.count("*").alias("n"), F.sum(F.octet_length("body")).alias("b"))
@@ -305,49 +352,67 @@ def remove_repeats(docs: DataFrame, id_col="doc_id", text_col="text", block_byte
         own.append("copy")
     rows = rows.select("doc_id", "body", F.pmod(F.xxhash64(*own), F.lit(n)).alias("block"))
 
-    def rows_of_arrays(parts, types):
-        names = list(types)
-        return pa.table([pa.array(c, types[k]) for k, c in zip(names, zip(*parts) if parts else [[]] * len(names))], names)
+    base, widths = hops(n, fan)
+    packet, packet_or_own = "to bigint, part bigint, data binary", "to bigint, part bigint, data binary, own binary"
+
+    def rows_of(parts, own=False):
+        types = {"to": pa.int64(), "part": pa.int64(), "data": pa.binary(), **({"own": pa.binary()} if own else {})}
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*parts) if parts else [[]] * len(types), types.values())], list(types))
+
+    def sent(items, target, source):
+        """Rows of a sender: the range of the target, that of the source, and the items."""
+        return [(t, source // base, blob) for t, blob in _deal_columns(items, target // widths[0])]
+
+    def through(sends, fields, target):
+        """The rows of ``sends`` at their targets, ``target`` of the items."""
+
+        def relay(width):
+            def deal(table):
+                items, part = _columns(table["data"].to_pylist(), fields), table["part"][0].as_py()
+                return rows_of([(t, part // base, blob) for t, blob in _deal_columns(items, target(items) // width)])
+
+            return deal
 
-    tally = {"bucket": pa.int64(), "block": pa.int64(), "hashes": pa.binary(), "times": pa.binary()}
+        for width in widths[1:]:
+            sends = sends.groupBy("to", "part").applyInArrow(relay(width), packet)
+        return sends
+
+    def by_hash(items):
+        return (items[0].view(np.uint64) % np.uint64(n)).astype(np.int64)
 
     def tallied(block, value, times):
-        dealt = _dealt((value % np.uint64(n)).astype(np.int64))
-        return rows_of_arrays([(b, block, value[i].tobytes(), times[i].tobytes()) for b, i in dealt], tally)
+        items = np.stack([value.view(np.int64), np.full(len(value), block), times.astype(np.int64)])
+        return rows_of(sent(items, by_hash(items), block))
 
-    def joined(column):
-        return np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x, np.uint64) for x in column.to_pylist())]))
+    def names_in(replies, busy=False):
+        """The hashes of replies, sorted; only those of busy buckets."""
+        value, _, often = _columns(replies["data"].to_pylist(), 3)
+        return np.sort((value[often > 0] if busy else value).view(np.uint64))
 
     def meet(table):
         return tallied(table["block"][0].as_py(), *met(table["body"].to_pylist()))
 
     def meet_windows(table, replies):
-        busy = joined(replies["hot"])
+        busy = names_in(replies, True)
         if not table.num_rows or not len(busy):
-            return rows_of_arrays([], tally)
+            return rows_of([])
         return tallied(table["block"][0].as_py(), *window_names(table["body"].to_pylist(), busy))
 
     def common(table):
-        own = [np.frombuffer(x, np.uint64) for x in table["hashes"].to_pylist()]
-        value, back = np.unique(np.concatenate(own), return_inverse=True)
-        total = np.bincount(back, np.concatenate([np.frombuffer(x, np.uint32) for x in table["times"].to_pylist()]))
-        often, busy = value[total > 1], value[total > hot]
-        parts = []
-        for block, x in zip(table["block"].to_pylist(), own):
-            shared = x[_among(x, often)]
-            if len(shared):
-                parts.append((block, shared.tobytes(), x[_among(x, busy)].tobytes()))
-        return rows_of_arrays(parts, {"block": pa.int64(), "hashes": pa.binary(), "hot": pa.binary()})
-
-    dealt_out = {"bucket": pa.int64(), "block": pa.int64(), "runs": pa.binary(), "own": pa.binary()}
+        value, block, times = _columns(table["data"].to_pylist(), 3)
+        _, back = np.unique(value, return_inverse=True)
+        total = np.bincount(back, times)[back]
+        items = np.stack([value, block, total > hot])[:, total > 1]
+        return rows_of(sent(items, items[1], table["to"][0].as_py()))
 
     def runs(table, replies):
         if not table.num_rows or not replies.num_rows:
-            return rows_of_arrays([], dealt_out)
+            return rows_of([], True)
         table = _in_order(table)
         whole = replies["whole"].combine_chunks()
-        busy, wanted_windows = joined(replies["hot"].filter(pc.invert(whole))), joined(replies["hashes"].filter(whole))
-        wanted = np.setdiff1d(joined(replies["hashes"].filter(pc.invert(whole))), busy)
+        buckets = replies.filter(pc.invert(whole))
+        busy, wanted_windows = names_in(buckets, True), names_in(replies.filter(whole))
+        wanted = np.setdiff1d(names_in(buckets), busy)
         index_of, samples, titles, told = {}, [], [], []  # windows of split buckets
         name, document, place, index, texts = [], [], [], {}, []
         which = []
@@ -391,47 +456,53 @@ def remove_repeats(docs: DataFrame, id_col="doc_id", text_col="text", block_byte
                 doc, at = doc[order], at[order]
                 new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1)]))
                 spans = np.stack([doc[new], at[new], at[np.append(new[1:], len(at)) - 1] + LENGTH], axis=1)
-                out.append((block % n, block, None, _packed(spans.astype(np.int64).ravel())))
+                items = np.concatenate([np.full((1, len(spans)), block), spans.T])
+                out.append((block // widths[0], block // base, None, _packed(items.astype(np.int64).ravel())))
         if not texts:
-            return rows_of_arrays(out, dealt_out)
+            return rows_of(out, True)
         name, which = np.array(name, np.uint64), np.array(which, np.int64)
         document, place = np.concatenate(document).astype(np.int64), np.concatenate(place).astype(np.int64)
         by_run = np.argsort(which, kind="stable")
-        times = np.bincount(which, minlength=len(texts))
-        stop = np.cumsum(times)
-        for b, i in _dealt((name % np.uint64(n)).astype(np.int64)):
-            at = np.concatenate([by_run[stop[k] - times[k] : stop[k]] for k in i])
-            bytes_ = np.frombuffer(b"".join([texts[k] for k in i]), np.uint8)
-            out.append((b, block, _packed(name[i], np.array([len(texts[k]) for k in i]), times[i], sure[i], document[at], place[at], bytes_), None))
-        return rows_of_arrays(out, dealt_out)
+        size, times = np.array([len(t) for t in texts]), np.bincount(which, minlength=len(texts))
+        items = (name, size, times, sure, np.full(len(which), block), document[by_run], place[by_run], np.frombuffer(b"".join(texts), np.uint8))
+        out += [(t, block // base, blob, None) for t, blob in _deal_runs(items, by_hash(items) // widths[0])]
+        return rows_of(out, True)
+
+    def through_runs(sends):
+        def relay(width):
+            def deal(table):
+                part, runs = table["part"][0].as_py() // base, table["data"].drop_null().to_pylist()
+                own = table["own"].drop_null().to_pylist()
+                out = [(int(_columns([x], 4)[0, 0]) // width, part, None, x) for x in own]
+                if runs:
+                    items = _runs(runs)
+                    out += [(t, part, blob, None) for t, blob in _deal_runs(items, by_hash(items) // width)]
+                return rows_of(out, True)
+
+            return deal
+
+        for width in widths[1:]:
+            sends = sends.groupBy("to", "part").applyInArrow(relay(width), packet_or_own)
+        return sends
 
     def sort_bucket(table):
-        index, texts, names = {}, [], []
-        which, of_block, document, place, known = [], [], [], [], []
-        replies = {"block": pa.int64(), "spans": pa.binary()}
-        done = [(block, own) for block, own in zip(table["block"].to_pylist(), table["own"].to_pylist()) if own is not None]
-        table = table.filter(table["runs"].is_valid())
+        index, texts, names, bucket = {}, [], [], table["to"][0].as_py()
+        done = _columns(table["own"].drop_null().to_pylist(), 4)
+        table = table.filter(table["data"].is_valid())
         if not table.num_rows:
-            return rows_of_arrays(done, replies)
-        for block, blob in zip(table["block"].to_pylist(), table["runs"].to_pylist()):
-            name, size, times, sure, docs_of, at, data = _unpacked(blob, np.uint64, np.int64, np.int64, np.bool_, np.int64, np.int64, np.uint8)
-            raw, stop, ks = data.tobytes(), np.cumsum(size), []
-            for v, a, b in zip(name.tolist(), (stop - size).tolist(), stop.tolist()):
-                text = raw[a:b]
-                k = index.setdefault(text, len(texts))
-                if k == len(texts):
-                    texts.append(text)
-                    names.append(v)
-                ks.append(k)
-            ks = np.array(ks)
-            which.append(np.repeat(ks, times))
-            known.append(ks[sure])
-            of_block.append(np.full(len(docs_of), block))
-            document.append(docs_of)
-            place.append(at)
-        which, of_block, document, place = map(np.concatenate, (which, of_block, document, place))
+            return rows_of(sent(done, done[0], bucket))
+        name, size, times, sure, of_block, document, place, data = _runs(table["data"].to_pylist())
+        raw, stop, ks = data.tobytes(), np.cumsum(size), []
+        for v, a, b in zip(name.tolist(), (stop - size).tolist(), stop.tolist()):
+            text = raw[a:b]
+            k = index.setdefault(text, len(texts))
+            if k == len(texts):
+                texts.append(text)
+                names.append(v)
+            ks.append(k)
+        which, known = np.repeat(ks, times), np.array(ks)[sure]
         often = np.bincount(which, minlength=len(texts)) > 1
-        often[np.concatenate(known)] = True
+        often[known] = True
         size = np.array([len(t) for t in texts])
         order = np.argsort(np.array(names, np.uint64), kind="stable")
         # Sort as many buckets at a time as stay within a stretch.
@@ -468,17 +539,16 @@ def remove_repeats(docs: DataFrame, id_col="doc_id", text_col="text", block_byte
         times = counts[which]
         at = np.repeat(np.arange(len(which)), times)
         pick = np.repeat(base[which] - (np.cumsum(times) - times), times) + np.arange(len(at))
-        found = np.stack([document[at], flat[pick, 0] + place[at], flat[pick, 1] + place[at]], axis=1)
-        done += [(b, _packed(found[i].ravel())) for b, i in _dealt(of_block[at])]
-        return rows_of_arrays(done, replies)
+        found = np.stack([of_block[at], document[at], flat[pick, 0] + place[at], flat[pick, 1] + place[at]])
+        found = np.concatenate([done, found], axis=1)
+        return rows_of(sent(found, found[0], bucket))
 
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def cut(table, replies):
         table = _in_order(table)
         bodies = table["body"].to_pylist()
-        found = [_unpacked(x, np.int64)[0].reshape(-1, 3) for x in replies["spans"].to_pylist()]
-        found = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
+        found = _columns(replies["data"].to_pylist(), 4)[1:].T
         found = found[np.lexsort((found[:, 2], found[:, 1], found[:, 0]))]
         own = np.split(found[:, 1:], np.searchsorted(found[:, 0], np.arange(1, len(bodies))))
         spans, kept = [], []
@@ -493,12 +563,16 @@ def remove_repeats(docs: DataFrame, id_col="doc_id", text_col="text", block_byte
         return pa.table([table["doc_id"], pa.array([len(b) for b in bodies], pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
 
     by_block = rows.groupBy("block")
-    tallies, replied = "bucket bigint, block bigint, hashes binary, times binary", "block bigint, hashes binary, hot binary"
-    shared = by_block.applyInArrow(meet, tallies).groupBy("bucket").applyInArrow(common, replied)
-    windows = by_block.cogroup(shared.groupBy("block")).applyInArrow(meet_windows, tallies).groupBy("bucket").applyInArrow(common, replied)
+    def meeting(tallies):
+        """What the buckets of ``tallies`` reply to the blocks."""
+        sends = through(tallies, 3, by_hash).groupBy("to").applyInArrow(common, packet)
+        return through(sends, 3, lambda items: items[1]).withColumnRenamed("to", "block")
+
+    shared = meeting(by_block.applyInArrow(meet, packet))
+    windows = meeting(by_block.cogroup(shared.groupBy("block")).applyInArrow(meet_windows, packet))
     replies = shared.withColumn("whole", F.lit(False)).unionByName(windows.withColumn("whole", F.lit(True)))
-    dealt = by_block.cogroup(replies.groupBy("block")).applyInArrow(runs, "bucket bigint, block bigint, runs binary, own binary")
-    found = dealt.groupBy("bucket").applyInArrow(sort_bucket, "block bigint, spans binary")
+    dealt = through_runs(by_block.cogroup(replies.groupBy("block")).applyInArrow(runs, packet_or_own))
+    found = through(dealt.groupBy("to").applyInArrow(sort_bucket, packet), 4, lambda items: items[0]).withColumnRenamed("to", "block")
     out = rows.select("doc_id", F.lit(0).cast("bigint").alias("n_bytes"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"), F.lit(b"").alias("kept")).schema
     return by_block.cogroup(found.groupBy("block")).applyInArrow(cut, out)
 

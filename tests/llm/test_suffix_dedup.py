@@ -107,6 +107,27 @@ def test_split_buckets(spark, hot):
     assert sum(w[2] > 0 for w in want) >= 100
 
 
+@pytest.mark.parametrize("n, fan", [(1, 8), (7, 8), (8, 8), (9, 8), (60, 8), (100, 5), (700, 3), (1500, 1024)])
+def test_hops(n, fan):
+    """Every pair meets, and an exchange has at most ``fan`` rows a sender, relays included."""
+    base, widths = S.hops(n, fan)
+    assert base <= fan and widths[-1] == 1 and base ** len(widths) >= n
+    source, target = (x.ravel() for x in np.meshgrid(np.arange(n), np.arange(n)))
+    sender, part = source, source
+    for width in widths:
+        rows = np.unique(np.stack([sender, target // width]), axis=1).shape[1]
+        assert rows <= base * len(np.unique(sender)) and len(np.unique(sender)) <= base ** len(widths)
+        part = part // base
+        sender = np.unique(np.stack([target // width, part]), axis=1, return_inverse=True)[1].ravel()
+    assert (part == 0).all()
+
+
+@pytest.mark.parametrize("hot", [5, 1000])
+def test_exchanges_in_hops(spark, hot):
+    df = spark.createDataFrame(_with_passages(120, np.random.default_rng(9)), "doc_id bigint, text string")
+    check(df, block_bytes=3000, hot=hot, fan=4)
+
+
 def test_split_buckets_of_documents(spark):
     check(spark.read.parquet(f"{SF001}/documents.parquet"), block_bytes=20_000, hot=2)
 
