@@ -87,18 +87,22 @@ def pair_rows(uo: DataFrame, split_items: int = 4096, keep_cells: bool = False)
     the local path) for inspection.  Both paths are always planned, without
     a job to look which one has rows; AQE drops the empty one's shuffles.
     """
-    m1 = [F.col("mult").alias("mult1")] if "mult" in uo.columns else []
-    m2 = [F.col("mult").alias("mult2")] if "mult" in uo.columns else []
     small = uo.where(F.col("n_items") <= F.lit(split_items))
     hot = uo.where(F.col("n_items") > F.lit(split_items))
-    local = (
+    local = _local_pair_rows(small, "mult" in uo.columns)
+    if keep_cells:
+        local = local.withColumn("cell_a", F.lit(0)).withColumn("cell_b", F.lit(0))
+    return local.unionByName(_grid_pair_rows(hot, split_items, keep_cells))
+
+
+def _local_pair_rows(small: DataFrame, kept: bool) -> DataFrame:
+    m1 = [F.col("mult").alias("mult1")] if kept else []
+    m2 = [F.col("mult").alias("mult2")] if kept else []
+    return (
         small.select("tid", F.col("item").alias("item1"), F.col("iu").alias("iu1"), *m1, "tu")
         .join(small.select("tid", F.col("item").alias("item2"), F.col("iu").alias("iu2"), *m2), on="tid", how="inner")
         .where(F.col("item1") < F.col("item2"))
     )
-    if keep_cells:
-        local = local.withColumn("cell_a", F.lit(0)).withColumn("cell_b", F.lit(0))
-    return local.unionByName(_grid_pair_rows(hot, split_items, keep_cells))
 
 
 def _grid_pair_rows(uo: DataFrame, split_items: int, keep_cells: bool) -> DataFrame:
@@ -206,6 +210,78 @@ def pairs(cand: DataFrame, split_items: int = 4096, kept: DataFrame | None = Non
     )
 
 
+def _per_copy(uo: DataFrame) -> Column:
+    """Occupancy of one copy of an entry; a pair's mean occupancy in a transaction is the sum of two."""
+    return (F.col("iu") / F.col("mult") if "mult" in uo.columns else F.col("iu")) / F.col("tu")
+
+
+def _reaching_pairs(hot: DataFrame, least: float, split_items: int) -> DataFrame:
+    """(item1 < item2) of the pairs whose occupancy in a transaction of ``hot`` reaches ``least``.
+
+    One of the two has at least half of it, and a transaction, whose occupancies add up to
+    1, has at most ``2 / least`` such entries.  Only these are joined with the others, on a grid
+    of few slices of them by ``n_items / split_items`` slices of all: work linear in the entries.
+    """
+    uo = hot.withColumn("occ", _per_copy(hot)).repartition("tid", "item")
+    s2 = grid_slices(F.col("n_items"), split_items)
+    s1 = F.least(s2, F.lit(min(2.0 / least / split_items, 1e6)).cast("int") + 1)
+    place = lambda s: F.pmod(F.xxhash64("item"), s.cast("long")).cast("int")
+    every = lambda s: F.explode(F.sequence(F.lit(0), s - F.lit(1)))
+    big = uo.where(F.col("occ") >= F.lit(least / 2))
+    big = big.select("tid", F.col("item").alias("a"), F.col("occ").alias("occ1"), place(s1).alias("cell_a"), every(s2).alias("cell_b"))
+    other = uo.select("tid", F.col("item").alias("b"), F.col("occ").alias("occ2"), every(s1).alias("cell_a"), place(s2).alias("cell_b"))
+    met = big.hint("merge").join(other, on=["tid", "cell_a", "cell_b"], how="inner")
+    # Two such entries meet twice, once from each side.
+    once = (F.col("a") != F.col("b")) & ((F.col("occ2") < F.lit(least / 2)) | (F.col("a") < F.col("b")))
+    met = met.where(once & (F.col("occ1") + F.col("occ2") >= F.lit(least)))
+    return met.select(F.least("a", "b").alias("item1"), F.greatest("a", "b").alias("item2")).distinct()
+
+
+def pairs_reaching(cand: DataFrame, min_uo: float, split_items: int = 4096) -> DataFrame:
+    """The rows of ``pairs`` whose ``avg_uo`` can reach ``min_uo``, measured over all transactions.
+
+    A pair whose mean occupancy reaches ``min_uo`` reaches it in the mean of its
+    ordinary transactions (at most ``split_items`` entries) or in some larger one.
+    Ordinary transactions are joined with themselves on tid, and their pairs all measured.
+    Of the larger ones only pairs that reach ``min_uo`` in one of them are listed
+    (``_reaching_pairs``).  These, and the ordinary pairs that reach it, look up their entries in
+    the larger transactions, so no large transaction's pairs are all made.
+    """
+    kept = "mult" in cand.columns
+    least = float(min_uo) / SLACK
+    m = ["mult"] if kept else []
+    hot = cand.where(F.col("n_items") > F.lit(split_items))
+    util, count = _pair_util(kept)
+    rows = _local_pair_rows(cand.where(F.col("n_items") <= F.lit(split_items)), kept)
+    rows = rows.select("item1", "item2", util.alias("util"), (util / F.col("tu")).alias("occ"), count.alias("n"))
+    empty = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in ("util", "occ", "n")]
+    rows = rows.unionByName(_reaching_pairs(hot, least, split_items).select("item1", "item2", *empty))
+    met = rows.groupBy("item1", "item2").agg(
+        F.sum("util").alias("util"), F.sum("occ").alias("occ"), F.sum("n").alias("n"), F.max(F.col("n").isNull()).alias("listed")
+    )
+    met = met.where(F.col("listed") | (F.col("occ") / F.col("n") >= F.lit(least))).drop("listed")
+
+    own = hot.select("tid", F.col("item").alias("item1"), F.col("iu").alias("iu1"), "tu", *(F.col(c).alias("mult1") for c in m))
+    other = hot.select("tid", F.col("item").alias("item2"), F.col("iu").alias("iu2"), *(F.col(c).alias("mult2") for c in m))
+    found = met.join(own, "item1", "left").join(other, ["tid", "item2"], "left")
+    agg = found.groupBy("item1", "item2").agg(
+        F.max("util").alias("util"), F.max("occ").alias("occ"), F.max("n").alias("n"),
+        F.sum(util).alias("util2"), F.sum(util / F.col("tu")).alias("occ2"), F.sum(F.when(F.col("iu2").isNotNull(), count)).alias("n2"),
+    )
+    both = lambda c: F.coalesce(F.col(c) + F.col(f"{c}2"), F.col(c), F.col(f"{c}2")).cast(agg.schema[c].dataType)
+    agg = agg.select("item1", "item2", both("util").alias("total_util"), (both("occ") / both("n")).alias("avg_uo"), both("n").alias("support"))
+    return orient(agg).withColumn("itemset", itemset_label("item1", "item2")).select(
+        "item1", "item2", "total_util", "avg_uo", "support", "itemset"
+    )
+
+
+def _pair_util(kept: bool) -> tuple[Column, Column]:
+    """Utility of a pair in a transaction and the pair rows it stands for."""
+    if kept:
+        return F.col("mult2") * F.col("iu1") + F.col("mult1") * F.col("iu2"), F.col("mult1") * F.col("mult2")
+    return F.col("iu1") + F.col("iu2"), F.lit(1).cast("long")
+
+
 def pair_row_count(uo: DataFrame) -> DataFrame:
     """Number of pair rows without building them.
 

@@ -47,8 +47,15 @@ class MineResult:
 
     @cached_property
     def pairs(self) -> DataFrame:
-        rows = P.pairs(self.candidates, self.spec.split_items, self.pair_buckets)
-        return P.keep_rule(rows, self.spec.min_util, self.spec.pair_uo)
+        spec = self.spec
+        return P.keep_rule(self._measured(spec.pair_uo, self.pair_buckets), spec.min_util, spec.pair_uo)
+
+    def _measured(self, min_uo: float, buckets: DataFrame | None = None) -> DataFrame:
+        """Measures of the pairs that can reach ``min_uo``; of all pairs where it asks for nothing."""
+        spec = self.spec
+        if buckets is not None or not min_uo > 0:
+            return P.pairs(self.candidates, spec.split_items, buckets)
+        return P.pairs_reaching(self.candidates, min_uo, spec.split_items)
 
     def release(self) -> None:
         """Drop the held UO-list and the held small sides (scope edge of P1)."""
@@ -184,6 +191,8 @@ class SharedResult(MineResult):
 
     limits: DataFrame | None = None
     prunes: frozenset = frozenset()
+    #: The least pair threshold of the runs.
+    min_uo: float = 0.0
 
     def _met(self, df: DataFrame, item: str) -> DataFrame:
         return df.withColumn("run", F.substring(item, 1, RUN_DIGITS)).join(F.broadcast(self.limits), "run")
@@ -220,7 +229,7 @@ class SharedResult(MineResult):
 
     @cached_property
     def pairs(self) -> DataFrame:
-        rows = self._met(P.pairs(self.candidates, self.spec.split_items), "item1")
+        rows = self._met(self._measured(self.min_uo), "item1")
         kept = self._out(P.keep_rule(rows, F.col("min_util"), F.col("min_uo_pair")), "item1", "item2")
         return kept.withColumn("itemset", itemset_label("item1", "item2"))
 
@@ -239,7 +248,7 @@ def _shared(runs, spec: MineSpec) -> SharedResult:
     spec = spec.with_(exclude=exclude)
     uo = keep(uo_list(lines, spec, clean=False, holds=holds), spec.reuse)
     limits = _limits(lines, [(k, name, s) for k, name, _, s in runs])
-    return SharedResult(spec, uo, P.singles(uo), holds, limits, frozenset(s.prune for *_, s in runs))
+    return SharedResult(spec, uo, P.singles(uo), holds, limits, frozenset(s.prune for *_, s in runs), min(s.pair_uo for *_, s in runs))
 
 
 def mine_many(runs, results: list | None = None) -> DataFrame:

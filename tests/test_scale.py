@@ -304,3 +304,28 @@ def test_item_order_is_text_order_everywhere(spark):
     lines = from_table(spark.createDataFrame([(1, 10), (1, 9), (1, 100)], "t long, i long"), tid="t", item="i")
     got = [(r.position, r.item) for r in basket_items(lines).orderBy("position").collect()]
     assert got == [(0, "10"), (1, "100"), (2, "9")]
+
+
+# ---------------------------------------------------------------- pairs of large transactions
+
+@pytest.mark.parametrize("duplicates", ["sum", "keep"])
+@pytest.mark.parametrize("min_uo", [0.02, 0.3])
+def test_reaching_pairs_equal_all_pairs_above_the_threshold(spark, duplicates, min_uo):
+    rows = [(f"H{t}", str(i), 1.0, float(1 + (i * i + t) % 23)) for t in range(3) for i in range(40) if (i + t) % 4]
+    rows += [(f"T{t}", str(t * k % 40), 1.0, float(1 + k)) for t in range(60) for k in range(1, 6)]
+    lines = spark.createDataFrame(rows, "tid string, item string, quantity double, unit_price double")
+    uo = uo_list(lines, MineSpec(0, 0, duplicates=duplicates))
+    for split in (1, 16):
+        got = P.keep_rule(P.pairs_reaching(uo, min_uo, split), 0, min_uo)
+        want = P.keep_rule(P.pairs(uo, split), 0, min_uo)
+        assert _rows(Q._pairs_out(got)) == _rows(Q._pairs_out(want)) != []
+
+
+def test_large_transaction_lists_only_pairs_that_reach_the_threshold(spark):
+    n = 3000  # 4.5 million pairs in one transaction
+    rows = spark.range(n).selectExpr("'HOT' AS tid", "id AS item", "1.0D AS quantity", "IF(id < 3, 500.0D, 1.0D) AS unit_price")
+    rows = rows.unionByName(spark.range(60).selectExpr("'T' || id div 3 AS tid", "id AS item", "1.0D AS quantity", "2.0D AS unit_price"))
+    r = mine(rows, MineSpec(1, 0.2, split_items=64))
+    assert P._reaching_pairs(r.uo.where("n_items > 64"), 0.2, 64).count() == 3
+    assert r.pairs.count() == 3 + 20 * 3 - 3
+    r.release()
