@@ -112,16 +112,27 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label_col: str, bounds: d
     label.  The texts are chosen by their hashes in Spark, so what a caller collects is
     bounded in rows whatever share of the rows one id or one text holds.
     """
-    own = labels if allowed is None else labels.where(allowed)
-    own = own.where(F.col(id_col).isNotNull() & F.col(label_col).isin(list(bounds))).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text, F.lit(seed)).alias("place"))
-    texts = rows.select("id", "place").distinct().join(own, "id").groupBy("place").agg(F.max("y").alias("y"))
-    texts = written(texts, "labelled")
-    counts = {r["y"]: r["count"] for r in texts.groupBy("y").count().collect()}
+    rows, texts, counts = _labelled(docs, labels, label_col, list(bounds), seed, allowed, id_col, text_col)
     chosen = [texts.where(F.col("y") == y).orderBy("place").limit(n) for y, n in bounds.items()]
     picks = chosen[0]
     for more in chosen[1:]:
         picks = picks.unionByName(more)
     # The limits bound what is broadcast.
     return rows.drop("id").join(F.broadcast(picks), "place").dropDuplicates(["place"]), counts
+
+
+def every_labelled_text(docs: DataFrame, labels: DataFrame, label_col: str, values, seed: str, allowed=None, id_col="doc_id", text_col="text") -> tuple[DataFrame, dict[int, int]]:
+    """As ``labelled_texts``, but all texts that carry a label of ``values``."""
+    rows, texts, counts = _labelled(docs, labels, label_col, list(values), seed, allowed, id_col, text_col)
+    return rows.drop("id").join(texts, "place").dropDuplicates(["place"]), counts
+
+
+def _labelled(docs, labels, label_col, values, seed, allowed, id_col, text_col):
+    own = labels if allowed is None else labels.where(allowed)
+    own = own.where(F.col(id_col).isNotNull() & F.col(label_col).isin(values)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text, F.lit(seed)).alias("place"))
+    texts = rows.select("id", "place").distinct().join(own, "id").groupBy("place").agg(F.max("y").alias("y"))
+    texts = written(texts, "labelled")
+    counts = {r["y"]: r["count"] for r in texts.groupBy("y").count().collect()}
+    return rows, texts, counts

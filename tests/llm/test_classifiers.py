@@ -206,3 +206,18 @@ def test_toxicity_by_language(spark):
     assert {"en", "de", ""} <= model.thresholds.keys()
     for r in toxicity.score_toxicity(docs, model, langs).join(labels, "doc_id").groupBy("lang").agg(F.avg((F.col("predicted") == F.col("toxic")).cast("int")).alias("right")).collect():
         assert r.right > 0.97, r
+
+
+def test_toxicity_learns_from_every_labelled_text(spark):
+    docs = spark.range(4000).selectExpr("id AS doc_id", "IF(id < 3000, 'so bad' || id, 'so good' || id) AS text")
+    model = toxicity.train(docs, docs.selectExpr("doc_id", "CAST(doc_id < 3000 AS int) AS toxic"))
+    words = toxicity._Words()
+    odds = [model.table[words[f"bad{i}"], 0] > 0 for i in range(3000)]
+    assert sum(odds) >= 2200  # all but the quarter that sets the thresholds
+
+
+def test_binned_threshold_is_the_best_one(spark):
+    rng = np.random.default_rng(1)
+    raw, y = rng.normal(size=400).round(3) + 0.0005, rng.integers(0, 2, 400)
+    rows = [{"bin": b, "hits": int(y[at == b].sum()), "n": int((at == b).sum()), "low": raw[at == b].min(), "high": raw[at == b].max()} for at in [np.floor(raw * 1000)] for b in {*at}]
+    assert abs(toxicity.binned_threshold(rows) - toxicity.best_threshold(raw, y, np.ones(400))) < 1e-9
