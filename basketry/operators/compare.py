@@ -1,7 +1,7 @@
 """Comparing two pattern results: U1-U4, C1.
 
 The reference collects both pattern sets to the driver as Python sets; here
-the sets stay distributed and are compared with one full outer join.
+the sets stay distributed and are compared with one grouping by their keys.
 """
 
 from __future__ import annotations
@@ -32,14 +32,10 @@ def aligned(a: DataFrame, b: DataFrame, keys=PAIR_KEYS) -> DataFrame:
 
     ``only_left`` / ``only_right`` are filters of this frame.
     """
-    left = pattern_set(a, keys).withColumn("in_left", F.lit(True))
-    right = pattern_set(b, keys).withColumn("in_right", F.lit(True))
-    j = left.join(right, on=list(keys), how="full_outer")
-    return j.select(
-        *keys,
-        F.coalesce("in_left", F.lit(False)).alias("in_left"),
-        F.coalesce("in_right", F.lit(False)).alias("in_right"),
-    )
+    left = a.select(*keys, F.lit(True).alias("in_left"), F.lit(False).alias("in_right"))
+    right = b.select(*keys, F.lit(False).alias("in_left"), F.lit(True).alias("in_right"))
+    both = left.union(right).groupBy(*keys)
+    return both.agg(F.max("in_left").alias("in_left"), F.max("in_right").alias("in_right"))
 
 
 def compare(a: DataFrame, b: DataFrame, keys=PAIR_KEYS) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import driver_queries as Q
-from basketry import MineSpec, mine, mine_many, uo_list
+from basketry import MineSpec, compare, mine, mine_many, uo_list
 from basketry.operators import patterns as P
 from tests.conftest import SF001
 
@@ -223,3 +223,11 @@ def test_runs_with_no_lines_or_null_keys(spark):
     some = spark.createDataFrame([("t", "a", 1.0, 2.0, "x", "y"), ("t", "b", 1.0, 3.0, "x", "y"), (None, "a", 1.0, 1.0, None, None), ("t", None, 1.0, 1.0, "x", "y")], schema)
     out = mine_many([("none", empty, MineSpec(0, 0)), ("some", some, MineSpec(0, 0))])
     assert [(r[0], r[2], r[3]) for r in _shown(out)] == [("some", "a", ""), ("some", "b", ""), ("some", "a", "b")]
+
+
+def test_results_are_compared_in_one_grouping(spark):
+    a = spark.createDataFrame([("a", "b"), ("a", "b"), ("a", "c")], "item1 string, item2 string")
+    b = spark.createDataFrame([("a", "c"), ("b", "c")], "item1 string, item2 string")
+    df = compare(a, b)
+    assert "FullOuter" not in _plan(df)
+    assert tuple(df.first()) == (2, 2, 1, 3, 1 / 3)
