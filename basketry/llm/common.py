@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 #: White space of every contract: space and U+0009 to U+000D.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bits of the marks of labelled texts, 8 MB, and of one bitmap.
+MARKS = 1 << 26
+BITMAP = 1 << 15
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -122,9 +125,18 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label_col: str, bounds: d
 
 
 def every_labelled_text(docs: DataFrame, labels: DataFrame, label_col: str, values, seed: str, allowed=None, id_col="doc_id", text_col="text") -> tuple[DataFrame, dict[int, int]]:
-    """As ``labelled_texts``, but all texts that carry a label of ``values``."""
+    """As ``labelled_texts``, but all texts that carry a label of ``values``.
+
+    Rows whose hash no labelled text can have, by a bitmap of fixed size, stay out of the shuffle.
+    """
     rows, texts, counts = _labelled(docs, labels, label_col, list(values), seed, allowed, id_col, text_col)
-    return rows.drop("id").join(texts, "place").dropDuplicates(["place"]), counts
+    bit = F.pmod("place", F.lit(MARKS))
+    part, at = F.floor(bit / BITMAP).cast("int").alias("_part"), bit % BITMAP
+    marks = texts.select(part, at.alias("_at")).repartition("_part").groupBy("_part").agg(F.bitmap_construct_agg("_at").alias("_bits"))
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    rows = rows.drop("id").withColumn("_part", part).join(F.broadcast(marks), "_part")  # at most MARKS bits
+    rows = rows.where(byte.bitwiseAND(F.pow(F.lit(2), at % 8).cast("int")) != 0).select("place", "text")
+    return rows.join(texts, "place").dropDuplicates(["place"]), counts
 
 
 def _labelled(docs, labels, label_col, values, seed, allowed, id_col, text_col):

@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from basketry.llm import langid, quality, toxicity
-from basketry.llm.common import labelled_texts
+from basketry.llm.common import every_labelled_text, labelled_texts
 from basketry.llm.queries import op2_langid, op8_toxicity, op11_quality
 from tests.conftest import SF01
 
@@ -221,3 +221,12 @@ def test_binned_threshold_is_the_best_one(spark):
     raw, y = rng.normal(size=400).round(3) + 0.0005, rng.integers(0, 2, 400)
     rows = [{"bin": b, "hits": int(y[at == b].sum()), "n": int((at == b).sum()), "low": raw[at == b].min(), "high": raw[at == b].max()} for at in [np.floor(raw * 1000)] for b in {*at}]
     assert abs(toxicity.binned_threshold(rows) - toxicity.best_threshold(raw, y, np.ones(400))) < 1e-9
+
+
+def test_every_labelled_text_is_found_and_few_others_are_shuffled(spark):
+    docs = spark.range(20_000).selectExpr("id AS doc_id", "'text ' || id div 2 AS text")
+    labels = docs.where("doc_id % 8 = 3").selectExpr("doc_id", "CAST(doc_id % 16 = 3 AS int) AS toxic")
+    rows, counts = every_labelled_text(docs, labels, "toxic", (0, 1), "x")
+    assert sorted(r.text for r in rows.collect()) == sorted(f"text {i // 2}" for i in range(3, 20_000, 8)) and counts == {0: 1250, 1: 1250}
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [_part" in plan
