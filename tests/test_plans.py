@@ -217,6 +217,25 @@ def test_runs_of_one_policy_have_one_set_of_shuffles(spark):
         r.release()
 
 
+def test_gate_too_large_for_a_broadcast_is_shuffled_once(spark):
+    runs = [(name, lines, spec.with_(broadcast_max_rows=2)) for name, lines, spec in _many_runs(spark)[:4]]
+    results, alone = [], []
+    got = _shown(mine_many(runs, results))
+    for name, lines, spec in runs:
+        run = mine(lines, spec)
+        alone += _shown(run.combined().withColumn("dataset", F.lit(name)))
+        assert spec.prune == "none" or "Join LeftSemi" not in run.pairs._jdf.queryExecution().optimizedPlan().toString()
+        run.release()
+    assert got == sorted(alone)
+    plan = results[0].pairs._jdf.queryExecution().optimizedPlan().toString()
+    # The gated entries are held by transaction; the run without pruning ("hash") is not gated.
+    assert "Join LeftSemi" not in plan and len(results[0].candidate_parts) == 2
+    assert {r.run for r in results[0].candidate_parts[0].select(F.substring("tid", 1, 6).alias("run")).distinct().collect()} == {"000002"}
+    assert sorted(results[0].candidates.columns) == sorted(results[0].uo.columns)
+    for r in results:
+        r.release()
+
+
 def test_runs_with_no_lines_or_null_keys(spark):
     schema = "tid string, item string, quantity double, unit_price double, dataset string, run string"
     empty = spark.createDataFrame([], schema)
