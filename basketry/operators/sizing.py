@@ -95,6 +95,20 @@ def spread_join(df: DataFrame, side: DataFrame, key: str, by: str, n: str, heavy
     return spread.hint("merge").join(copies, on=[key, "_salt"], how="inner").drop("_salt")
 
 
+#: Input rows of a task that joins, groups and sorts them all in one stage.
+TASK_ROWS = 250_000
+
+
+def task_count(df: DataFrame, rows: int = TASK_ROWS) -> int:
+    """Tasks for about ``rows`` rows of ``df`` each, at least one a core; of a Parquet table the
+    count reads the files' footers only.
+
+    A stage that keeps the partitioning of a join holds the memory of the join, the groups and the
+    window at once.  With a fixed number of partitions that grows with the input.
+    """
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The session's reliable checkpoint folder.
 

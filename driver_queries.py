@@ -51,6 +51,7 @@ from basketry import (
 from basketry import mine as _mine
 from basketry.operators.clean import clean_lines, exclude_items, keep_numeric_items, merge_duplicates
 from basketry.operators.patterns import in_buckets, orient, pair_rows
+from basketry.operators.sizing import task_count
 from basketry.operators.utility import mean_prices, transaction_totals, transaction_utility, uo_entries
 from basketry.sources.csv import parse_member_day, parse_retail
 from basketry.sources.text import parse_line_baskets, parse_utility_lines
@@ -119,10 +120,15 @@ def lines_v(spark, d) -> DataFrame:
 
 
 def lines_g(spark, d) -> DataFrame:
-    """orders joined to lineitem with the order total as given TU."""
+    """orders joined to lineitem with the order total as given TU.
+
+    The join is on the transaction, so entries and TU need no further shuffle and share its
+    tasks: their number follows the rows of lineitem.
+    """
     o = _t(spark, d, "orders")
     li = _t(spark, d, "lineitem")
-    j = o.join(li, o.o_orderkey == li.l_orderkey, "inner")
+    tasks = task_count(li)
+    j = o.repartition(tasks, "o_orderkey").join(li.repartition(tasks, "l_orderkey"), F.col("o_orderkey") == F.col("l_orderkey"), "inner")
     return from_table(
         j,
         tid="o_orderkey",

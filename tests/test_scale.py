@@ -222,6 +222,20 @@ def test_bitmaps_hold_the_tids(spark, split_items):
     uo.unpersist()
 
 
+# ---------------------------------------------------------------- tasks by rows
+
+def test_tasks_of_given_tu_follow_the_rows(spark, monkeypatch):
+    cores = spark.sparkContext.defaultParallelism
+    assert sizing.task_count(spark.range(1001), 10) == 101 and sizing.task_count(spark.range(0), 10) == cores
+    want = _rows(Q.q_tu_given_check(spark, SF001))
+    monkeypatch.setattr(Q, "task_count", lambda df: sizing.task_count(df, 100), raising=True)
+    df, tasks = Q.q_tu_given_check(spark, SF001), -(-Q._t(spark, SF001, "lineitem").count() // 100)
+    assert _rows(df) == want
+    # Join, entries, window and check run in these tasks, without another shuffle by key.
+    shuffled = re.findall(r"hashpartitioning\((.*?)\)", Q.q_tu_given_check(spark, SF001)._jdf.queryExecution().executedPlan().toString())
+    assert shuffled and all(s.endswith(f", {tasks}") for s in shuffled)
+
+
 # ---------------------------------------------------------------- numbering of lines
 
 def _write_files(folder, sizes):
