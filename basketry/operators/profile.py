@@ -113,13 +113,21 @@ def pair_tid_bitmaps(
     support is the sum of ``bitmap_count(tids)``; repeated lines of kept duplicates are one
     bit.  With ``pairs`` (item1, item2) only those pairs.
     """
-    tids = uo.groupBy("tid").agg(F.max("n_items").alias("_entries"))
+    tids = uo.groupBy("tid").agg(F.max("n_items").alias("_n"))
     numbers = dense_numbers(tids, "tid")
-    rows = spread_join(uo.select("tid", "item", "iu", "tu", "n_items"), numbers, "tid", by="item", n="_entries", heavy_rows=heavy_rows)
-    rows = rows.drop("tid", "_entries").withColumnRenamed("number", "tid")
-    found = orient(pair_rows(rows, split_items).select("item1", "item2", "tid"))
-    if pairs is not None:
-        found = found.join(pairs.select("item1", "item2"), ["item1", "item2"], "left_semi")
+    entries = uo.select("tid", "item", "iu", "tu", "n_items")
+    if pairs is None:
+        rows = spread_join(entries, numbers, "tid", by="item", n="_n", heavy_rows=heavy_rows).drop("tid", "_n")
+        found = orient(pair_rows(rows.withColumnRenamed("number", "tid"), split_items).select("item1", "item2", "tid"))
+    else:
+        # Entries pair where they lie, and only members of the given pairs meet their number:
+        # at most a transaction's pairs, taken as no more than 4,096 to an entry to size the spread.
+        rows = orient(pair_rows(entries, split_items).select("item1", "item2", "tid"))
+        rows = rows.join(pairs.select("item1", "item2"), ["item1", "item2"], "left_semi")
+        n = F.col("_n").cast("double")
+        numbers = numbers.withColumn("_n", F.least(n * (n - 1) / 2, n * 4096))
+        found = spread_join(rows, numbers, "tid", by="item1", n="_n", heavy_rows=heavy_rows)
+        found = found.select("item1", "item2", F.col("number").alias("tid"))
     return found.groupBy("item1", "item2", F.bitmap_bucket_number("tid").alias("bucket")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("tid")).alias("tids")
     )

@@ -1030,7 +1030,7 @@ def q_pair_bounds_saving(spark, d):
 def q_pair_tid_bitmaps(spark, d):
     """A13 as bitmaps: the kept pairs' supports counted from their bits."""
     r = mine(lines_l(spark, d), MineSpec(prune="winners", **L_T))
-    bits = pair_tid_bitmaps(r.uo, r.pairs)
+    bits = pair_tid_bitmaps(r.candidates, r.pairs)  # these hold every entry of a kept pair
     return bits.groupBy("item1", "item2").agg(F.sum(F.bitmap_count("tids")).alias("support"))
 
 

@@ -222,6 +222,21 @@ def test_bitmaps_hold_the_tids(spark, split_items):
     uo.unpersist()
 
 
+def test_bitmaps_of_given_pairs_number_only_their_members(spark):
+    r = mine(Q.lines_b(spark, SF001), MineSpec(prune="winners", min_util=1_000_000, min_uo_single=0.2, min_uo_pair=0.3))
+    pairs = r.pairs
+    assert pairs.count() > 0
+    want = {tuple(x) for x in pairs.select("item1", "item2", "support").collect()}
+    for uo in (r.uo, r.candidates):
+        for heavy in (1, sizing.HEAVY_ROWS):
+            bits = pair_tid_bitmaps(uo, pairs, heavy_rows=heavy)
+            got = bits.groupBy("item1", "item2").agg(F.sum(F.bitmap_count("tids")).alias("n")).collect()
+            assert {(x.item1, x.item2, x.n) for x in got} == want
+    plan = bits._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("_salt") < plan.index("Join LeftSemi")  # the numbers are joined above the choice of pairs
+    r.release()
+
+
 # ---------------------------------------------------------------- tasks by rows
 
 def test_tasks_of_given_tu_follow_the_rows(spark, monkeypatch):
