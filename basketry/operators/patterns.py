@@ -238,14 +238,64 @@ def _reaching_pairs(hot: DataFrame, least: float, split_items: int) -> DataFrame
     return met.select(F.least("a", "b").alias("item1"), F.greatest("a", "b").alias("item2")).distinct()
 
 
-def pairs_reaching(cand: DataFrame | list[DataFrame], min_uo: float, split_items: int = 4096) -> DataFrame:
+#: Pair rows of ordinary transactions from which they are tested before the aggregate.
+TEST_PAIRS = 4_000_000
+#: Bits of the marks of pairs at most, 128 MB in blocks of 16 words; beyond, more rows pass the test.
+MARK_BITS = 1 << 30
+_WORDS = 16
+
+
+def _tested(rows: DataFrame, parts: list[DataFrame], hot_pairs: DataFrame, least: float, test_pairs: int) -> DataFrame:
+    """``rows`` of ordinary transactions without those of pairs that reach ``least`` in no transaction.
+
+    Such a pair does not reach it in the mean.  Of a pair that does, one entry has half of ``least``
+    at least: these entries meet the others of their transaction, and every pair that reaches it sets the bit of its
+    hash.  A row whose bit is not set is left out before the aggregate shuffles it; other pairs with the same
+    bit only cost rows.  There are two bits for a pair that can reach it, so the share of rows that
+    pass does not grow.  Few pairs, or many that reach it (short baskets), are not tested: the one
+    block of number -1 lets all pass.
+    """
+    entries = [p.withColumns({c: F.col(c).cast("double") for c in ("iu", "tu")}).withColumn("occ", _per_copy(p)) for p in parts]
+    least, n = least - 1e-5, F.col("n_items") - 1  # quotients of decimals are rounded in the measures
+    size = reduce(DataFrame.unionByName, [p.select("n_items", "occ") for p in entries]).agg(
+        (F.sum(n) / 2).alias("pairs"), F.sum(F.when(F.col("occ") >= F.lit(least / 2), n)).alias("most")
+    )
+    blocks = F.least(F.ceil(F.col("most") / (32 * _WORDS)) + 1, F.lit(MARK_BITS // (64 * _WORDS)))
+    worth = (F.col("pairs") >= F.lit(test_pairs)) & (F.coalesce("most", F.lit(0)) * 2 <= F.col("pairs"))
+    blocks = size.select(F.when(worth, F.coalesce(blocks, F.lit(1))).cast("long")).scalar()
+    reached = hot_pairs.where(blocks.isNotNull())
+    for p in entries:
+        big = p.where((F.col("occ") >= F.lit(least / 2)) & blocks.isNotNull()).select("tid", F.col("item").alias("a"), F.col("occ").alias("occ1"))
+        met = big.join(p.select("tid", F.col("item").alias("b"), F.col("occ").alias("occ2")), "tid")
+        met = met.where((F.col("a") != F.col("b")) & (F.col("occ1") + F.col("occ2") >= F.lit(least)))
+        reached = reached.unionByName(met.select(F.least("a", "b").alias("item1"), F.greatest("a", "b").alias("item2")))
+
+    h, bits = F.xxhash64("item1", "item2"), 64 * _WORDS
+    place = F.pmod(h, blocks * bits)
+    spots = reached.select(F.floor(place / bits).cast("long").alias("_block"), (place % bits).cast("int").alias("_at"))
+    word, bit = F.shiftright("_at", 6), F.expr("shiftleft(1L, _at % 64)")
+    words = [F.coalesce(F.bit_or(F.when(word == k, bit)), F.lit(0).cast("long")) for k in range(_WORDS)]
+    marks = spots.repartition("_block").groupBy("_block").agg(F.array(*words).alias("_marks"))
+    every = rows.sparkSession.range(1).where(blocks.isNull()).select(F.lit(-1).cast("long").alias("_block"), F.array_repeat(F.lit(-1).cast("long"), _WORDS).alias("_marks"))
+    marks = F.broadcast(marks.unionByName(every))  # bounded by MARK_BITS
+    place = F.coalesce(place, F.lit(-bits).cast("long"))
+    rows = rows.withColumn("_own", F.floor(place / bits).cast("long")).withColumn("_at", F.pmod(place, F.lit(bits)).cast("int"))
+    held = F.getbit(F.get("_marks", F.shiftright("_at", 6)), F.col("_at") % 64) == 1
+    return rows.join(marks, (F.col("_own") == F.col("_block")) & held, "left_semi").drop("_own", "_at")
+
+
+def pairs_reaching(
+    cand: DataFrame | list[DataFrame], min_uo: float, split_items: int = 4096, test_pairs: int | None = None
+) -> DataFrame:
     """The rows of ``pairs`` whose ``avg_uo`` can reach ``min_uo``, measured over all transactions.
 
     ``cand`` may come in parts, each transaction whole in one of them: united entries would be shuffled anew.
 
     A pair whose mean occupancy reaches ``min_uo`` reaches it in the mean of its
     ordinary transactions (at most ``split_items`` entries) or in some larger one.
-    Ordinary transactions are joined with themselves on tid, and their pairs all measured.
+    Ordinary transactions are joined with themselves on tid, and their pairs measured; with ``test_pairs``,
+    from that many pair rows on, only pairs that reach it in some transaction (``_tested``).  The
+    entries are then read four times more, so they should be held.
     Of the larger ones only pairs that reach ``min_uo`` in one of them are listed
     (``_reaching_pairs``).  These, and the ordinary pairs that reach it, look up their entries in
     the larger transactions, so no large transaction's pairs are all made.
@@ -257,10 +307,14 @@ def pairs_reaching(cand: DataFrame | list[DataFrame], min_uo: float, split_items
     united = lambda frames: reduce(DataFrame.unionByName, frames)
     hot = united([p.where(F.col("n_items") > F.lit(split_items)) for p in parts])
     util, count = _pair_util(kept)
-    rows = united([_local_pair_rows(p.where(F.col("n_items") <= F.lit(split_items)), kept) for p in parts])
+    small = [p.where(F.col("n_items") <= F.lit(split_items)) for p in parts]
+    rows = united([_local_pair_rows(p, kept) for p in small])
+    hot_pairs = _reaching_pairs(hot, least, split_items)
+    if test_pairs is not None:
+        rows = _tested(rows, small, hot_pairs, least, test_pairs)
     rows = rows.select("item1", "item2", util.alias("util"), (util / F.col("tu")).alias("occ"), count.alias("n"))
     empty = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in ("util", "occ", "n")]
-    rows = rows.unionByName(_reaching_pairs(hot, least, split_items).select("item1", "item2", *empty))
+    rows = rows.unionByName(hot_pairs.select("item1", "item2", *empty))
     met = rows.groupBy("item1", "item2").agg(
         F.sum("util").alias("util"), F.sum("occ").alias("occ"), F.sum("n").alias("n"), F.max(F.col("n").isNull()).alias("listed")
     )

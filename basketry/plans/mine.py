@@ -55,7 +55,7 @@ class MineResult:
         spec = self.spec
         if buckets is not None or not min_uo > 0:
             return P.pairs(self.candidates, spec.split_items, buckets)
-        return P.pairs_reaching(self.candidates, min_uo, spec.split_items)
+        return P.pairs_reaching(self.candidates, min_uo, spec.split_items, _test_pairs(spec))
 
     def release(self) -> None:
         """Drop the held UO-list and the held small sides (scope edge of P1)."""
@@ -85,6 +85,11 @@ class MineResult:
         return one.unionByName(two)
 
 
+def _test_pairs(spec: MineSpec) -> int | None:
+    """Pair rows from which they are tested before the aggregate: only held entries are read again for it."""
+    return None if spec.reuse == "none" else P.TEST_PAIRS
+
+
 def candidates(uo: DataFrame, all_singles: DataFrame, spec: MineSpec, holds: list | None = None) -> DataFrame:
     """Entries allowed into the pair step under ``spec.prune``."""
     if spec.prune == "none":
@@ -258,7 +263,7 @@ class SharedResult(MineResult):
     def _measured(self, min_uo: float, buckets: DataFrame | None = None) -> DataFrame:
         # A transaction lies in one part: each part's pairs are made where its entries lie.
         if min_uo > 0:
-            return P.pairs_reaching(self.candidate_parts, min_uo, self.spec.split_items)
+            return P.pairs_reaching(self.candidate_parts, min_uo, self.spec.split_items, _test_pairs(self.spec))
         return P.pairs(self.candidates, self.spec.split_items)
 
     @cached_property

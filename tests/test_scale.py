@@ -350,6 +350,36 @@ def test_reaching_pairs_equal_all_pairs_above_the_threshold(spark, duplicates, m
         assert _rows(Q._pairs_out(got)) == _rows(Q._pairs_out(want)) != []
 
 
+@pytest.mark.parametrize("duplicates", ["sum", "keep"])
+@pytest.mark.parametrize("min_uo, number", [(0.09, "double"), (0.15, "double"), (0.15, "decimal(12,2)"), (0.9, "double")])
+def test_tested_pairs_equal_all_pairs_above_the_threshold(spark, duplicates, min_uo, number):
+    """Baskets of 40 items, and of 4 in which pairs reach the threshold that others hold below it."""
+    rows = [(t, (i * 7 + t) % 90, 1.0, float(1 + (i * i + t) % 23) * (9 if i < 3 else 1)) for t in range(60) for i in range(40)]
+    rows += [(t, t * k % 90, 1.0, float(1 + k)) for t in range(100, 130) for k in range(1, 5)] + rows[:50]
+    lines = spark.createDataFrame(rows, "tid long, item long, quantity double, unit_price double")
+    lines = lines.withColumns({c: F.col(c).cast(number) for c in ("quantity", "unit_price")})
+    uo = uo_list(lines, MineSpec(0, 0, duplicates=duplicates))
+    for split in (16, 4096):
+        want = _rows(Q._pairs_out(P.keep_rule(P.pairs(uo, split), 0, min_uo)))
+        for test_pairs in (0, 10**9):
+            got = P.keep_rule(P.pairs_reaching(uo, min_uo, split, test_pairs), 0, min_uo)
+            assert _rows(Q._pairs_out(got)) == want
+
+
+def test_long_baskets_aggregate_only_pairs_that_reach_the_threshold(spark, monkeypatch):
+    monkeypatch.setattr(P, "TEST_PAIRS", 0)
+    rows = spark.range(400 * 40).selectExpr("id div 40 AS tid", "xxhash64(id) AS item", "1.0D AS quantity", "IF(id % 40 < 2, 19.0D, 1.0D) AS unit_price")
+    r = mine(rows, MineSpec(1, 0.2, 0.4))
+    assert r.pairs.count() == 400
+    plan = r.pairs._jdf.queryExecution().analyzed().toString()
+    local = P._local_pair_rows(r.uo, False)
+    total = local.count()
+    left = P._tested(local, [r.uo], P._reaching_pairs(r.uo.where("n_items > 4096"), 0.4, 4096), 0.4, 0).count()
+    assert total == 400 * 780 and 400 <= left < total / 2
+    assert "bit_or" in plan  # the run tests its rows
+    r.release()
+
+
 def test_large_transaction_lists_only_pairs_that_reach_the_threshold(spark):
     n = 3000  # 4.5 million pairs in one transaction
     rows = spark.range(n).selectExpr("'HOT' AS tid", "id AS item", "1.0D AS quantity", "IF(id < 3, 500.0D, 1.0D) AS unit_price")
