@@ -14,6 +14,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Bits of the marks of labelled texts, 8 MB, and of one bitmap.
 MARKS = 1 << 26
 BITMAP = 1 << 15
+#: Rows of a table of a few numbers a row that one task writes.
+WRITE_ROWS = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,14 +35,20 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     Cuts the lineage: a lost executor costs no recomputation, and row ids
     and ranks made by ``df`` stay fixed for every later reader.  The folder is
     removed by ``discard``, or when the session's file system closes.
+
+    Every task writes a file, for which a local file system starts a process.  ``rows``, about as
+    many as ``df`` has, sets the tasks: one for ``WRITE_ROWS`` rows and one a core at least,
+    instead of one for each shuffle partition, however many these are.
     """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, -(-rows // WRITE_ROWS)))
     path = f"{shared_dir(spark)}/llm-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     jvm = spark.sparkContext._jvm
@@ -67,20 +75,21 @@ def components(edges: DataFrame) -> DataFrame:
     to the shared folder, until the edge set no longer changes.  A hub is pre-
     aggregated (``min``) and joined as a written table, so its rows can be split.
     """
+    rows = edges.count()  # no round has many more
     nodes = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     # Edges point from the larger to the smaller node.
     e = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    e = written(e, "edges")
+    e = written(e, "edges", rows)
     seen = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "low")
+        low = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "low", rows)
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = written(large.where("u <> v").distinct(), "large")
+        large = written(large.where("u <> v").distinct(), "large", rows)
         discard(e, low)
-        low = written(large.groupBy("u").agg(F.min("v").alias("m")), "low")
+        low = written(large.groupBy("u").agg(F.min("v").alias("m")), "low", rows)
         e = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
-        e = written(e.select("x.*").where("u <> v").distinct(), "small")
+        e = written(e.select("x.*").where("u <> v").distinct(), "small", rows)
         discard(large, low)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:

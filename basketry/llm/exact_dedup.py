@@ -63,16 +63,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("key"), F.char_length(text).alias("n_chars"), body.alias("body"))
     rows = rows.withColumns({"n_bytes": F.octet_length("body"), "sig": F.xxhash64("body")})
     slim = written(rows.withColumn("text_sha256", F.sha2("body", 256)).drop("body"), "slim")
-    shared = written(slim.groupBy("sig", "n_bytes").count().where("count > 1").drop("count"), "shared")
+    shared = written(slim.groupBy("sig", "n_bytes").count().where("count > 1").drop("count"), "shared", slim.count())
     alone = slim.join(shared, ["sig", "n_bytes"], "left_anti").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256", "key")
     cand = rows.join(shared, ["sig", "n_bytes"], "left_semi").drop("sig").withColumn("rid", F.monotonically_increasing_id())
     cand = written(cand, "candidates")
-    max_bytes = cand.agg(F.max("n_bytes")).first()[0] or 0
+    max_bytes, n = cand.agg(F.coalesce(F.max("n_bytes"), F.lit(0)), F.count("*")).first()
     named = block_names(cand.select("rid", "body"), max_bytes, block_bytes)
     meta = cand.select("rid", "doc_id", "key", "n_chars", F.sha2("body", 256).alias("text_sha256"))
     named = written(named.join(meta, "rid"), "named")
     first = F.min(F.struct((-F.col("n_chars")).alias("c"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid"))
-    groups = written(named.groupBy("n_blocks", "name").agg(F.count("*").alias("group_size"), first.alias("first")), "groups")
+    groups = written(named.groupBy("n_blocks", "name").agg(F.count("*").alias("group_size"), first.alias("first")), "groups", n)
     told = named.join(groups, ["n_blocks", "name"]).select("doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("first.rid")).alias("kept"), "text_sha256", "key")
     return alone.unionByName(told)
 

@@ -69,7 +69,8 @@ def mix_sources(docs: DataFrame, id_col="doc_id", text_col="text", source_col="s
         key.alias("key"),
     )
     slim = written(slim.groupBy("doc_id", "source", "size", "row_key", "key").agg(F.count("*").alias("copies")), "sizes")
-    bits = max(0, math.ceil(math.log2(max(1, slim.count() / RANGE_ROWS))))
+    n = slim.count()
+    bits = max(0, math.ceil(math.log2(max(1, n / RANGE_ROWS))))
     slim = slim.withColumn("part", F.shiftright("key", KEY_BITS - bits)).withColumn("zone", F.shiftright("part", bits // 2))
     targets = source_targets(slim.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size")), weights, share, max_epochs)
     targets = targets.select(F.col("source").alias("s"), "source_size", "target", F.floor("target").alias("budget"))
@@ -77,13 +78,13 @@ def mix_sources(docs: DataFrame, id_col="doc_id", text_col="text", source_col="s
     targets = targets.withColumn("rest", F.col("budget") - F.col("epochs") * F.col("source_size"))
     # Prefix sums of the ranges in two steps, zones and the ranges inside a zone.
     before = lambda c, *by: F.coalesce(F.sum(c).over(W.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    parts = written(slim.groupBy("source", "zone", "part").agg(F.sum(F.col("size") * F.col("copies")).alias("words")), "ranges")
+    parts = written(slim.groupBy("source", "zone", "part").agg(F.sum(F.col("size") * F.col("copies")).alias("words")), "ranges", n)
     zones = parts.groupBy("source", "zone").agg(F.sum("words").alias("words"))
     zones = zones.select(F.col("source").alias("zs"), F.col("zone").alias("z"), before("words", "source", "zone").alias("zone_start"))
     parts = parts.withColumn("in_zone", before("words", "source", "zone", "part"))
     parts = parts.join(zones, F.col("source").eqNullSafe(F.col("zs")) & (F.col("zone") == F.col("z")))
     parts = parts.join(targets, F.col("source").eqNullSafe(F.col("s")))
-    parts = written(parts.select(F.col("source").alias("s"), F.col("part").alias("p"), (F.col("zone_start") + F.col("in_zone")).alias("start"), "source_size", "target", "epochs", "rest"), "starts")
+    parts = written(parts.select(F.col("source").alias("s"), F.col("part").alias("p"), (F.col("zone_start") + F.col("in_zone")).alias("start"), "source_size", "target", "epochs", "rest"), "starts", n)
     place = before(F.col("size") * F.col("copies"), "source", "part", F.struct("key", "doc_id", "size", "row_key"))
     rows = slim.withColumn("place", place).join(parts, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p")))
     # Each copy in its place; of a row with very many, every task numbers a stretch.

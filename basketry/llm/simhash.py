@@ -25,7 +25,7 @@ MAX_BITS = 3
 #: Rows of one anchor that one task compares; larger ones are split into a grid.
 CELL_ROWS = 20_000
 #: Pairs compared at once.
-PAIRS = 1 << 21
+PAIRS = 1 << 19
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -156,7 +156,7 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, cell_rows: int = CELL_ROWS)
     rows = written(fps.select("fp").mapInArrow(spread, "part int, anchor bigint, home boolean, fp bigint"), "anchors")
     # Cells of the grid; at most (rows / cell_rows) anchors are in this list.
     hot = rows.groupBy("part", "anchor").count().where(F.col("count") > cell_rows)
-    hot = written(hot.select("part", "anchor", F.ceil(F.col("count") / cell_rows).cast("int").alias("k")), "hot")
+    hot = written(hot.select("part", "anchor", F.ceil(F.col("count") / cell_rows).cast("int").alias("k")), "hot", rows.count())
     rows = rows.join(hot, ["part", "anchor"], "left").withColumn("k", F.coalesce("k", F.lit(1)))
     block, others = F.pmod(F.xxhash64("fp"), F.col("k")), F.sequence(F.lit(0), F.col("k") - 1)
     # A home meets every copy block, its own copy included; a copy meets every home block.
@@ -180,12 +180,13 @@ def simhash_groups(docs: DataFrame, id_col="doc_id", text_col="text", shingle: i
     are ignored; an empty table gives an empty result.
     """
     told = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    nodes = written(told.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
+    n = told.count()
+    nodes = written(told.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes", n)
     found = components(written(links(nodes, max_bits), "links"))
     nodes = nodes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
-    nodes = written(nodes, "roots")
-    least = written(nodes.groupBy("root").agg(F.min("first").alias("component_id")), "least")
-    nodes = written(nodes.join(least, "root").select("fp", "component_id", "root"), "classes")
+    nodes = written(nodes, "roots", n)
+    least = written(nodes.groupBy("root").agg(F.min("first").alias("component_id")), "least", n)
+    nodes = written(nodes.join(least, "root").select("fp", "component_id", "root"), "classes", n)
     hexed = F.lower(F.lpad(F.hex("fp"), BITS // 4, "0")).alias("fingerprint")
     return told.join(nodes, "fp").select("doc_id", hexed, "component_id", "root", "key")
 

@@ -139,6 +139,27 @@ def test_pipeline_of_edge_rows(spark, tmp_dir):
         assert Counter((r.doc_id, r.doc_tokens) for r in out) == plain
 
 
+def test_small_tables_are_written_by_few_tasks(spark):
+    few = spark.sparkContext.defaultParallelism
+    rows = spark.range(1000, numPartitions=100).selectExpr("id AS u", "id + 1 AS v")
+    assert len(written(rows, "t").inputFiles()) == 100
+    assert len(written(rows, "t", 1000).inputFiles()) == few
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "101")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        files = []
+        keep = common.written
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(common, "written", lambda *a: files.append(keep(*a)) or files[-1])
+            m.setattr(common, "discard", lambda *a: None)
+            assert components(rows.limit(50)).count() == 51
+        assert files and all(len(f.inputFiles()) <= few for f in files)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_components(spark):
     rng = np.random.default_rng(0)
     pairs = [(i, i + 1) for i in range(100, 160)] + [(7, 7)] + [(int(a), int(b)) for a, b in rng.integers(1000, 1400, (250, 2))]
