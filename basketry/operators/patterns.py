@@ -281,7 +281,7 @@ def _tested(rows: DataFrame, parts: list[DataFrame], hot_pairs: DataFrame, least
     place = F.coalesce(place, F.lit(-bits).cast("long"))
     rows = rows.withColumn("_own", F.floor(place / bits).cast("long")).withColumn("_at", F.pmod(place, F.lit(bits)).cast("int"))
     held = F.getbit(F.get("_marks", F.shiftright("_at", 6)), F.col("_at") % 64) == 1
-    return rows.join(marks, (F.col("_own") == F.col("_block")) & held, "left_semi").drop("_own", "_at")
+    return rows.join(marks, (F.col("_own") == F.col("_block")) & held).drop("_own", "_at", "_block", "_marks")  # a block has one row
 
 
 def pairs_reaching(
