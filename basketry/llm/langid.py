@@ -10,6 +10,7 @@ texts are scored in batches: presence matrix times landmark matrix times weights
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -144,7 +145,7 @@ def train(docs: DataFrame, train_rows: int = TRAIN_ROWS, id_col="doc_id", text_c
 
     def run(batches):
         for b in batches:
-            found = [grams(t)[:TRAIN_GRAMS].tobytes() for t in b["text"].to_pylist()]
+            found = [grams(t.as_py())[:TRAIN_GRAMS].tobytes() for t in b["text"]]
             yield pa.RecordBatch.from_arrays([b["lang"], b["place"], pa.array(found, pa.binary())], ["lang", "place", "grams"])
 
     found = rows.mapInArrow(run, "lang string, place long, grams binary").collect()
@@ -152,20 +153,29 @@ def train(docs: DataFrame, train_rows: int = TRAIN_ROWS, id_col="doc_id", text_c
     return fit([(r["lang"], np.frombuffer(r["grams"], np.int32)) for r in found], landmarks=max(1, min(LANDMARKS, ALL_LANDMARKS // langs)))
 
 
-def told(model: Model | None, texts: list[str | None], rejecting: bool = False) -> tuple[list[str], list[float]]:
+def told(model: Model | None, texts: Iterable[str | None], rejecting: bool = False) -> tuple[list[str], list[float]]:
     """Language and score of each whole text; ``und`` and 0 for null or letterless texts,
     and for all if there is no model.  ``rejecting`` gives ``und`` to texts of none
-    of the languages too."""
-    lang, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
-    own = [i for i, t in enumerate(texts) if model and t and _LETTER.search(t)]
-    for a in range(0, len(own), BATCH):
-        some = own[a : a + BATCH]
-        found = [grams(texts[i]) for i in some]
-        for i, g, row in zip(some, found, model.scores(found)):
+    of the languages too.  One text is held at a time."""
+    lang, score, own = [], [], []
+
+    def tell():
+        for (i, g), row in zip(own, model.scores([g for _, g in own])):
             k = int(row.argmax())
             if not rejecting or model.known(g) >= model.reject:
                 lang[i] = model.langs[k]
             score[i] = float(min(1.0, max(0.0, (row[k] + 1) / 2)))
+        own.clear()
+
+    for i, t in enumerate(texts):
+        lang.append(UNKNOWN)
+        score.append(0.0)
+        if model and t and _LETTER.search(t):
+            own.append((i, grams(t)))
+            if len(own) == BATCH:
+                tell()
+    if own:
+        tell()
     return lang, score
 
 
@@ -182,7 +192,7 @@ def identify(docs: DataFrame, model: Model | None, text_col="text", lang_name="l
 
     def run(batches):
         for b in batches:
-            lang, score = told(shared.value, b.column(at).to_pylist(), rejecting)
+            lang, score = told(shared.value, (t.as_py() for t in b.column(at)), rejecting)
             names = [*b.schema.names, lang_name, score_name]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names)
 

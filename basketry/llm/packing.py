@@ -29,6 +29,8 @@ END_ID = 1
 STEP_WINDOWS = 32
 #: Rests held before they are packed.
 POOL_DOCS = 8192
+#: Tokens of an output batch, about: 1 MB.
+BATCH_TOKENS = 1 << 18
 
 
 class Packer:
@@ -123,21 +125,28 @@ def pack_documents(docs: DataFrame, id_col="doc_id", text_col="text", tokenizer:
         n_sequences = n_steps = 0
 
         def dealt(last):
-            """The sequences ready, in whole step groups but for the last ones."""
+            """The sequences ready, in whole step groups but for the last ones, a batch at a time."""
             nonlocal ready, n_sequences, n_steps
             if not ready or not last and sum(t for t, _ in ready) < 8 * step_windows * top:
                 return
             group = step_groups([(t, sum(len(p[3]) ** 2 for p in pieces)) for t, pieces in ready], step_windows * top)
-            table = []
-            for (tier, pieces), g in zip(ready, group):
+            table, tokens = [], 0
+            batch = lambda: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*table), out)], schema=out)
+            ready.reverse()
+            for g in group:
+                tier, pieces = ready.pop()  # its ids go once they are out
                 offset = 0
                 for doc, n, start, ids in pieces:
                     table.append((doc, start, len(ids), n, base + n_sequences, offset, tier, base + n_steps + g, ids.astype("<u4").tobytes()))
                     offset += len(ids)
                 n_sequences += 1
+                tokens += offset
+                if tokens >= BATCH_TOKENS:
+                    yield batch()
+                    table, tokens = [], 0
             n_steps += max(group) + 1
-            ready = []
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*table), out)], schema=out)
+            if table:
+                yield batch()
 
         for b in batches:
             for doc, text in zip(b["doc_id"].to_pylist(), b["text"]):

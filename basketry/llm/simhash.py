@@ -51,7 +51,7 @@ def fingerprints(docs: DataFrame, id_col="doc_id", text_col="text", shingle: int
 
     def run(batches):
         for b in batches:
-            fp = np.array([fingerprint(t, shingle) for t in b["text"].to_pylist()], np.uint64)
+            fp = np.array([fingerprint(t.as_py(), shingle) for t in b["text"]], np.uint64)
             yield pa.RecordBatch.from_arrays([b["key"], b["doc_id"], pa.array(fp.view(np.int64))], ["key", "doc_id", "fp"])
 
     return rows.mapInArrow(run, rows.drop("text").withColumn("fp", F.lit(0).cast("long")).schema)

@@ -18,6 +18,18 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+@lru_cache(maxsize=4)
+def _library(path: str):
+    import os
+
+    from tokenizers import Tokenizer
+
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    slow = Tokenizer.from_file(path)
+    slow.encode_special_tokens = True
+    return slow
+
+
 @lru_cache(maxsize=4)
 def encoder(path: str):
     """Function from a text to its ids (``uint32`` array), without special tokens.
@@ -25,17 +37,12 @@ def encoder(path: str):
     ``path`` is a byte-level BPE file of ``tokenizers``.  Where the same vocabulary
     lies beside it as ranks (``.tiktoken``), ``tiktoken`` encodes: the ids are the
     same (tests compare them) and it takes a quarter of the time.  Texts that it
-    cannot handle go to ``tokenizers``.  Strings of special tokens in a text are
-    ordinary text.
+    cannot handle go to ``tokenizers``, loaded with the first of them: it takes 28 MB
+    of each Python worker.  Strings of special tokens in a text are ordinary text.
     """
     import os
 
-    from tokenizers import Tokenizer
-
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    slow = Tokenizer.from_file(path)
-    slow.encode_special_tokens = True
-    by_library = lambda text: np.array(slow.encode(text, add_special_tokens=False).ids, np.uint32)
+    by_library = lambda text: np.array(_library(path).encode(text, add_special_tokens=False).ids, np.uint32)
     ranks = path.removesuffix(".json") + ".tiktoken"
     if not os.path.exists(ranks):
         return by_library

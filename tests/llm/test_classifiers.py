@@ -139,6 +139,25 @@ def test_every_language_is_learned(spark):
     assert len(langid.train(rows).langs) == 300
 
 
+def test_texts_are_told_as_they_come(spark):
+    """The texts of a batch are never held together, and are scored as a list of them is."""
+    model = langid.train(spark.createDataFrame([(1, "en", "the and of that"), (2, "de", "der und die das")], "doc_id int, lang string, text string"))
+    texts, alive, most = ["the and", None, "und die", "12", ""] * 50, set(), []
+
+    class Text(str):
+        def __new__(cls, t):
+            alive.add(id(self := super().__new__(cls, t)))
+            most.append(len(alive))
+            return self
+
+        def __del__(self):
+            alive.discard(id(self))
+
+    got = langid.told(model, (t and Text(t) for t in texts))
+    assert got == langid.told(model, texts) and got[0][:5] == ["en", "und", "de", "und", "und"]
+    assert max(most) <= 2
+
+
 def test_rejected_languages_go(spark):
     docs = spark.read.parquet(f"{SF01}/documents.parquet")
     own = spark.createDataFrame([(-1, "日本語の文章です。これは別の言葉である。", None), (-2, "1234 !!", "en"), (-3, "the and of that thing is in the house", None)], "doc_id bigint, text string, lang string")

@@ -3,10 +3,12 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from basketry.llm import packing
 from basketry.llm.packing import Packer, pack_documents
 from basketry.llm.tokens import byte_lengths, encoder, vocabulary_path
 from tests.conftest import SF001, SF01
@@ -86,6 +88,28 @@ def test_edge_rows(spark, slow):
     assert pack_documents(df.limit(0)).count() == 0
 
 
+def test_output_batches_are_bounded(spark, monkeypatch):
+    """A task hands on about a megabyte of ids at once, however much it has packed."""
+    docs = spark.createDataFrame([], "doc_id bigint, text string")
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: run)
+    monkeypatch.setattr(packing, "TaskContext", type("Context", (), {"get": classmethod(lambda cls: cls), "partitionId": staticmethod(lambda: 3)}))
+    run = pack_documents(docs)
+    rows = pa.RecordBatch.from_arrays([pa.array(range(4000)), pa.array([f"{i} " + "word " * (i % 700) for i in range(4000)])], ["doc_id", "text"])
+    got = [b.to_pylist() for b in run([rows])]
+    assert sum(p["length"] for b in got for p in b) > 4 * packing.BATCH_TOKENS
+    assert max(sum(p["length"] for p in b) for b in got) < packing.BATCH_TOKENS + 2048
+    numbers = [p["sequence_id"] - (3 << 33) for b in got for p in b]
+    assert numbers == sorted(numbers) and set(numbers) == set(range(numbers[-1] + 1))
+
+
+def test_tokenizers_is_loaded_when_needed(monkeypatch):
+    """Texts that ``tiktoken`` handles leave the second vocabulary out of the worker."""
+    loaded = []
+    monkeypatch.setattr(Tokenizer, "from_file", staticmethod(lambda path: loaded.append(path)))
+    encoder.cache_clear()
+    assert len(encoder(vocabulary_path())("hello there")) and not loaded
+
+
 def test_packer_fills_windows():
     rng = np.random.default_rng(3)
     packer, out, total = Packer((4, 8, 16)), [], 0
