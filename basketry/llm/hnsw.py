@@ -2,7 +2,8 @@
 
 Equal vectors are one node with a count.  Nodes are dealt to shards by hash; a
 task builds the graph of one shard and audits it with probes at the threshold,
-widening the search beam until it finds enough of them.  Then every node queries
+widening the search beam until it finds enough of them.  Graphs travel in rows of
+``PART`` bytes, with the vectors as they were given.  Then every node queries
 every shard.  A query whose beam holds nothing but links is widened again, so no
 cap bounds the links of a vector.  Links are verified by cosine in double
 precision and united to components.  A link that either end finds counts at both.
@@ -29,11 +30,20 @@ RECALL = 0.995
 #: Vectors of a shard, at most on average; fewer than eight shards only for tiny tables.
 SHARD_ROWS = 200_000
 LEAST_SHARDS = 8
-#: Bytes of a shard's vectors, at most on average; they travel with its graph as one value.
+#: Bytes of a shard's vectors in both precisions, at most on average.
 SHARD_BYTES = 256 << 20
+#: Bytes of a shard's graph and vectors in a row, at most: Spark's readers and the batches
+#: for Python hold some thousands of rows at once.
+PART = 16 << 10
+#: Parts told at once.
+PARTS = 256
 #: A beam as wide as this part of the shard costs more than products with all its vectors.
 SHARE = 16
 QUERY_ROWS = 2048
+#: Numbers of the vectors in hand at once, at most, where pairs are verified or links chosen.
+NUMBERS = 1 << 20
+#: Marks of nodes seen by the walks of one layer, at most.
+SEEN = 1 << 25
 #: Nodes with so many links in their own shard are compared with all nodes of every shard.
 DENSE = 4 * BEAM
 #: Nodes inserted at once, at most this share of those already there.
@@ -44,13 +54,12 @@ class Graph:
     """Layers of neighbour lists over unit vectors; layer ``k`` holds about one node in
     ``NEIGHBOURS**k``.  Searches walk for a whole batch of queries in step."""
 
-    def __init__(self, x: np.ndarray, seed: int = 0):
-        self.x = x.astype(np.float32)
+    def __init__(self, x: np.ndarray | Units, seed: int = 0):
         n, m = len(x), NEIGHBOURS
         level = np.floor(-np.log(1 - np.random.default_rng(seed).random(n)) / np.log(m)).astype(int)
         # Nodes go in by falling level: the upper layers stand before the lower ones.
         self.order = np.argsort(-level, kind="stable")
-        self.x = self.x[self.order]
+        self.x = x.single(self.order) if isinstance(x, Units) else x[self.order].astype(np.float32)
         level = level[self.order]
         self.sizes = [int((level >= k).sum()) for k in range(int(level.max(initial=0)) + 1)]
         self.beam = BEAM
@@ -71,7 +80,9 @@ class Graph:
             links, old = self.layers[k], min(a, self.sizes[k])
             own = fresh[fresh < self.sizes[k]]
             if old:
-                found, near = self._walk(k, self.x[a:b], entry[:, None], 1 if not len(own) else BEAM, old)
+                beam, rows = 1 if not len(own) else BEAM, max(1, SEEN // old)
+                walked = [self._walk(k, self.x[at : min(b, at + rows)], entry[at - a : at - a + rows, None], beam, old)[0] for at in range(a, b, rows)]  # bounds memory
+                found = walked[0] if len(walked) == 1 else np.concatenate(walked)
                 entry = found[:, 0]
             if not len(own):
                 continue
@@ -112,9 +123,10 @@ class Graph:
         node, first, count = np.unique(to, return_index=True, return_counts=True)
         more = np.full((len(node), int(count.max(initial=0))), -1, np.int32)
         more[np.repeat(np.arange(len(node)), count), np.arange(len(to)) - np.repeat(first, count)] = of
-        for a in range(0, len(node), 256):
-            some = node[a : a + 256]
-            cand = np.concatenate([links[some], more[a : a + 256]], axis=1)
+        rows = max(1, min(256, 4 * NUMBERS // ((links.shape[1] + more.shape[1]) * self.x.shape[1])))  # bounds memory
+        for a in range(0, len(node), rows):
+            some = node[a : a + rows]
+            cand = np.concatenate([links[some], more[a : a + rows]], axis=1)
             score = np.einsum("qd,qcd->qc", self.x[some], self.x[cand])
             ordered = np.sort(cand, axis=1)
             twice = np.zeros(cand.shape, bool)
@@ -177,7 +189,7 @@ class Graph:
         for beam in (self.beam, 4 * self.beam):
             if beam * SHARE >= n:
                 break
-            wide, rows = [np.zeros(0, np.int64)], max(1, (1 << 26) // max(n, 64 * beam))
+            wide, rows = [np.zeros(0, np.int64)], max(1, SEEN // max(n, 32 * beam))
             for a in range(0, len(todo), rows):  # bounds memory
                 some = todo[a : a + rows]
                 node, near = self._walk(0, q[some], entry[some], beam, n)
@@ -208,11 +220,32 @@ class Graph:
             self.beam *= 2
 
 
-def linked(graph: Graph, x: np.ndarray, q: np.ndarray, cosine: float, whole: np.ndarray | None = None):
+class Units:
+    """Rows of ``v``, usable vectors, at length one in double precision, made when they are asked for."""
+
+    def __init__(self, v: np.ndarray):
+        self.v = v
+
+    def __len__(self) -> int:
+        return len(self.v)
+
+    def __getitem__(self, at) -> np.ndarray:
+        return to_length_one(self.v[at].astype(np.float64))
+
+    def single(self, order: np.ndarray) -> np.ndarray:
+        """All rows in single precision, as ``order`` says."""
+        x = np.empty(self.v.shape, np.float32)
+        for a in range(0, len(x), QUERY_ROWS):
+            x[a : a + QUERY_ROWS] = self[order[a : a + QUERY_ROWS]]
+        return x
+
+
+def linked(graph: Graph, x: np.ndarray | Units, q: np.ndarray, cosine: float, whole: np.ndarray | None = None):
     """Yields ``(i, j)`` with ``q[i] . x[j] >= cosine`` in double precision, of what the graph finds."""
+    rows = max(1, min(1 << 17, NUMBERS // q.shape[1]))  # bounds memory
     for i, j in graph.near(q, cosine - 1e-3, whole):
-        for a in range(0, len(i), 1 << 17):
-            u, v = i[a : a + (1 << 17)], j[a : a + (1 << 17)]
+        for a in range(0, len(i), rows):
+            u, v = i[a : a + rows], j[a : a + rows]
             ok = np.einsum("id,id->i", q[u], x[v]) >= cosine
             yield u[ok], v[ok]
 
@@ -233,6 +266,37 @@ def to_length_one(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def packed(value):
+    """``value`` pickled, in pieces of at most ``PART`` bytes; its arrays are not copied as a whole."""
+    buffers: list = []
+    head = pickle.dumps(value, 5, buffer_callback=buffers.append)
+    parts = [memoryview(head), *(b.raw() for b in buffers)]
+    yield np.array([len(parts), *map(len, parts)], np.int64).tobytes()
+    for p in parts:
+        for a in range(0, len(p), PART):
+            yield bytes(p[a : a + PART])
+
+
+class Unpacked:
+    """The value of ``packed``, from its pieces in turn; its arrays are views of one buffer."""
+
+    def __init__(self):
+        self.sizes, self.whole, self.at = None, None, 0
+
+    def add(self, piece) -> None:
+        if self.sizes is None:
+            self.sizes = np.frombuffer(piece, np.int64)[1:].tolist()
+            self.whole = memoryview(bytearray(sum(self.sizes)))
+            return
+        self.whole[self.at : self.at + len(piece)] = memoryview(piece).cast("B")
+        self.at += len(piece)
+
+    def value(self):
+        ends = np.cumsum([0, *self.sizes]).tolist()
+        parts = [self.whole[a:b] for a, b in zip(ends, ends[1:])]
+        return pickle.loads(parts[0], buffers=parts[1:])
+
+
 def shard_count(vectors: int, numbers: int, shard_rows: int = SHARD_ROWS, shard_bytes: int = SHARD_BYTES) -> int:
     """Shards for so many vectors of ``numbers`` components in all, 12 bytes each (both precisions)."""
     return max(LEAST_SHARDS, -(-vectors // shard_rows), -(-12 * numbers // shard_bytes))
@@ -247,9 +311,11 @@ def vector_links(vectors: DataFrame, id_col="vec_id", vec_col="embedding", cosin
     reach, the row's own included; null ids count as largest.  Other columns are
     ignored; an empty table gives an empty result.
     """
-    rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v"))
+    # Single precision stays so: half the bytes wherever vectors lie or travel.
+    number = "float" if vectors.schema[vec_col].dataType.simpleString() == "array<float>" else "double"
+    rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(vec_col).cast(f"array<{number}>").alias("v"))
     bad = "v is null or size(v) = 0 or exists(v, c -> c is null or isnan(c) or abs(c) = double('infinity')) or forall(v, c -> c = 0)"
-    rows = rows.withColumn("ok", ~F.expr(f"coalesce({bad}, true)")).withColumn("v", F.when(F.col("ok"), F.transform("v", lambda c: c + F.lit(0.0))))
+    rows = rows.withColumn("ok", ~F.expr(f"coalesce({bad}, true)")).withColumn("v", F.when(F.col("ok"), F.transform("v", lambda c: c + F.lit(0.0).cast(number))))
     nodes = rows.where("ok").groupBy("v").agg(F.count("*").alias("n"), F.min("vec_id").alias("first"))
     nodes = nodes.withColumns({"node": F.monotonically_increasing_id(), "dim": F.size("v")})
     nodes = written(nodes, "nodes")
@@ -257,43 +323,81 @@ def vector_links(vectors: DataFrame, id_col="vec_id", vec_col="embedding", cosin
     shards = shard_count(total, numbers, shard_rows)
     nodes = nodes.withColumn("shard", F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int"))
 
-    def build(key, table):
-        table = table.sort_by("node")
-        x = to_length_one(table["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1))
+    def cells(batches, *keys):
+        """Runs of rows with equal keys within a batch, as ``(keys, rows)``."""
+        for b in batches:
+            k = np.stack([b[c].to_numpy() for c in keys], axis=1)
+            cuts = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1).tolist(), len(k)] if len(k) else []
+            for at, end in zip(cuts, cuts[1:]):
+                yield tuple(k[at].tolist()), b.slice(at, end - at)
+
+    def matrix(part, dim):
+        return part["v"].flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, dim)
+
+    def built(dim, shard, v, ids, n):
+        x = Units(v)
         graph = Graph(x)
         graph.audit(cosine)
         label, near = np.arange(len(x)), np.zeros(len(x), np.int64)
-        for i, j in linked(graph, x, x, cosine):
-            label = join_labels(label, i, j)
-            near += np.bincount(i, minlength=len(x))
-        ids, dense = table["node"].to_numpy(), near >= DENSE
-        index = (graph, x, ids, ids[label], table["n"].to_numpy(), dense)
-        many = pa.array([ids[dense].tolist()], pa.list_(pa.int64()))
-        return pa.table({"dim": pa.array([key[0].as_py()], pa.int32()), "shard": pa.array([key[1].as_py()], pa.int32()), "index": pa.array([pickle.dumps(index, 5)], pa.binary()), "many": many})
-
-    index = nodes.groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, index binary, many array<bigint>")
+        for a in range(0, len(x), QUERY_ROWS):
+            for i, j in linked(graph, x, x[a : a + QUERY_ROWS], cosine):
+                label = join_labels(label, i + a, j)
+                near += np.bincount(i + a, minlength=len(x))
+        dense, graph.x = near >= DENSE, None
+        many, pieces, part = ids[dense].tolist(), [], 0
+
+        def told():
+            first = part - len(pieces)
+            told_of = [many if first + k == 0 else [] for k in range(len(pieces))]
+            cols = [pa.array([c] * len(pieces), pa.int32()) for c in (dim, shard)]
+            cols += [pa.array(range(first, part), pa.int32()), pa.array(pieces, pa.binary()), pa.array(told_of, pa.list_(pa.int64()))]
+            return pa.RecordBatch.from_arrays(cols, ["dim", "shard", "part", "index", "many"])
+
+        for piece in packed((graph, v, ids, ids[label], n, dense)):
+            pieces.append(piece)
+            part += 1
+            if len(pieces) == PARTS:
+                yield told()
+                pieces = []
+        if pieces:
+            yield told()
+
+    def build(batches):
+        last, held = None, []
+        whole = lambda: [np.concatenate(c) for c in zip(*held)]
+        for cell, part in cells(batches, "dim", "shard"):
+            if held and cell != last:
+                own, held = whole(), []
+                yield from built(*last, *own)
+                del own
+            last = cell
+            held.append((matrix(part, cell[0]), part["node"].to_numpy(), part["n"].to_numpy()))
+        if held:
+            own, held = whole(), []
+            yield from built(*last, *own)
+
+    # A task holds one shard at a time; more partitions than shards, so that few tasks have two.
+    dealt = nodes.select("dim", "shard", "node", "n", "v").repartition(4 * shards, "dim", "shard").sortWithinPartitions("dim", "shard", "node")
+    index = dealt.mapInArrow(build, "dim int, shard int, part int, index binary, many array<bigint>")
     index = written(index, "index")
     dense = index.select(F.explode("many").alias("node"), F.lit(True).alias("dense"))
-    # Tasks: each index against each block of queries; a block's rows follow the index.
-    blocks = max(1, min(16, -(-total // (8 * QUERY_ROWS))))
+    # Tasks: each index against each block of queries; a block's rows follow the index.  Every block
+    # has a copy of the index, so there are no more of them than keep the cores busy.
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    blocks = max(1, min(16, -(-total // (8 * QUERY_ROWS)), -(-4 * cores // shards)))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     null = lambda t, c: F.lit(None).cast(t).alias(c)
-    as_index = index.withColumn("block", every(blocks)).select("dim", "shard", "block", F.lit(0).alias("turn"), "index", null("bigint", "node"), null("array<double>", "v"), null("bigint", "n"), null("boolean", "dense"))
+    as_index = index.withColumn("block", every(blocks)).select("dim", "shard", "block", F.lit(0).alias("turn"), "index", F.col("part").cast("bigint").alias("node"), null(f"array<{number}>", "v"), null("bigint", "n"), null("boolean", "dense"))
     as_query = nodes.join(dense, "node", "left").withColumns({"block": F.pmod(F.xxhash64("node", F.lit(1)), F.lit(blocks)).cast("int"), "shard": every(shards)})
     as_query = as_query.select("dim", "shard", "block", F.lit(1).alias("turn"), null("binary", "index"), "node", "v", "n", F.coalesce("dense", F.lit(False)).alias("dense"))
-    work = as_index.unionByName(as_query).repartition(shards * blocks, "dim", "shard", "block").sortWithinPartitions("dim", "shard", "block", "turn", "node")
+    work = as_index.unionByName(as_query).repartition(4 * shards * blocks, "dim", "shard", "block").sortWithinPartitions("dim", "shard", "block", "turn", "node")
 
     def ask(batches):
-        current = None
-
         def told(u, v, at_u, at_v):
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (u, v, at_u, at_v)], ["u", "v", "at_u", "at_v"])
 
-        def answered(queries):
+        def answered(current, mine, q, own_n, own_dense):
             graph, x, ids, label, n, dense = current
-            mine, vectors, own_n, own_dense = zip(*queries)
-            mine, own_n, own_dense = np.array(mine), np.array(own_n), np.array(own_dense, bool)
-            _, q = units(vectors)
             found, roots = np.zeros(len(mine), np.int64), np.zeros((0, 2), np.int64)
             for i, j in linked(graph, x, q, cosine, own_dense):
                 other = mine[i] != ids[j]
@@ -311,26 +415,37 @@ def vector_links(vectors: DataFrame, id_col="vec_id", vec_col="embedding", cosin
             # A count of null: no link to count, only one of components.
             yield told(roots[:, 0], roots[:, 1], [None] * len(roots), [None] * len(roots))
 
-        queries, last = [], None
-        for b in batches:
-            cells = zip(*(b[c].to_pylist() for c in ("dim", "shard", "block", "turn", "node", "n", "dense")))
-            for k, (*cell, turn, node, n, dense) in enumerate(cells):
-                if queries and (cell != last or len(queries) >= QUERY_ROWS):
-                    yield from answered(queries)
-                    queries = []
-                if cell != last:
-                    current, last = None, cell  # a shard may hold no vectors of this length
-                if turn == 0:
-                    current = pickle.loads(b["index"][k].as_py())
-                    ids, label = current[2:4]
-                    # What the shard's own search united, whichever end found it.
-                    moved = np.flatnonzero(ids != label) if cell[2] == 0 else []
-                    if len(moved):
-                        yield told(ids[moved], label[moved], [None] * len(moved), [None] * len(moved))
-                elif current is not None:
-                    queries.append((node, b["v"][k].as_py(), n, dense))
-        if queries:
-            yield from answered(queries)
+        def opened(pieces):
+            graph, v, ids, label, n, dense = pieces.value()
+            x = Units(v)
+            graph.x = x.single(graph.order)
+            return graph, x, ids, label, n, dense
+
+        def united(cell, current):
+            """What the shard's own search united, whichever end found it; told in one block."""
+            ids, label = current[2:4]
+            moved = np.flatnonzero(ids != label) if cell[2] == 0 else []
+            if len(moved):
+                yield told(ids[moved], label[moved], [None] * len(moved), [None] * len(moved))
+
+        last, pieces, current = None, None, None
+        for (*cell, turn), part in cells(batches, "dim", "shard", "block", "turn"):
+            if pieces is not None and (turn or cell != last):
+                current, pieces = opened(pieces), None
+                yield from united(last, current)
+            if cell != last:
+                last, current = cell, None  # a shard may hold no vectors of this length
+            if turn == 0:
+                pieces = pieces or Unpacked()
+                for piece in part["index"]:
+                    pieces.add(piece.as_buffer())
+            elif current is not None:
+                for a in range(0, part.num_rows, QUERY_ROWS):
+                    some = part.slice(a, QUERY_ROWS)
+                    q, own_dense = to_length_one(matrix(some, cell[0]).astype(np.float64)), some["dense"].to_numpy(zero_copy_only=False)
+                    yield from answered(current, some["node"].to_numpy(), q, some["n"].to_numpy(), own_dense)
+        if pieces is not None:
+            yield from united(last, opened(pieces))
 
     found = written(work.mapInArrow(ask, "u bigint, v bigint, at_u bigint, at_v bigint"), "found")
     # A pair comes from either end or both; both give it the same counts.

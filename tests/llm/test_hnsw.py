@@ -114,3 +114,29 @@ def test_shards_hold_a_bound_of_bytes():
         shards = H.shard_count(n, n * dim)
         assert shards >= H.LEAST_SHARDS and -(-n // shards) * dim * 12 <= H.SHARD_BYTES + 12 * dim and -(-n // shards) <= H.SHARD_ROWS
     assert H.shard_count(0, 0) == H.LEAST_SHARDS
+
+
+def test_index_travels_in_small_rows(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(6000, 32))
+    x[3000:] = x[:3000] + 0.02 * rng.normal(size=(3000, 32))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+    tables, write = {}, H.written
+    monkeypatch.setattr(H, "written", lambda t, name, *a: tables.setdefault(name, write(t, name, *a)))
+    got = vector_links(df).orderBy("vec_id").collect()
+    assert all(a.n_links >= 1 and a.component_id == b.component_id for a, b in zip(got[:3000], got[3000:]))
+    size = tables["index"].groupBy("shard").agg(F.max(F.length("index")), F.sum(F.length("index"))).collect()
+    # 4 bytes a number, not both precisions.
+    assert len(size) == H.LEAST_SHARDS and max(r[1] for r in size) <= H.PART and sum(r[2] for r in size) < 6000 * (4 * 32 + 200)
+    assert tables["nodes"].schema["v"].dataType.simpleString() == "array<float>"
+
+
+def test_packed_values_come_back_whole():
+    value = (np.arange(20_000), np.zeros((0, 3), np.float32), {"a": np.eye(7)}, "text")
+    pieces = list(H.packed(value))
+    back = H.Unpacked()
+    for p in pieces:
+        back.add(p)
+    got = back.value()
+    assert max(map(len, pieces)) <= H.PART and len(pieces) > 5
+    assert (got[0] == value[0]).all() and got[1].shape == (0, 3) and (got[2]["a"] == np.eye(7)).all() and got[3] == "text"
