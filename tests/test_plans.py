@@ -236,6 +236,34 @@ def test_gate_too_large_for_a_broadcast_is_shuffled_once(spark):
         r.release()
 
 
+@pytest.mark.parametrize("limit", [1_000_000, 2])
+def test_held_runs_on_the_same_lines_share_their_entries(spark, monkeypatch, limit):
+    monkeypatch.setattr(P, "TEST_PAIRS", 0)
+    lines, t = Q.lines_l(spark, SF001), dict(broadcast_max_rows=limit)
+    runs = [
+        ("winners", lines, MineSpec(30_000, 0.2, 0.4, prune="winners", **t)),
+        ("other", Q.lines_l(spark, SF001), MineSpec(60_000, 0.3, 0.3, prune="winners", **t)),
+        ("exact", lines, MineSpec(50_000, 0.3, prune="exact", **t)),
+        ("constant", lines, MineSpec(30, 0.2, 0.5, price="constant", constant_price=2.0, prune="winners", **t)),
+        ("other", lines, MineSpec(30, 0.2, 0.4, price="constant", constant_price=2.0, **t)),
+        ("denied", lines, MineSpec(50_000, 0.3, 0.3, exclude=("1", "7"), prune="winners", **t)),
+        ("as text", lines.withColumn("item", F.col("item").cast("decimal(12,0)")), MineSpec(50_000, 0.3, 0.3, **t)),
+    ]
+    results, alone = [], []
+    got = _shown(mine_many(runs, results))
+    for name, own, spec in runs:
+        run = mine(own, spec)
+        alone += _shown(run.combined().withColumn("dataset", F.lit(name)))
+        run.release()
+    assert got == sorted(alone) and {r[0] for r in got if r[1] == 2} == {name for name, *_ in runs} and len(results) == 1
+    tags = {r.run for r in results[0].uo.select(F.substring("tid", 1, 6).alias("run")).distinct().collect()}
+    assert tags == {"000000", "000003", "000005", "000006"}
+    # Prices that need no other row are sums of one grouping: two scans in all, for keys of two types.
+    text = results[0].uo._jdf.queryExecution().executedPlan().toString()
+    assert text.count("FileScan") == 2 * text.count("Window [") > 0
+    results[0].release()
+
+
 def test_runs_with_no_lines_or_null_keys(spark):
     schema = "tid string, item string, quantity double, unit_price double, dataset string, run string"
     empty = spark.createDataFrame([], schema)
