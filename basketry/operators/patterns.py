@@ -142,8 +142,13 @@ def _grid_pair_rows(uo: DataFrame, split_items: int, keep_cells: bool) -> DataFr
     return rows if keep_cells else rows.drop("cell_a", "cell_b")
 
 
-#: Buckets of the pair bounds: a broadcast of at most this many numbers.
+#: Buckets of the pair bounds whose numbers are broadcast; more are broadcast as bits.
 PAIR_BUCKETS = 1 << 20
+#: Bits of the marks of pairs at most, 64 MB in blocks of 16 words (about 90 MB of rows, which a driver holds
+#: up to three times when it sends them); beyond, more rows pass the test.
+MARK_BITS = 1 << 29
+_WORDS = 16
+_BITS = 64 * _WORDS
 # Sums in another order differ in the last digits; the bounds are wider by this share.
 SLACK = 1 + 1e-9
 
@@ -164,6 +169,25 @@ def pair_buckets(
     shuffle one row per distinct pair.  The idea is the hash filter of Park, Chen and Yu
     (1995), with utilities in place of counts.
     """
+    rows = _bound_rows(cand, split_items)
+    bounds = rows.groupBy(_bucket(buckets).alias("bucket")).agg(F.sum("util").alias("util"), F.max("occ").alias("occ"))
+    return bounds.where(_reaches("util", min_util) & _reaches("occ", min_uo)).select("bucket")
+
+
+def pair_marks(cand: DataFrame, min_util: float, min_uo: float, split_items: int, buckets: int) -> DataFrame:
+    """``pair_buckets`` as bits -> (_block, _marks), for any number of buckets up to ``MARK_BITS``.
+
+    With about as many buckets as pairs an aggregate by bucket would shuffle a row of each pair.  So the occupancies set
+    bits first, and only utilities of the buckets that a pair row reaches ``min_uo`` in are summed.
+    """
+    rows = _bound_rows(cand, split_items)
+    reached = _bucket_marks(rows.where(_reaches("occ", min_uo)).select(_bucket(buckets).alias("bucket")))
+    sums = in_buckets(rows, reached, buckets).groupBy(_bucket(buckets).alias("bucket")).agg(F.sum("util").alias("util"))
+    return _bucket_marks(sums.where(_reaches("util", min_util)).select("bucket"))
+
+
+def _bound_rows(cand: DataFrame, split_items: int) -> DataFrame:
+    """Pair rows with their utility and occupancy."""
     rows = pair_rows(cand, split_items)
     if "mult1" in rows.columns:
         util = F.col("mult2") * F.col("iu1") + F.col("mult1") * F.col("iu2")
@@ -171,24 +195,49 @@ def pair_buckets(
     else:
         util = F.col("iu1") + F.col("iu2")
         occ = util / F.col("tu")
-    bounds = rows.groupBy(_bucket(buckets).alias("bucket")).agg(F.sum(util).alias("util"), F.max(occ).alias("uo"))
-    bounds = bounds.where((F.col("util") * SLACK >= F.lit(float(min_util))) & (F.col("uo") * SLACK >= F.lit(float(min_uo))))
-    return bounds.select("bucket")
+    return rows.select("item1", "item2", util.alias("util"), occ.alias("occ"))
+
+
+def _reaches(bound: str, least: float) -> Column:
+    return F.col(bound) * SLACK >= F.lit(float(least))
+
 
+def _words(spots: DataFrame) -> DataFrame:
+    """``(_block, _at)`` as one row a block with its bits, sixteen words."""
+    word, bit = F.shiftright("_at", 6), F.expr("shiftleft(1L, _at % 64)")
+    words = [F.coalesce(F.bit_or(F.when(word == k, bit)), F.lit(0).cast("long")) for k in range(_WORDS)]
+    return spots.repartition("_block").groupBy("_block").agg(F.array(*words).alias("_marks"))
 
-def in_buckets(rows: DataFrame, kept: DataFrame, buckets: int = PAIR_BUCKETS) -> DataFrame:
-    """Pair rows of the kept buckets; their number bounds the broadcast."""
-    return rows.withColumn("bucket", _bucket(buckets)).join(F.broadcast(kept), "bucket", "left_semi").drop("bucket")
 
+def _bucket_marks(buckets: DataFrame) -> DataFrame:
+    at = F.col("bucket")
+    return _words(buckets.select(F.floor(at / _BITS).cast("long").alias("_block"), (at % _BITS).cast("int").alias("_at")))
 
-def pairs(cand: DataFrame, split_items: int = 4096, kept: DataFrame | None = None) -> DataFrame:
+
+def in_buckets(rows: DataFrame, kept: DataFrame, buckets: int = PAIR_BUCKETS, mark: str | None = None) -> DataFrame:
+    """Pair rows of the kept buckets, numbers or bits; their number bounds the broadcast.  With ``mark`` all
+    rows, with a column of that name that tells which these are."""
+    rows = rows.withColumn("bucket", _bucket(buckets))
+    if "_marks" in kept.columns:
+        at = F.col("bucket") % _BITS
+        held = F.getbit(F.get("_marks", F.floor(at / 64).cast("int")), at % 64) == 1
+        met = (F.floor(F.col("bucket") / _BITS).cast("long") == F.col("_block")) & held  # a block has one row
+    else:
+        kept = kept.withColumnRenamed("bucket", "_block")
+        met = F.col("bucket") == F.col("_block")
+    if mark is None:
+        return rows.join(F.broadcast(kept), met, "left_semi").drop("bucket")
+    return rows.join(F.broadcast(kept), met, "left").withColumn(mark, F.col("_block").isNotNull()).drop("bucket", *kept.columns)
+
+
+def pairs(cand: DataFrame, split_items: int = 4096, kept: DataFrame | None = None, buckets: int = PAIR_BUCKETS) -> DataFrame:
     """A5 + D9: (item1, item2, total_util, avg_uo, support, itemset).
 
-    With ``kept``, buckets of ``pair_buckets``, only their pairs are measured.
+    With ``kept``, of ``pair_buckets`` or ``pair_marks``, only pairs of these buckets are measured.
     """
     rows = pair_rows(cand, split_items)
     if kept is not None:
-        rows = in_buckets(rows, kept)
+        rows = in_buckets(rows, kept, buckets)
     if "mult1" in rows.columns:
         # m copies of i (total A) and n of j (total B): m*n pair rows whose
         # utilities add up to n*A + m*B.
@@ -240,11 +289,6 @@ def _reaching_pairs(hot: DataFrame, least: float, split_items: int) -> DataFrame
 
 #: Pair rows of ordinary transactions from which they are tested before the aggregate.
 TEST_PAIRS = 4_000_000
-#: Bits of the marks of pairs at most, 64 MB in blocks of 16 words (about 90 MB of rows, which a driver holds
-#: up to three times when it sends them); beyond, more rows pass the test.
-MARK_BITS = 1 << 29
-_WORDS = 16
-
 
 def _tested(rows: DataFrame, parts: list[DataFrame], hot_pairs: DataFrame, least: float | Column, test_pairs: int) -> DataFrame:
     """``rows`` of ordinary transactions without those of pairs that reach ``least`` in no transaction.
@@ -262,7 +306,7 @@ def _tested(rows: DataFrame, parts: list[DataFrame], hot_pairs: DataFrame, least
     size = reduce(DataFrame.unionByName, [p.select("n_items", "occ", "_least") for p in entries]).agg(
         (F.sum(n) / 2).alias("pairs"), F.sum(F.when(half, n)).alias("most")
     )
-    blocks = F.least(F.ceil(F.col("most") / (32 * _WORDS)) + 1, F.lit(MARK_BITS // (64 * _WORDS)))
+    blocks = F.least(F.ceil(F.col("most") / (32 * _WORDS)) + 1, F.lit(MARK_BITS // _BITS))
     worth = (F.col("pairs") >= F.lit(test_pairs)) & (F.coalesce("most", F.lit(0)) <= F.col("pairs"))
     blocks = size.select(F.when(worth, F.coalesce(blocks, F.lit(1))).cast("long")).scalar()
     reached = hot_pairs.where(blocks.isNotNull())
@@ -272,12 +316,10 @@ def _tested(rows: DataFrame, parts: list[DataFrame], hot_pairs: DataFrame, least
         met = met.where((F.col("a") != F.col("b")) & (F.col("occ1") + F.col("occ2") >= F.col("_least")))
         reached = reached.unionByName(met.select(F.least("a", "b").alias("item1"), F.greatest("a", "b").alias("item2")))
 
-    h, bits = F.xxhash64("item1", "item2"), 64 * _WORDS
+    h, bits = F.xxhash64("item1", "item2"), _BITS
     place = F.pmod(h, blocks * bits)
     spots = reached.select(F.floor(place / bits).cast("long").alias("_block"), (place % bits).cast("int").alias("_at"))
-    word, bit = F.shiftright("_at", 6), F.expr("shiftleft(1L, _at % 64)")
-    words = [F.coalesce(F.bit_or(F.when(word == k, bit)), F.lit(0).cast("long")) for k in range(_WORDS)]
-    marks = spots.repartition("_block").groupBy("_block").agg(F.array(*words).alias("_marks"))
+    marks = _words(spots)
     every = rows.sparkSession.range(1).where(blocks.isNull()).select(F.lit(-1).cast("long").alias("_block"), F.array_repeat(F.lit(-1).cast("long"), _WORDS).alias("_marks"))
     marks = F.broadcast(marks.unionByName(every))  # bounded by MARK_BITS
     place = F.coalesce(place, F.lit(-bits).cast("long"))

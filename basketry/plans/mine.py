@@ -37,13 +37,28 @@ class MineResult:
     def candidates(self) -> DataFrame:
         return candidates(self.uo, self.all_singles, self.spec, self.holds)
 
+    @cached_property
+    def buckets(self) -> int:
+        """Number of buckets of the pair bounds: two a pair row, since buckets of many pairs would all be kept;
+        the fixed number for few pairs, and without eager checks."""
+        if self.spec.broadcast_max_rows <= 0:
+            return P.PAIR_BUCKETS
+        rows = self.candidates.agg((F.sum(F.col("n_items") - 1)).alias("n")).first().n or 0  # twice the pairs
+        return int(min(P.MARK_BITS, max(P.PAIR_BUCKETS, rows)))
+
     @cached_property
     def pair_buckets(self) -> DataFrame | None:
-        """Buckets of the pairs to measure, under ``prune="bounds"``."""
+        """Buckets of the pairs to measure, under ``prune="bounds"``; held, as a caller may read them too."""
         spec = self.spec
         if spec.prune != "bounds":
             return None
-        return P.pair_buckets(self.candidates, spec.min_util, spec.pair_uo, spec.split_items)
+        limits = (spec.min_util, spec.pair_uo, spec.split_items, self.buckets)
+        find = P.pair_marks if self.buckets > P.PAIR_BUCKETS else P.pair_buckets
+        kept = find(self.candidates, *limits)
+        if spec.reuse != "none":
+            kept = keep(kept, spec.reuse)
+            self.holds.append(kept)
+        return kept
 
     @cached_property
     def pairs(self) -> DataFrame:
@@ -54,7 +69,7 @@ class MineResult:
         """Measures of the pairs that can reach ``min_uo``; of all pairs where it asks for nothing."""
         spec = self.spec
         if buckets is not None or not min_uo > 0:
-            return P.pairs(self.candidates, spec.split_items, buckets)
+            return P.pairs(self.candidates, spec.split_items, *((buckets, self.buckets) if buckets is not None else ()))
         return P.pairs_reaching(self.candidates, min_uo, spec.split_items, _test_pairs(spec))
 
     def release(self) -> None:

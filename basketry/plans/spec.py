@@ -24,7 +24,7 @@ prune
     ``"exact"``   pairs only of items whose upper bounds reach the thresholds
                   (no false dismissals; both duplicate modes)
     ``"bounds"``  as ``"exact"``, and of their pairs only those whose own upper
-                  bounds, from a fixed number of buckets of pairs, reach them
+                  bounds, from buckets of pairs, a bounded number, reach them
                   (no false dismissals; pairs are generated twice, but only
                   few are shuffled)
 min_tu

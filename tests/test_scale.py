@@ -196,6 +196,35 @@ def test_pair_bounds_lose_no_pair(spark, buckets, duplicates, monkeypatch):
     r.release(), plain.release()
 
 
+@pytest.mark.parametrize("duplicates,split", [("sum", 4096), ("keep", 4096), ("sum", 3)])
+def test_buckets_follow_the_pairs(spark, duplicates, split, monkeypatch):
+    """With a fixed number of buckets more pairs would fill all of them, and nothing would be spared."""
+    monkeypatch.setattr(P, "PAIR_BUCKETS", 16)
+    lines = Q.lines_l(spark, SF001)
+    spec = MineSpec(duplicates=duplicates, prune="bounds", split_items=split, **Q.L_T)
+    r, plain = mine(lines, spec), mine(lines, spec.with_(prune="none"))
+    rows = P.pair_rows(r.uo, split)
+    assert r.buckets >= rows.count() and r.pair_buckets.columns == ["_block", "_marks"]
+    kept = P.in_buckets(rows, r.pair_buckets, r.buckets)
+    marked = P.in_buckets(rows, r.pair_buckets, r.buckets, mark="m")
+    assert marked.count() == rows.count() and marked.where("m").count() == kept.count() < 0.8 * rows.count()
+    assert _rows(Q._pairs_out(r.pairs)) == _rows(Q._pairs_out(plain.pairs)) != []
+    r.release(), plain.release()
+    monkeypatch.setattr(P, "MARK_BITS", 64)
+    few = mine(lines, spec)
+    assert few.buckets == 64 and few.pairs.count() == plain.pairs.count()
+    few.release(), plain.release()
+    assert Q.q_pair_bounds_saving(spark, SF001).first().all_kept_measured
+
+
+def test_pair_bounds_spare_pairs_however_many(spark, monkeypatch):
+    want = Q.q_pair_bounds_saving(spark, SF001).first()
+    monkeypatch.setattr(P, "PAIR_BUCKETS", 16)
+    df = Q.q_pair_bounds_saving(spark, SF001)
+    assert tuple(df.first()) == tuple(want) and want.fewer_measured and want.all_kept_measured
+    assert "FullOuter" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
 # ---------------------------------------------------------------- bitmaps
 
 def test_dense_numbers(spark):
